@@ -177,3 +177,20 @@ def identify(df: DataFrame, training: DataFrame) -> DataFrame:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
+
+
+def filter_identified(df: DataFrame, training: DataFrame, least_share: float) -> DataFrame:
+    """The rows of `df` whose text has a language with at least `least_share` of its words."""
+    langs, table = learn(training)
+    model = df.sparkSession.sparkContext.broadcast(table)  # FEATURES x languages
+    text_at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = [t or "" for t in part.column(text_at).to_pylist()]
+                best, _, shares = languages(Words(texts), len(texts), model.value)
+                yield part.filter(pa.array((best >= 0) & (shares.max(axis=1, initial=0) >= least_share)))
+
+    return df.mapInArrow(run, df.schema)
