@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import language_id, line_dedup, mixing, near_dedup, packing
+from rastermill.llm import language_id, line_dedup, mixing, near_dedup, packing, pivot_index, prefix_forest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pivot_index.integer_vectors(table(spark, sf_dir, "embeddings"), scale=1024.0)
+    return pivot_index.top_k(vectors, "vec_id % 100 = 0", k=10)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -43,9 +48,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_mixing, op6_line_dedup, op8_language_id, op9_packing)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = prefix_forest.usable_vectors(table(spark, sf_dir, "embeddings"))
+    return prefix_forest.nearest(vectors, "vec_id % 100 = 0", k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_topk, op4_mixing, op6_line_dedup, op8_language_id, op9_packing, op10_neighbours)}
 
 ORACLES = {
+    "op3_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS vector FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.vector, c.vector) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
     "op6_line_dedup": r"""
 WITH doc AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
 line AS (SELECT row_no, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM doc),
