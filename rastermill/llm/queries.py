@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import language_id, line_dedup, mixing, near_dedup, packing, pivot_index, prefix_forest
+from rastermill.llm import language_id, line_dedup, mixing, near_dedup, packing, pivot_index, prefix_forest, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), span=200)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pivot_index.integer_vectors(table(spark, sf_dir, "embeddings"), scale=1024.0)
     return pivot_index.top_k(vectors, "vec_id % 100 = 0", k=10)
@@ -53,7 +58,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(vectors, "vec_id % 100 = 0", k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_topk, op4_mixing, op6_line_dedup, op8_language_id, op9_packing, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_topk, op4_mixing, op6_line_dedup, op8_language_id, op9_packing, op10_neighbours)}
 
 ORACLES = {
     "op3_topk": """

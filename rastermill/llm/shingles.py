@@ -18,7 +18,7 @@ def _byte_values() -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
     up = np.full(n, BASE, np.uint64)
     down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
@@ -37,7 +37,7 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
     values = _byte_values()[raw]
-    up, down = _powers(1 << max(12, (len(raw) - 1).bit_length()))
+    up, down = powers(1 << max(12, (len(raw) - 1).bit_length()))
     sums = np.cumsum(values * up[: len(raw)])
     word = values != 0
     starts = np.flatnonzero(word[1:] & ~word[:-1]) + 1
