@@ -21,12 +21,9 @@ FEATURES, SLICE, STEPS, PENALTY, SMOOTHING = 1 << 16, 64, 12, 3.0, 0.05
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """For each code point its lower-case letter, or a space for what isn't a letter."""
-    out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x110000):
-        s = chr(c)
-        if s.isalpha():
-            out[c] = ord(s.lower()[0])
-    return out
+    chars = np.arange(0x110000, dtype=np.uint32).view("U1")
+    low = np.strings.lower(chars).astype("U1").view(np.uint32)
+    return np.where(np.strings.isalpha(chars), low, 32).astype(np.uint32)
 
 
 class Words:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import language_id, line_dedup, mixing, near_dedup, packing, pivot_index, prefix_forest, suffix_dedup
+from rastermill.llm import language_id, line_dedup, mixing, near_dedup, packing, pivot_index, prefix_forest, quality, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_documents=10)
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(language_id.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = toxicity.score(docs, docs.where(~held_out).join(labels, "doc_id"))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(language_id.fold(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -58,7 +70,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(vectors, "vec_id % 100 = 0", k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_topk, op4_mixing, op6_line_dedup, op8_language_id, op9_packing, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_topk, op4_mixing, op5_quality, op6_line_dedup, op7_toxicity, op8_language_id, op9_packing, op10_neighbours)}
 
 ORACLES = {
     "op3_topk": """
