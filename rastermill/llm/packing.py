@@ -7,42 +7,80 @@ index and every range is packed from end to end, so that neighbours in a sequenc
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.llm.common import Scratch
 
-DIMS, BITS, BUCKETS, CACHED_WORDS, SLICE = 4, 8, 4096, 300_000, 256
+DIMS, BITS, BUCKETS, CACHED_WORDS, SLICE = 4, 8, 4096, 1_000_000, 256
 
 
-class WordIds(dict):
-    """Bytes of the ids of each word seen; the vocabularies drop white space, so words stand alone."""
+class WordIds:
+    """Bytes of the ids of each word seen; the vocabularies drop white space, so words stand alone.
+
+    Where the tokenizer is one that lower-cases, parts a text by a pattern and merges the bytes of
+    each part, texts in Latin letters are parted here by that same pattern and only new parts
+    go through its merges. Any other text or tokenizer is encoded word by word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, self.dtype).tobytes()
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        config = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.pattern = None
+        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            self.pattern = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # Letters for which composing, lower case and white space are the same everywhere.
+        self.plain = regex.compile("[\t\n\r -~\u00a1-\u00ff]*+")
+        # The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in printable]
+        self.alphabet = {x: chr(x) for x in printable} | {x: chr(256 + i) for i, x in enumerate(rest)}
+
+    def merge(self, part: str) -> bytes:
+        if not part.isascii():
+            part = "".join(map(self.alphabet.__getitem__, part.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(part)], self.dtype).tobytes()
+
+    def room(self, known: dict[str, bytes], new: int) -> None:
+        if len(known) + new > CACHED_WORDS:
+            known.clear()
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def encode_plain(self, words: list[str]) -> list[bytes]:
+        parted = [[w.lower()] if w.isalpha() else self.pattern.findall(w.lower()) for w in words]
+        parts = set(chain.from_iterable(parted))
+        self.room(self.parts, len(parts))
+        for part in parts.difference(self.parts):
+            self.parts[part] = self.merge(part)
+        return [b"".join([self.parts[x] for x in p]) for p in parted]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn({w for words in split for w in words})
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        words = set(chain.from_iterable(split))
+        self.room(self.words, len(words))
+        new = words.difference(self.words)
+        odd = {w for w in new if self.pattern is None or "<|" in w or not self.plain.fullmatch(w)}
+        for group, encode in ((list(new - odd), self.encode_plain), (list(odd), self.encode)):
+            self.words.update(zip(group, encode(group), strict=True))
+        return [b"".join(map(self.words.__getitem__, w)) for w in split]
 
 
 @lru_cache(maxsize=2)
