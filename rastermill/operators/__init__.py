@@ -1,0 +1 @@
+"""Operators over rasters, regions, trees and coded streams."""

@@ -1,0 +1 @@
+"""Nothing streams: images are bounded and their coder state never leaves one image."""
