@@ -60,6 +60,21 @@ def push(state: int, numbers: Iterable[tuple[int, int]], bits: list[int]) -> int
     return state
 
 
+def quietest_start(numbers: list[tuple[int, int]]) -> int:
+    """Of the start states that are tried, the first whose overflow begins with most zeros."""
+    trials = np.arange(LEAST, 2 * LEAST + 28, 32)
+    state, zeros, silent = trials.copy(), np.zeros(len(trials), int), np.ones(len(trials), bool)
+    for value, bound in numbers:
+        first, width = slot_range(value, bound)
+        ceiling = 2 * LEAST * width // SLOTS
+        while (over := state >= ceiling).any():
+            silent &= ~over | (state & 1 == 0)
+            zeros += over & silent
+            state = np.where(over, state >> 1, state)
+        state = state // width * SLOTS + state % width + first
+    return int(trials[zeros.argmax()])
+
+
 def encode(values: list[int], bounds: list[int]) -> bytes:
     """The stream for a list of numbers. Numbers are coded from the last to the first; the start
     state is the one that makes most of the trailing bits zero, for those are cut."""
@@ -70,14 +85,8 @@ def encode(values: list[int], bounds: list[int]) -> bytes:
         if room < 1:
             head = i + 1
             break
-    best, start = 0, LEAST
-    for trial in range(LEAST, 2 * LEAST + 28, 32):
-        bits: list[int] = []
-        push(trial, numbers[:head], bits)
-        zeros = next((i for i, b in enumerate(bits) if b), len(bits))
-        if zeros > best:
-            best, start = zeros, trial
-    bits = []
+    start = quietest_start(numbers[:head])
+    bits: list[int] = []
     state = push(start, numbers, bits)
     stream = [state >> i & 1 for i in range(STATE_BITS)] + bits[::-1]
     return np.packbits(np.array(stream, np.uint8), bitorder="little").tobytes().rstrip(b"\0")

@@ -88,7 +88,7 @@ def taken_splits(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
                 if child in known and known[child][1] == known[child][1]:
                     heapq.heappush(heap, (-known[child][0], pushed, child))
                     pushed += 1
-        return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "variant_id": rows["variant_id"].iloc[0], "node": taken, "ordinal": range(len(taken))})
+        return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "variant_id": rows["variant_id"].iloc[0], "node": pd.Series(taken, dtype=object), "ordinal": range(len(taken))})
 
     rows = nodes.select(*KEYS, "score", "cost").join(jobs.select(*TREE, "budget"), TREE)
     return rows.groupBy(*TREE).applyInPandas(replay, "image_id long, variant_id int, node string, ordinal int")

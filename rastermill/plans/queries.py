@@ -367,8 +367,8 @@ v AS (SELECT *, 255 * CAST(floor(r * 16 / 255 + 0.5) AS BIGINT) // 16 AS vr, 255
 SELECT image_id, round(sum(c * vr * (vr - 2 * r) + c * vg * (vg - 2 * g) + c * vb * (vb - 2 * b)), 4) AS sqe FROM v GROUP BY 1""",
     "best_variant": """SELECT image_id, variant_id, color, sqe FROM (SELECT l_orderkey % 100 AS image_id, l_partkey % 20 AS variant_id, l_suppkey % 17 AS color, l_quantity - 25 AS sqe,
  row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_quantity, l_partkey % 20, l_suppkey % 17) AS k FROM lineitem) WHERE k = 1""",
-    "render_spans": f"""{GEOMETRY}, cuts AS (SELECT *, sn * 20 + cs * 5 AS d FROM turned WHERE angle = 96), b AS (SELECT image_id, y, {CUT} AS at FROM cuts)
-SELECT image_id, y, range AS x, CASE WHEN range >= at THEN 200 ELSE 10 END::BIGINT AS r, CASE WHEN range >= at THEN 55 ELSE 245 END::BIGINT AS g, y AS b FROM b, range(64)""",
+    "render_spans": f"""{GEOMETRY}, cuts AS (SELECT *, sn * 20 + cs * 5 AS d FROM turned WHERE angle = 96), b AS (SELECT image_id, y, {CUT} AS edge FROM cuts)
+SELECT image_id, y, range AS x, CASE WHEN range >= edge THEN 200 ELSE 10 END::BIGINT AS r, CASE WHEN range >= edge THEN 55 ELSE 245 END::BIGINT AS g, y AS b FROM b, range(64)""",
     "header_entries": """WITH v AS (SELECT range AS id, range + 9 AS w, 2048 - range AS h FROM range(500)), s AS (SELECT *, CAST(floor(log2(w - 1)) AS BIGINT) AS lw, CAST(floor(log2(h - 1)) AS BIGINT) AS lh FROM v),
 e AS (SELECT id, unnest([lw - 3, w - (1::BIGINT << lw) - 1, lh - 3, h - (1::BIGINT << lh) - 1, id % 4, id // 4 % 5, id // 20 % 5, id // 100 % 5, id % 63, id % 49]) AS value, unnest([8, 1::BIGINT << lw, 8, 1::BIGINT << lh, 4, 5, 5, 5, 63, 49]) AS max, generate_subscripts([1,1,1,1,1,1,1,1,1,1], 1) AS k FROM s)
 SELECT id, CAST(k - 1 AS INTEGER) AS pos, value, max FROM e""",

@@ -42,7 +42,7 @@ def write_files(spark: SparkSession, df: DataFrame, folder: str, suffix: str) ->
                     done.append(True)
                 except OSError:
                     done.append(False)
-            yield pd.DataFrame({"name": batch["name"], "written": done})
+            yield pd.DataFrame({"name": batch["name"].astype(object), "written": done})
 
     return df.select(F.col("name").cast("string"), "data").mapInPandas(run, "name string, written boolean")
 
