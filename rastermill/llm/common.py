@@ -27,9 +27,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").option("compression", compression)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)

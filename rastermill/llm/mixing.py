@@ -91,8 +91,9 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> Da
 
 
 def repeat_documents(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """`df` with each row as often as the mix takes its words, rounded to whole documents."""
-    mixed = mix(df, weights, cap).groupBy("digest").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
+    """`df` with each row as often as the mix takes its words, rounded to whole documents; rows
+    without words go."""
+    mixed = mix(df, weights, cap).where("size > 0").groupBy("digest").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     joined = df.withColumn("_digest", digest).join(mixed.withColumnRenamed("digest", "_digest"), "_digest")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
