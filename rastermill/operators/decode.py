@@ -35,8 +35,11 @@ class Header:
         self.bits = [max(0, 9 - f1 - i - i * f4 // 2) for i in range(K.LEVELS)]
         self.scale, scale = [], (self.width**2 + self.height**2) * (f2 + 2) ** 2 & K.U32
         for _ in range(K.LEVELS):
-            self.scale.append(scale // K.LEVEL_BASE)
-            scale = (scale * K.LEVEL_STEP & K.U32) // K.LEVEL_DIVISORS[f3]
+            self.scale.append(int(scale / K.LEVEL_BASE))
+            if older:  # neither wraps nor truncates between levels
+                scale = scale * K.LEVEL_STEP / K.LEVEL_DIVISORS[f3]
+            else:
+                scale = (scale * K.LEVEL_STEP & K.U32) // K.LEVEL_DIVISORS[f3]
         self.quant = 1 + (4 + (self.color & 3) << (self.color >> 2)) if self.color < K.FIRST_PALETTE_CODE else 0
         self.palette_size = max(0, self.color - K.FIRST_PALETTE_CODE + 1)
 
@@ -51,7 +54,7 @@ def lines_across(spans: np.ndarray, sn: int, cs: int, limit: int, older: bool) -
     low, high = int((cs * y + sn * x0).min()), int((cs * y + sn * (x1 - 1)).max())
     quant = K.SCALE
     if older:
-        while high - low > quant * limit:
+        while (high - low) // quant > limit:
             quant += quant >> 4
     elif high - low > quant * limit:
         quant = (2 * (high - low) + limit) // (2 * limit)

@@ -19,6 +19,9 @@ CODED = [-78, -15, 81, -45, -48, -46, -47, 51, 48, 50, 49, -77]
 CROSS = [50, -103, -66, 110, -65, 119, 0, -128, -1, -1, -1, 110, 127, -46, 48, -77, 28, 6, -19, 111, -22, 121, 77]
 
 
+OLDER_CROSS = [131, 137, 248, 39, 89, 113, 0, 128, 255, 255, 255, 62, 75, 106, 228, 181, 70, 203, 199, 204, 27, 8, 22]
+
+
 def test_known_stream():
     data = np.array(CODED, np.int8).tobytes()
     assert E.encode(*NUMBERS) == data
@@ -55,6 +58,12 @@ def test_decodes_the_cross(spark):
     assert got.count() == 400 and got.exceptAll(R.cross(spark).select(got.columns)).count() == 0
 
 
+def test_decodes_the_older_dialect(spark):
+    rows = spark.createDataFrame([(0, bytearray(OLDER_CROSS))], "image_id long, data binary")
+    got = D.decode_images(rows, older=True)
+    assert got.count() == 400 and got.exceptAll(R.cross(spark).select(got.columns)).count() == 0
+
+
 def test_short_and_empty_streams(spark):
     rows = spark.createDataFrame([(0, bytearray(b"")), (1, bytearray(b"\xff\x01")), (2, None)], "image_id long, data binary")
     D.decode_images(rows).collect()
