@@ -73,6 +73,23 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_topk, op4_mixing, op5_quality, op6_line_dedup, op7_toxicity, op8_language_id, op9_packing, op10_neighbours)}
 
 ORACLES = {
+    "op4_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || md5(coalesce(text, ''))) AS digest FROM documents),
+named AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS ord FROM d GROUP BY source),
+weighed AS (SELECT *, [1, 2, 3][(ord - 1) % 3 + 1] AS weight, (3 * source_size)::DOUBLE / [1, 2, 3][(ord - 1) % 3 + 1] AS ratio, sum(source_size) OVER () AS total FROM named),
+levels AS (SELECT *, (total - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+ / sum(weight) OVER (ORDER BY ratio, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM weighed),
+aimed AS (SELECT source, source_size, ord, least((3 * source_size)::DOUBLE, (SELECT level FROM levels WHERE ratio >= level ORDER BY ratio, ord LIMIT 1) * weight) AS target FROM levels),
+blocked AS (SELECT *, CAST(greatest(1, floor(least(1000000.0::DOUBLE, target / 1000))) AS BIGINT) AS block FROM aimed),
+counted AS (SELECT *, CAST(ceil(source_size / block) AS BIGINT) AS blocks FROM blocked),
+slotted AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target * blocks / source_size) AS BIGINT) ELSE 0 END AS slots FROM counted),
+celled AS (SELECT *, CAST(sum(slots) OVER (ORDER BY ord) - slots AS BIGINT) AS cell, length(bin(CAST(sum(slots) OVER () AS BIGINT) - 1)) AS bits FROM slotted),
+cells AS (SELECT ord, blocks, bits, unnest(range(cell, cell + slots)) AS cell FROM celled),
+ranked AS (SELECT ord, (row_number() OVER (PARTITION BY ord ORDER BY reverse(lpad(bin(cell), CAST(bits AS INTEGER), '0'))) - 1) % blocks AS block_no FROM cells),
+times AS (SELECT ord, block_no, least(count(*), 3) AS times FROM ranked GROUP BY 1, 2),
+placed AS (SELECT d.*, c.source_size, c.ord, c.target, c.block, sum(size) OVER (PARTITION BY c.ord ORDER BY digest) - size AS start FROM d JOIN celled c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, source,
+ CAST(coalesce((SELECT sum((least(start + size, (block_no + 1) * block) - greatest(start, block_no * block)) * times) FROM times t WHERE t.ord = placed.ord AND block_no * block < start + size AND (block_no + 1) * block > start), 0) AS BIGINT) AS taken FROM placed""",
     "op3_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 1024)) AS vector FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -205,6 +205,15 @@ def test_mix_reaches_its_targets(spark):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, again), key=str)
 
 
+@needs_tables
+def test_mix_matches_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = db.sql(queries.ORACLES["op4_mixing"]).select("doc_id, size, source_size, target, taken").fetchall()
+    got = queries.op4_mixing(spark, SF).select("doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_mix_odd_rows(spark):
     assert len(check_mix(odd(spark))) == len(ODD_TEXTS)
     assert mixing.mix(none(spark)).count() == 0 and mixing.repeat_documents(none(spark)).count() == 0
