@@ -5,7 +5,9 @@ windows have equal anchors at the same place. A document's windows with one anch
 make a piece. Only pieces whose anchor occurs again are looked at, each distinct piece once,
 all pieces of an anchor together. There the suffixes of the pieces, read in words of eight bytes
 counted from the anchor, are sorted (see suffix_groups), and windows whose words agree are told
-apart by the bytes at their two ends.
+apart by the bytes at their two ends. Two pieces that share a window agree in half of its rest
+on one side of the anchor, so pieces that are alone with both their sides are left out before;
+an anchor with one distinct piece left needs no sorting.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from rastermill.llm.shingles import U, powers, scramble
 from rastermill.llm.suffix_groups import suffix_array
 
 SPAN, GRAM, WORD = 200, 32, 8
-BATCH_WORDS, HOT_PIECES, SLICE = 60_000, 2_000, 256
+BATCH_WORDS, HOT_PIECES, SLICE = 60_000, 4_000, 256
 
 
 @lru_cache(maxsize=1)
@@ -44,10 +46,11 @@ def range_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
 
 
 def pieces(text: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, first window, number of windows, anchor's place in the first window)."""
+    """(anchor hash, content hash, hashes of the sides left and right of the anchor, 0 where a side is cut
+    off by the text's end, first window, number of windows, anchor's place in the first window)."""
     n = len(text)
     if n < span:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (*[np.uint64] * 4, *[np.int64] * 3))
     sums = prefix_sums(text)
     grams = range_hashes(sums, np.arange(n - gram + 1), np.arange(gram, n + 1))
     wide = span - gram + 1
@@ -61,7 +64,10 @@ def pieces(text: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray,
     anchor = (np.minimum(backward[:count], forward[wide - 1 : wide - 1 + count]) & U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     windows = np.diff(np.r_[first, count])
-    return grams[anchor[first]], range_hashes(sums, first, first + windows + span - 1), first, windows, anchor[first] - first
+    at, side = anchor[first], (span - gram) // 2
+    left = np.where(at >= side, range_hashes(sums, np.maximum(at - side, 0), at), U(0))
+    right = np.where(at + gram + side <= n, range_hashes(sums, at + gram, np.minimum(at + gram + side, n)), U(0))
+    return grams[at], range_hashes(sums, first, first + windows + span - 1), left, right, first, windows, at - first
 
 
 def piece_table(df: DataFrame, span: int) -> DataFrame:
@@ -71,14 +77,14 @@ def piece_table(df: DataFrame, span: int) -> DataFrame:
                 part = batch.slice(at, SLICE)
                 found = [pieces((t or "").encode("utf-8", "surrogatepass"), span) for t in part.column(1).to_pylist()]
                 owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                cols = [np.concatenate([f[i] for f in found]) for i in range(5)]
+                cols = [np.concatenate([f[i] for f in found]) for i in range(7)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner)), pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), *(pa.array(c.astype(np.int32)) for c in cols[2:])],
-                    ["digest", "anchor", "content", "first", "windows", "place"],
+                    [part.column(0).take(pa.array(owner)), *(pa.array(c.view(np.int64)) for c in cols[:4]), *(pa.array(c.astype(np.int32)) for c in cols[4:])],
+                    ["digest", "anchor", "content", "left", "right", "first", "windows", "place"],
                 )
 
     rows = df.select(text_digest(F.col("text")).alias("digest"), "text")
-    return rows.mapInArrow(run, "digest binary, anchor long, content long, first int, windows int, place int")
+    return rows.mapInArrow(run, "digest binary, anchor long, content long, left long, right long, first int, windows int, place int")
 
 
 def repeated_windows(texts: list[bytes], windows: list[int], places: list[int], copies: list[int], span: int) -> list[np.ndarray]:
@@ -202,10 +208,19 @@ def spans(df: DataFrame, span: int = SPAN) -> DataFrame:
     again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     shared = scratch.write(every.join(again, "anchor", "left_semi"), "shared")
     scratch.drop("pieces")
-    one = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("digest", "first", "windows", "place")).alias("at"))
-    one = scratch.write(one.select("anchor", "content", "copies", "at.*"), "distinct")
-    hot = one.groupBy("anchor").agg((F.count(F.lit(1)) > HOT_PIECES).alias("hot"))
-    parts = one.join(hot, "anchor").groupBy("digest").agg(F.collect_list(F.struct("anchor", "content", "copies", "hot", "first", "windows", "place")).alias("parts"))
+    one = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("digest", "first", "windows", "place", "left", "right")).alias("at"))
+    one = scratch.write(one.select("anchor", "content", "copies", "at.*"), "one")
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("hash")), F.struct(F.lit(1).alias("side"), F.col("right").alias("hash")))).alias("s")
+    sides = one.select("anchor", "content", side).select("anchor", "content", "s.side", "s.hash").where("hash <> 0")
+    met = sides.groupBy("anchor", "side", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = sides.join(met, ["anchor", "side", "hash"], "left_semi").select("anchor", "content").distinct()
+    kept = one.join(near.withColumn("near", F.lit(True)), ["anchor", "content"], "left").where("near OR copies > 1").drop("near", "left", "right")
+    kept = scratch.write(kept, "kept")
+    size = kept.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"))
+    sized = scratch.write(kept.join(size, "anchor").withColumn("hot", F.col("size") > HOT_PIECES), "sized")
+    scratch.drop("one", "kept")
+    alone = sized.where("size = 1 AND copies > 1").select("anchor", "content", F.array(F.lit(0), "windows").alias("repeated"))
+    parts = sized.where("size > 1").groupBy("digest").agg(F.collect_list(F.struct("anchor", "content", "copies", "hot", "first", "windows", "place")).alias("parts"))
     texts = df.select(text_digest(F.col("text")).alias("digest"), "text").dropDuplicates(["digest"])
     cut = scratch.write(cut_pieces(texts.join(parts, "digest"), span), "cut")
 
@@ -214,16 +229,19 @@ def spans(df: DataFrame, span: int = SPAN) -> DataFrame:
     often = windows.groupBy("hash").agg(F.sum("copies").alias("n")).where("n > 1").select("hash")
     warm = windows.join(often, "hash", "left_semi").groupBy("anchor", "content").agg(F.array_sort(F.collect_list("window")).alias("places"))
     singles = F.flatten(F.transform("places", lambda x: F.array(x, x + 1)))
-    found = scratch.write(sort_pieces(cold, span).unionByName(warm.select("anchor", "content", singles.alias("repeated"))), "repeated")
-    scratch.drop("cut", "distinct", "windows")
+    found = scratch.write(sort_pieces(cold, span).unionByName(warm.select("anchor", "content", singles.alias("repeated"))).unionByName(alone), "repeated")
+    scratch.drop("cut", "sized", "windows")
     placed = shared.select("digest", "anchor", "content", "first").join(found, ["anchor", "content"])
-    by_text = placed.groupBy("digest").agg(F.collect_set(F.struct("first", "repeated")).alias("found"))
+    places = F.transform("repeated", lambda x: x + F.col("first")).alias("places")
+    by_text = placed.select("digest", places).groupBy("digest").agg(F.flatten(F.collect_set("places")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             merged = []
-            for found in batch.column(1).to_pylist():
-                pairs = np.concatenate([np.array(f["repeated"], np.int64).reshape(-1, 2) + f["first"] for f in found])
+            lists = batch.column(1)
+            values, borders = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                pairs = values[a:b].astype(np.int64).reshape(-1, 2)
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                 ends = np.maximum.accumulate(pairs[:, 1] + span - 1)
                 begin = np.flatnonzero(np.r_[True, pairs[1:, 0] > ends[:-1]])
