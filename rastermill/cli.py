@@ -2,7 +2,7 @@
 
     python -m rastermill.cli [-t BYTES] [-p P:L:C,...] [-r] [-e IMAGE ...] [-d STREAM ...] -o FOLDER
 
--e codes PNG files into FOLDER/NAME.2im, -d decodes streams into FOLDER/NAME.png, -r decodes what
+-e codes PNG files into FOLDER/NAME.rim, -d decodes streams into FOLDER/NAME.png, -r decodes what
 -e has coded at once. -p names variants: partition code, set of line limits and set of colour
 codes in hexadecimal, * for all of a set.
 """
@@ -56,7 +56,7 @@ def main(arguments: list[str] | None = None) -> int:
             print(f"{row['name']}: {row['status']}, size={row['size']}, PSNR={row['psnr']}")
         done = named.where("status = 'ok'")
         failed += named.where("status <> 'ok'").count()
-        failed += files.write_files(spark, done.select("name", "data"), args.output, ".2im").where("NOT written").count()
+        failed += files.write_files(spark, done.select("name", "data"), args.output, ".rim").where("NOT written").count()
         if args.roundtrip:
             _write_decoded(spark, done.select("image_id", "name", "data"), args.output)
     if args.decode:
