@@ -185,7 +185,7 @@ def classes(df: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, c
     units = cells.withColumn("other", other).select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest")
 
     wanted = sized.select(F.col("node").alias("digest"))
-    texts = df.select(text_digest(F.col("text")).alias("digest"), "text").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    texts = df.select(text_digest(F.col("text")).alias("digest"), "text").join(wanted.hint("merge"), "digest", "left_semi").dropDuplicates(["digest"])
     gathered = units.join(texts, "digest").select("cell", "i", "j", "block", "digest", "text")
     gathered = gathered.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     links = scratch.write(verify(gathered, width, similarity), "links")
