@@ -64,12 +64,32 @@ def block_rows(ids: bytes, matrix: bytes, dtype: str) -> tuple[np.ndarray, np.nd
     return names, np.frombuffer(matrix, dtype).reshape(len(names), -1).astype(np.float64)
 
 
+HELD_ROWS = 200_000
+
+
+def first_of_each(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int, sign: int) -> tuple[np.ndarray, ...]:
+    """The `k` first rows of each query by sign * score, ties to the smaller vec_id, each pair once."""
+    order = np.lexsort((vec, sign * score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    fresh = np.r_[True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])][: len(query)]
+    query, vec, score = query[fresh], vec[fresh], score[fresh]
+    at = np.arange(len(query))
+    begin = np.maximum.accumulate(np.where(np.r_[True, query[1:] != query[:-1]][: len(query)], at, 0)) if len(query) else at
+    keep = at - begin < k
+    return query[keep], vec[keep], score[keep]
+
+
 def best_of_pairs(pairs: DataFrame, rank: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], k: int, dtype: str, score: str) -> DataFrame:
-    """pairs: (q_ids, q_matrix, ids, matrix). For each query of a pair its `k` first rows, as
+    """pairs: (q_ids, q_matrix, ids, matrix). For each task and query its `k` first rows, as
     (query_id, vec_id, score). `rank` gives two queries x rows matrices: costs (least first,
     ties included at the k-th) and a slack within which a cost isn't certain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, ...]:
+            return first_of_each(*(np.concatenate(c) for c in zip(*held, strict=True)), k, -1 if score == "inner" else 1)
+
         for batch in batches:
             for q_ids, q_matrix, ids, matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 names, q = block_rows(q_ids, q_matrix, dtype)
@@ -79,8 +99,16 @@ def best_of_pairs(pairs: DataFrame, rank: Callable[[np.ndarray, np.ndarray], tup
                 at = min(k, len(rows)) - 1
                 edge = np.partition(cost, at, axis=1)[:, at : at + 1]
                 who, which = np.nonzero((cost <= edge + slack) & np.isfinite(cost))
-                exact = exact_score(q[who], x[which])
-                yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(rows[which]), pa.array(exact)], ["query_id", "vec_id", "score"])
+                held.append((names[who], rows[which], exact_score(q[who], x[which])))
+                size += len(who)
+                if size > HELD_ROWS:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > HELD_ROWS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["query_id", "vec_id", "score"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], ["query_id", "vec_id", "score"])
 
     exact_score = SCORES[score]
     kind = "long" if score == "inner" else "double"
