@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on words that recur in toxic documents and are rare
-in others, one on the words most common in ordinary documents. Each window of a few words is
-compressed with both; how much shorter the toxic dictionary makes it is the window's distance.
-Thresholds on the distances, as a histogram of a document's windows, are calibrated on
-labelled documents.
+Separate zstandard dictionaries are trained on words that recur in toxic documents and are rare in
+others (one on those that many toxic documents have, one on the rest), and on the words most
+common in ordinary documents. Each window of a few words is compressed with all; how much
+shorter a toxic dictionary makes it than the ordinary one is the window's distance. Thresholds
+on the distances, as histograms of a document's windows, are calibrated on labelled documents.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rastermill.llm.common import Scratch
+
 WORDS, LEVEL, LEAST_MATCH = 3, 3, 4
-TOXIC_WORDS, ORDINARY_WORDS, CALIBRATION_ROWS = 2_000, 1_500, 20_000
+TOXIC_WORDS, ORDINARY_WORDS, CALIBRATION_ROWS = 2_000, 1_500, 10_000
 LOW, HIGH = -4, 8
+OFTEN = 0.05
 SLICE, FLUSH = 256, 200_000
 TOKEN = re.compile(r"\w+")
 
@@ -77,20 +80,23 @@ def train_dictionary(words: list[tuple[str, int]]) -> bytes:
 class Distances:
     """Histograms of window distances, as features; dictionaries are digested once a worker."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
+    def __init__(self, toxic: list[bytes], ordinary: bytes):
+        self.toxic, self.ordinary = [compressor(t).compress for t in toxic], compressor(ordinary).compress
 
     def features(self, text: str) -> np.ndarray:
         found = windows(text)
-        toxic, ordinary = self.toxic.compress, self.ordinary.compress
-        gain = np.array([len(ordinary(w)) - len(toxic(w)) for w in found], np.int64)
-        bins = np.bincount(np.clip(gain, LOW, HIGH) - LOW, minlength=HIGH - LOW + 1).astype(float)
+        plain = np.array([len(self.ordinary(w)) for w in found], np.int64)
         n = max(len(found), 1)
-        late = bins[-LOW + 2 :]
-        return np.concatenate([bins / n, late / np.sqrt(n), np.log1p(late), [np.log(n), gain.max(initial=LOW) / 8.0]])
+        out = [[np.log(n)]]
+        for compress in self.toxic:
+            gain = plain - np.array([len(compress(w)) for w in found], np.int64)
+            bins = np.bincount(np.clip(gain, LOW, HIGH) - LOW, minlength=HIGH - LOW + 1).astype(float)
+            late = bins[-LOW + 2 :]
+            out += [bins / n, late / np.sqrt(n), np.log1p(late), [gain.max(initial=LOW) / 8.0]]
+        return np.concatenate(out)
 
 
-def feature_rows(df: DataFrame, toxic: bytes, ordinary: bytes, use) -> Iterator:
+def feature_rows(toxic: list[bytes], ordinary: bytes, use):
     """mapInArrow function: hands (batch, features of its rows) to `use`, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,22 +131,25 @@ class Calibration:
         self.shift = float(margin[order][best : best + 2].mean())
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))])
+        return np.column_stack([np.clip((x - self.mean) / self.spread, -4, 4), np.ones(len(x))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights - self.shift, -30, 30)))
 
 
-def learn(labelled: DataFrame) -> tuple[bytes, bytes, Calibration]:
+def learn(labelled: DataFrame) -> tuple[list[bytes], bytes, Calibration]:
     """labelled: (doc_id, text, toxic 0/1). Words are counted over all rows; TOXIC_WORDS and
     ORDINARY_WORDS words and CALIBRATION_ROWS rows of features (least hashed ids) come here."""
+    scratch = Scratch(labelled.sparkSession)
+    labelled = scratch.write(labelled.select("doc_id", "text", F.col("toxic").cast("int")), "labelled", compression="zstd")
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
-    words = word_documents(labelled)
+    words = scratch.write(word_documents(labelled), "words", compression="zstd")
     contrast = (F.col("toxic") >= max(5, 0.01 * bad)) & (F.col("toxic") * good >= 8 * (F.col("ordinary") + 1) * bad)
     chosen = words.where(contrast).orderBy(F.desc("toxic"), "word").limit(TOXIC_WORDS).collect()
     common = words.where(~contrast).orderBy(F.desc("ordinary"), "word").limit(ORDINARY_WORDS).collect()
-    toxic = train_dictionary([(r["word"], r["toxic"]) for r in chosen])
+    counts = [(r["word"], r["toxic"]) for r in chosen]
+    toxic = [train_dictionary([c for c in counts if (c[1] >= OFTEN * bad) == often]) for often in (True, False)]
     ordinary = b" ".join(f" {r['word']}".encode() for r in reversed(common)) + b" nothing "
     if len(common) > 100:
         ordinary = train_dictionary([(r["word"], r["ordinary"]) for r in common])
@@ -148,8 +157,8 @@ def learn(labelled: DataFrame) -> tuple[bytes, bytes, Calibration]:
     def use(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "features"])
 
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("doc_id", "text", F.col("toxic").cast("int"))
-    rows = sample.repartition(12).mapInArrow(feature_rows(sample, toxic, ordinary, use), "toxic int, features array<double>").collect()
+    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    rows = sample.repartition(12).mapInArrow(feature_rows(toxic, ordinary, use), "toxic int, features array<double>").collect()
     width = len(Distances(toxic, ordinary).features(""))
     x = np.array([r["features"] for r in rows]).reshape(-1, width)
     return toxic, ordinary, Calibration(x, np.array([r["toxic"] for r in rows], float))
@@ -168,4 +177,4 @@ def score(df: DataFrame, labelled: DataFrame) -> DataFrame:
         s = model.score(x)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(feature_rows(df, toxic, ordinary, use), "doc_id long, score double, predicted int")
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(feature_rows(toxic, ordinary, use), "doc_id long, score double, predicted int")
