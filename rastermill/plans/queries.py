@@ -279,10 +279,15 @@ def decode_images(spark, sf_dir):
     return decode.decode_images(spark.range(1).select(F.col("id").alias("image_id"), F.unhex(F.lit(CROSS)).alias("data")))
 
 
+def decode_streams(spark, sf_dir):
+    """All streams of encode_images; SQL can't express it."""
+    return decode.decode_images(encode_images(spark, sf_dir).select("image_id", "data"))
+
+
 QUERIES = {f.__name__: f for f in (
     angle_table_int, angle_table_real, log2_values, color_codes, partition_codes, all_variants, angle_bits, level_scale, image_tax, parse_numbers, file_names, variant_parse, variant_records,
     option_sets, single_bits, crc64, xorshift, psnr, raster_lineitem, rgba_pixels, prefix_sums, square_sums, region_stats, region_level, distance_range, candidate_lines, split_line, split_scores,
-    best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images,
+    best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images, decode_streams,
 )}
 
 ANGLES_SQL = """ang AS (SELECT i AS angle, CAST(floor(sin(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS sn, CAST(floor(cos(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS cs
