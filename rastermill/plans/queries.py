@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rastermill.functions import columns as C
 from rastermill.functions import dimensions as D
+from rastermill.functions.checksum import text_crc64
 from rastermill.operators import decode, encode
 from rastermill.operators import entropy as E
 from rastermill.operators import geometry as G
@@ -107,9 +108,7 @@ def single_bits(spark, sf_dir):
 
 
 def crc64(spark, sf_dir):
-    head = F.substring("text", 1, 32)
-    rows = table(spark, sf_dir, "documents").where(F.octet_length(head) == F.length(head)).where(F.length(head) > 0)
-    return rows.select("doc_id", C.crc64(C.text_bytes(head)).alias("crc"))
+    return text_crc64(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def xorshift(spark, sf_dir):

@@ -92,3 +92,21 @@ def test_all_streams_are_decoded(spark, monkeypatch):
     assert want == {(i, *at): shade for i, (_, pixels, _) in enumerate(made) for at, shade in pixels.items()}
     got = Q.QUERIES["decode_streams"](spark, "").collect()
     assert len(got) == len(want) and {(r["image_id"], r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in got} == want
+
+
+def brute_crc64(data):
+    state = 2**64 - 1
+    for byte in data:
+        state ^= byte
+        for _ in range(8):
+            state = (state >> 1) ^ (0xC96C5795D7870F42 if state & 1 else 0)
+    return f"{state ^ (2**64 - 1):016X}"
+
+
+def test_crc64_of_whole_texts(spark, tmp_path):
+    texts = ["", None, "a", "abcdefgh", "Привет, мир", "日本語" * 200, "x" * 255, "x" * 256, "plain " * 300, "é" * 4 + "tail" * 500, "short"]
+    rows = spark.createDataFrame([*enumerate(texts), (None, "no id"), (2, "twice")], "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, Q.crc64(spark, str(tmp_path)).collect()), key=str)
+    want = [(i, t if t is None else brute_crc64(t.encode())) for i, t in map(tuple, rows.collect())]
+    assert got == sorted(want, key=str) and dict(got)[0] == "0" * 16
