@@ -66,24 +66,31 @@ def running_start(df: DataFrame, keys: list[str], spread: str, order: list[str],
     return inner.join(sums, [*keys, "_chunk"]).withColumn(out, F.col("_inner") + F.col("_before")).drop("_inner", "_before", "_chunk")
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component): the smallest node reachable over `edges` (u, v).
 
-    Each round takes the least label among neighbours and then the label of the label, so
-    long chains halve. Labels are written to the shared folder after each round.
+    Labels point to smaller nodes. In each round the label of a neighbour's label is offered to the
+    node and to the node its own label names (so that whole trees are hooked on), and each node
+    jumps to the label of its label. Labels only fall, and once none falls all of a component are
+    its smallest node; rounds grow with the logarithm of a chain's length. Labels are written to
+    the shared folder after each round.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = scratch.write(both, f"{name}-edges")
     labels = scratch.write(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), f"{name}-0")
-    for i in range(1, rounds):
-        seen = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(seen, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("now"))
-        jump = step.select(F.col("node").alias("now"), F.col("now").alias("further"))
-        step = step.join(jump, "now", "left").select("node", F.least("now", F.coalesce("further", "now")).alias("component"), (F.col("was") != F.least("now", F.coalesce("further", "now"))).alias("moved"))
-        table = scratch.write(step, f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}")
+    i = 0
+    while True:
+        i += 1
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        ahead = scratch.write(labels.join(jump, "component").select("node", "component", "further"), f"{name}-ahead-{i}")
+        near = both.join(ahead.select(F.col("node").alias("v"), "further"), "v").groupBy(F.col("u").alias("node")).agg(F.min("further").alias("near"))
+        own = ahead.join(near, "node", "left").select("node", "component", F.least("further", F.coalesce("near", "further")).alias("low"))
+        own = scratch.write(own, f"{name}-own-{i}")
+        hooks = own.groupBy(F.col("component").alias("node")).agg(F.min("low").alias("hook"))
+        step = own.join(hooks, "node", "left").select("node", F.col("component").alias("was"), F.least("low", F.coalesce("hook", "low")).alias("component"))
+        table = scratch.write(step.select("node", "component", (F.col("was") != F.col("component")).alias("moved")), f"{name}-{i}")
+        scratch.drop(f"{name}-{i - 1}", f"{name}-ahead-{i}", f"{name}-own-{i}")
         labels = table.select("node", "component")
         if table.where("moved").isEmpty():
             scratch.drop(f"{name}-edges")
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
