@@ -154,12 +154,25 @@ def region_level(spark, sf_dir):
 # Geometry
 
 
+def turned_all(spark, sf_dir):
+    return roots(emb(spark, sf_dir)).join(F.broadcast(D.angles(spark).select("angle", "sn", "cs")))  # 512 rows
+
+
 def turned(spark, sf_dir):
-    return roots(emb(spark, sf_dir)).join(F.broadcast(D.angles(spark).where("angle % 32 = 0").select("angle", "sn", "cs")))  # 16 rows
+    return turned_all(spark, sf_dir).where("angle % 32 = 0")
+
+
+def ranges_of(spans: DataFrame) -> DataFrame:
+    return G.distance_range(spans, ["image_id", "angle", "sn", "cs"]).select("image_id", "angle", "low", "high", "line_quant", "num_lines")
 
 
 def distance_range(spark, sf_dir):
-    return G.distance_range(turned(spark, sf_dir), ["image_id", "angle", "sn", "cs"]).select("image_id", "angle", "low", "high", "line_quant", "num_lines")
+    """At every 32nd angle, as its SQL says; distance_range_all has all."""
+    return ranges_of(turned(spark, sf_dir))
+
+
+def distance_range_all(spark, sf_dir):
+    return ranges_of(turned_all(spark, sf_dir))
 
 
 def candidate_lines(spark, sf_dir):
@@ -167,11 +180,20 @@ def candidate_lines(spark, sf_dir):
     return tried.select("image_id", "angle_code", "line", "d", "num_lines")
 
 
-def split_line(spark, sf_dir):
-    cuts = turned(spark, sf_dir).withColumn("d", F.col("sn") * 20 + F.col("cs") * 5)
+def parts_of(spans: DataFrame) -> DataFrame:
+    cuts = spans.withColumn("d", F.col("sn") * 20 + F.col("cs") * 5)
     return G.split_spans(cuts).select("image_id", "angle", "y", "side", "x0", "x1")
 
 
+def split_line(spark, sf_dir):
+    """At every 32nd angle, as its SQL says; split_line_all has all."""
+    return parts_of(turned(spark, sf_dir))
+
+
+def split_line_all(spark, sf_dir):
+    return parts_of(turned_all(spark, sf_dir))
+
+
 def split_scores(spark, sf_dir):
     pixels = emb(spark, sf_dir)
     spans, prefix = roots(pixels), R.prefix_sums(pixels)
@@ -205,19 +227,37 @@ def quantized_colors(spark, sf_dir):
     return rows.select("image_id", "y", "code", value.alias("v"), C.dequantize(value, F.col("quant")).alias("shown"))
 
 
-def nearest_palette(spark, sf_dir):
-    patches = emb(spark, sf_dir).where("x < 8").select("image_id", "y", "x", "r", "g", "b")
+def nearest_of(spark: SparkSession, pixels: DataFrame) -> DataFrame:
+    patches = pixels.select("image_id", "y", "x", "r", "g", "b")
     palette = spark.range(8).select(F.col("id").alias("idx"), (F.col("id") * 36).alias("pr"), (255 - F.col("id") * 36).alias("pg"), (F.col("id") * 17).alias("pb"))
     palette = patches.select("image_id").distinct().join(F.broadcast(palette))  # 8 rows
     return P.nearest(patches, palette, ["image_id"], ["y", "x"])
 
 
-def palette_step(spark, sf_dir):
-    near = nearest_palette(spark, sf_dir).join(emb(spark, sf_dir), ["image_id", "y", "x"])
+def centres_of(near: DataFrame, pixels: DataFrame) -> DataFrame:
+    near = near.join(pixels, ["image_id", "y", "x"])
     step = P.accumulate(near.select("image_id", "idx", F.col("r").alias("wr"), F.col("g").alias("wg"), F.col("b").alias("wb"), F.lit(1).alias("c")), ["image_id"])
     return step.select("image_id", "idx", *rounded("pr", "pg", "pb"), "c")
 
 
+def nearest_palette(spark, sf_dir):
+    """Of the first 8 columns, as its SQL says; nearest_palette_all has all."""
+    return nearest_of(spark, emb(spark, sf_dir).where("x < 8"))
+
+
+def nearest_palette_all(spark, sf_dir):
+    return nearest_of(spark, emb(spark, sf_dir))
+
+
+def palette_step(spark, sf_dir):
+    """Of the first 8 columns, as its SQL says; palette_step_all has all."""
+    return centres_of(nearest_palette(spark, sf_dir), emb(spark, sf_dir))
+
+
+def palette_step_all(spark, sf_dir):
+    return centres_of(nearest_palette_all(spark, sf_dir), emb(spark, sf_dir))
+
+
 def simulated_error(spark, sf_dir):
     pixels = emb(spark, sf_dir)
     rows = pixels.groupBy("image_id", "y").agg(*(F.avg(c).alias(c) for c in ("r", "g", "b")), F.count(F.lit(1)).alias("c")).withColumn("quant", F.lit(17).cast("long"))
@@ -287,6 +327,7 @@ QUERIES = {f.__name__: f for f in (
     angle_table_int, angle_table_real, log2_values, color_codes, partition_codes, all_variants, angle_bits, level_scale, image_tax, parse_numbers, file_names, variant_parse, variant_records,
     option_sets, single_bits, crc64, xorshift, psnr, raster_lineitem, rgba_pixels, prefix_sums, square_sums, region_stats, region_level, distance_range, candidate_lines, split_line, split_scores,
     best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images, decode_streams,
+    nearest_palette_all, palette_step_all, distance_range_all, split_line_all,
 )}
 
 ANGLES_SQL = """ang AS (SELECT i AS angle, CAST(floor(sin(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS sn, CAST(floor(cos(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS cs

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from rastermill.functions import constants as K
 from rastermill.operators import decode as D
 from rastermill.operators import entropy as E
@@ -110,3 +113,44 @@ def test_crc64_of_whole_texts(spark, tmp_path):
     got = sorted(map(tuple, Q.crc64(spark, str(tmp_path)).collect()), key=str)
     want = [(i, t if t is None else brute_crc64(t.encode())) for i, t in map(tuple, rows.collect())]
     assert got == sorted(want, key=str) and dict(got)[0] == "0" * 16
+
+
+@pytest.fixture
+def two_images(spark, monkeypatch):
+    """Two rasters of 64 x 16, as those of the embeddings are."""
+    shades = np.random.default_rng(3).integers(0, 256, (2, 16, 64, 3))
+    rows = [(i, y, x, *map(int, shades[i, y, x])) for i in range(2) for y in range(16) for x in range(64)]
+    pixels = spark.createDataFrame(rows, "image_id long, y long, x long, r long, g long, b long")
+    monkeypatch.setattr(Q, "emb", lambda spark, sf_dir: pixels)
+    return shades
+
+
+def test_palette_of_all_columns(spark, two_images):
+    palette = np.array([[36 * i, 255 - 36 * i, 17 * i] for i in range(8)])
+    d2 = ((two_images[:, :, :, None, :] - palette) ** 2).sum(axis=4)
+    near = d2.argmin(axis=3)
+    got = {(r["image_id"], r["y"], r["x"]): (r["idx"], r["d2"]) for r in Q.QUERIES["nearest_palette_all"](spark, "").collect()}
+    assert got == {at: (near[at], d2[at].min()) for at in np.ndindex(2, 16, 64)}
+    step = {(r["image_id"], r["idx"]): (r["pr"], r["pg"], r["pb"], r["c"]) for r in Q.QUERIES["palette_step_all"](spark, "").collect()}
+    assert step.keys() == {(i, k) for i in range(2) for k in np.unique(near[i]).tolist()}
+    for (i, k), (*centre, count) in step.items():
+        mine = two_images[i][near[i] == k]
+        assert count == len(mine) and np.allclose(centre, mine.mean(axis=0), atol=6e-5)
+
+
+def test_ranges_and_parts_at_all_angles(spark, two_images):
+    y, x = np.mgrid[0:16, 0:64]
+    ranges = {(r["image_id"], r["angle"]): (r["low"], r["high"], r["line_quant"], r["num_lines"]) for r in Q.QUERIES["distance_range_all"](spark, "").collect()}
+    sides = {(i, a): np.zeros((2, 16, 64), int) for i in range(2) for a in range(512)}
+    for r in Q.QUERIES["split_line_all"](spark, "").collect():
+        sides[r["image_id"], r["angle"]]["LR".index(r["side"]), r["y"], r["x0"] : r["x1"]] += 1
+    assert len(ranges) == 1024
+    for (i, a), found in sides.items():
+        sn, cs = int(D.SIN[a]), int(D.COS[a])
+        reach = cs * y + sn * x
+        low, high = int(reach.min()), int(reach.max())
+        quant = (2 * (high - low) + 15) // 30 if high - low > K.SCALE * 15 else K.SCALE
+        assert ranges[i, a] == (low, high, quant, max(1, (high - low) // quant))
+        d = 20 * sn + 5 * cs
+        left = y * cs >= d if sn == 0 else x >= (2 * d + sn - 2 * y * cs) // (2 * sn)
+        assert (found[0] == left).all() and (found[1] == ~left).all()
