@@ -4,6 +4,9 @@ Vectors get one more component that brings all to the same length, so that the l
 inner product is the smallest distance. Each is filed under its nearest pivot and the annulus
 (ring) of its distance to it. A query first searches the rings of its nearest pivot; its k-th
 score then bounds, by the triangle inequality, which rings of all pivots can hold better ones.
+
+Vectors too long for exact 64-bit arithmetic are not indexed: as candidates every query searches
+them, as queries they search all rows, in blocks, with doubtful scores as Python integers.
 """
 
 from __future__ import annotations
@@ -12,23 +15,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.llm.common import Scratch
-from rastermill.llm.vectors import best_of_pairs, finite, first_copies, one_each, to_blocks, top
+from rastermill.llm.vectors import best_of_pairs, block_rows, finite, first_copies, one_each, to_blocks, top
 
 PIVOTS, RINGS, DATA_BLOCK, QUERY_BLOCK = 32, 32, 1024, 256
 LARGEST = 2.0**52
 
 
 def integer_vectors(df: DataFrame, scale: float = 1024.0) -> DataFrame:
-    """(vec_id, vector array<long>): floor(scale * x). Vectors null or with a null or non-finite
-    component take no part, nor do those whose products could pass 2**52, the bound of exact
-    arithmetic here."""
-    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
-    rough = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (F.abs(x.cast("double")) * scale + 1) ** 2)
-    return df.where(finite(F.col("embedding")) & (rough < LARGEST)).select(F.col("vec_id").cast("long"), scaled.alias("vector"))
+    """(vec_id, vector array<double>): floor(scale * x), whole numbers that a double holds exactly.
+    Vectors null or with a null or non-finite component take no part."""
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    return df.where(finite(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.transform("embedding", whole).alias("vector"))
+
+
+def squared_length(vector: Column) -> Column:
+    """Exact for sums of at most 2**53."""
+    return F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
 
 
 class Index:
@@ -111,10 +121,91 @@ def negative_product(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
     return -(q @ x.T), 0.0
 
 
+def sort_key(n: int) -> bytes:
+    """Bytes that sort as the integers do."""
+    size = (abs(n).bit_length() + 7) // 8
+    data = size.to_bytes(4, "big") + abs(n).to_bytes(size, "big")
+    return b"\x01" + data if n >= 0 else b"\x00" + bytes(255 - b for b in data)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each, so that no product overflows."""
+    _, power = np.frexp(np.abs(x).max(axis=1, initial=0))
+    return np.ldexp(x, -power[:, None])
+
+
+def keyed_batch(queries: list[int], vecs: list[int], scores: list[int]) -> pa.RecordBatch:
+    fits = [s if -(2**63) <= s < 2**63 else None for s in scores]
+    return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(vecs, pa.int64()), pa.array(fits, pa.int64()), pa.array([sort_key(s) for s in scores], pa.binary())], ["query_id", "vec_id", "score", "key"])
+
+
+KEYED = "query_id long, vec_id long, score long, key binary"
+
+
+def best_exact(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs: (q_ids, q_matrix, ids, matrix). For each pair of blocks and query at least its `k` first rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_matrix, ids, matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names, q = block_rows(q_ids, q_matrix, "<f8")
+                rows, x = block_rows(ids, matrix, "<f8")
+                unit = np.ldexp(x, -np.frexp(np.abs(x).max(initial=0))[1])  # one power for all rows, for they are compared
+                near = scaled(q)
+                cost = -(near @ unit.T)
+                error = (q.shape[1] + 4) * 2.0**-52 * (1 + np.linalg.norm(near, axis=1)[:, None]) * np.linalg.norm(unit, axis=1)[None, :] + 1e-290
+                own = names[:, None] == rows[None, :]
+                at = min(k, len(rows)) - 1
+                edge = np.partition(np.where(own, np.inf, cost + error), at, axis=1)[:, at : at + 1]
+                who, which = np.nonzero((cost - error <= edge) & ~own)
+                left = {i: [int(v) for v in q[i]] for i in set(who.tolist())}
+                right = {i: [int(v) for v in x[i]] for i in set(which.tolist())}
+                scores = [sum(a * b for a, b in zip(left[i], right[j], strict=True)) for i, j in zip(who.tolist(), which.tolist(), strict=True)]
+                best: dict[int, list[tuple[int, int]]] = {}
+                for i, j, s in zip(who.tolist(), which.tolist(), scores, strict=True):
+                    best.setdefault(i, []).append((-s, int(rows[j])))
+                kept = [(int(names[i]), j, -s) for i, found in best.items() for s, j in sorted(found)[:k]]
+                yield keyed_batch(*map(list, zip(*kept, strict=True))) if kept else keyed_batch([], [], [])
+
+    return pairs.select("q_ids", "q_matrix", "ids", "matrix").mapInArrow(run, KEYED)
+
+
+def keyed(found: DataFrame) -> DataFrame:
+    """Found rows with the key of their scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield keyed_batch(*(c.to_pylist() for c in batch.columns))
+
+    return found.select("query_id", "vec_id", "score").mapInArrow(run, KEYED)
+
+
+def plain_rows(rows: DataFrame) -> DataFrame:
+    """(dim, id, vector binary) of (vec_id, vector)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([len(v) for v in vectors], pa.int32()), batch.column(0), pa.array([np.array(v, "<f8").tobytes() for v in vectors], pa.binary())], ["dim", "id", "vector"])
+
+    return rows.select("vec_id", "vector").mapInArrow(run, "dim int, id long, vector binary")
+
+
+def search_all(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """Every query against every candidate of its dimension. Candidates are dealt into parts of about a
+    block, so that no task has them all."""
+    parts = max(1, -(-candidates.count() // DATA_BLOCK))
+    keys = ["dim", "part"]
+    blocks = to_blocks(plain_rows(candidates).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), keys, DATA_BLOCK, "<f8")
+    asked = plain_rows(queries).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = to_blocks(asked, keys, QUERY_BLOCK, "<f8").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
+    return best_exact(blocks.join(asked, keys), k)
+
+
 def top_k(vectors: DataFrame, query_where: str, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, rank, vec_id, score long): for each row of `vectors` (vec_id, vector array<long>)
-    that satisfies `query_where` its `k` largest inner products with other rows, ties to the
-    smaller vec_id.
+    """(query_id, rank, vec_id, score long): for each row of `vectors` (vec_id, vector of whole
+    numbers) that satisfies `query_where` its `k` largest inner products with other rows, ties to
+    the smaller vec_id. Ranks are exact for vectors of any length; a score beyond 64 bits is null.
 
     Rows without vec_id take no part; of rows that share a vec_id the least vector counts; only
     vectors of the same dimension are compared. Fewer candidates than `k` give fewer rows. The
@@ -122,8 +213,10 @@ def top_k(vectors: DataFrame, query_where: str, k: int = 10, pivots: int = PIVOT
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.write(one_each(vectors), "vectors")
-    length = rows.agg(F.max(F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x * x)).alias("square")).first()["square"]
+    whole = scratch.write(one_each(vectors.withColumn("vector", F.col("vector").cast("array<double>"))), "vectors")
+    fits = squared_length(F.col("vector")) < LARGEST
+    rows, large = whole.where(fits), whole.where(~fits)
+    length = rows.agg(F.max(squared_length(F.col("vector"))).alias("square")).first()["square"]
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()  # `pivots` rows
     index = Index([r["vector"] for r in chosen], float(length or 0) ** 0.5)
     keys = ["dim", "pivot", "ring"]
@@ -137,4 +230,10 @@ def top_k(vectors: DataFrame, query_where: str, k: int = 10, pivots: int = PIVOT
     near = scratch.write(search(queries.withColumn("least", F.lit(None).cast("long")), True), "near")
     bound = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
     rest = search(queries.join(bound, "vec_id", "left"), False)
-    return top(near.select("query_id", "vec_id", "score").unionByName(rest.select("query_id", "vec_id", "score")), k, F.col("score").desc())
+    found = near.select("query_id", "vec_id", "score").unionByName(rest.select("query_id", "vec_id", "score"))
+    if large.isEmpty():
+        return top(found, k, F.col("score").desc())
+    # Each pair with a large row stands in one of these.
+    found = keyed(found).unionByName(search_all(whole.where(query_where), first_copies(large, k + 1), k))
+    found = found.unionByName(search_all(large.where(query_where), first_copies(rows, k + 1), k))
+    return top(found, k, F.col("key").desc())
