@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Separate zstandard dictionaries are trained on words that recur in toxic documents and are rare in
-others (one on those that many toxic documents have, one on the rest), and on the words most
-common in ordinary documents. Each window of a few words is compressed with all; how much
+others (one on those that many toxic documents have, one on the rest, and more where one can't
+hold them), and on the words most common in ordinary documents. Each window of a few words is compressed with all; how much
 shorter a toxic dictionary makes it than the ordinary one is the window's distance. Thresholds
 on the distances, as histograms of a document's windows, are calibrated on labelled documents.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from rastermill.llm.common import Scratch
 
 WORDS, LEVEL, LEAST_MATCH = 3, 3, 4
-TOXIC_WORDS, ORDINARY_WORDS, CALIBRATION_ROWS = 2_000, 1_500, 10_000
+LEAST_DOCUMENTS, DICTIONARY_WORDS, ORDINARY_WORDS, CALIBRATION_ROWS = 5, 2_000, 1_500, 10_000
 LOW, HIGH = -4, 8
 OFTEN = 0.05
 SLICE, FLUSH = 256, 200_000
@@ -80,23 +80,23 @@ def train_dictionary(words: list[tuple[str, int]]) -> bytes:
 class Distances:
     """Histograms of window distances, as features; dictionaries are digested once a worker."""
 
-    def __init__(self, toxic: list[bytes], ordinary: bytes):
-        self.toxic, self.ordinary = [compressor(t).compress for t in toxic], compressor(ordinary).compress
+    def __init__(self, toxic: list[list[bytes]], ordinary: bytes):
+        self.toxic, self.ordinary = [[compressor(t).compress for t in group] for group in toxic], compressor(ordinary).compress
 
     def features(self, text: str) -> np.ndarray:
         found = windows(text)
         plain = np.array([len(self.ordinary(w)) for w in found], np.int64)
         n = max(len(found), 1)
         out = [[np.log(n)]]
-        for compress in self.toxic:
-            gain = plain - np.array([len(compress(w)) for w in found], np.int64)
+        for group in self.toxic:
+            gain = plain - np.array([min(len(compress(w)) for compress in group) for w in found], np.int64)
             bins = np.bincount(np.clip(gain, LOW, HIGH) - LOW, minlength=HIGH - LOW + 1).astype(float)
             late = bins[-LOW + 2 :]
             out += [bins / n, late / np.sqrt(n), np.log1p(late), [gain.max(initial=LOW) / 8.0]]
         return np.concatenate(out)
 
 
-def feature_rows(toxic: list[bytes], ordinary: bytes, use):
+def feature_rows(toxic: list[list[bytes]], ordinary: bytes, use):
     """mapInArrow function: hands (batch, features of its rows) to `use`, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +137,25 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights - self.shift, -30, 30)))
 
 
-def learn(labelled: DataFrame) -> tuple[list[bytes], bytes, Calibration]:
-    """labelled: (doc_id, text, toxic 0/1). Words are counted over all rows; TOXIC_WORDS and
-    ORDINARY_WORDS words and CALIBRATION_ROWS rows of features (least hashed ids) come here."""
+def toxic_dictionaries(words: list[tuple[str, int]]) -> list[bytes]:
+    """Dictionaries of at most DICTIONARY_WORDS words each that hold all words; one without words."""
+    return [train_dictionary(words[i : i + DICTIONARY_WORDS]) for i in range(0, max(len(words), 1), DICTIONARY_WORDS)]
+
+
+def learn(labelled: DataFrame) -> tuple[list[list[bytes]], bytes, Calibration]:
+    """labelled: (doc_id, text, toxic 0/1). Words are counted over all rows; all words of the toxic
+    contrast (in LEAST_DOCUMENTS toxic documents), ORDINARY_WORDS words and CALIBRATION_ROWS rows of
+    features (least hashed ids) come here."""
     scratch = Scratch(labelled.sparkSession)
     labelled = scratch.write(labelled.select("doc_id", "text", F.col("toxic").cast("int")), "labelled", compression="zstd")
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     words = scratch.write(word_documents(labelled), "words", compression="zstd")
-    contrast = (F.col("toxic") >= max(5, 0.01 * bad)) & (F.col("toxic") * good >= 8 * (F.col("ordinary") + 1) * bad)
-    chosen = words.where(contrast).orderBy(F.desc("toxic"), "word").limit(TOXIC_WORDS).collect()
+    contrast = (F.col("toxic") >= LEAST_DOCUMENTS) & (F.col("toxic") * good >= 8 * (F.col("ordinary") + 1) * bad)
+    chosen = words.where(contrast).orderBy(F.desc("toxic"), "word").collect()
     common = words.where(~contrast).orderBy(F.desc("ordinary"), "word").limit(ORDINARY_WORDS).collect()
     counts = [(r["word"], r["toxic"]) for r in chosen]
-    toxic = [train_dictionary([c for c in counts if (c[1] >= OFTEN * bad) == often]) for often in (True, False)]
+    toxic = [toxic_dictionaries([c for c in counts if (c[1] >= OFTEN * bad) == often]) for often in (True, False)]
     ordinary = b" ".join(f" {r['word']}".encode() for r in reversed(common)) + b" nothing "
     if len(common) > 100:
         ordinary = train_dictionary([(r["word"], r["ordinary"]) for r in common])
