@@ -94,9 +94,10 @@ class LineStore:
         return self.read(self.frequent).select("a", "b").unionByName(late.select("a", "b"))
 
 
-def frequent_lines(keyed: DataFrame, min_documents: int, batches: int = 4) -> DataFrame:
-    """keyed: (digest, keys). (a, b): hashes of the line keys found in at least `min_documents` rows."""
-    store = LineStore(keyed.sparkSession, min_documents)
+def frequent_lines(keyed: DataFrame, min_documents: int, batches: int = 4, fanout: int = 2) -> DataFrame:
+    """keyed: (digest, keys). (a, b): hashes of the line keys found in at least `min_documents` rows.
+    With more batches than `fanout` later batches are anti-joined with what is frequent so far."""
+    store = LineStore(keyed.sparkSession, min_documents, fanout)
     keys = keyed.select(F.pmod(F.xxhash64("digest"), F.lit(batches)).cast("int").alias("batch"), F.explode("keys").alias("key")).select("batch", "key.a", "key.b")
     staged = store.scratch.write(keys.groupBy("batch", "a", "b").agg(F.count(F.lit(1)).alias("documents")), "staged", ["batch"])
     for i in range(batches):
