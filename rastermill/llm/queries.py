@@ -48,8 +48,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(language_id.fold(F.col("doc_id"), 5) == 0, F.lit(False))
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    found = toxicity.score(docs, docs.where(~held_out).join(labels, "doc_id"))
+    found = toxicity.score(docs, table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"))
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

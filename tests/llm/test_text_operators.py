@@ -1,10 +1,13 @@
 import collections
 import hashlib
+import os
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rastermill.llm import language_id, line_dedup, mixing, near_dedup, packing, quality, queries, suffix_dedup, toxicity
@@ -261,7 +264,7 @@ def test_toxicity_separates(spark):
     plain = [f"{a}{b}" for a in "ba ce di fo gu".split() for b in "lom ren tas vik".split()]
     make = lambda bad: " ".join(rng.choice(["worthless", "idiot", "scum"]) if bad and rng.random() < 0.2 else rng.choice(plain) for _ in range(60))
     rows = spark.createDataFrame([(i, make(i % 4 == 0), int(i % 4 == 0)) for i in range(400)], "doc_id long, text string, toxic int")
-    got = toxicity.score(rows.where("doc_id >= 300"), rows.where("doc_id < 300")).collect()
+    got = toxicity.score(rows, rows.where("doc_id < 300").select("doc_id", "toxic")).where("doc_id >= 300").collect()
     assert sum((r["doc_id"] % 4 == 0) == (r["predicted"] == 1) for r in got) >= 95
 
 
@@ -272,6 +275,38 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(odd(spark), labelled.limit(0)).count() == len(ODD_TEXTS) and toxicity.score(none(spark), labelled).count() == 0
 
 
+def test_toxicity_distances_are_compressed_lengths():
+    """Against zstandard called directly, window by window."""
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghij "))
+    toxic, ordinary = ("".join(rng.choice(letters, 3000)).encode() for _ in range(2))
+    text = toxic.decode()[500:900] + "\n" + ordinary.decode()[100:700] + " Ünd 12"
+
+    def length(window, dictionary):
+        held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = zstandard.ZstdCompressionParameters.from_level(3, source_size=64, dict_size=len(dictionary), min_match=5, hash_log=17, chain_log=17, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=settings).compress(window))
+
+    words = re.findall(r"\w+", text.lower())
+    cut = [f" {' '.join(words[i : i + 5])} ".encode() for i in range(0, len(words), 5)]
+    assert toxicity.windows(text) == cut
+    assert toxicity.Distances(toxic, ordinary).gains(text).tolist() == [length(w, ordinary) - length(w, toxic) for w in cut]
+
+
+@needs_tables
+def test_toxicity_held_out_and_dictionaries(spark):
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    toxic, ordinary, model = toxicity.learn(docs, labels.where(~held))
+    plain = len(os.path.commonprefix([toxic[::-1], ordinary[::-1]]))
+    assert len(toxic) - plain >= 2048 and len(ordinary) - plain >= 2048 and plain >= 2048
+    rows = docs.join(labels.where(held), "doc_id").select("text", "toxic").collect()
+    scores = model.score(np.array([toxicity.Distances(toxic, ordinary).features(r["text"] or "") for r in rows]))
+    bad = np.array([r["toxic"] == 1 for r in rows])
+    assert (scores[bad][:, None] > scores[~bad][None, :]).mean() >= 0.8
+
+
 # Packing
 
 
