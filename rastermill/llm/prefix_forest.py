@@ -1,117 +1,266 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-Each tree gives a vector a long string of bits, one for each random direction: on which side of
-the middle it falls. A tree is the vectors sorted by string, cut into pages. A query descends
-to the rows with the longest common prefix; as long as all trees together give too few
-candidates, it ascends one bit in every tree at once. Distances to the candidates are exact.
+Each tree gives a vector a long string of symbols: for each of several random rotations the axis, with
+its sign, that the vector leans to most. A tree is an array of rows sorted by string. A query
+descends with its own string, and with those strings that it would have had but for the least
+change, to the page of rows around its place, which are those with the longest common prefixes.
+Where rows lie so dense that pages further off still share a longer prefix than usual, it ascends
+from its own place through these too, in all trees alike. Rows in the arrays carry their vector
+in a byte a component, which ranks a page's rows; the first of these get their exact distance
+from the vectors themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rastermill.llm.common import Scratch
-from rastermill.llm.pivot_index import by_dimension
-from rastermill.llm.vectors import best_of_pairs, finite, first_copies, one_each, to_blocks, top
+from rastermill.llm.shingles import U, scramble
+from rastermill.llm.vectors import by_dimension, finite, first_copies, first_of_each, one_each
 
-TREES, BITS, FIT_ROWS, PAGE, QUERY_BLOCK = 24, 48, 2000, 512, 256
+TREES, PROBES, PAGE, FIT_ROWS = 12, 36, 64, 2000
+SYMBOLS, AXES, RIVALS, KEPT, TIE_BITS = 6, 64, 8, 4, 20
+ROW, OWN, PROBE = 0, 1, 2
+TASK_ROWS, BUFFER_ROWS, HELD_ROWS = 200_000, 1 << 16, 400_000
 
 
 def usable_vectors(df: DataFrame) -> DataFrame:
-    """(vec_id, vector array<double>) without vectors that are null, zero or not finite."""
+    """(vec_id, vector) without vectors that are null, zero or not finite."""
     some = F.exists("embedding", lambda x: x != 0)
-    return df.where(finite(F.col("embedding")) & F.coalesce(some, F.lit(False))).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return df.where(finite(F.col("embedding")) & F.coalesce(some, F.lit(False))).select(F.col("vec_id").cast("long"), F.col("embedding").alias("vector"))
 
 
-class Forest:
-    """Random directions and, for each, the middle of a sample's projections."""
+@lru_cache(maxsize=4)
+def rotations(dim: int, trees: int) -> np.ndarray:
+    """trees x dim x (symbols * axes): the axes that each symbol of each tree looks along."""
+    axes = min(dim, AXES)
+    rng = np.random.default_rng(dim)
+    return np.array([np.concatenate([np.linalg.qr(rng.standard_normal((dim, axes)))[0] for _ in range(SYMBOLS)], axis=1) for _ in range(trees)], np.float32)
 
-    def __init__(self, trees: int, sample: list[list[float]]):
-        self.trees = trees
-        dims = [len(v) for v in sample]
-        self.middles = {d: np.median(self.project(np.array([v for v in sample if len(v) == d])), axis=0) for d in set(dims)}
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        directions = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], self.trees * BITS))
-        return x @ directions
+def symbol_bits(dim: int) -> int:
+    return max(1, (2 * min(dim, AXES) - 1).bit_length())
 
-    def strings(self, x: np.ndarray) -> np.ndarray:
-        """rows x trees: the bits of each string as a number."""
-        bits = self.project(x) > self.middles.get(x.shape[1], 0.0)
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        return (bits.reshape(len(x), self.trees, BITS) * weights).sum(axis=2)
 
+def leanings(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
+    """rows x symbols x axes."""
+    return (x @ rotation).reshape(len(x), SYMBOLS, -1)
 
-def planted(rows: DataFrame, forest: Forest) -> DataFrame:
-    """(dim, tree, string, id, vector binary): a row for each vector and tree."""
+
+def joined(symbols: np.ndarray, bits: int, ties: np.ndarray) -> np.ndarray:
+    """Strings of symbols (last axis) as numbers; equal ones are ordered by `ties`, another way in each tree."""
+    out = np.zeros(symbols.shape[:-1], np.int64)
+    for i in range(symbols.shape[-1]):
+        out = (out << bits) | symbols[..., i]
+    return out << TIE_BITS | ties
+
+
+def tie_order(ids: np.ndarray, tree: int) -> np.ndarray:
+    return (scramble(ids.astype(np.uint64) ^ scramble(np.array([tree + 1], np.uint64))) >> U(64 - TIE_BITS)).astype(np.int64)
+
+
+def strings(x: np.ndarray, rotation: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    lean = leanings(x, rotation)
+    axis = np.abs(lean).argmax(axis=2)
+    positive = np.take_along_axis(lean, axis[:, :, None], axis=2)[:, :, 0] > 0
+    return joined(axis * 2 + positive, symbol_bits(x.shape[1]), ties)
+
+
+def probe_strings(x: np.ndarray, rotation: np.ndarray, ties: np.ndarray, count: int, varied: int) -> np.ndarray:
+    """rows x probes: a row's own string, then those that differ in the first `varied` symbols at the least
+    cost, which is how far the row falls short of leaning that way."""
+    lean = leanings(x, rotation)
+    both = np.stack([-lean, lean], axis=3).reshape(len(x), SYMBOLS, -1)  # symbol = 2 * axis + sign
+    cost = (both.max(axis=2, keepdims=True) - both) ** 2
+    order = np.argsort(cost, axis=2, kind="stable")
+    total, chosen = np.zeros((len(x), 1), np.float32), np.zeros((len(x), 1, 0), np.int64)
+    for i in range(SYMBOLS):
+        wide = order.shape[2] if i == 0 and varied == 1 else RIVALS if i < varied else 1
+        rivals = order[:, i, :wide]
+        sums = (total[:, :, None] + np.take_along_axis(cost[:, i], rivals, axis=1)[:, None, :]).reshape(len(x), -1)
+        first = np.argsort(sums, axis=1, kind="stable")[:, :count]
+        total = np.take_along_axis(sums, first, axis=1)
+        before, now = first // rivals.shape[1], first % rivals.shape[1]
+        chosen = np.concatenate([np.take_along_axis(chosen, before[:, :, None], axis=1), np.take_along_axis(rivals, now, axis=1)[:, :, None]], axis=2)
+    return joined(chosen, symbol_bits(x.shape[1]), ties[:, None])
+
+
+def coded(x: np.ndarray) -> list[bytes]:
+    """Squared length and scale (32-bit), then a byte for each component."""
+    scale = np.abs(x).max(axis=1, initial=0)
+    whole = np.rint(x / np.where(scale > 0, scale, 1)[:, None] * 127).astype(np.int8)
+    head = np.column_stack([(x.astype(np.float64) ** 2).sum(axis=1), scale / 127]).astype("<f4")
+    return [h.tobytes() + w.tobytes() for h, w in zip(head, whole, strict=True)]
+
+
+def decoded(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Squared lengths, and vectors."""
+    raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    return head[:, 0], raw[:, 8:].view(np.int8).astype(np.float32) * head[:, 1:2]
+
+
+PLANT = "dim int, tree int, string long, id long, kind int, data binary"
+
+
+def planted(rows: DataFrame, middles: dict[int, np.ndarray], trees: int, probes: dict[int, int] | None) -> DataFrame:
+    """PLANT: a row for each vector (vec_id, vector) and tree; with `probes` (symbols to vary, by dimension)
+    a row for each string that a query tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in by_dimension(batch, 1):
-                strings = forest.strings(x)
-                data = pa.array([v.astype("<f8").tobytes() for v in x], pa.binary())
-                ids = batch.column(0).take(pa.array(at))
-                for tree in range(forest.trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(np.full(len(x), tree, np.int32)), pa.array(strings[:, tree]), ids, data], ["dim", "tree", "string", "id", "vector"])
+                dim = x.shape[1]
+                if not dim:
+                    continue
+                # Lengths are cut so that no square overflows; that costs recall there, never a wrong distance.
+                x = np.clip(x - middles.get(dim, 0.0), -1e15, 1e15).astype(np.float32)
+                ids, data = batch.column(0).take(pa.array(at)), pa.array(coded(x), pa.binary())
+                for tree, rotation in enumerate(rotations(dim, trees)):
+                    ties = tie_order(ids.to_numpy(), tree)
+                    found = strings(x, rotation, ties)[:, None] if probes is None else probe_strings(x, rotation, ties, PROBES, probes.get(dim, 1))
+                    n = found.size
+                    kind = np.zeros(found.shape, np.int32) if probes is None else np.broadcast_to(np.where(np.arange(found.shape[1]) == 0, OWN, PROBE), found.shape).astype(np.int32)
+                    each = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, tree, np.int32)), pa.array(found.ravel()), ids.take(each), pa.array(kind.ravel()), data.take(each)], ["dim", "tree", "string", "id", "kind", "data"])
 
-    return rows.select("vec_id", "vector").mapInArrow(run, "dim int, tree int, string long, id long, vector binary")
+    return rows.select("vec_id", "vector").mapInArrow(run, PLANT)
 
 
-def prefix(string: Column, bits: Column | int) -> Column:
-    return F.call_function("shiftright", string, (F.lit(BITS) - bits).cast("int"))
+def pages_read(place: np.ndarray, own: np.ndarray, ask: np.ndarray, row: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, page) pairs: of each query the page at its place among the rows; at its own string also up to
+    PROBES pages further, half of them on each side, while they share its prefix (ask and row: prefixes)."""
+    page = np.minimum(place // PAGE, pages - 1)
+    who, which = [np.arange(len(place))], [page]
+    for step in (1, -1):
+        live = np.flatnonzero(own)
+        for away in range(1, PROBES // 2 + 1):
+            at = page[live] + step * away
+            inside = (at >= 0) & (at < pages)
+            edge = np.clip(at * PAGE if step > 0 else at * PAGE + PAGE - 1, 0, len(row) - 1)
+            live = live[inside & (row[edge] == ask[live])]
+            if not len(live):
+                break
+            who.append(live)
+            which.append(page[live] + step * away)
+    return np.concatenate(who), np.concatenate(which)
 
 
-def squared_distance(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :]
-    return size - 2 * q @ x.T, 1e-9 * size
+def read_pages(string: np.ndarray, ids: np.ndarray, kind: np.ndarray, data: list[bytes], dim: int, usual: int, most: int) -> tuple[np.ndarray, ...]:
+    """Of a stretch of one tree's array, queries among rows, for each query and page the `most` nearest rows by
+    their codes: (query, row, squared distance). Prefixes longer than `usual` symbols count as dense."""
+    rows, asks = np.flatnonzero(kind == ROW), np.flatnonzero(kind != ROW)
+    if not len(rows) or not len(asks):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    length, x = decoded([data[i] for i in rows])
+    own_length, q = decoded([data[i] for i in asks])
+    pages = max(1, len(rows) // PAGE)  # the last is the longer for what is left
+    prefix = string >> (TIE_BITS + max(0, SYMBOLS - usual - 1) * symbol_bits(dim))
+    who, page = pages_read(np.searchsorted(rows, asks), kind[asks] == OWN, prefix[asks], prefix[rows], pages)
+    _, fresh = np.unique(np.column_stack([page, ids[asks[who]]]), axis=0, return_index=True)  # in the order of pages
+    who, page = who[fresh], page[fresh]
+    borders = np.flatnonzero(np.r_[True, np.diff(page) > 0, True])
+    out = []
+    for a, b in zip(borders[:-1], borders[1:], strict=True):
+        mine, at = who[a:b], page[a]
+        here = slice(at * PAGE, len(rows) if at == pages - 1 else (at + 1) * PAGE)
+        d2 = own_length[mine][:, None] + length[here][None, :] - 2 * q[mine] @ x[here].T
+        first = np.argpartition(d2, min(most, d2.shape[1]) - 1, axis=1)[:, :most]
+        out.append((np.repeat(ids[asks[mine]], first.shape[1]), ids[rows[here]][first].ravel(), np.take_along_axis(d2, first, axis=1).ravel()))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def nearest(vectors: DataFrame, query_where: str, k: int = 10, trees: int = TREES, least_share: float = 0.5, least_rows: int = 2000) -> DataFrame:
-    """(query_id, rank, vec_id, score double): for each row of `vectors` (vec_id, vector) that
-    satisfies `query_where` the `k` nearest other rows found, by Euclidean distance, ties to the
-    smaller vec_id.
+def search_arrays(plants: DataFrame, usual: dict[int, int], most: int) -> DataFrame:
+    """plants: PLANT, sorted -> (query_id, vec_id, about): for each task and query the `most` nearest rows."""
 
-    All trees together give a query at least `candidates` rows, repeats included: `least_rows`, or
-    where that is more `least_share` of all rows to the power 0.9 times the number of trees.
-    Middles are fitted on FIT_ROWS rows (those with the least hashed ids); all rows are
-    indexed. Rows without vec_id take no part, of rows that share one the least vector counts,
-    only vectors of the same dimension are compared.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def best() -> tuple[np.ndarray, ...]:
+            return first_of_each(*(np.concatenate(c) for c in zip(*held, strict=True)), most, 1)
+
+        def stretches() -> Iterator[tuple[np.ndarray, ...]]:
+            key, columns, data = (0, 0), [], []
+
+            def read() -> tuple[np.ndarray, ...]:
+                return read_pages(*(np.concatenate(c) for c in zip(*columns, strict=True)), data, key[0], usual.get(key[0], 1), most)
+
+            for batch in batches:
+                dims, trees, *numbers = (batch.column(i).to_numpy() for i in range(5))
+                cuts = np.flatnonzero((dims[1:] != dims[:-1]) | (trees[1:] != trees[:-1])) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(dims)], strict=True):
+                    here = (int(dims[a]), int(trees[a])) if b > a else key
+                    if data and (key != here or len(data) >= BUFFER_ROWS):
+                        yield read()
+                        columns, data = [], []
+                    key = here
+                    columns.append([n[a:b] for n in numbers])
+                    data += batch.column(5).slice(a, b - a).to_pylist()
+            if data:
+                yield read()
+
+        for found in stretches():
+            held.append(found)
+            size += len(found[0])
+            if size > HELD_ROWS:
+                held = [best()]
+                size = len(held[0][0])
+                if size > HELD_ROWS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["query_id", "vec_id", "about"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best()], ["query_id", "vec_id", "about"])
+
+    return plants.mapInArrow(run, "query_id long, vec_id long, about float")
+
+
+def distance(left: str, right: str):
+    """Euclidean, in double precision, added up from the first component to the last."""
+    gaps = F.zip_with(left, right, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x))
+
+
+def nearest(vectors: DataFrame, query_where: str, k: int = 10, trees: int = TREES) -> DataFrame:
+    """(query_id, rank, vec_id, score double): for each row of `vectors` (vec_id, vector) that satisfies
+    `query_where` the `k` nearest other rows found, by Euclidean distance, ties to the smaller vec_id.
+
+    A query reads at most 2 * trees * PROBES pages of PAGE rows (twice as long at an array's end), however
+    many rows there are. Hashes are centred on the mean of FIT_ROWS rows (those with the least hashed
+    ids); all rows are indexed. Rows without vec_id and vectors without components take no part, of
+    rows that share a vec_id the least vector counts, only vectors of the same dimension are compared;
+    equal vectors are searched once for all of them. Other columns are not read, an empty table gives
+    no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.write(one_each(vectors), "vectors")
-    distinct = scratch.write(first_copies(rows, k + 1), "copies")
-    total = distinct.count()
-    sample = [r["vector"] for r in distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()]  # FIT_ROWS rows
-    forest = Forest(trees, sample)
-    candidates = max(least_rows, least_share * trees * total**0.9)
-    page_bits = max(0, math.ceil(math.log2(max(total, 1) / PAGE)))
-    levels = page_bits + 4
-
-    plants = planted(distinct, forest)
-    counted = scratch.write(plants.groupBy("dim", "tree", prefix(F.col("string"), levels).alias("leaf")).agg(F.count(F.lit(1)).alias("n")), "leaves")
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels)))
-    up = F.call_function("shiftright", F.col("leaf"), (F.lit(levels) - F.col("level")).cast("int"))
-    sizes = counted.withColumn("level", level).groupBy("dim", "tree", "level", up.alias("prefix")).agg(F.sum("n").alias("n"))
-
-    asked = scratch.write(planted(rows.where(query_where), forest), "asked")
-    climb = asked.select("dim", "tree", "string", "id").withColumn("level", level).withColumn("prefix", prefix(F.col("string"), F.col("level")))
-    met = climb.join(sizes, ["dim", "tree", "level", "prefix"]).groupBy("id", "level").agg(F.sum("n").alias("n"))
-    stop = met.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("n") >= candidates, F.col("level"))), F.lit(0)).alias("level"))
-
-    # Pages are keyed by the first page_bits bits; a query that stopped above them reads several.
-    first_page = F.call_function("shiftleft", prefix(F.col("string"), F.col("level")), (F.lit(page_bits) - F.col("level")).cast("int"))
-    span = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(page_bits) - F.col("level")).cast("int"))
-    reads = asked.join(stop, "id").withColumn("level", F.least("level", F.lit(page_bits)))
-    reads = reads.withColumn("page", F.explode(F.sequence(first_page, first_page + span - 1)))
-    keys = ["dim", "tree", "page"]
-    pages = to_blocks(plants.withColumn("page", prefix(F.col("string"), page_bits)), keys, PAGE, "<f8")
-    grouped = to_blocks(reads, keys, QUERY_BLOCK, "<f8").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
-    found = best_of_pairs(pages.join(grouped, keys), squared_distance, k, "<f8", "euclidean")
-    return top(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, F.col("score"))
+    rows = scratch.write(one_each(vectors.select("vec_id", "vector")).where(F.size("vector") > 0), "vectors")
+    counts = {r["dim"]: r["n"] for r in rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = [r["vector"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()]  # FIT_ROWS rows
+    middles = {d: np.clip(np.array([v for v in sample if len(v) == d], float), -1e15, 1e15).mean(axis=0) for d in {len(v) for v in sample}}
+    varied = {d: min(SYMBOLS, max(1, math.ceil(math.log(max(2, n / PAGE), 2 * min(d, AXES))))) for d, n in counts.items()}
+
+    asked = rows.where(query_where)
+    asked = scratch.write(asked.withColumn("leader", F.min("vec_id").over(Window.partitionBy("vector"))), "asked")
+    leaders = asked.where("vec_id = leader").select("vec_id", "vector")
+    plants = planted(first_copies(rows, k + 1), middles, trees, None).unionByName(planted(leaders, middles, trees, varied))
+    order = ["dim", "tree", "string", "kind", "id"]
+    tasks = max(1, sum(counts.values()) * trees // TASK_ROWS)
+    found = search_arrays(plants.repartitionByRange(tasks, *order).sortWithinPartitions(*order), varied, 2 * (k + 1))
+    about = found.groupBy("query_id", "vec_id").agg(F.min("about").alias("about"))
+    by_query = Window.partitionBy("query_id")
+    near = about.withColumn("place", F.row_number().over(by_query.orderBy("about", "vec_id"))).where(F.col("place") <= KEPT * (k + 1)).select("query_id", "vec_id")
+
+    pairs = scratch.write(near, "near").join(rows, "vec_id").join(leaders.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("own")), "query_id")
+    exact = pairs.select("query_id", "vec_id", distance("own", "vector").alias("score"))
+    best = exact.withColumn("rank", F.row_number().over(by_query.orderBy("score", "vec_id"))).where(F.col("rank") <= k + 1)
+    each = asked.select(F.col("vec_id").alias("asker"), F.col("leader").alias("query_id")).join(best, "query_id").where("asker <> vec_id")
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("asker").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("asker").alias("query_id"), "rank", "vec_id", "score")

@@ -75,3 +75,33 @@ def test_neighbours_odd_rows(spark):
     by = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 100, 200, 300)}
     assert by == {0: [7, 100, 8], 100: [0, 7, 8], 200: [6], 300: []}
     assert prefix_forest.nearest(prefix_forest.usable_vectors(vectors(spark, [])), "vec_id % 100 = 0").count() == 0
+
+
+def test_neighbours_in_a_dense_cluster(spark):
+    """A third of all rows agree in all but their last symbols."""
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(4000, 32))
+    data[1000:2400] = data[1000] + 0.02 * rng.normal(size=(1400, 32))
+    data = data.astype(np.float32)
+    rows = vectors(spark, [(i, v.tolist()) for i, v in enumerate(data)])
+    recall(prefix_forest.nearest(prefix_forest.usable_vectors(rows), "vec_id % 100 = 0").collect(), np.arange(4000), data.astype(np.float64))
+
+
+def test_strings_of_near_vectors_share_prefixes():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 16)).astype(np.float32)
+    ties = np.zeros(500, np.int64)
+    shared = lambda a, b: np.array([60 - int(v).bit_length() for v in a ^ b])
+    for rotation in prefix_forest.rotations(16, 2):
+        own = prefix_forest.strings(x, rotation, ties)
+        near, far = prefix_forest.strings(x + 0.01 * x[::-1], rotation, ties), own[::-1]
+        assert shared(own, near).mean() > shared(own, far).mean() + 10
+        probes = prefix_forest.probe_strings(x, rotation, ties, 8, 2)
+        assert (probes[:, 0] == own).all() and all(len(set(p)) == 8 for p in probes.tolist())
+
+
+def test_pages_are_read_from_the_place_outwards():
+    row = np.repeat(np.arange(10), 64)  # ten pages, each with its own prefix
+    row[128:512] = 2
+    who, page = prefix_forest.pages_read(np.array([300, 5, 300]), np.array([True, True, False]), np.array([2, 0, 2]), row, 10)
+    assert sorted(zip(who.tolist(), page.tolist(), strict=True)) == [(0, p) for p in range(2, 8)] + [(1, 0), (2, 4)]
