@@ -105,3 +105,22 @@ def test_pages_are_read_from_the_place_outwards():
     row[128:512] = 2
     who, page = prefix_forest.pages_read(np.array([300, 5, 300]), np.array([True, True, False]), np.array([2, 0, 2]), row, 10)
     assert sorted(zip(who.tolist(), page.tolist(), strict=True)) == [(0, p) for p in range(2, 8)] + [(1, 0), (2, 4)]
+
+
+def test_topk_closes_early_on_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    data = centres[rng.integers(0, 30, 9000)] + 0.1 * rng.normal(size=(9000, 16))
+    data = (data / np.linalg.norm(data, axis=1)[:, None]).astype(np.float32)
+    write, read = pivot_index.Scratch.write, []
+
+    def watched(self, df, name, *args, **kwargs):
+        out = write(self, df, name, *args, **kwargs)
+        if name.startswith("requests"):
+            read.append(sum(r["n"] for r in out.select("n").collect()))
+        return out
+
+    monkeypatch.setattr(pivot_index.Scratch, "write", watched)
+    got = pivot_index.top_k(pivot_index.integer_vectors(vectors(spark, [(i, v.tolist()) for i, v in enumerate(data)])), "vec_id % 100 = 0", 10)
+    assert sorted(map(tuple, got.collect())) == exact_top(np.arange(9000), np.floor(data.astype(np.float64) * 1024).astype(np.int64), 10)
+    assert len(read) >= 3 and read[-1] == 0 and sum(read) < 0.5 * 90 * 9000
