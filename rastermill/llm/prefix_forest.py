@@ -6,7 +6,7 @@ descends with its own string, and with those strings that it would have had but
 change, to the page of rows around its place, which are those with the longest common prefixes.
 Where rows lie so dense that pages further off still share a longer prefix than usual, it ascends
 from its own place through these too, in all trees alike. Rows in the arrays carry their vector
-in a byte a component, which ranks a page's rows; the first of these get their exact distance
+in two bytes a component, which ranks a page's rows; the first of these get their exact distance
 from the vectors themselves.
 """
 
@@ -94,10 +94,10 @@ def probe_strings(x: np.ndarray, rotation: np.ndarray, ties: np.ndarray, count:
 
 
 def coded(x: np.ndarray) -> list[bytes]:
-    """Squared length and scale (32-bit), then a byte for each component."""
+    """Squared length and scale (32-bit), then two bytes for each component."""
     scale = np.abs(x).max(axis=1, initial=0)
-    whole = np.rint(x / np.where(scale > 0, scale, 1)[:, None] * 127).astype(np.int8)
-    head = np.column_stack([(x.astype(np.float64) ** 2).sum(axis=1), scale / 127]).astype("<f4")
+    whole = np.rint(x / np.where(scale > 0, scale, 1)[:, None] * 32767).astype("<i2")
+    head = np.column_stack([(x.astype(np.float64) ** 2).sum(axis=1), scale / 32767]).astype("<f4")
     return [h.tobytes() + w.tobytes() for h, w in zip(head, whole, strict=True)]
 
 
@@ -105,7 +105,7 @@ def decoded(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Squared lengths, and vectors."""
     raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
     head = np.ascontiguousarray(raw[:, :8]).view("<f4")
-    return head[:, 0], raw[:, 8:].view(np.int8).astype(np.float32) * head[:, 1:2]
+    return head[:, 0], np.ascontiguousarray(raw[:, 8:]).view("<i2").astype(np.float32) * head[:, 1:2]
 
 
 PLANT = "dim int, tree int, string long, id long, kind int, data binary"
