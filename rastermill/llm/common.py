@@ -5,16 +5,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset (a local test) a new one is made."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and Spark is one local process (a test)
+    a new one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-rastermill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -42,6 +50,21 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows and about SLICE_BYTES bytes of text; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        until = int(np.searchsorted(ends, ends[at] - sizes[at] + SLICE_BYTES, side="right"))
+        until = min(max(at + 1, until), at + rows)
+        yield batch.slice(at, until - at)
+        at = until
+
+
 def text_digest(text: Column) -> Column:
     """128 bits that stand for a text (null counts as empty)."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 
 U = np.uint64
+PIECE, BLANK = 1 << 20, re.compile(r"[\t-\r ]")
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
 
@@ -32,8 +34,27 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def pieces(text: str) -> list[str]:
+    """A long text in parts of about PIECE characters that end where a word does."""
+    out = []
+    while len(text) > PIECE:
+        border = BLANK.search(text, PIECE)
+        if not border:
+            break
+        out.append(text[: border.start()])
+        text = text[border.end() :]
+    return [*out, text]
+
+
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """For each text the hashes of its lower-case words; ASCII white space parts words."""
+    """For each text the hashes of its lower-case words; ASCII white space parts words. Long texts are
+    hashed a part at a time."""
+    if any(len(t) > PIECE for t in texts):
+        return [np.concatenate([hashes_of_words([p])[0] for p in pieces(t)]) for t in texts]
+    return hashes_of_words(texts)
+
+
+def hashes_of_words(texts: list[str]) -> list[np.ndarray]:
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
     values = _byte_values()[raw]
