@@ -1,10 +1,11 @@
 """Line de-duplication with levelled sorted runs of line hashes, in DataFrame operations only.
 
 A line's key is the line without white space at its ends and with A-Z in lower case. The store
-keeps runs of (key hash, documents) sorted by hash. Each batch of documents is anti-joined with
-the run of keys already known to be frequent and adds the rest as a run of its own; when a
-level has `fanout` runs they are merged into one of the next level, and keys that reach the
-threshold move to the frequent run.
+keeps runs of (key hash, documents), dealt into the same buckets by hash and sorted there. Each
+batch of documents is merge-anti-joined with the run of keys already known to be frequent and
+adds the rest as a run of its own; when a level has `fanout` runs they are merged into one of
+the next level, and keys that reach the threshold move to the frequent run. Runs meet bucket by
+bucket, so neither join nor merge deals rows out anew.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from rastermill.llm.common import Scratch, text_digest
 
 # Fixed by the contract: the characters that are stripped, and the letters that are lowered.
 BLANKS = "\t\n\x0b\x0c\r "
+BATCH_ROWS = 1_000_000
+MARK, PLACES = "_rastermill_mark", "_rastermill_places"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,29 +53,45 @@ def line_hashes(text: Column) -> Column:
 class LineStore:
     """Runs of line hashes in the shared folder, in levels; see the module's text."""
 
-    def __init__(self, spark: SparkSession, min_documents: int, fanout: int = 4):
+    def __init__(self, spark: SparkSession, min_documents: int, fanout: int = 2):
         self.spark, self.min_documents, self.fanout = spark, min_documents, fanout
         self.scratch = Scratch(spark)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.frequent: list[str] = []
-        self.schema = "a long, b long, documents long"
 
-    def read(self, names: list[str]) -> DataFrame:
-        if not names:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.scratch.root}/{n}" for n in names])
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.table(name)
 
     def put(self, run: DataFrame) -> str:
-        """A run is range-partitioned by hash no further than its grouping already did, and sorted."""
-        name = f"run-{uuid.uuid4().hex}"
-        self.scratch.write(run.select("a", "b", "documents").sortWithinPartitions("a", "b"), name)
+        """A run as a table of sorted buckets; its name."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        writer = run.select("a", "b", "documents").write.bucketBy(self.buckets, "a", "b").sortBy("a", "b")
+        writer.option("path", f"{self.scratch.root}/{name}").option("compression", "snappy").saveAsTable(name)
         return name
 
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.scratch.drop(name)
+
+    def merged(self, names: list[str]) -> DataFrame:
+        """The sum of several runs."""
+        out = self.read(names[0])
+        for name in names[1:]:
+            more = self.read(name).withColumnRenamed("documents", "more")
+            out = out.join(more.hint("merge"), ["a", "b"], "full").select("a", "b", (F.coalesce("documents", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("documents"))
+        return out
+
     def add(self, batch: DataFrame) -> None:
         """batch: (a, b, documents), a row for each key."""
         if self.frequent:
-            batch = batch.join(self.read(self.frequent).hint("merge"), ["a", "b"], "left_anti")
-        self.levels[0].append(self.put(batch))
+            arrived = self.put(batch)
+            fresh = self.put(self.read(arrived).join(self.read(self.frequent[0]).hint("merge"), ["a", "b"], "left_anti"))
+            self.drop(arrived)
+        else:
+            fresh = self.put(batch)
+        self.levels[0].append(fresh)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self.compact(level)
@@ -80,30 +99,46 @@ class LineStore:
 
     def compact(self, level: int) -> None:
         names, self.levels[level] = self.levels[level], []
-        merged = self.scratch.write(self.read(names).groupBy("a", "b").agg(F.sum("documents").alias("documents")), "merging")
-        self.frequent.append(self.put(merged.where(F.col("documents") >= self.min_documents)))
+        whole = self.put(self.merged(names))
+        often = F.col("documents") >= self.min_documents
+        reached, before = self.put(self.read(whole).where(often)), self.frequent
+        self.frequent = [self.put(self.merged([*before, reached]))] if before else [reached]
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(self.put(merged.where(F.col("documents") < self.min_documents)))
-        self.scratch.drop("merging", *names)
+        self.levels[level + 1].append(self.put(self.read(whole).where(~often)))
+        self.drop(whole, *names, *(before and [*before, reached]))
 
     def frequent_keys(self) -> DataFrame:
         """(a, b) of all keys in at least `min_documents` documents, each once."""
         rest = [n for level in self.levels for n in level]
-        late = self.read(rest).groupBy("a", "b").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= self.min_documents)
-        return self.read(self.frequent).select("a", "b").unionByName(late.select("a", "b"))
+        found = [self.merged(rest).where(F.col("documents") >= self.min_documents)] if rest else []
+        found += [self.read(n) for n in self.frequent]
+        if not found:
+            return self.spark.createDataFrame([], "a long, b long")
+        out = found[0].select("a", "b")
+        for more in found[1:]:
+            out = out.unionByName(more.select("a", "b"))
+        return out
+
+    def close(self) -> None:
+        self.drop(*(n for level in self.levels for n in level), *self.frequent)
+
+
+def different(keys: Column) -> Column:
+    """Sorted keys, each once."""
+    return F.filter(keys, lambda x, i: (i == 0) | (x != F.get(keys, i - 1)))
 
 
 def frequent_lines(keyed: DataFrame, min_documents: int, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """keyed: (digest, keys). (a, b): hashes of the line keys found in at least `min_documents` rows.
+    """keyed: (batch, keys). (a, b): hashes of the line keys found in at least `min_documents` rows.
     With more batches than `fanout` later batches are anti-joined with what is frequent so far."""
     store = LineStore(keyed.sparkSession, min_documents, fanout)
-    keys = keyed.select(F.pmod(F.xxhash64("digest"), F.lit(batches)).cast("int").alias("batch"), F.explode("keys").alias("key")).select("batch", "key.a", "key.b")
-    staged = store.scratch.write(keys.groupBy("batch", "a", "b").agg(F.count(F.lit(1)).alias("documents")), "staged", ["batch"])
+    ordered = keyed.withColumn("keys", F.array_sort(F.array_compact("keys")))
     for i in range(batches):
-        store.add(staged.where(F.col("batch") == i).select("a", "b", "documents"))
+        keys = ordered.where(F.col("batch") == i).select(F.explode(different(F.col("keys"))).alias("key"))
+        store.add(keys.groupBy("key.a", "key.b").agg(F.count(F.lit(1)).alias("documents")))
     found = store.scratch.write(store.frequent_keys(), "frequent")
-    store.scratch.drop("staged")
+    store.close()
     return found
 
 
@@ -112,22 +147,25 @@ def drop_frequent_lines(df: DataFrame, min_documents: int = 10) -> DataFrame:
 
     A key (at least one character) that occurs in `min_documents` rows or more loses all its
     lines in every row; other lines stay, joined by a newline. Null and empty texts are one empty
-    line and become empty. Each repeated row counts as a document. Other columns stay as they
-    are, null doc_ids included (columns called n_lines or n_dropped are replaced); an empty
-    table gives an empty table.
+    line and become empty; texts of any length are cut whole. Each repeated row counts as a document.
+    Other columns stay as they are, null doc_ids included (columns called n_lines or n_dropped are
+    replaced, no other name clashes); an empty table gives an empty table.
     """
     scratch = Scratch(df.sparkSession)
-    keyed = scratch.write(df.select(text_digest(F.col("text")).alias("digest"), F.array_compact(F.array_distinct(line_hashes(F.col("text")))).alias("keys")), "keyed")
-    found = frequent_lines(keyed, min_documents)
-    lines_of = keyed.select("digest", F.explode("keys").alias("key")).select("digest", "key.a", "key.b")
-    hits = lines_of.join(found, ["a", "b"], "left_semi")
-    marks = scratch.write(hits.groupBy(F.col("digest").alias("_digest")).agg(F.collect_set(F.struct("a", "b")).alias("_marks")), "marks")
-    joined = df.withColumn("_digest", text_digest(F.col("text"))).join(marks, "_digest", "left")
-    lines = split_lines(F.col("text"))
-    pairs = F.arrays_zip(lines.alias("line"), line_hashes(F.col("text")).alias("key"))
-    cut = F.transform(F.filter(pairs, lambda x: x["key"].isNull() | ~F.array_contains(F.col("_marks"), x["key"])), lambda x: x["line"])
-    kept = F.when(F.col("_marks").isNull(), lines).otherwise(cut)
-    others = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
-    out = joined.select(*(F.col(c) for c in others), kept.alias("_kept"), F.size(lines).cast("long").alias("n_lines"))
-    columns = [F.array_join("_kept", "\n").alias(c) if c.lower() == "text" else F.col(c) for c in others]
-    return out.select(*columns, "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"))
+    batches = max(4, min(16, df.count() // BATCH_ROWS))
+    keyed = df.select(text_digest(F.col("text")).alias("digest"), line_hashes(F.col("text")).alias("keys")).withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(batches)).cast("int"))
+    keyed = scratch.write(keyed, "keyed", ["batch"])
+    found = frequent_lines(keyed, min_documents, batches)
+    lines_of = keyed.select("digest", F.posexplode("keys").alias("place", "key")).select("digest", "place", "key.a", "key.b")
+    hits = lines_of.join(found, ["a", "b"], "left_semi")  # where `found` is large, Spark splits a line that is in very many texts
+    marks = scratch.write(hits.groupBy("digest").agg(F.collect_set("place").alias("places")), "marks")
+    scratch.drop("keyed")
+    marks = marks.select(F.col("digest").alias(MARK), F.col("places").alias(PLACES))
+    joined = df.join(marks, text_digest(F.col("text")) == F.col(MARK), "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = split_lines(text)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(PLACES))
+    kept = F.when(F.col(PLACES).isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    others = [kept.alias(c) if c.lower() == "text" else F.col(c) for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
+    dropped = F.coalesce(F.size(PLACES), F.lit(0))
+    return joined.select(*others, F.size(lines).cast("long").alias("n_lines"), F.when(F.col(PLACES).isNull(), 0).otherwise(dropped).cast("long").alias("n_dropped"))

@@ -2,7 +2,8 @@
 
 from collections import Counter
 
-from rastermill.llm import line_dedup
+from rastermill.llm import line_dedup, queries
+from tests.llm.helpers import SF, needs_tables
 
 
 def test_later_batches_meet_frequent_lines(spark, monkeypatch):
@@ -20,3 +21,28 @@ def test_later_batches_meet_frequent_lines(spark, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_frequent_lines(rows, 10).collect()}
     assert got == {i: "\n".join(line for line in t.split("\n") if counts[line] < 10) for i, t in enumerate(texts)}
     assert any(known) and max(levels) >= 3
+
+
+@needs_tables
+def test_the_registered_query_anti_joins(spark, monkeypatch):
+    """Later batches lose the lines known to be frequent, and neither that nor merging shuffles runs."""
+    arrived, stored, plans, add, put = [], [], [], line_dedup.LineStore.add, line_dedup.LineStore.put
+
+    def watched(store, batch):
+        arrived.append((batch.count(), bool(store.frequent)))
+        stored.append([])
+        add(store, batch)
+
+    def kept(store, run):
+        name = put(store, run)
+        stored[-1].append(store.read(name).count())
+        if "Join" in (plan := run._jdf.queryExecution().executedPlan().toString()):
+            plans.append(plan)
+        return name
+
+    monkeypatch.setattr(line_dedup.LineStore, "add", watched)
+    monkeypatch.setattr(line_dedup.LineStore, "put", kept)
+    queries.op6_line_dedup(spark, SF).count()
+    later = [(n, counts) for (n, known), counts in zip(arrived, stored, strict=True) if known]
+    assert later and all(counts[0] == n and counts[1] < n for n, counts in later)
+    assert plans and not any("Exchange" in p for p in plans)
