@@ -19,6 +19,8 @@ from rastermill.llm.common import Scratch, running_start
 BLOCK_TOKENS = 1_000_000
 LEAST_BLOCKS = 1_000
 ROWS_A_WINDOW = 20_000
+SLOTS_A_ROW = 10_000
+ROW, COPIES = "_rastermill_row", "_rastermill_copies"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,7 +56,12 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     """(ord, at, rank, block_no): for each slot its place in the mix (`at` ascending), its source
     and the block it takes."""
     bits = max(1, (max(slots, 1) - 1).bit_length())
-    cells = sources.where("slots > 0").select("ord", "blocks", F.explode(F.sequence(F.col("cell"), F.col("cell") + F.col("slots") - 1)).alias("cell"))
+    # A large source's slots are made in stretches, so that no task makes all of them.
+    begins = F.explode(F.sequence(F.col("cell"), F.col("cell") + F.col("slots") - 1, F.lit(SLOTS_A_ROW).cast("long"))).alias("begin")
+    stretches = sources.where("slots > 0").select("ord", "blocks", (F.col("cell") + F.col("slots") - 1).alias("last"), begins)
+    if slots > SLOTS_A_ROW:
+        stretches = stretches.repartition("begin")
+    cells = stretches.select("ord", "blocks", F.explode(F.sequence(F.col("begin"), F.least(F.col("last"), F.col("begin") + SLOTS_A_ROW - 1))).alias("cell"))
     points = cells.withColumn("at", F.conv(F.reverse(F.lpad(F.bin("cell"), bits, "0")), 2, 10).cast("long"))
     points = points.withColumn("spread", F.col("at") / float(1 << bits)).withColumn("one", F.lit(1).cast("long"))
     ranked = running_start(points, ["ord"], "spread", ["at"], "one", "rank", math.ceil(slots / ROWS_A_WINDOW))
@@ -67,13 +74,13 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> Da
     `size` counts words (null text: 0). Sources in order of code points, null last, weigh
     `weights`, repeating, and share all words; a target stops at `cap` times its source. `taken`
     counts the words of the document that the mix takes, repeats included, `cap` times its
-    size at most. Empty documents take nothing. Rows that are equal share what their copies
-    take in an undefined order. An empty table gives no rows.
+    size at most. Empty documents take nothing; texts of any length count whole. Rows that are equal
+    share what their copies take in an undefined order. Sources that tie stand in the order of their
+    names. An empty table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
-    docs = df.select("doc_id", "source", digest.alias("digest"), text_size(F.col("text")).alias("size"))
+    docs = df.select("doc_id", "source", row_digest().alias("digest"), text_size(F.col("text")).alias("size"))
     docs = scratch.write(docs, "sized")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
     sources = scratch.write(with_blocks(targets(sizes.select("source", "source_size"), weights, cap)), "sources")
@@ -90,10 +97,18 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> Da
     return taken.select(*row, "taken").unionByName(known.where("size = 0").select(*row, F.lit(0).cast("long").alias("taken")))
 
 
+def row_digest() -> Column:
+    """Of a row's id and text."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+
+
 def repeat_documents(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """`df` with each row as often as the mix takes its words, rounded to whole documents; rows
-    without words go."""
-    mixed = mix(df, weights, cap).where("size > 0").groupBy("digest").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
-    joined = df.withColumn("_digest", digest).join(mixed.withColumnRenamed("digest", "_digest"), "_digest")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+    """`df` with each row as often as the mix takes its words, rounded to whole documents.
+
+    Null and empty texts, and others without words, go. Equal rows share what their copies take; null
+    doc_ids and sources are kept like others. All columns of `df` stay as they are, whatever their
+    names; an empty table gives an empty table.
+    """
+    mixed = mix(df, weights, cap).where("size > 0").groupBy(F.col("digest").alias(ROW)).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
+    joined = df.join(mixed, row_digest() == F.col(ROW))
+    return joined.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).select(*df.columns)
