@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.common import Scratch
+from rastermill.llm.common import Scratch, slices
 from rastermill.llm.shingles import scramble, word_hashes
 
 FEATURES, TRAINING_ROWS, ROUNDS, EPOCHS, SHARDS, SLICE = 1 << 14, 12_000, 4, 4, 8, 64
@@ -141,8 +141,7 @@ def hashed(page: Page) -> tuple[np.ndarray, np.ndarray]:
 def vote_table(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, 1, SLICE):
                 found = [list(votes(p)) for p in read_pages([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32())), part.column(2)], ["doc_id", "votes", "key"])
 
@@ -151,25 +150,29 @@ def vote_table(df: DataFrame) -> DataFrame:
 
 
 def fit_scorer(sample: DataFrame) -> np.ndarray:
-    """sample: (places, values, label), at most TRAINING_ROWS rows. Shards run over their rows on
-    their own and their weights are averaged, ROUNDS times."""
+    """sample: (places, values, label, key), at most TRAINING_ROWS rows. Shards, dealt by `key`, run over their
+    rows in its order, each on its own, and their weights are averaged, ROUNDS times; so the weights
+    don't depend on how the sample is stored."""
     weights = np.zeros(FEATURES + 1)
+    dealt = sample.withColumn("shard", F.pmod("key", F.lit(SHARDS)).cast("int"))
 
-    for step in range(ROUNDS):
-
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = weights, rate: float = 2.0 / (1 + step)) -> Iterator[pa.RecordBatch]:
+    def round_of(start: np.ndarray, rate: float):
+        def run(rows: pa.Table) -> pa.Table:
             w = start.copy()
-            rows = [(np.array(p), np.array(v), y) for batch in batches for p, v, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            held = [(np.array(p), np.array(v), y) for p, v, y in zip(*(c.to_pylist() for c in rows.sort_by("key").select(["places", "values", "label"]).columns), strict=True)]
             for _ in range(EPOCHS):
-                for places, values, label in rows:
+                for places, values, label in held:
                     p = 1 / (1 + np.exp(-np.clip(w[places] @ values + w[-1], -30, 30)))
                     np.add.at(w, places, rate * (label - p) * values)
                     w[-1] += 0.1 * rate * (label - p)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([len(rows)], pa.int64())], ["weights", "n"])
+            return pa.table({"shard": rows["shard"][:1], "weights": pa.array([w.tolist()], pa.list_(pa.float64())), "n": pa.array([len(held)], pa.int64())})
 
-        found = sample.mapInArrow(run, "weights array<double>, n long").collect()  # SHARDS rows
+        return run
+
+    for step in range(ROUNDS):
+        found = dealt.groupBy("shard").applyInArrow(round_of(weights, 2.0 / (1 + step)), "shard int, weights array<double>, n long").collect()  # SHARDS rows
         if found:
+            found.sort(key=lambda r: r["shard"])
             weights = np.average([r["weights"] for r in found], axis=0, weights=[r["n"] for r in found])
     return weights
 
@@ -180,8 +183,9 @@ def classify(df: DataFrame) -> DataFrame:
     `weak_label` is the label model's probability that the text is good, `score` the scorer's, and
     `predicted` is 1 for a score of one half or more. The label model counts the vote patterns
     of all rows (at most 3 ** len(LABELLERS) come to the driver); the scorer learns from the
-    TRAINING_ROWS rows with the least hashes. Null and empty texts are voted bad. Null doc_ids
-    stay, repeated rows are scored each, an empty table gives no rows.
+    TRAINING_ROWS rows with the least hashes, equal rows once. Null and empty texts are voted bad; texts
+    of any length are read whole. Null doc_ids stay, repeated rows are scored each, an empty table
+    gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -192,21 +196,22 @@ def classify(df: DataFrame) -> DataFrame:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                pages = read_pages([t or "" for t in batch.slice(at, SLICE).column(0).to_pylist()])
+            for part in slices(batch, 0, SLICE):
+                pages = read_pages([t or "" for t in part.column(0).to_pylist()])
                 label = model.posterior(np.array([votes(p) for p in pages]).reshape(-1, len(LABELLERS)))
                 found = [hashed(p) for p in pages]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64())), pa.array(label)], ["places", "values", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64())), pa.array(label), part.column(1)], ["places", "values", "label", "key"])
 
-    chosen = voted.orderBy("key", "doc_id").limit(TRAINING_ROWS).agg(F.max("key")).first()[0]
+    chosen = voted.select("key").distinct().orderBy("key").limit(TRAINING_ROWS).agg(F.max("key")).first()[0]
     few = df.where(F.xxhash64("doc_id", "text") <= F.lit(chosen)) if chosen is not None else df.limit(0)
-    sample = scratch.write(few.select("text").mapInArrow(features, "places array<int>, values array<double>, label double"), "sample")
-    weights = fit_scorer(sample.repartition(SHARDS))
+    few = few.groupBy(F.xxhash64("doc_id", "text").alias("key")).agg(F.min("text").alias("text"))
+    sample = scratch.write(few.select("text", "key").mapInArrow(features, "places array<int>, values array<double>, label double, key long"), "sample")
+    scratch.drop("votes")
+    weights = fit_scorer(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, 1, SLICE):
                 pages = read_pages([t or "" for t in part.column(1).to_pylist()])
                 margin = np.array([weights[p] @ v + weights[-1] for p, v in map(hashed, pages)])
                 s = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
