@@ -2,7 +2,8 @@
 
 Letter trigrams, hashed to a table, give each word a likelihood under each language. For each
 document expectation-maximisation estimates the share of its words in each language; the set
-of languages is the one with the best likelihood less a penalty for each language in it.
+of languages is the one with the best likelihood less a penalty for each language in it. The sets
+tried are single languages and, for each size, the languages with the largest shares.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEATURES, SLICE, STEPS, PENALTY, SMOOTHING = 1 << 16, 64, 12, 3.0, 0.05
+from rastermill.llm.common import slices
+
+FEATURES, SLICE, STEPS, PENALTY, SMOOTHING, MOST_LANGUAGES = 1 << 16, 64, 12, 3.0, 0.05, 256
 
 
 @lru_cache(maxsize=1)
@@ -52,8 +55,7 @@ def gram_counts(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, 0, SLICE):
                 langs = np.array(part.column(1).to_pylist(), object)
                 words = Words([t or "" for t in part.column(0).to_pylist()])
                 owner = langs[words.gram_text]
@@ -70,9 +72,13 @@ def gram_counts(df: DataFrame) -> DataFrame:
 def learn(df: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages of (text, lang), sorted, and the log-likelihood of each gram in each.
 
-    What comes to the driver is FEATURES numbers a language, however many rows there are.
+    What comes to the driver is FEATURES numbers a language, however many rows there are; more than
+    MOST_LANGUAGES languages are refused, for the table is sent to every task.
     """
-    counts = gram_counts(df.where(F.col("lang").isNotNull())).toPandas()
+    found = gram_counts(df.where(F.col("lang").isNotNull()))
+    if df.where(F.col("lang").isNotNull()).select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = found.toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((FEATURES, len(langs)), SMOOTHING)
     if langs:
@@ -144,7 +150,9 @@ def identify(df: DataFrame, training: DataFrame) -> DataFrame:
     `training` has text and lang; rows without lang are ignored. `lang_pred` is the language with
     the largest share in the chosen set, `score` its share when all languages compete. Null and
     empty texts and texts without a letter are `und`, score 0; so are all if nothing was
-    learned. Null doc_ids stay, repeated rows are scored each, an empty table gives no rows.
+    learned. Of languages that tie the first by name is chosen. Texts of any length are read whole.
+    Null doc_ids stay, repeated rows are scored each, an empty table gives no rows; other columns
+    are not read.
     """
     langs, table = learn(training)
     model = df.sparkSession.sparkContext.broadcast((langs, table))  # FEATURES x languages
@@ -152,8 +160,7 @@ def identify(df: DataFrame, training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, likelihoods = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, 1, SLICE):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 best, score, shares = languages(Words(texts), len(texts), likelihoods)
                 sets = [np.flatnonzero(s > 0) for s in shares]
@@ -177,15 +184,19 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def filter_identified(df: DataFrame, training: DataFrame, least_share: float) -> DataFrame:
-    """The rows of `df` whose text has a language with at least `least_share` of its words."""
+    """The rows of `df` whose text has a language with at least `least_share` of its words.
+
+    Null and empty texts and texts without a letter go, and so do all if nothing was learned. Rows with
+    null doc_ids and repeated rows are judged each; all columns of `df` stay as they are, an empty table
+    gives an empty table.
+    """
     langs, table = learn(training)
     model = df.sparkSession.sparkContext.broadcast(table)  # FEATURES x languages
     text_at = df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, text_at, SLICE):
                 texts = [t or "" for t in part.column(text_at).to_pylist()]
                 best, _, shares = languages(Words(texts), len(texts), model.value)
                 yield part.filter(pa.array((best >= 0) & (shares.max(axis=1, initial=0) >= least_share)))
