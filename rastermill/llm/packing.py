@@ -20,17 +20,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.common import Scratch
+from rastermill.llm.common import Scratch, slices
 
 DIMS, BITS, BUCKETS, CACHED_WORDS, SLICE = 4, 8, 4096, 1_000_000, 256
 
 
 class WordIds:
-    """Bytes of the ids of each word seen; the vocabularies drop white space, so words stand alone.
+    """Bytes of the ids of texts, and of each word seen.
 
-    Where the tokenizer is one that lower-cases, parts a text by a pattern and merges the bytes of
-    each part, texts in Latin letters are parted here by that same pattern and only new parts
-    go through its merges. Any other text or tokenizer is encoded word by word.
+    Where the tokenizer is one that lower-cases, parts a text by a pattern that drops white space and
+    merges the bytes of each part, words stand alone: those in Latin letters are parted here by
+    that same pattern and only new parts go through its merges, others are encoded one by one.
+    Any other tokenizer encodes whole texts, for white space may count there.
     """
 
     def __init__(self, path: str):
@@ -73,11 +74,13 @@ class WordIds:
         return [b"".join([self.parts[x] for x in p]) for p in parted]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if self.pattern is None:
+            return self.encode(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set(chain.from_iterable(split))
         self.room(self.words, len(words))
         new = words.difference(self.words)
-        odd = {w for w in new if self.pattern is None or "<|" in w or not self.plain.fullmatch(w)}
+        odd = {w for w in new if "<|" in w or not self.plain.fullmatch(w)}
         for group, encode in ((list(new - odd), self.encode_plain), (list(odd), self.encode)):
             self.words.update(zip(group, encode(group), strict=True))
         return [b"".join(map(self.words.__getitem__, w)) for w in split]
@@ -148,8 +151,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         words = word_ids(tokenizer_path)
         end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, 1, SLICE):
                 ids = [x + end for x in words.ids([t or "" for t in part.column(1).to_pylist()])]
                 curve = curve_key([np.frombuffer(x, words.dtype) for x in ids])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(curve, pa.int64())], ["doc_id", "ids", "curve"])
@@ -197,8 +199,9 @@ def pack(df: DataFrame, tokenizer_path: str, sequence_tokens: int = 2048, end_id
     unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Reads `doc_id` and `text`, whatever else the table has. A null text counts as empty: its
-    document is the end id alone. Repeated rows are packed as often as they occur; a null
-    doc_id stays null. An empty table gives no rows. Only the last sequence of a range can
+    document is the end id alone; texts of any length are packed whole. Repeated rows are packed as
+    often as they occur, ties on the curve stand in the order of hashed ids; a null doc_id stays
+    null. An empty table gives no rows. Only the last sequence of a range can
     be short, and it is cut into powers of two, so no padding is needed at all.
     """
     spark = df.sparkSession
@@ -226,8 +229,7 @@ def pack(df: DataFrame, tokenizer_path: str, sequence_tokens: int = 2048, end_id
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, 1, SLICE):
                 for doc_id, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     packer.add(doc_id, np.frombuffer(ids, width))
                 yield ready()
