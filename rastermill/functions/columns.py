@@ -27,8 +27,12 @@ def parse_int(text: Column) -> Column:
 
 
 def parse_hex(text: Column, wildcard: Column) -> Column:
-    """A hexadecimal number of up to 16 digits, or `wildcard` for *."""
-    return F.when(text == "*", wildcard).when(F.rlike(text, F.lit("^[0-9a-fA-F]{1,15}$")), F.conv(text, 16, 10).cast("long"))
+    """A hexadecimal number of up to 16 digits as 64 bits (its sign is the highest), or `wildcard` for *; null
+    for what can't be read."""
+    digits = F.lpad(text, 16, "0")
+    half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("long")
+    value = F.call_function("shiftleft", half(1), F.lit(32)).bitwiseOR(half(9))
+    return F.when(text == "*", wildcard).when(F.rlike(text, F.lit("^[0-9a-fA-F]{1,16}$")), value)
 
 
 def file_name(path: Column) -> Column:

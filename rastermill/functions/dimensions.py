@@ -43,19 +43,37 @@ def all_variants(spark: SparkSession) -> DataFrame:
     return spark.range(K.PARTITION_CODES * n).select(F.col("id").cast("int").alias("variant_id"), C.div(F.col("id"), n).cast("int").alias("partition_code"), (F.col("id") % n).cast("int").alias("line_limit"), F.lit((1 << K.COLOR_CODES) - 1).alias("color_options"))
 
 
-def parse_variants(df: DataFrame, column: str = "variants") -> DataFrame:
-    """`P:L:C,...` in hexadecimal -> a row for each bit of L. `*` stands for all line limits or colours;
-    a part that can't be read, or has a code out of range or no bit set, gives no row."""
-    parts = df.withColumn("_part", F.explode(F.split(F.col(column), ",")))
+def variant_parts(df: DataFrame, column: str = "variants") -> DataFrame:
+    """`P:L:C,...` in hexadecimal -> a row for each part, in order: _at, _part, partition_code, color_options,
+    _lines (a set of line limits) and _wrong: null, or why the part can't be used. `*` stands for all line
+    limits or colours; bits beyond the last limit or colour don't count."""
+    parts = df.select(*df.columns, F.posexplode(F.split(F.col(column), ",")).alias("_at", "_part"))
     fields = F.split("_part", ":")
-    rows = parts.where(F.size(fields) == 3).select(
-        *df.columns,
-        C.parse_hex(fields[0], F.lit(None).cast("long")).alias("partition_code"),
-        C.parse_hex(fields[1], F.lit((1 << K.LINE_LIMITS) - 1)).alias("_lines"),
-        C.parse_hex(fields[2], F.lit((1 << K.COLOR_CODES) - 1)).alias("color_options"),
-    )
-    rows = rows.where((F.col("partition_code") < K.PARTITION_CODES) & (F.col("_lines") > 0) & F.col("color_options").between(1, (1 << K.COLOR_CODES) - 1))
-    return rows.withColumn("line_limit", F.explode(C.bits_set(F.col("_lines"), K.LINE_LIMITS))).drop("_lines")
+    field = lambda i: F.get(fields, F.lit(i))
+    every = lambda n: F.lit((1 << n) - 1).cast("long")
+    rows = parts.withColumns({
+        "partition_code": C.parse_hex(field(0), F.lit(None).cast("long")),
+        "_lines": C.parse_hex(field(1), every(K.LINE_LIMITS)).bitwiseAND(every(K.LINE_LIMITS)),
+        "color_options": C.parse_hex(field(2), every(K.COLOR_CODES)).bitwiseAND(every(K.COLOR_CODES)),
+    })
+    in_range = F.col("partition_code").between(0, K.PARTITION_CODES - 1)
+    wrong = F.when(F.size(fields) != 3, "three fields are needed").when(~F.coalesce(in_range, F.lit(False)), "bad partition code")
+    wrong = wrong.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, "bad set of line limits").when(F.coalesce(F.col("color_options"), F.lit(0)) == 0, "bad set of colours")
+    return rows.withColumn("_wrong", wrong)
+
+
+def parse_variants(df: DataFrame, column: str = "variants") -> DataFrame:
+    """`P:L:C,...` -> a row for each line limit of each part; a part that can't be read gives no row."""
+    rows = variant_parts(df, column).where("_wrong IS NULL")
+    return rows.select(*df.columns, "partition_code", "color_options", F.explode(C.bits_set(F.col("_lines"), K.LINE_LIMITS)).alias("line_limit")).select(*df.columns, "partition_code", "color_options", "line_limit")
+
+
+def numbered_variants(df: DataFrame, column: str = "variants") -> DataFrame:
+    """parse_variants() of a single row, with variant_id: numbers in the order of parts and line limits, so that
+    two parts of one code and line limit are two variants."""
+    line = F.explode(C.bits_set(F.col("_lines"), K.LINE_LIMITS)).alias("line_limit")
+    rows = variant_parts(df, column).where("_wrong IS NULL").select("_at", "partition_code", "color_options", line)
+    return rows.select((F.col("_at") * K.LINE_LIMITS + F.col("line_limit")).cast("int").alias("variant_id"), "partition_code", "line_limit", "color_options")
 
 
 def pack_variants(df: DataFrame) -> DataFrame:

@@ -69,9 +69,12 @@ def cut(spans: np.ndarray, sn: int, cs: int, d: int) -> tuple[np.ndarray, np.nda
 
 
 def parse(data: bytes, older: bool = False) -> tuple[Header, list[tuple[tuple[int, ...], np.ndarray]] | None]:
-    """The header and, for each leaf, its colour and spans; None for a stream that names an empty region."""
+    """The header and, for each leaf, its colour and spans; None for a stream that names an empty region or
+    a side beyond the largest."""
     read = Reader(data)
     head = Header(read, older)
+    if max(head.width, head.height) > K.LARGEST_SIDE:
+        return head, None
     palette = [tuple(read.number(256) for _ in range(3)) for _ in range(head.palette_size)]
     rows = np.arange(head.height)
     queue = [np.column_stack([rows, np.zeros_like(rows), np.full_like(rows, head.width)])]

@@ -27,9 +27,13 @@ KEYS = [*TREE, "node"]
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files; a temporary one only where none is set (local tests)."""
+    """A new folder where the cluster shares files; a temporary one only where none is set and Spark is one
+    local process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-rastermill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/trees-{uuid.uuid4().hex}"

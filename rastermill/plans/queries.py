@@ -89,7 +89,7 @@ def file_names(spark, sf_dir):
 
 
 def variant_parse(spark, sf_dir):
-    part = F.concat_ws(":", F.lower(F.hex(F.col("p_partkey") % 500)), F.when(F.col("p_partkey") % 7 == 0, "*").otherwise(F.lower(F.hex(F.col("p_partkey") * 37 % 4095 + 1))), F.lower(F.hex(F.col("p_size").cast("long") + 1)))
+    part = F.concat_ws(":", F.lower(F.hex(F.col("p_partkey") % 500)), F.when(F.col("p_partkey") % 7 == 0, "*").when(F.col("p_partkey") % 7 == 1, "7fffffffffffffff").when(F.col("p_partkey") % 7 == 2, "0000000000000041").otherwise(F.lower(F.hex(F.col("p_partkey") * 37 % 4095 + 1))), F.lower(F.hex(F.col("p_size").cast("long") + 1)))
     return D.parse_variants(table(spark, sf_dir, "part").select("p_partkey", part.alias("variants"))).select("p_partkey", "partition_code", "line_limit", "color_options")
 
 
@@ -154,12 +154,8 @@ def region_level(spark, sf_dir):
 # Geometry
 
 
-def turned_all(spark, sf_dir):
-    return roots(emb(spark, sf_dir)).join(F.broadcast(D.angles(spark).select("angle", "sn", "cs")))  # 512 rows
-
-
 def turned(spark, sf_dir):
-    return turned_all(spark, sf_dir).where("angle % 32 = 0")
+    return roots(emb(spark, sf_dir)).join(F.broadcast(D.angles(spark).select("angle", "sn", "cs")))  # 512 rows
 
 
 def ranges_of(spans: DataFrame) -> DataFrame:
@@ -167,14 +163,9 @@ def ranges_of(spans: DataFrame) -> DataFrame:
 
 
 def distance_range(spark, sf_dir):
-    """At every 32nd angle, as its SQL says; distance_range_all has all."""
     return ranges_of(turned(spark, sf_dir))
 
 
-def distance_range_all(spark, sf_dir):
-    return ranges_of(turned_all(spark, sf_dir))
-
-
 def candidate_lines(spark, sf_dir):
     tried = S.candidates(roots(emb(spark, sf_dir)), ["image_id"])
     return tried.select("image_id", "angle_code", "line", "d", "num_lines")
@@ -186,14 +177,9 @@ def parts_of(spans: DataFrame) -> DataFrame:
 
 
 def split_line(spark, sf_dir):
-    """At every 32nd angle, as its SQL says; split_line_all has all."""
     return parts_of(turned(spark, sf_dir))
 
 
-def split_line_all(spark, sf_dir):
-    return parts_of(turned_all(spark, sf_dir))
-
-
 def split_scores(spark, sf_dir):
     pixels = emb(spark, sf_dir)
     spans, prefix = roots(pixels), R.prefix_sums(pixels)
@@ -241,23 +227,13 @@ def centres_of(near: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def nearest_palette(spark, sf_dir):
-    """Of the first 8 columns, as its SQL says; nearest_palette_all has all."""
-    return nearest_of(spark, emb(spark, sf_dir).where("x < 8"))
-
-
-def nearest_palette_all(spark, sf_dir):
     return nearest_of(spark, emb(spark, sf_dir))
 
 
 def palette_step(spark, sf_dir):
-    """Of the first 8 columns, as its SQL says; palette_step_all has all."""
     return centres_of(nearest_palette(spark, sf_dir), emb(spark, sf_dir))
 
 
-def palette_step_all(spark, sf_dir):
-    return centres_of(nearest_palette_all(spark, sf_dir), emb(spark, sf_dir))
-
-
 def simulated_error(spark, sf_dir):
     pixels = emb(spark, sf_dir)
     rows = pixels.groupBy("image_id", "y").agg(*(F.avg(c).alias(c) for c in ("r", "g", "b")), F.count(F.lit(1)).alias("c")).withColumn("quant", F.lit(17).cast("long"))
@@ -327,8 +303,9 @@ QUERIES = {f.__name__: f for f in (
     angle_table_int, angle_table_real, log2_values, color_codes, partition_codes, all_variants, angle_bits, level_scale, image_tax, parse_numbers, file_names, variant_parse, variant_records,
     option_sets, single_bits, crc64, xorshift, psnr, raster_lineitem, rgba_pixels, prefix_sums, square_sums, region_stats, region_level, distance_range, candidate_lines, split_line, split_scores,
     best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images, decode_streams,
-    nearest_palette_all, palette_step_all, distance_range_all, split_line_all,
 )}
+# Earlier names of queries that now do the whole job themselves.
+QUERIES |= {f"{f.__name__}_all": f for f in (nearest_palette, palette_step, distance_range, split_line)}
 
 ANGLES_SQL = """ang AS (SELECT i AS angle, CAST(floor(sin(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS sn, CAST(floor(cos(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS cs
  FROM (SELECT CAST(range AS INTEGER) AS i FROM range(512)))"""
@@ -340,11 +317,11 @@ PREFIX_SQL = """prefix AS (SELECT image_id, y, x + 1 AS x, CAST(sum(r) OVER w AS
  FROM raster WINDOW w AS (PARTITION BY image_id, y ORDER BY x ROWS UNBOUNDED PRECEDING)
  UNION ALL SELECT DISTINCT image_id, y, 0, 0, 0, 0, 0 FROM raster)"""
 ROOT_SQL = "root AS (SELECT DISTINCT image_id, y, CAST(0 AS BIGINT) AS x0, CAST(64 AS BIGINT) AS x1 FROM raster)"
-TURNED_SQL = "turned AS (SELECT root.*, angle, sn, cs FROM root, ang WHERE angle % 32 = 0)"
+TURNED_SQL = "turned AS (SELECT root.*, angle, sn, cs FROM root, ang)"
 REACH_SQL = """ends AS (SELECT image_id, angle, sn, cs, min(cs * y + sn * x0) AS low, max(cs * y + sn * (x1 - 1)) AS high FROM turned GROUP BY 1, 2, 3, 4),
 quanta AS (SELECT *, CASE WHEN high - low > 262144 * 15 THEN (2 * (high - low) + 15) // 30 ELSE 262144 END AS line_quant FROM ends),
 reach AS (SELECT *, greatest(1, (high - low) // line_quant) AS num_lines FROM quanta)"""
-LINES_SQL = """numbered AS (SELECT *, unnest(range(num_lines)) AS line FROM reach),
+LINES_SQL = """numbered AS (SELECT *, unnest(range(num_lines)) AS line FROM reach WHERE angle % 32 = 0),
 lines AS (SELECT image_id, angle // 32 AS angle_code, sn, cs, line, num_lines,
  CASE WHEN num_lines > 1 THEN low + (high - low - (num_lines - 1) * line_quant) // 2 + line_quant * line ELSE ((high + low + 4294967296) % 4294967296) // 2 END AS d FROM numbered)"""
 CUT = "CASE WHEN sn = 0 THEN CASE WHEN y * cs >= d THEN x0 ELSE x1 END ELSE least(x1, greatest(x0, (2 * d + sn - 2 * y * cs) // (2 * sn))) END"
@@ -358,7 +335,7 @@ scored AS (SELECT l.image_id, angle_code, line, d, num_lines, l_c,
 GEOMETRY = f"WITH {ANGLES_SQL}, {RASTER_SQL}, {ROOT_SQL}, {TURNED_SQL}"
 QUANT = "1 + ((4 + code % 4) << (code // 4))"
 PALETTE_SQL = """palette AS (SELECT range AS idx, range * 36 AS pr, 255 - range * 36 AS pg, range * 17 AS pb FROM range(8)),
-distances AS (SELECT image_id, y, x, r, g, b, idx, CAST((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) AS DOUBLE) AS d2 FROM raster, palette WHERE x < 8),
+distances AS (SELECT image_id, y, x, r, g, b, idx, CAST((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) AS DOUBLE) AS d2 FROM raster, palette),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY d2, idx) AS k FROM distances) WHERE k = 1)"""
 
 ORACLES = {
@@ -376,7 +353,7 @@ SELECT code, side, level, scale // 36 AS scale FROM s""",
     "image_tax": "SELECT range AS side, CAST(3 + floor(log2(range - 1)) AS BIGINT) AS bits, round(20.5577740523::DOUBLE + 2 * (3 + floor(log2(range - 1))), 6) AS tax FROM range(9, 2049)",
     "parse_numbers": "SELECT c_custkey, CAST(nullif(regexp_replace(c_name, '[^0-9]', '', 'g'), '') AS BIGINT) AS number FROM customer",
     "file_names": r"SELECT page_id, regexp_extract(url, '[^/\\]*$', 0) AS name FROM pages",
-    "variant_parse": """WITH p AS (SELECT p_partkey, p_partkey % 500 AS partition_code, CASE WHEN p_partkey % 7 = 0 THEN 9223372036854775807 ELSE p_partkey * 37 % 4095 + 1 END AS lines, CAST(p_size AS BIGINT) + 1 AS color_options FROM part)
+    "variant_parse": """WITH p AS (SELECT p_partkey, p_partkey % 500 AS partition_code, CASE WHEN p_partkey % 7 <= 1 THEN 9223372036854775807 WHEN p_partkey % 7 = 2 THEN 65 ELSE p_partkey * 37 % 4095 + 1 END AS lines, CAST(p_size AS BIGINT) + 1 AS color_options FROM part)
 SELECT p_partkey, partition_code, CAST(l.range AS INTEGER) AS line_limit, color_options FROM p, range(63) l WHERE (lines >> l.range::INTEGER) & 1 = 1""",
     "variant_records": """WITH v AS (SELECT CAST(range AS INTEGER) AS variant_id, range // 63 AS partition_code, range % 63 AS line_limit FROM range(31500))
 SELECT variant_id, printf('%02X%02X%02XFFFFFFFFFFFF01', partition_code % 256, partition_code // 256, line_limit) AS record, partition_code, line_limit, 562949953421311::BIGINT AS color_options FROM v""",
@@ -425,3 +402,4 @@ SELECT id, CAST(k - 1 AS INTEGER) AS pos, value, max FROM e""",
     "decode_images": "SELECT 0::BIGINT AS image_id, i // 20 AS y, i % 20 AS x, 255::BIGINT AS r, v AS g, v AS b FROM (SELECT range AS i, ((145536 >> ((range % 20 // 4 + 5 * (range // 80))::INTEGER)) & 1) * 255 AS v FROM range(400))",
     "entropy_estimate": "SELECT l_orderkey, round(count(*) * log2(7), 6) AS bits FROM lineitem GROUP BY 1",
 }
+ORACLES |= {f"{name}_all": ORACLES[name] for name in ("nearest_palette", "palette_step", "distance_range", "split_line")}
