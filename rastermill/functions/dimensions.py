@@ -46,19 +46,19 @@ def all_variants(spark: SparkSession) -> DataFrame:
 def variant_parts(df: DataFrame, column: str = "variants") -> DataFrame:
     """`P:L:C,...` in hexadecimal -> a row for each part, in order: _at, _part, partition_code, color_options,
     _lines (a set of line limits) and _wrong: null, or why the part can't be used. `*` stands for all line
-    limits or colours; bits beyond the last limit or colour don't count."""
+    limits or colours; bits beyond the last limit or colour are wrong."""
     parts = df.select(*df.columns, F.posexplode(F.split(F.col(column), ",")).alias("_at", "_part"))
     fields = F.split("_part", ":")
     field = lambda i: F.get(fields, F.lit(i))
     every = lambda n: F.lit((1 << n) - 1).cast("long")
     rows = parts.withColumns({
         "partition_code": C.parse_hex(field(0), F.lit(None).cast("long")),
-        "_lines": C.parse_hex(field(1), every(K.LINE_LIMITS)).bitwiseAND(every(K.LINE_LIMITS)),
-        "color_options": C.parse_hex(field(2), every(K.COLOR_CODES)).bitwiseAND(every(K.COLOR_CODES)),
+        "_lines": C.parse_hex(field(1), every(K.LINE_LIMITS)),
+        "color_options": C.parse_hex(field(2), every(K.COLOR_CODES)),
     })
     in_range = F.col("partition_code").between(0, K.PARTITION_CODES - 1)
     wrong = F.when(F.size(fields) != 3, "three fields are needed").when(~F.coalesce(in_range, F.lit(False)), "bad partition code")
-    wrong = wrong.when(F.coalesce(F.col("_lines"), F.lit(0)) == 0, "bad set of line limits").when(F.coalesce(F.col("color_options"), F.lit(0)) == 0, "bad set of colours")
+    wrong = wrong.when(F.coalesce(F.col("_lines"), F.lit(0)) <= 0, "bad set of line limits").when(~F.coalesce(F.col("color_options").between(1, (1 << K.COLOR_CODES) - 1), F.lit(False)), "bad set of colours")
     return rows.withColumn("_wrong", wrong)
 
 

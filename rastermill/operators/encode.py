@@ -79,10 +79,12 @@ def stream_entries(jobs: DataFrame, best: DataFrame, nodes: DataFrame, taken: Da
 def encode_images(pixels: DataFrame, variants: DataFrame, target_size: int = 200) -> DataFrame:
     """(image_id, status, variant_id, color, mse, data): a row for each image of `pixels`.
 
-    `variants` (variant_id, partition_code, line_limit as an index, color_options) are all tried.
-    `status` is ok, size (a side out of bounds) or flat (no variant splits it twice); only the
+    `variants` (variant_id, partition_code, line_limit as an index, color_options) are all tried; a
+    variant_id that repeats is refused. `status` is ok, size (a side out of bounds) or flat (no variant splits it twice); only the
     first has a stream, of `target_size` bytes or fewer.
     """
+    if not variants.groupBy("variant_id").count().where("count > 1").isEmpty():
+        raise ValueError("variant_id repeats")
     images = R.guarded(R.sizes(pixels))
     good = images.where("reason IS NULL")
     at = scratch(pixels.sparkSession)

@@ -26,30 +26,35 @@ def write_streams(df: DataFrame, path: str) -> None:
 
 
 def write_files(spark: SparkSession, df: DataFrame, folder: str, suffix: str) -> DataFrame:
-    """(name, data) -> one file a row in `folder`, written by the tasks through Hadoop-free local or
-    mounted paths; gives (name, written)."""
+    """(name, data) -> one file a row in `folder`, written by the tasks; gives (name, written). `folder` is a URI
+    of a store that all executors reach (hdfs, s3, gs), or a path on a disk that they share. Rows whose
+    names repeat are not written, for one would take the other's place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+        from pyarrow import fs
 
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         for batch in batches:
             done = []
-            for name, data in zip(batch["name"], batch["data"], strict=True):
+            for name, data, times in zip(batch["name"], batch["data"], batch["times"], strict=True):
                 try:
-                    os.makedirs(folder, exist_ok=True)
-                    with open(f"{folder}/{name}{suffix}", "wb") as f:
-                        f.write(bytes(data))
-                    done.append(True)
+                    if times == 1:
+                        store.create_dir(base, recursive=True)
+                        with store.open_output_stream(f"{base}/{name}{suffix}") as f:
+                            f.write(bytes(data))
+                    done.append(times == 1)
                 except OSError:
                     done.append(False)
             yield pd.DataFrame({"name": batch["name"].astype(object), "written": done})
 
-    return df.select(F.col("name").cast("string"), "data").mapInPandas(run, "name string, written boolean")
+    rows = df.select(F.col("name").cast("string"), "data")
+    counted = rows.join(rows.groupBy("name").agg(F.count(F.lit(1)).alias("times")), "name")
+    return counted.mapInPandas(run, "name string, written boolean")
 
 
-def read_png(spark: SparkSession, path: str) -> DataFrame:
+def read_png(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, width, height, y, x, r, g, b) of all PNG images with three colour channels."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    images = spark.read.format("image").option("dropInvalid", True).load(list(paths)).select("image.*")
     images = images.where("nChannels IN (3, 4)")
     at = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i")
     rows = images.select("origin", "width", "height", "nChannels", "data", at)
@@ -82,3 +87,12 @@ def write_png(pixels: DataFrame) -> DataFrame:
     whole = rows.groupBy("image_id").agg(F.max("width").alias("width"), F.count(F.lit(1)).alias("height"), F.array_sort(F.collect_list(F.struct("y", "line"))).alias("lines"))
     data = F.unhex(F.array_join(F.transform("lines", lambda p: p["line"]), ""))
     return whole.select("image_id", to_png("width", "height", data).alias("data"))
+
+
+def rgba_rows(pixels: DataFrame) -> DataFrame:
+    """Pixels -> (image_id, width, height, data): each image as interleaved RGBA bytes, alpha 255."""
+    code = F.concat(F.lpad(F.hex(F.col("r") * 65536 + F.col("g") * 256 + F.col("b")), 6, "0"), F.lit("FF"))
+    rows = pixels.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", code.alias("code")))).alias("row"))
+    rows = rows.select("image_id", "y", F.size("row").alias("width"), F.array_join(F.transform("row", lambda p: p["code"]), "").alias("line"))
+    whole = rows.groupBy("image_id").agg(F.max("width").cast("long").alias("width"), F.count(F.lit(1)).alias("height"), F.array_sort(F.collect_list(F.struct("y", "line"))).alias("lines"))
+    return whole.select("image_id", "width", "height", F.unhex(F.array_join(F.transform("lines", lambda p: p["line"]), "")).alias("data"))
