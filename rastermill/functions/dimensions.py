@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastermill.functions import columns as C
 from rastermill.functions import constants as K
 
+# Sines and cosines of the angles as arrays, for kernels.
+TURN = np.arange(K.ANGLES) * (math.pi / K.ANGLES)
+SIN = np.floor(np.sin(TURN) * K.SCALE + 0.5).astype(np.int64)
+COS = np.floor(np.cos(TURN) * K.SCALE + 0.5).astype(np.int64)
+
 
 def angles(spark: SparkSession) -> DataFrame:
     """(angle, sn, cs, inv_sin, minus_cot): 512 rows."""

@@ -11,13 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.functions import constants as K
+from rastermill.functions.dimensions import COS, SIN
 from rastermill.operators.entropy import Reader
 from rastermill.operators.geometry import paint
 
-TURN = np.arange(K.ANGLES) * (np.pi / K.ANGLES)
-SIN = np.floor(np.sin(TURN) * K.SCALE + 0.5).astype(np.int64)
-COS = np.floor(np.cos(TURN) * K.SCALE + 0.5).astype(np.int64)
-
 
 def truncated(a: np.ndarray, b: int) -> np.ndarray:
     return np.sign(a) * (np.abs(a) // b)

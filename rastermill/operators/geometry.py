@@ -56,13 +56,15 @@ def boundary(exact: bool = True) -> Column:
     """Where the line of offset d cuts row y, within the span; from columns y, x0, x1, sn, cs, d.
 
     Pixels from there on are the left side. The exact rule decides the pieces; the other
-    one, in floating point, is what candidates are scored by, and may differ by a pixel.
+    one, in single precision, is what candidates are scored by, and may differ by a pixel.
     """
+    single = lambda x: x.cast("float").cast("double")
     y, x0, x1, sn, cs, d = (F.col(c) for c in ("y", "x0", "x1", "sn", "cs", "d"))
     if exact:
         level, cut = y * cs >= d, C.div(2 * d + sn - 2 * y * cs, 2 * sn)
     else:
-        level, cut = y >= d / cs, (y * (-cs / sn) + d / sn + 0.5).cast("long")
+        level = y >= (single(d) / single(cs)).cast("float")
+        cut = (y.cast("double") * single(-cs / sn) + single(d * (1.0 / sn) + 0.5)).cast("float").cast("long")
     return F.when(sn == 0, F.when(level, x0).otherwise(x1)).otherwise(F.least(x1, F.greatest(x0, cut)))
 
 

@@ -1,15 +1,22 @@
-"""The best line to split each region by."""
+"""The best line to split each region by.
+
+All candidates of a region, up to 512 angles by 63 lines, are scored where the region and its image's prefix
+sums meet: by arrays within a task (best_splits), or, for single steps, as rows (candidates, left_sums)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.functions import constants as K
-from rastermill.functions.dimensions import angles
+from rastermill.functions.dimensions import COS, SIN, angles
 from rastermill.operators import geometry as G
 
 SUMS = ("sr", "sg", "sb", "c")
+BEST = ("score", "angle_code", "line", "sn", "cs", "d", "num_lines")
+PART_SPANS, KNOWN_REGIONS, CANDIDATES = 50_000, 2_000, 1 << 21
 
 
 def split_score() -> Column:
@@ -48,13 +55,114 @@ def left_sums(spans: DataFrame, tried: DataFrame, prefix: DataFrame, whole: Data
     return joined.where((F.col("l_c") > 0) & (F.col("l_c") < F.col("c")))
 
 
+def prefix_rows(prefix: DataFrame) -> DataFrame:
+    """Prefix sums as a row for each row of an image: (image_id, y, sr, sg, sb), lists by x."""
+    cell = F.struct("x", "sr", "sg", "sb")
+    rows = prefix.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return rows.select("image_id", "y", *(F.col(f"cells.{s}").alias(s) for s in SUMS[:3]))
+
+
+class ImageScorer:
+    """Scores all candidate lines of an image's regions from its prefix sums."""
+
+    def __init__(self, rows: pd.DataFrame, exact: bool):
+        self.exact, self.known = exact, {}
+        rows = rows.sort_values("y")
+        self.sums = [np.array(rows[s].tolist(), np.int64) for s in SUMS[:3]]
+        self.first = int(rows["y"].iloc[0]) if len(rows) else 0
+
+    def best(self, spans: np.ndarray, bits: int, limit: int) -> tuple:
+        """Of a region (rows y, x0, x1): its sums, and score, angle code, line, sn, cs, d, number of lines of the
+        best candidate (None where no line scores 0.5). Regions that return with the same bits and limit, as
+        roots do for most variants, are scored once."""
+        key = (spans.tobytes(), bits, limit)
+        if key not in self.known:
+            if len(self.known) >= KNOWN_REGIONS:
+                self.known.clear()
+            self.known[key] = self.search(spans, bits, limit)
+        return self.known[key]
+
+    def search(self, spans: np.ndarray, bits: int, limit: int) -> tuple:
+        y, x0, x1 = spans.T
+        planes = [s[y - self.first] for s in self.sums]
+        each = np.arange(len(y))
+        ends = [int(p[each, x1].sum()) for p in planes] + [int(x1.sum())]
+        whole = [e - int(p[each, x0].sum()) for e, p in zip(ends, planes, strict=False)] + [int((x1 - x0).sum())]
+        best: tuple = (0.5, None)
+        step = max(1, CANDIDATES // (limit * len(y)))
+        for begin in range(0, 1 << bits, step):
+            codes = np.arange(begin, min(1 << bits, begin + step))
+            sn, cs = SIN[codes << 9 - bits], COS[codes << 9 - bits]
+            low, high = (cs[:, None] * y + sn[:, None] * x0).min(axis=1), (cs[:, None] * y + sn[:, None] * (x1 - 1)).max(axis=1)
+            delta = high - low
+            quant = np.where(delta > K.SCALE * limit, (2 * delta + limit) // (2 * limit), K.SCALE)
+            lines = np.maximum(1, delta // quant)
+            slack = delta - (lines - 1) * quant
+            line = np.arange(int(lines.max()))
+            several = (low + np.sign(slack) * (np.abs(slack) // 2))[:, None] + quant[:, None] * line
+            d = np.where(lines[:, None] > 1, several, ((high + low) % (1 << 32) // 2)[:, None])
+            at = edges(y, x0, x1, sn[:, None, None], cs[:, None, None], d[:, :, None], self.exact)
+            flat = at + each * planes[0].shape[1]
+            left = [e - p.ravel()[flat].sum(axis=2) for p, e in zip(planes, ends, strict=False)] + [ends[3] - at.sum(axis=2)]
+            valid = (line < lines[:, None]) & (left[3] > 0) & (left[3] < whole[3])
+            if not valid.any():
+                continue
+            count = np.where(valid, left[3], 1)
+            other = np.where(valid, whole[3] - left[3], 1)
+            total = np.zeros(count.shape)
+            for part, sum_ in zip(left[:3], whole[:3], strict=True):
+                mean = sum_ / whole[3]
+                near, far = part / count - mean, (sum_ - part) / other - mean
+                total = total + near * near * count + far * far * other
+            total = np.where(valid, total, -1.0)
+            a, n = np.unravel_index(int(total.argmax()), total.shape)
+            score = float(total[a, n])
+            if score > best[0] or best[1] is None and score >= 0.5:
+                best = (score, (int(codes[a]), int(n), int(sn[a]), int(cs[a]), int(d[a, n]), int(lines[a])))
+        return (*whole, best[0], *best[1]) if best[1] else (*whole, *[None] * 7)
+
+
+def edges(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, sn: np.ndarray, cs: np.ndarray, d: np.ndarray, exact: bool) -> np.ndarray:
+    """geometry.boundary() for arrays."""
+    some = np.where(sn == 0, 1, sn)
+    if exact:
+        top = 2 * d + sn - 2 * y * cs
+        cut, level = np.sign(top) * (np.abs(top) // (2 * some)), y * cs >= d
+    else:
+        slope, shift = (-cs / some).astype(np.float32), (d * (1.0 / some) + 0.5).astype(np.float32)
+        cut = (y.astype(np.float64) * slope + shift).astype(np.float32).astype(np.int64)
+        level = y >= d.astype(np.float32) / np.where(sn == 0, cs, 1).astype(np.float32)
+    return np.where(sn == 0, np.where(level, x0, x1), np.minimum(x1, np.maximum(x0, cut)))
+
+
 def best_splits(spans: DataFrame, prefix: DataFrame, keys: list[str], exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """spans: with angle_bits and line_limit. The sums of each region, and its best candidate: the
     largest score, of equals the first angle, then the first line. Regions without a candidate
     of score 0.5 or more have none."""
-    whole = G.region_stats(spans, prefix, keys)
-    scored = left_sums(spans, candidates(spans, keys), prefix, whole, keys, exact).withColumn("score", split_score())
-    first = F.max(F.struct("score", (-F.col("angle_code")).alias("a"), (-F.col("line")).alias("l"), "sn", "cs", "d", "num_lines"))
-    best = scored.groupBy(*keys).agg(first.alias("best")).select(*keys, "best.*").where(F.col("score") >= 0.5)
-    best = best.select(*keys, "score", (-F.col("a")).alias("angle_code"), (-F.col("l")).alias("line"), "sn", "cs", "d", "num_lines")
-    return whole, best
+    both = scored_regions(spans, prefix_rows(prefix), keys, exact)
+    return both.select(*keys, *SUMS), both.where("score IS NOT NULL").drop(*SUMS)
+
+
+def scored_regions(spans: DataFrame, rows: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
+    """(keys, sums, score, angle_code, line, sn, cs, d, num_lines): best_splits() in one table, from the result of
+    prefix_rows(). An image's regions are dealt into parts of about PART_SPANS spans, each of which gets
+    the image's rows; candidates never leave the task."""
+    own = [c for c in keys if c != "image_id"]
+    region = F.xxhash64(*own) if own else F.lit(0).cast("long")
+    parts = spans.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / PART_SPANS).alias("_parts"))
+    dealt = spans.join(parts, "image_id").withColumn("_part", F.pmod(region, "_parts")).select(*keys, "y", "x0", "x1", "angle_bits", "line_limit", "_part")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_piece")
+    copies = rows.join(parts, "image_id").select(F.col("image_id").alias("_image"), "y", *SUMS[:3], piece)
+    types = dict(spans.dtypes)
+    names = [*keys, *SUMS, *BEST]
+
+    def run(regions: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        scorer, out = ImageScorer(image, exact), []
+        for key, each in regions.groupby(keys, sort=False) if len(regions) else []:
+            each = each.sort_values(["y", "x0"])
+            out.append((*key, *scorer.best(each[["y", "x0", "x1"]].to_numpy(np.int64), int(each["angle_bits"].iloc[0]), int(each["line_limit"].iloc[0]))))
+        found = pd.DataFrame(out, columns=names)
+        return found.astype({n: "Int64" for n in (*SUMS, *BEST[1:])} | {"score": "Float64"})
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", sr long, sg long, sb long, c long, score double, angle_code int, line long, sn long, cs long, d long, num_lines long"
+    return dealt.groupBy("image_id", "_part").cogroup(copies.groupBy("_image", "_piece")).applyInPandas(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from rastermill.functions import columns as C
 from rastermill.operators import geometry as G
-from rastermill.operators.splits import SUMS, best_splits
+from rastermill.operators.splits import SUMS, prefix_rows, scored_regions
 
 TREE = ["image_id", "variant_id"]
 KEYS = [*TREE, "node"]
@@ -54,15 +54,14 @@ def coding_jobs(images: DataFrame, variants: DataFrame, target_size: int) -> Dat
     )
 
 
-def grow(spans: DataFrame, prefix: DataFrame, jobs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """spans of a frontier -> its nodes (sums, best split, cost; cost is null where none), and the spans
+def grow(spans: DataFrame, rows: DataFrame, jobs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """spans of a frontier, and prefix_rows() -> its nodes (sums, best split, cost; cost is null where none), and the spans
     of their children."""
     sized = G.squared_size(spans, KEYS).join(jobs.select(*TREE, "scale", "bits", "line_limit"), TREE)
     level = C.level_of(F.col("size"), F.col("scale"))
     levels = sized.select(*KEYS, "line_limit", F.element_at("bits", (level + 1).cast("int")).alias("angle_bits"))
     ready = spans.join(levels, KEYS)
-    whole, best = best_splits(ready, prefix, KEYS)
-    both_sums = stored(whole.join(best, KEYS, "left"), path)
+    both_sums = stored(scored_regions(ready, rows, KEYS), path)
     whole, best = both_sums.select(*KEYS, *SUMS), both_sums.where("score IS NOT NULL").drop(*SUMS)
     parts = G.split_spans(spans.join(best.select(*KEYS, "sn", "cs", "d"), KEYS))
     both = parts.groupBy(*KEYS).agg(F.count_distinct("side").alias("sides")).where("sides = 2").select(*KEYS)
@@ -106,11 +105,11 @@ def build_trees(jobs: DataFrame, prefix: DataFrame) -> tuple[DataFrame, DataFram
     spark = jobs.sparkSession
     at = scratch(spark)
     jobs = stored(jobs, f"{at}/jobs")
-    prefix = stored(prefix, f"{at}/prefix")
+    rows = stored(prefix_rows(prefix), f"{at}/prefix")
     frontier = G.root_spans(jobs.select(*TREE, F.lit("").alias("node"), "width", "height")).select(*KEYS, "y", "x0", "x1")
     nodes, taken, step = None, None, 0
     while True:
-        new, children = grow(stored(frontier, f"{at}/frontier-{step}"), prefix, jobs, f"{at}/splits-{step}")
+        new, children = grow(stored(frontier, f"{at}/frontier-{step}"), rows, jobs, f"{at}/splits-{step}")
         new = stored(new, f"{at}/nodes-{step}")
         children = stored(children, f"{at}/children-{step}")
         nodes = new if nodes is None else nodes.unionByName(new)
