@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rastermill.functions import columns as C
 from rastermill.functions import constants as K
@@ -100,3 +104,10 @@ def encode_images(pixels: DataFrame, variants: DataFrame, target_size: int = 200
     coded = best.join(streams, "image_id").join(R.square_sums(pixels), "image_id")
     status = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("data").isNull(), "flat").otherwise("ok")
     return images.join(coded, "image_id", "left").select("image_id", status.alias("status"), "variant_id", "color", mse.alias("mse"), "data")
+
+
+@F.pandas_udf(T.BinaryType())
+def result_record(mse: pd.Series, data: pd.Series) -> pd.Series:
+    """A coded image as one record: the stream's size and the error, 32 bits each, little-endian, then the stream;
+    null without a stream."""
+    return pd.Series([None if d is None else struct.pack("<If", len(d), m) + bytes(d) for m, d in zip(mse, data, strict=True)])

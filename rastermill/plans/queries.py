@@ -14,7 +14,8 @@ from rastermill.operators import geometry as G
 from rastermill.operators import palette as P
 from rastermill.operators import rasters as R
 from rastermill.operators import splits as S
-from rastermill.operators.tree import budget_prefix
+from rastermill.operators.tree import budget_prefix, taken_splits
+from rastermill.sources.files import rgba_rows
 
 ANGLE_BITS, LINE_LIMIT = 4, 15
 
@@ -166,6 +167,12 @@ def distance_range(spark, sf_dir):
     return ranges_of(turned(spark, sf_dir))
 
 
+def boundary_real(spark, sf_dir):
+    """Where a line cuts each row by the rule of single precision that candidates are scored by."""
+    cuts = turned(spark, sf_dir).withColumn("d", F.col("sn") * 20 + F.col("cs") * 5)
+    return cuts.select("image_id", "angle", "y", G.boundary(exact=False).alias("x"))
+
+
 def candidate_lines(spark, sf_dir):
     tried = S.candidates(roots(emb(spark, sf_dir)), ["image_id"])
     return tried.select("image_id", "angle_code", "line", "d", "num_lines")
@@ -194,6 +201,13 @@ def best_split(spark, sf_dir):
     return best.select("image_id", "angle_code", "line", "d", "num_lines", F.round("score", 4).alias("score"))
 
 
+def best_split_real(spark, sf_dir):
+    """The best candidate as the encoder finds it."""
+    pixels = emb(spark, sf_dir)
+    _, best = S.best_splits(roots(pixels), R.prefix_sums(pixels), ["image_id"])
+    return best.select("image_id", "angle_code", "line", "d", "num_lines", F.round("score", 4).alias("score"))
+
+
 # Budget, colours, painting
 
 
@@ -201,6 +215,36 @@ def costs(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("ordinal")).agg(F.sum(F.col("l_quantity").cast("long")).alias("cost")).withColumn("budget", F.lit(100))
 
 
+def small_trees(spark, sf_dir):
+    """Nodes (sums, score, cost) of trees of 31 nodes, one for each hundredth order, and a budget for each."""
+    k = F.explode(F.sequence(F.lit(1), F.lit(31))).alias("k")
+    rows = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("image_id"), k)
+    mixed = (F.col("image_id") * 7919 + F.col("k") * F.col("k") * 104729 + F.col("k") * 31) % 1009
+    sums = [(mixed * m % 5000 + F.col("k")).cast("long").alias(f"s{c}") for c, m in (("r", 3), ("g", 5), ("b", 7))]
+    inner = F.col("k") < 16
+    cost = F.when(inner, 2 + (mixed % 24) / 4.0)
+    node = F.translate(F.expr("substring(bin(k), 2)"), "01", "LR")
+    rows = rows.select("image_id", F.lit(0).alias("variant_id"), "k", node.alias("node"), *sums, (mixed % 50 + 1).alias("c"), F.when(inner, mixed * 1.0).alias("score"), cost.alias("cost"))
+    return rows.withColumn("budget", 20.0 + F.col("image_id") % 40)
+
+
+def tree_splits(spark, sf_dir):
+    """Splits that best-first search takes under a budget."""
+    nodes = small_trees(spark, sf_dir)
+    jobs = nodes.select("image_id", "variant_id", "budget").distinct()
+    return taken_splits(nodes.drop("budget"), jobs).select("image_id", "node", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+def tree_patches(spark, sf_dir):
+    """Leaves of the trees of the first 1, 2, 3 splits."""
+    nodes = small_trees(spark, sf_dir)
+    jobs = nodes.select("image_id", "variant_id", "budget").distinct()
+    taken = taken_splits(nodes.drop("budget"), jobs)
+    trials = jobs.select("image_id", "variant_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("color")).withColumns({"n": F.col("color").cast("long"), "quant": F.lit(17), "palette": F.lit(0)})
+    found = encode.gather_patches(trials, nodes, taken)
+    return found.select("image_id", "color", "node", F.col("seq").cast("long").alias("seq"), *rounded("r", "g", "b"), "c")
+
+
 def budget_count(spark, sf_dir):
     return budget_prefix(costs(spark, sf_dir), ["l_orderkey"])
 
@@ -271,7 +315,7 @@ def rans_roundtrip(spark, sf_dir):
     coded = symbol_streams(spark, sf_dir).withColumn("data", E.encode_stream("entries"))
     read = coded.withColumn("read", E.decode_stream("data", F.transform("entries", lambda e: e["max"])))
     same = F.col("read") == F.transform("entries", lambda e: e["value"])
-    return read.select("l_orderkey", F.size("entries").alias("numbers"), same.alias("same"))
+    return read.select("l_orderkey", F.size("entries").alias("numbers"), same.alias("same"), F.hex("data").alias("data"))
 
 
 def entropy_estimate(spark, sf_dir):
@@ -294,6 +338,39 @@ def decode_images(spark, sf_dir):
     return decode.decode_images(spark.range(1).select(F.col("id").alias("image_id"), F.unhex(F.lit(CROSS)).alias("data")))
 
 
+def odd_images(spark: SparkSession) -> DataFrame:
+    """The cross, a plain image and one that is too small."""
+    plain = R.cross(spark, 1).withColumns({c: F.lit(7).cast("long") for c in ("r", "g", "b")})
+    return R.cross(spark).unionByName(plain).unionByName(R.cross(spark, 2).where("x < 4"))
+
+
+def encode_statuses(spark, sf_dir):
+    """What is coded: the cross without loss, within the target; the others not at all."""
+    variants = spark.createDataFrame([(0, 215, 6, 1 << 18)], "variant_id int, partition_code int, line_limit int, color_options long")
+    rows = encode.encode_images(odd_images(spark), variants, target_size=24)
+    return rows.select("image_id", "status", "variant_id", "color", F.round("mse", 3).alias("mse"), (F.octet_length("data") <= 24).alias("fits"))
+
+
+def coded_and_decoded(spark: SparkSession, color: int, target: int) -> DataFrame:
+    variants = spark.createDataFrame([(0, 215, 6, 1 << color)], "variant_id int, partition_code int, line_limit int, color_options long")
+    return decode.decode_images(encode.encode_images(R.cross(spark), variants, target_size=target).select("image_id", "data"))
+
+
+def cross_by_palette(spark, sf_dir):
+    """The cross, coded with a palette and decoded."""
+    return coded_and_decoded(spark, 18, 24)
+
+
+def cross_by_steps(spark, sf_dir):
+    """The cross, coded with quantised channels and decoded."""
+    return coded_and_decoded(spark, 4, 60)
+
+
+def rgba_bytes(spark, sf_dir):
+    """Images as interleaved RGBA, alpha 255."""
+    return rgba_rows(emb(spark, sf_dir)).select("image_id", "width", "height", F.md5(F.hex("data").cast("binary")).alias("digest"))
+
+
 def decode_streams(spark, sf_dir):
     """All streams of encode_images; SQL can't express it."""
     return decode.decode_images(encode_images(spark, sf_dir).select("image_id", "data"))
@@ -303,6 +380,7 @@ QUERIES = {f.__name__: f for f in (
     angle_table_int, angle_table_real, log2_values, color_codes, partition_codes, all_variants, angle_bits, level_scale, image_tax, parse_numbers, file_names, variant_parse, variant_records,
     option_sets, single_bits, crc64, xorshift, psnr, raster_lineitem, rgba_pixels, prefix_sums, square_sums, region_stats, region_level, distance_range, candidate_lines, split_line, split_scores,
     best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images, decode_streams,
+    boundary_real, best_split_real, tree_splits, tree_patches, encode_statuses, cross_by_palette, cross_by_steps, rgba_bytes,
 )}
 # Earlier names of queries that now do the whole job themselves.
 QUERIES |= {f"{f.__name__}_all": f for f in (nearest_palette, palette_step, distance_range, split_line)}
@@ -402,4 +480,50 @@ SELECT id, CAST(k - 1 AS INTEGER) AS pos, value, max FROM e""",
     "decode_images": "SELECT 0::BIGINT AS image_id, i // 20 AS y, i % 20 AS x, 255::BIGINT AS r, v AS g, v AS b FROM (SELECT range AS i, ((145536 >> ((range % 20 // 4 + 5 * (range // 80))::INTEGER)) & 1) * 255 AS v FROM range(400))",
     "entropy_estimate": "SELECT l_orderkey, round(count(*) * log2(7), 6) AS bits FROM lineitem GROUP BY 1",
 }
+CROSS_SQL = ORACLES["decode_images"]
+REAL_CUT = """CASE WHEN sn = 0 THEN CASE WHEN CAST(y AS FLOAT) >= CAST(CAST(CAST(d AS FLOAT) AS DOUBLE) / CAST(CAST(cs AS FLOAT) AS DOUBLE) AS FLOAT) THEN x0 ELSE x1 END
+ ELSE least(x1, greatest(x0, CAST(trunc(CAST(y::DOUBLE * CAST(CAST(-cs::DOUBLE / sn::DOUBLE AS FLOAT) AS DOUBLE) + CAST(CAST(d::DOUBLE * (1.0::DOUBLE / sn::DOUBLE) + 0.5::DOUBLE AS FLOAT) AS DOUBLE) AS FLOAT)) AS BIGINT))) END"""
+TREES_SQL = """mixed AS (SELECT o_orderkey AS image_id, k, (o_orderkey * 7919 + k * k * 104729 + k * 31) % 1009 AS m FROM orders, (SELECT range AS k FROM range(1, 32)) WHERE o_orderkey % 100 = 0),
+nodes AS (SELECT image_id, k, m * 3 % 5000 + k AS sr, m * 5 % 5000 + k AS sg, m * 7 % 5000 + k AS sb, m % 50 + 1 AS c, m::DOUBLE AS score, 2 + (m % 24) / 4.0::DOUBLE AS cost, k < 16 AS split FROM mixed),
+trees AS (SELECT image_id, list({'k': k, 'score': score, 'cost': cost} ORDER BY k) FILTER (WHERE split) AS known FROM nodes GROUP BY 1),
+search AS (SELECT image_id, known, 20.0::DOUBLE + image_id % 40 AS budget, [known[1]] AS heap, CAST([] AS BIGINT[]) AS taken FROM trees
+ UNION ALL
+ SELECT image_id, known, CASE WHEN top.cost + 1 <= budget THEN budget - top.cost - 1 ELSE budget END,
+  CASE WHEN top.cost + 1 <= budget AND top.k < 8 THEN list_concat(list_filter(heap, lambda h: h.k <> top.k), [known[2 * top.k], known[2 * top.k + 1]]) ELSE list_filter(heap, lambda h: h.k <> top.k) END,
+  CASE WHEN top.cost + 1 <= budget THEN list_append(taken, top.k) ELSE taken END
+ FROM (SELECT *, list_filter(heap, lambda h: h.score = list_max(list_transform(heap, lambda g: g.score)))[1] AS top FROM search WHERE len(heap) > 0)),
+ended AS (SELECT image_id, taken FROM search WHERE len(heap) = 0),
+splits AS (SELECT image_id, unnest(taken) AS k, generate_subscripts(taken, 1) - 1 AS ordinal FROM ended)"""
+PATH = "translate(substr(bin({}), 2), '01', 'LR')"
+# A step of the coder for one number below 7: `lost` bits go, then the number comes in.
+STEP_SQL = """SELECT *, (SELECT min(i.range) FROM range(0, 18) i WHERE (state >> i.range::INTEGER) < 131072 * width // 2048) AS lost
+ FROM (SELECT *, v[done + 1] * 2048 // 7 AS slot, (v[done + 1] + 1) * 2048 // 7 - v[done + 1] * 2048 // 7 AS width FROM {} WHERE done < len(v) AND done < {})"""
+NEXT_SQL = "(state >> lost::INTEGER) // width * 2048 + (state >> lost::INTEGER) % width + slot"
+CLEAR_SQL = "(SELECT min(i.range) FROM range(0, 18) i WHERE (state >> i.range::INTEGER) % 2 = 1)"
+# 4.3e9 falls below 1 after twelve divisions by 7.
+STREAM_SQL = f"""WITH RECURSIVE streams AS (SELECT l_orderkey, list(CAST(l_linenumber - 1 AS BIGINT) ORDER BY l_linenumber DESC) AS v FROM lineitem GROUP BY 1),
+once AS (SELECT DISTINCT v FROM streams),
+tried AS (SELECT v, s.range AS start, s.range AS state, 0 AS done, 0::BIGINT AS zeros, true AS silent FROM once, range(65536, 131100, 32) s
+ UNION ALL SELECT v, start, {NEXT_SQL}, done + 1, zeros + CASE WHEN silent THEN least(lost, {CLEAR_SQL}) ELSE 0 END, silent AND {CLEAR_SQL} >= lost FROM ({STEP_SQL.format('tried', 12)})),
+chosen AS (SELECT v, start FROM (SELECT v, start, row_number() OVER (PARTITION BY v ORDER BY zeros DESC, start) AS n FROM tried WHERE done = least(len(v), 12)) WHERE n = 1),
+coded AS (SELECT v, start AS state, 0 AS done, '' AS bits FROM chosen
+ UNION ALL SELECT v, {NEXT_SQL}, done + 1, bits || CASE WHEN lost > 0 THEN reverse(lpad(bin(state % (1::BIGINT << lost::INTEGER)), lost::INTEGER, '0')) ELSE '' END FROM ({STEP_SQL.format('coded', 1000)})),
+whole AS (SELECT v, reverse(lpad(bin(state % 65536), 16, '0')) || reverse(bits) || '0000000' AS bits FROM coded WHERE done = len(v)),
+packed AS (SELECT v, list_aggregate(list_transform(range(0, len(bits) // 8), lambda i: printf('%02X', CAST(list_sum(list_transform(range(0, 8), lambda j: CASE WHEN substr(bits, 8 * i + j + 1, 1) = '1' THEN 1 << j::INTEGER ELSE 0 END)) AS INTEGER))), 'string_agg', '') AS data FROM whole)
+SELECT l_orderkey, CAST(len(s.v) AS INTEGER) AS numbers, true AS same, regexp_replace(data, '(00)+$', '') AS data FROM streams s JOIN packed p ON s.v = p.v"""
+ORACLES |= {
+    "boundary_real": f"{GEOMETRY}, cuts AS (SELECT *, sn * 20 + cs * 5 AS d FROM turned) SELECT image_id, angle, y, {REAL_CUT} AS x FROM cuts",
+    "best_split_real": ORACLES["best_split"].replace(CUT, REAL_CUT),
+    "tree_splits": f"WITH RECURSIVE {TREES_SQL} SELECT image_id, {PATH.format('k')} AS node, ordinal FROM splits",
+    "tree_patches": f"""WITH RECURSIVE {TREES_SQL}, trials AS (SELECT DISTINCT image_id, color FROM nodes, (SELECT unnest([1, 2, 3]) AS color)),
+inner_ AS (SELECT t.image_id, color, k, ordinal FROM trials t JOIN splits s ON s.image_id = t.image_id AND s.ordinal < color),
+children AS (SELECT image_id, color, 2 * k + side AS k, 2 * ordinal + side AS seq FROM inner_, (SELECT unnest([0, 1]) AS side))
+SELECT c.image_id, CAST(c.color AS INTEGER) AS color, {PATH.format('c.k')} AS node, CAST(seq AS BIGINT) AS seq, round(sr / n.c, 4) AS r, round(sg / n.c, 4) AS g, round(sb / n.c, 4) AS b, CAST(n.c AS DOUBLE) AS c
+FROM children c JOIN nodes n ON n.image_id = c.image_id AND n.k = c.k WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.image_id = c.image_id AND i.color = c.color AND i.k = c.k)""",
+    "encode_statuses": """SELECT * FROM (VALUES (0::BIGINT, 'ok', 0::INTEGER, 18::INTEGER, 0.0::DOUBLE, true), (1, 'flat', NULL, NULL, NULL, NULL), (2, 'size', NULL, NULL, NULL, NULL)) t(image_id, status, variant_id, color, mse, fits)""",
+    "cross_by_palette": CROSS_SQL,
+    "cross_by_steps": CROSS_SQL,
+    "rans_roundtrip": STREAM_SQL,
+    "rgba_bytes": f"WITH {RASTER_SQL} SELECT image_id, 64::BIGINT AS width, 16::BIGINT AS height, md5(string_agg(printf('%02X%02X%02XFF', r, g, b), '' ORDER BY y, x)) AS digest FROM raster GROUP BY 1",
+}
 ORACLES |= {f"{name}_all": ORACLES[name] for name in ("nearest_palette", "palette_step", "distance_range", "split_line")}

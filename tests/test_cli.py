@@ -67,3 +67,9 @@ def test_hostile_sides_are_refused():
     bounds = [8, 2] * 8
     head, leaves = decode.parse(coded(values, bounds), older=True)
     assert leaves is None and max(head.width, head.height) > 2048
+
+
+def test_result_records(spark):
+    rows = spark.createDataFrame([(0.5, bytearray(b"abc")), (None, None)], "mse double, data binary")
+    got = [r["record"] for r in rows.select(encode.result_record("mse", "data").alias("record")).collect()]
+    assert bytes(got[0]) == b"\3\0\0\0" + np.float32(0.5).tobytes() + b"abc" and got[1] is None
