@@ -50,7 +50,7 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -90,30 +90,35 @@ def running_start(df: DataFrame, keys: list[str], spread: str, order: list[str],
 
 
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, component): the smallest node reachable over `edges` (u, v).
+    """(node, component): the smallest node reachable over `edges` (u, v), for each node of an edge.
 
-    Labels point to smaller nodes. In each round the label of a neighbour's label is offered to the
-    node and to the node its own label names (so that whole trees are hooked on), and each node
-    jumps to the label of its label. Labels only fall, and once none falls all of a component are
-    its smallest node; rounds grow with the logarithm of a chain's length. Labels are written to
-    the shared folder after each round.
+    Rounds of two steps, each written to the shared folder: every node links its larger neighbours to the
+    smallest of its neighbours and itself, then its smaller ones likewise. That keeps components and turns
+    each into a star about its smallest node; rounds grow with the logarithm of a chain's length. Partial
+    minima are taken before rows are dealt out, and the joins are such as Spark splits at a hot node.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = scratch.write(both, f"{name}-edges")
-    labels = scratch.write(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), f"{name}-0")
-    i = 0
+
+    def stars(links: DataFrame) -> DataFrame:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        return small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
+
+    def state(links: DataFrame) -> tuple:
+        marks = [F.sum(F.shiftright(F.xxhash64(*pair), 20)) for pair in (("u", "v"), ("v", "u"))]
+        return tuple(links.agg(F.count(F.lit(1)), *marks).first())
+
+    high, low = F.greatest("u", "v"), F.least("u", "v")
+    links = scratch.write(edges.where("u <> v").select(high.alias("u"), low.alias("v")).distinct(), f"{name}-0")
+    last, i = state(links), 0
     while True:
         i += 1
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        ahead = scratch.write(labels.join(jump, "component").select("node", "component", "further"), f"{name}-ahead-{i}")
-        near = both.join(ahead.select(F.col("node").alias("v"), "further"), "v").groupBy(F.col("u").alias("node")).agg(F.min("further").alias("near"))
-        own = ahead.join(near, "node", "left").select("node", "component", F.least("further", F.coalesce("near", "further")).alias("low"))
-        own = scratch.write(own, f"{name}-own-{i}")
-        hooks = own.groupBy(F.col("component").alias("node")).agg(F.min("low").alias("hook"))
-        step = own.join(hooks, "node", "left").select("node", F.col("component").alias("was"), F.least("low", F.coalesce("hook", "low")).alias("component"))
-        table = scratch.write(step.select("node", "component", (F.col("was") != F.col("component")).alias("moved")), f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}", f"{name}-ahead-{i}", f"{name}-own-{i}")
-        labels = table.select("node", "component")
-        if table.where("moved").isEmpty():
-            scratch.drop(f"{name}-edges")
-            return labels
+        links = scratch.write(stars(links), f"{name}-{i}")
+        scratch.drop(f"{name}-{i - 1}")
+        now = state(links)
+        if now == last:
+            heads = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(heads)
+        last = now

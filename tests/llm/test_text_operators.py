@@ -53,10 +53,12 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == true_classes([(r["doc_id"], r["text"]) for r in documents(spark).collect()])
 
 
-def test_near_duplicate_large_cells(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [8, 4096])
+def test_near_duplicate_large_cells(spark, monkeypatch, whole):
     """Cells of several blocks and components beyond a whole cell give the same classes."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    monkeypatch.setattr(near_dedup, "WHOLE_CELL", 8)
+    monkeypatch.setattr(near_dedup, "WHOLE_CELL", whole)
+    monkeypatch.setattr(near_dedup, "HUBS", 2)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -117,9 +119,10 @@ def digests(df):
     return sorted((r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in rows.collect())
 
 
-@pytest.mark.parametrize("hot", [2_000, 1])
-def test_repeats_match_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, chunk", [(2_000, 1 << 22), (1, 1 << 22), (2_000, 250)])
+def test_repeats_match_brute_force(spark, monkeypatch, hot, chunk):
     monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     rng = np.random.default_rng(2)
     letters = np.array(list("abcdé \n"))
     make = lambda n: "".join(rng.choice(letters, n))
