@@ -6,8 +6,10 @@ make a piece. Only pieces whose anchor occurs again are looked at, each distinct
 all pieces of an anchor together. There the suffixes of the pieces, read in words of eight bytes
 counted from the anchor, are sorted (see suffix_groups), and windows whose words agree are told
 apart by the bytes at their two ends. Two pieces that share a window agree in half of its rest
-on one side of the anchor, so pieces that are alone with both their sides are left out before;
-an anchor with one distinct piece left needs no sorting.
+on one side of the anchor, so pieces that are alone with both their sides are left out before.
+Equal pieces are told by 128 bits of their bytes; an anchor that has one distinct piece needs no
+sorting, for all its windows occur as often as the piece. Anchors and sides are 64-bit hashes:
+a collision there brings pieces together that are then told apart.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.common import Scratch, text_digest
+from rastermill.llm.common import Scratch, slices, text_digest
 from rastermill.llm.shingles import U, powers, scramble
 from rastermill.llm.suffix_groups import suffix_array
 
 SPAN, GRAM, WORD = 200, 32, 8
-BATCH_WORDS, HOT_PIECES, SLICE = 60_000, 4_000, 256
+BATCH_WORDS, HOT_PIECES, CHUNK = 60_000, 4_000, 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -45,12 +48,23 @@ def range_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
     return scramble((sums[end] - sums[begin]) * down[begin])
 
 
+COLUMNS = ("anchor", "left", "right", "first", "windows", "place")
+
+
 def pieces(text: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, hashes of the sides left and right of the anchor, 0 where a side is cut
-    off by the text's end, first window, number of windows, anchor's place in the first window)."""
+    """(anchor hash, hashes of the sides left and right of the anchor, 0 where a side is cut off by the
+    text's end, first window, number of windows, anchor's place in the first window). Long texts are
+    cut into chunks that share all but one byte of a window, so that each window stands in one."""
+    found = [chunk_pieces(text[at : at + CHUNK + span - 1], span, gram) for at in range(0, max(1, len(text) - span + 1), CHUNK)]
+    for i, f in enumerate(found):
+        f[3][:] += i * CHUNK
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def chunk_pieces(text: bytes, span: int, gram: int) -> tuple[np.ndarray, ...]:
     n = len(text)
     if n < span:
-        return tuple(np.zeros(0, t) for t in (*[np.uint64] * 4, *[np.int64] * 3))
+        return tuple(np.zeros(0, t) for t in (*[np.uint64] * 3, *[np.int64] * 3))
     sums = prefix_sums(text)
     grams = range_hashes(sums, np.arange(n - gram + 1), np.arange(gram, n + 1))
     wide = span - gram + 1
@@ -67,24 +81,25 @@ def pieces(text: bytes, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray,
     at, side = anchor[first], (span - gram) // 2
     left = np.where(at >= side, range_hashes(sums, np.maximum(at - side, 0), at), U(0))
     right = np.where(at + gram + side <= n, range_hashes(sums, at + gram, np.minimum(at + gram + side, n)), U(0))
-    return grams[at], range_hashes(sums, first, first + windows + span - 1), left, right, first, windows, at - first
+    return grams[at], left, right, first, windows, at - first
 
 
 def piece_table(df: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = [pieces((t or "").encode("utf-8", "surrogatepass"), span) for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1):
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                found = [pieces(t, span) for t in raw]
                 owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                cols = [np.concatenate([f[i] for f in found]) for i in range(7)]
+                cols = [np.concatenate([f[i] for f in found]) for i in range(6)]
+                content = [xxhash.xxh3_128_digest(t[a : a + n + span - 1]) for t, f in zip(raw, found, strict=True) for a, n in zip(f[3].tolist(), f[4].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner)), *(pa.array(c.view(np.int64)) for c in cols[:4]), *(pa.array(c.astype(np.int32)) for c in cols[4:])],
-                    ["digest", "anchor", "content", "left", "right", "first", "windows", "place"],
+                    [part.column(0).take(pa.array(owner)), pa.array(content, pa.binary()), *(pa.array(c.view(np.int64)) for c in cols[:3]), *(pa.array(c.astype(np.int32)) for c in cols[3:])],
+                    ["digest", "content", *COLUMNS],
                 )
 
     rows = df.select(text_digest(F.col("text")).alias("digest"), "text")
-    return rows.mapInArrow(run, "digest binary, anchor long, content long, left long, right long, first int, windows int, place int")
+    return rows.mapInArrow(run, "digest binary, content binary, anchor long, left long, right long, first int, windows int, place int")
 
 
 def repeated_windows(texts: list[bytes], windows: list[int], places: list[int], copies: list[int], span: int) -> list[np.ndarray]:
@@ -155,11 +170,11 @@ def sort_pieces(rows: DataFrame, span: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             found = repeated_windows([r[5] for r in held], [r[3] for r in held], [r[4] for r in held], [r[2] for r in held], span)
             keep = [(r[0], r[1], runs(f)) for r, f in zip(held, found, strict=True) if len(f)]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))], ["anchor", "content", "repeated"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.binary()), pa.array([k[2] for k in keep], pa.list_(pa.int32()))], ["anchor", "content", "repeated"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for row in zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True):
+            for part in slices(batch, 5):
+                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if size > BATCH_WORDS and row[0] != held[-1][0]:
                         yield out()
                         held, size = [], 0
@@ -168,7 +183,7 @@ def sort_pieces(rows: DataFrame, span: int) -> DataFrame:
         if held:
             yield out()
 
-    return rows.select("anchor", "content", "copies", "windows", "place", "bytes").mapInArrow(run, "anchor long, content long, repeated array<int>")
+    return rows.select("anchor", "content", "copies", "windows", "place", "bytes").mapInArrow(run, "anchor long, content binary, repeated array<int>")
 
 
 def hash_windows(rows: DataFrame, span: int) -> DataFrame:
@@ -178,25 +193,25 @@ def hash_windows(rows: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             for anchor, content, copies, windows, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 hashes = [hashlib.blake2b(data[i : i + span], digest_size=16).digest() for i in range(windows)]
-                full = lambda x: pa.array(np.full(windows, x, np.int64))
-                yield pa.RecordBatch.from_arrays([full(anchor), full(content), full(copies), pa.array(np.arange(windows, dtype=np.int32)), pa.array(hashes, pa.binary())], ["anchor", "content", "copies", "window", "hash"])
+                full = lambda x, t: pa.array([x] * windows, t)
+                yield pa.RecordBatch.from_arrays([full(anchor, pa.int64()), full(content, pa.binary()), full(copies, pa.int64()), pa.array(np.arange(windows, dtype=np.int32)), pa.array(hashes, pa.binary())], ["anchor", "content", "copies", "window", "hash"])
 
-    return rows.select("anchor", "content", "copies", "windows", "bytes").mapInArrow(run, "anchor long, content long, copies long, window int, hash binary")
+    return rows.select("anchor", "content", "copies", "windows", "bytes").mapInArrow(run, "anchor long, content binary, copies long, window int, hash binary")
 
 
 def cut_pieces(wanted: DataFrame, span: int) -> DataFrame:
     """wanted: (text, parts array of structs) -> a row for each part, with its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in (s for batch in batches for s in slices(batch, 0)):
+            for text, parts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([p[k] for p in parts], t) for k, t in (("anchor", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("hot", pa.bool_()), ("windows", pa.int32()), ("place", pa.int32()))), pa.array([raw[p["first"] : p["first"] + p["windows"] + span - 1] for p in parts], pa.binary())],
+                    [*(pa.array([p[k] for p in parts], t) for k, t in (("anchor", pa.int64()), ("content", pa.binary()), ("copies", pa.int64()), ("hot", pa.bool_()), ("windows", pa.int32()), ("place", pa.int32()))), pa.array([raw[p["first"] : p["first"] + p["windows"] + span - 1] for p in parts], pa.binary())],
                     ["anchor", "content", "copies", "hot", "windows", "place", "bytes"],
                 )
 
-    return wanted.select("text", "parts").mapInArrow(run, "anchor long, content long, copies long, hot boolean, windows int, place int, bytes binary")
+    return wanted.select("text", "parts").mapInArrow(run, "anchor long, content binary, copies long, hot boolean, windows int, place int, bytes binary")
 
 
 def spans(df: DataFrame, span: int = SPAN) -> DataFrame:
@@ -257,21 +272,22 @@ def remove_repeats(df: DataFrame, span: int = SPAN) -> DataFrame:
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of `span` bytes that covers it
     starts anywhere else too, in the same text or another row's, judged on the input. `kept` is
     what stays, not always valid UTF-8. Equal texts lose everything if they are `span` bytes long
-    or more. Null doc_ids and repeated rows stay, each row counts; an empty table gives no rows.
+    or more. Texts of any length are judged whole, chunk by chunk. Null doc_ids and repeated rows stay,
+    each row counts; an empty table gives no rows; other columns are not read.
     """
     found = spans(df, span)
     rows = df.select("doc_id", text_digest(F.col("text")).alias("digest"), "text").join(found, "digest", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (s for batch in batches for s in slices(batch, 1)):
             out: list[tuple] = []
-            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, cuts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 raw, cuts = (text or "").encode("utf-8", "surrogatepass"), cuts or []
                 borders = [0, *cuts, len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
                 out.append((len(raw), len(raw) - len(kept), len(cuts) // 2, cuts, kept))
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return rows.select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary")
