@@ -13,11 +13,12 @@ CHANNELS = ("r", "g", "b")
 
 
 def from_embeddings(embeddings: DataFrame, rows: int = 16) -> DataFrame:
-    """Pixels (image_id, y, x, r, g, b) of images made of `rows` vectors each; short images are left out."""
-    cells = embeddings.select(C.div(F.col("vec_id"), rows).alias("image_id"), (F.col("vec_id") % rows).alias("y"), F.posexplode("embedding").alias("x", "e"))
-    r = F.floor((F.col("e").cast("double") + 1) * 127.5)
-    full = embeddings.groupBy(C.div(F.col("vec_id"), rows).alias("image_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == rows).select("image_id")
-    pixels = cells.select("image_id", "y", F.col("x").cast("long").alias("x"), r.alias("r")).join(full, "image_id", "left_semi")
+    """Pixels (image_id, y, x, r, g, b) of images made of `rows` vectors each, in the order of their ids; an image
+    that misses some is less high."""
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("vec_id")) - 1
+    placed = embeddings.where(F.col("embedding").isNotNull()).withColumn("image_id", C.div(F.col("vec_id"), rows)).withColumn("y", place.cast("long"))
+    cells = placed.select("image_id", "y", F.posexplode("embedding").alias("x", "e"))
+    pixels = cells.select("image_id", "y", F.col("x").cast("long").alias("x"), F.floor((F.col("e").cast("double") + 1) * 127.5).alias("r"))
     return pixels.select("image_id", "y", "x", "r", (255 - F.col("r")).alias("g"), ((F.col("r") * 7 + F.col("x") * 3) % 256).alias("b"))
 
 

@@ -1,14 +1,14 @@
-"""Best-first partition trees under a budget, grown a frontier at a time.
+"""Best-first partition trees under a budget.
 
-How a region is best split doesn't depend on the budget, so each round splits all regions of a
-frontier in one plan. A replay of the budgeted choice over the nodes known so far says which
-splits are taken; the frontier of the next round are children of taken splits that are not
-known yet. The tree is done when there are none.
+A tree is searched where its image's prefix sums are: jobs (an image and a variant) are dealt out in parts, and
+each of a tree's few hundred nodes is split by arrays in that task (see splits). taken_splits() is the
+search alone, over nodes that are given as rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import tempfile
 import uuid
 
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rastermill.functions import columns as C
-from rastermill.operators import geometry as G
-from rastermill.operators.splits import SUMS, prefix_rows, scored_regions
+from rastermill.operators.decode import cut
+from rastermill.operators.splits import SUMS, ImageScorer, prefix_rows
 
 TREE = ["image_id", "variant_id"]
 KEYS = [*TREE, "node"]
+VARIANTS_A_PART = 64
 
 
 def scratch(spark: SparkSession) -> str:
@@ -54,23 +55,41 @@ def coding_jobs(images: DataFrame, variants: DataFrame, target_size: int) -> Dat
     )
 
 
-def grow(spans: DataFrame, rows: DataFrame, jobs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """spans of a frontier, and prefix_rows() -> its nodes (sums, best split, cost; cost is null where none), and the spans
-    of their children."""
-    sized = G.squared_size(spans, KEYS).join(jobs.select(*TREE, "scale", "bits", "line_limit"), TREE)
-    level = C.level_of(F.col("size"), F.col("scale"))
-    levels = sized.select(*KEYS, "line_limit", F.element_at("bits", (level + 1).cast("int")).alias("angle_bits"))
-    ready = spans.join(levels, KEYS)
-    both_sums = stored(scored_regions(ready, rows, KEYS), path)
-    whole, best = both_sums.select(*KEYS, *SUMS), both_sums.where("score IS NOT NULL").drop(*SUMS)
-    parts = G.split_spans(spans.join(best.select(*KEYS, "sn", "cs", "d"), KEYS))
-    both = parts.groupBy(*KEYS).agg(F.count_distinct("side").alias("sides")).where("sides = 2").select(*KEYS)
-    best = best.join(both, KEYS, "left_semi")
-    cost = 1 + F.col("angle_bits") + F.log2("num_lines")
-    nodes = whole.join(levels.select(*KEYS, "angle_bits"), KEYS).join(best.select(*KEYS, "score", "angle_code", "line", "num_lines"), KEYS, "left")
-    nodes = nodes.select(*KEYS, *SUMS, "angle_bits", "score", "angle_code", "line", "num_lines", F.when(F.col("score").isNotNull(), cost).alias("cost"))
-    children = parts.join(both, KEYS, "left_semi").select(*TREE, F.concat("node", "side").alias("node"), "y", "x0", "x1")
-    return nodes, children
+class Tree:
+    """The search of one job: nodes as rows of NODE, in the order in which they are met."""
+
+    def __init__(self, scorer: ImageScorer, job):
+        self.scorer, self.job, self.rows, self.parts = scorer, job, [], []
+        y = np.arange(job.height)
+        budget, heap, taken = np.float32(job.budget), [], 0
+        self.meet("", np.column_stack([y, np.zeros_like(y), np.full_like(y, job.width)]), heap)
+        while heap:
+            at = heapq.heappop(heap)[1]
+            cost = np.float32(1 + self.rows[at][-2])
+            if cost > budget:
+                continue  # too dear: it is dropped, not the search
+            budget -= cost
+            self.rows[at][-1] = taken
+            taken += 1
+            for side, part in zip("LR", self.parts[at], strict=True):
+                self.meet(self.rows[at][0] + side, part, heap)
+
+    def meet(self, name: str, spans: np.ndarray, heap: list) -> None:
+        """Adds a node, and to the heap if it can be split; of equal scores the first met comes first."""
+        dx, dy = int(spans[:, 2].max() - spans[:, 1].min()), int(np.ptp(spans[:, 0])) + 1
+        level = next((i for i, s in enumerate(self.job.scale) if dx * dx + dy * dy >= s), len(self.job.scale) - 1)
+        bits = int(self.job.bits[level])
+        *sums, score, code, line, sn, cs, d, lines = self.scorer.best(spans, bits, int(self.job.line_limit))
+        cost, parts = None, ()
+        if score is not None:
+            parts = cut(spans, sn, cs, d)
+            if all(map(len, parts)):
+                cost = 1 + bits + math.log2(lines)
+                heapq.heappush(heap, (-score, len(self.rows)))
+        if cost is None:
+            score = code = line = lines = None
+        self.parts.append(parts)
+        self.rows.append([name, *sums, bits, score, code, line, lines, cost, None])
 
 
 def taken_splits(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -100,27 +119,25 @@ def taken_splits(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def build_trees(jobs: DataFrame, prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All nodes that matter for each job, and the splits taken. Depth is bounded by the budget, for
-    each split costs two bits or more."""
-    spark = jobs.sparkSession
-    at = scratch(spark)
-    jobs = stored(jobs, f"{at}/jobs")
-    rows = stored(prefix_rows(prefix), f"{at}/prefix")
-    frontier = G.root_spans(jobs.select(*TREE, F.lit("").alias("node"), "width", "height")).select(*KEYS, "y", "x0", "x1")
-    nodes, taken, step = None, None, 0
-    while True:
-        new, children = grow(stored(frontier, f"{at}/frontier-{step}"), rows, jobs, f"{at}/splits-{step}")
-        new = stored(new, f"{at}/nodes-{step}")
-        children = stored(children, f"{at}/children-{step}")
-        nodes = new if nodes is None else nodes.unionByName(new)
-        taken = stored(taken_splits(nodes, jobs), f"{at}/taken-{step}")
-        due = taken.select(*TREE, F.explode(F.array(F.concat("node", F.lit("L")), F.concat("node", F.lit("R")))).alias("node"))
-        due = due.join(nodes.select(*KEYS), KEYS, "left_anti")
-        spans = children if step == 0 else spans.unionByName(children)  # noqa: F821
-        frontier = spans.join(due, KEYS, "left_semi")
-        step += 1
-        if due.isEmpty():
-            return nodes, taken
+    """All nodes that are met for each job, and the splits taken (image_id, variant_id, node, ordinal)."""
+    jobs = jobs.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy("image_id").orderBy("variant_id")) - 1) / VARIANTS_A_PART))
+    parts = jobs.groupBy("image_id").agg(F.max("_part").alias("_last"))
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_piece")
+    copies = prefix_rows(prefix).join(parts, "image_id").select(F.col("image_id").alias("_image"), "y", *SUMS[:3], piece)
+    names = [*KEYS, *SUMS, "angle_bits", "score", "angle_code", "line", "num_lines", "cost", "ordinal"]
+
+    def run(some: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        scorer, out = ImageScorer(image, exact=False), []
+        for job in some.itertuples():
+            out += [[job.image_id, job.variant_id, *row] for row in Tree(scorer, job).rows]
+        whole = {n: "Int64" for n in (*SUMS, "angle_bits", "angle_code", "line", "num_lines", "ordinal")}
+        return pd.DataFrame(out, columns=names).astype(whole | {"score": "Float64", "cost": "Float64"})
+
+    schema = "image_id long, variant_id int, node string, sr long, sg long, sb long, c long, angle_bits long, score double, angle_code int, line long, num_lines long, cost double, ordinal int"
+    wanted = jobs.select(*TREE, "width", "height", "scale", "bits", "line_limit", "budget", "_part")
+    grown = wanted.groupBy("image_id", "_part").cogroup(copies.groupBy("_image", "_piece")).applyInPandas(run, schema)
+    grown = stored(grown, f"{scratch(jobs.sparkSession)}/nodes")
+    return grown.drop("ordinal"), grown.where("ordinal IS NOT NULL").select(*KEYS, "ordinal")
 
 
 def budget_prefix(costs: DataFrame, keys: list[str]) -> DataFrame:

@@ -322,12 +322,20 @@ def entropy_estimate(spark, sf_dir):
     return symbol_streams(spark, sf_dir).select("l_orderkey", F.round(E.entropy_bits(F.col("entries")), 6).alias("bits"))
 
 
-def one_variant(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, 215, 6, (1 << 4) | (1 << 20))], "variant_id int, partition_code int, line_limit int, color_options long")
+def few_variants(spark: SparkSession) -> DataFrame:
+    """Two partition codes, each with six plain colour codes and three palettes."""
+    colors = sum(1 << c for c in (0, 3, 6, 9, 12, 16, 18, 22, 26))
+    return spark.createDataFrame([(0, 215, 30, colors), (1, 120, 62, colors)], "variant_id int, partition_code int, line_limit int, color_options long")
+
+
+def all_images(spark, sf_dir):
+    """The cross, the images of lineitem and those of the embeddings."""
+    vectors = emb(spark, sf_dir).withColumn("image_id", F.col("image_id") + 100)
+    return R.cross(spark).unionByName(R.from_lineitem(table(spark, sf_dir, "lineitem"))).unionByName(vectors)
 
 
 def encode_images(spark, sf_dir):
-    return encode.encode_images(R.cross(spark).unionByName(R.from_lineitem(table(spark, sf_dir, "lineitem"))), one_variant(spark), target_size=24)
+    return encode.encode_images(all_images(spark, sf_dir), few_variants(spark), target_size=200)
 
 
 # Fixed value: the published stream of the cross.
@@ -387,9 +395,8 @@ QUERIES |= {f"{f.__name__}_all": f for f in (nearest_palette, palette_step, dist
 
 ANGLES_SQL = """ang AS (SELECT i AS angle, CAST(floor(sin(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS sn, CAST(floor(cos(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS cs
  FROM (SELECT CAST(range AS INTEGER) AS i FROM range(512)))"""
-RASTER_SQL = """cells AS (SELECT vec_id // 16 AS image_id, vec_id % 16 AS y, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings),
-whole_images AS (SELECT vec_id // 16 AS image_id FROM embeddings GROUP BY 1 HAVING count(*) = 16),
-reds AS (SELECT image_id, y, CAST(x AS BIGINT) AS x, CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS BIGINT) AS r FROM cells WHERE image_id IN (SELECT image_id FROM whole_images)),
+RASTER_SQL = """cells AS (SELECT vec_id // 16 AS image_id, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1 AS y, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings WHERE embedding IS NOT NULL),
+reds AS (SELECT image_id, y, CAST(x AS BIGINT) AS x, CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS BIGINT) AS r FROM cells),
 raster AS (SELECT image_id, y, x, r, 255 - r AS g, (r * 7 + x * 3) % 256 AS b FROM reds)"""
 PREFIX_SQL = """prefix AS (SELECT image_id, y, x + 1 AS x, CAST(sum(r) OVER w AS BIGINT) AS sr, CAST(sum(g) OVER w AS BIGINT) AS sg, CAST(sum(b) OVER w AS BIGINT) AS sb, x + 1 AS c
  FROM raster WINDOW w AS (PARTITION BY image_id, y ORDER BY x ROWS UNBOUNDED PRECEDING)
@@ -524,6 +531,6 @@ FROM children c JOIN nodes n ON n.image_id = c.image_id AND n.k = c.k WHERE NOT
     "cross_by_palette": CROSS_SQL,
     "cross_by_steps": CROSS_SQL,
     "rans_roundtrip": STREAM_SQL,
-    "rgba_bytes": f"WITH {RASTER_SQL} SELECT image_id, 64::BIGINT AS width, 16::BIGINT AS height, md5(string_agg(printf('%02X%02X%02XFF', r, g, b), '' ORDER BY y, x)) AS digest FROM raster GROUP BY 1",
+    "rgba_bytes": f"WITH {RASTER_SQL} SELECT image_id, 64::BIGINT AS width, count(DISTINCT y) AS height, md5(string_agg(printf('%02X%02X%02XFF', r, g, b), '' ORDER BY y, x)) AS digest FROM raster GROUP BY 1",
 }
 ORACLES |= {f"{name}_all": ORACLES[name] for name in ("nearest_palette", "palette_step", "distance_range", "split_line")}

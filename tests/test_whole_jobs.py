@@ -1,16 +1,22 @@
 """Queries that do the whole job and have no SQL, against brute force."""
 
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rastermill.functions import constants as K
 from rastermill.operators import decode as D
 from rastermill.operators import entropy as E
+from rastermill.operators import rasters as R
 from rastermill.operators.entropy import Reader
 from rastermill.plans import queries as Q
 
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are missing")
+
 
 def brute_pixels(read):
     """A stream's pixels {(y, x): colour}, region by region and pixel by pixel, and its header; no
@@ -154,3 +160,22 @@ def test_ranges_and_parts_at_all_angles(spark, two_images):
         d = 20 * sn + 5 * cs
         left = y * cs >= d if sn == 0 else x >= (2 * d + sn - 2 * y * cs) // (2 * sn)
         assert (found[0] == left).all() and (found[1] == ~left).all()
+
+
+@needs_tables
+def test_all_images_are_coded_as_reported(spark):
+    """Each stream keeps to the target, and its pixels are as far from the image as the encoder says."""
+    images = Q.all_images(spark, SF).cache()
+    coded = Q.QUERIES["encode_images"](spark, SF).cache()
+    assert coded.count() == images.select("image_id").distinct().count()
+    sides = {r["image_id"]: (r["width"], r["height"]) for r in R.sizes(images).collect()}
+    bad = {i for i, (w, h) in sides.items() if min(w, h) < 9}
+    rows = {r["image_id"]: r for r in coded.collect()}
+    assert {i for i, r in rows.items() if r["status"] != "ok"} == bad and all(len(r["data"]) <= 200 for i, r in rows.items() if i not in bad)
+    assert len({(r["variant_id"], r["color"]) for r in rows.values() if r["status"] == "ok"}) >= 3
+    shown = D.decode_images(coded.select("image_id", "data")).withColumnsRenamed({c: f"d{c}" for c in "rgb"})
+    error = sum((F.col(c) - F.col(f"d{c}")) * (F.col(c) - F.col(f"d{c}")) for c in "rgb")
+    found = images.join(shown, ["image_id", "y", "x"]).groupBy("image_id").agg((F.sum(error) / F.count(F.lit(1))).alias("mse"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r["image_id"] for r in found} == set(rows) - bad
+    for r in found:
+        assert r["n"] == sides[r["image_id"]][0] * sides[r["image_id"]][1] and abs(r["mse"] - rows[r["image_id"]]["mse"]) <= 1e-3 * r["mse"] + 1e-3
