@@ -50,7 +50,7 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rastermill.llm.common import Scratch, slices
 
-DIMS, BITS, BUCKETS, CACHED_WORDS, SLICE = 4, 8, 4096, 1_000_000, 256
+DIMS, BITS, BUCKETS, CACHED_WORDS, SLICE = 4, 8, 4096, 400_000, 256
 
 
 class WordIds:

@@ -19,13 +19,17 @@ def _byte_values() -> np.ndarray:
     return values
 
 
-@lru_cache(maxsize=4)
+_POWERS: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n."""
-    up = np.full(n, BASE, np.uint64)
-    down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    """BASE**i and BASE**-i for i < n; a worker keeps the longest it has needed."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        up = np.full(n, BASE, np.uint64)
+        down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS[:] = [np.cumprod(up), np.cumprod(down)]
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
