@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rastermill.llm.common import Scratch, slices
 
-DIMS, BITS, BUCKETS, CACHED_WORDS, SLICE = 4, 8, 4096, 400_000, 256
+DIMS, BITS, BUCKETS, CACHED_WORDS, SLICE = 4, 8, 4096, 1_000_000, 256
 
 
 class WordIds:
@@ -34,10 +34,10 @@ class WordIds:
     Any other tokenizer encodes whole texts, for white space may count there.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -59,7 +59,7 @@ class WordIds:
         return np.array([t.id for t in self.tokenizer.model.tokenize(part)], self.dtype).tobytes()
 
     def room(self, known: dict[str, bytes], new: int) -> None:
-        if len(known) + new > CACHED_WORDS:
+        if len(known) + new > self.cached:
             known.clear()
 
     def encode(self, words: list[str]) -> list[bytes]:
@@ -87,11 +87,11 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cached: int = CACHED_WORDS) -> WordIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordIds(path)
+    return WordIds(path, cached)
 
 
 @lru_cache(maxsize=2)
@@ -144,11 +144,11 @@ def curve_key(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert_index(cells(out, BITS), BITS)
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, cached_words: int = CACHED_WORDS) -> DataFrame:
     """(doc_id, ids binary, curve long): ids are little-endian, of the width of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path)
+        words = word_ids(tokenizer_path, cached_words)
         end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
             for part in slices(batch, 1, SLICE):
@@ -194,19 +194,19 @@ class Packer:
             self.close(1 << (self.fill.bit_length() - 1))
 
 
-def pack(df: DataFrame, tokenizer_path: str, sequence_tokens: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, sequence_tokens: int = 2048, end_id: int = 1, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids (binary, little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Reads `doc_id` and `text`, whatever else the table has. A null text counts as empty: its
     document is the end id alone; texts of any length are packed whole. Repeated rows are packed as
     often as they occur, ties on the curve stand in the order of hashed ids; a null doc_id stays
-    null. An empty table gives no rows. Only the last sequence of a range can
+    null. An empty table gives no rows. A worker keeps the ids of at most `cached_words` words and parts. Only the last sequence of a range can
     be short, and it is cut into powers of two, so no padding is needed at all.
     """
     spark = df.sparkSession
     width = word_ids(tokenizer_path).dtype
-    tokens = Scratch(spark).write(tokenize(df, tokenizer_path, end_id), "tokens")
+    tokens = Scratch(spark).write(tokenize(df, tokenizer_path, end_id, cached_words), "tokens")
     ties = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id"), F.xxhash64("ids")]
     ranged = tokens.repartitionByRange(F.col("curve"), *ties).sortWithinPartitions(F.col("curve"), *ties)
 

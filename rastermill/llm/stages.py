@@ -40,4 +40,4 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens; a null or empty text is its end id alone."""
-    return packing.pack(docs.select("doc_id", "text"), default_tokenizer())
+    return packing.pack(docs.select("doc_id", "text"), default_tokenizer(), cached_words=400_000)  # workers still hold what earlier stages needed
