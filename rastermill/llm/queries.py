@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastermill.llm import language_id, line_dedup, mixing, near_dedup, packing, pivot_index, prefix_forest, quality, suffix_dedup, toxicity
+from rastermill.llm import hard_negatives, language_id, line_dedup, mixing, near_dedup, packing, periodic, pieces, pivot_index, prefix_forest, quality, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def default_tokenizer() -> str:
+def default_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,31 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(vectors, "vec_id % 100 = 0", k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_topk, op4_mixing, op5_quality, op6_line_dedup, op7_toxicity, op8_language_id, op9_packing, op10_neighbours)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(hard_negatives.whole_vectors(rows, scale=256.0), "vec_id % 100 = 0")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).alias("listed"), "collapsed")
+    longest = [(-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period")]
+    milli = F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", *longest, milli, digest(F.col("listed")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = default_tokenizer("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    read = pieces.decode(coded.select("doc_id", "ids"), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_suffix_dedup, op3_topk, op4_mixing, op5_quality, op6_line_dedup, op7_toxicity, op8_language_id, op9_packing, op10_neighbours, op11_hard_negatives, op12_periodic_runs, op13_sentencepiece)}
 
 ORACLES = {
     "op4_mixing": r"""
@@ -104,4 +128,12 @@ frequent AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DI
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.k IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
 FROM keyed LEFT JOIN frequent f ON keyed.k = f.k GROUP BY row_no, doc_id""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS vector FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.vector, c.vector) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5""",
 }
