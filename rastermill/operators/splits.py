@@ -1,7 +1,7 @@
 """The best line to split each region by.
 
 All candidates of a region, up to 512 angles by 63 lines, are scored where the region and its image's prefix
-sums meet: by arrays within a task (best_splits), or, for single steps, as rows (candidates, left_sums)."""
+sums meet, by arrays within a task (best_splits), or as rows from a count of the region's pixels by lines (line_sums)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from rastermill.functions import columns as C
 from rastermill.functions import constants as K
 from rastermill.functions.dimensions import COS, SIN, angles
 from rastermill.operators import geometry as G
@@ -44,15 +46,56 @@ def candidates(spans: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, "angle_code", "line", "sn", "cs", G.line_distance(F.col("line")).alias("d"), "num_lines")
 
 
-def left_sums(spans: DataFrame, tried: DataFrame, prefix: DataFrame, whole: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
-    """Adds to each candidate the sums of its left side (l_*) and of the whole; keeps those with
-    pixels on both sides."""
-    cut = spans.select(*keys, "y", "x0", "x1").join(tried, keys).withColumn("x", G.boundary(exact))
-    at = cut.join(prefix, ["image_id", "y", "x"]).groupBy(*keys, "angle_code", "line", "sn", "cs", "d", "num_lines").agg(*(F.sum(s).alias(f"at_{s}") for s in SUMS))
-    ends = spans.join(prefix.withColumnRenamed("x", "x1"), ["image_id", "y", "x1"]).groupBy(*keys).agg(*(F.sum(s).alias(f"end_{s}") for s in SUMS))
-    joined = at.join(ends.join(whole.select(*keys, *SUMS), keys), keys)
-    joined = joined.select(*keys, "angle_code", "line", "sn", "cs", "d", "num_lines", *SUMS, *((F.col(f"end_{s}") - F.col(f"at_{s}")).alias(f"l_{s}") for s in SUMS))
-    return joined.where((F.col("l_c") > 0) & (F.col("l_c") < F.col("c")))
+def reached_line(exact: bool) -> Column:
+    """The last line that has the pixel (x, y) on its left side, -1 for none; all lines before it have it there too.
+    From columns x, y, sn, cs and first (the offset of line 0), line_quant, num_lines."""
+    x, y, sn, cs = (F.col(c) for c in ("x", "y", "sn", "cs"))
+    most = F.when(sn == 0, y * cs).otherwise(F.floor((sn * (2 * x + 1) + 2 * y * cs - 1) / 2))
+    line = F.floor((most - F.col("first")) / F.col("line_quant"))
+    if not exact:
+        single = lambda c: c.cast("float").cast("double")
+
+        def left(at: Column) -> Column:
+            d = F.col("first") + F.col("line_quant") * at
+            cut = (y.cast("double") * single(-cs / sn) + single(d * (1.0 / sn) + 0.5)).cast("float")
+            return F.when(sn == 0, y >= (single(d) / single(cs)).cast("float")).otherwise(cut < x + 1)
+
+        # Rounding moves a boundary by far less than the distance of two lines.
+        line = F.when(left(line + 1), line + 1).when(left(line), line).otherwise(line - 1)
+    return F.least(F.col("num_lines") - 1, F.greatest(C.long(-1), line))
+
+
+def line_sums(spans: DataFrame, pixels: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
+    """(keys, angle_code, line, sn, cs, d, num_lines, l_* sums of the left side, sums of the whole): every candidate
+    line of each region that has pixels on both sides, from one pass over the region's pixels for each angle.
+
+    spans have angle_bits and line_limit; images have all their pixels. Lines of an angle are parallel, so a pixel lies
+    to the left of a line and of all before it, or of none: pixels are counted by the last such line, and sums that
+    run over the lines give what is to the left of each. Counting is done before rows are dealt out; what a group of the
+    running sums holds is a row a line, at most.
+    """
+    spark = spans.sparkSession
+    code = F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("angle_bits").cast("int")) - 1)).alias("angle_code")
+    turned = spans.select(*keys, "y", "x0", "x1", "line_limit", "angle_bits", code)
+    turned = turned.withColumn("angle", F.call_function("shiftleft", F.col("angle_code"), F.lit(9) - F.col("angle_bits").cast("int")))
+    turned = turned.join(F.broadcast(angles(spark).select("angle", "sn", "cs")), "angle")  # 512 rows
+    reach = G.distance_range(turned, [*keys, "angle_code", "sn", "cs"])
+    line = ["sn", "cs", "first", "line_quant", "num_lines"]
+    reach = reach.withColumn("first", G.line_distance(C.long(0)))
+    known = reach.groupBy(*keys).agg(F.collect_list(F.struct("angle_code", *line)).alias("angles"))  # 512 a region, at most
+    cells = pixels.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b"))).alias("cells"))
+    rows = spans.select(*keys, "y", "x0", "x1").join(cells, ["image_id", "y"]).join(known, keys)
+    inside = F.slice("cells", (F.col("x0") + 1).cast("int"), (F.col("x1") - F.col("x0")).cast("int"))
+    rows = rows.select(*keys, "y", inside.alias("cells"), F.explode("angles").alias("at")).select(*keys, "y", "at.*", F.explode("cells").alias("cell"))
+    met = rows.select(*keys, "angle_code", "y", *line, "cell.*").withColumn("bin", reached_line(exact))
+    counted = met.groupBy(*keys, "angle_code", "bin").agg(*(F.sum(c).alias(f"s{c}") for c in ("r", "g", "b")), F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in line))
+    group = Window.partitionBy(*keys, "angle_code")
+    down = group.orderBy(F.col("bin").desc())
+    before = F.coalesce(F.lead("bin").over(down), C.long(-1))
+    sums = counted.select(*keys, "angle_code", "bin", *line, before.alias("before"), *(F.sum(s).over(group).alias(s) for s in SUMS), *(F.sum(s).over(down).alias(f"l_{s}") for s in SUMS))
+    # Lines that end no pixel's stretch have what the next one that does has.
+    lines = sums.where((F.col("bin") >= 0) & (F.col("l_c") < F.col("c"))).withColumn("line", F.explode(F.sequence(F.col("before") + 1, F.col("bin"))))
+    return lines.select(*keys, "angle_code", "line", "sn", "cs", (F.col("first") + F.col("line_quant") * F.col("line")).alias("d"), "num_lines", *SUMS, *(f"l_{s}" for s in SUMS))
 
 
 def prefix_rows(prefix: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ search alone, over nodes that are given as rows.
 
 from __future__ import annotations
 
-import heapq
 import math
 import tempfile
 import uuid
@@ -55,16 +54,52 @@ def coding_jobs(images: DataFrame, variants: DataFrame, target_size: int) -> Dat
     )
 
 
+class PairingHeap:
+    """Items by score, the best first. Which of equal scores comes first is part of the format's result: an item keeps
+    those it has beaten, the latest first; when it goes they are paired from that end, and the pairs joined from
+    the last to the first; of equals the one that is named first stays on top."""
+
+    def __init__(self):
+        self.top: tuple[float, object, list] | None = None
+
+    @staticmethod
+    def joined(a, b):
+        if a is None or b is None:
+            return a or b
+        if a[0] < b[0]:
+            a, b = b, a
+        a[2].append(b)
+        return a
+
+    def push(self, score: float, item) -> None:
+        self.top = self.joined(self.top, (score, item, []))
+
+    def pop(self) -> tuple[float, object]:
+        score, item, beaten = self.top
+        beaten.reverse()
+        pairs = [self.joined(beaten[i], beaten[i + 1] if i + 1 < len(beaten) else None) for i in range(0, len(beaten), 2)]
+        self.top = None
+        for pair in reversed(pairs):
+            self.top = self.joined(pair, self.top)
+        return score, item
+
+
+# What a node that can't be split counts in the heap.
+UNSPLIT = -1.0
+
+
 class Tree:
     """The search of one job: nodes as rows of NODE, in the order in which they are met."""
 
     def __init__(self, scorer: ImageScorer, job):
         self.scorer, self.job, self.rows, self.parts = scorer, job, [], []
         y = np.arange(job.height)
-        budget, heap, taken = np.float32(job.budget), [], 0
+        budget, heap, taken = np.float32(job.budget), PairingHeap(), 0
         self.meet("", np.column_stack([y, np.zeros_like(y), np.full_like(y, job.width)]), heap)
-        while heap:
-            at = heapq.heappop(heap)[1]
+        while heap.top:
+            score, at = heap.pop()
+            if score < 0:
+                break  # no other can be split either
             cost = np.float32(1 + self.rows[at][-2])
             if cost > budget:
                 continue  # too dear: it is dropped, not the search
@@ -74,8 +109,8 @@ class Tree:
             for side, part in zip("LR", self.parts[at], strict=True):
                 self.meet(self.rows[at][0] + side, part, heap)
 
-    def meet(self, name: str, spans: np.ndarray, heap: list) -> None:
-        """Adds a node, and to the heap if it can be split; of equal scores the first met comes first."""
+    def meet(self, name: str, spans: np.ndarray, heap: PairingHeap) -> None:
+        """Adds a node, also to the heap."""
         dx, dy = int(spans[:, 2].max() - spans[:, 1].min()), int(np.ptp(spans[:, 0])) + 1
         level = next((i for i, s in enumerate(self.job.scale) if dx * dx + dy * dy >= s), len(self.job.scale) - 1)
         bits = int(self.job.bits[level])
@@ -85,33 +120,35 @@ class Tree:
             parts = cut(spans, sn, cs, d)
             if all(map(len, parts)):
                 cost = 1 + bits + math.log2(lines)
-                heapq.heappush(heap, (-score, len(self.rows)))
         if cost is None:
             score = code = line = lines = None
+        heap.push(UNSPLIT if score is None else score, len(self.rows))
         self.parts.append(parts)
         self.rows.append([name, *sums, bits, score, code, line, lines, cost, None])
 
 
 def taken_splits(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
     """(image_id, variant_id, node, ordinal): splits in the order in which the best affordable one is
-    taken; one that is too dear is dropped, not the search. A tree has a few hundred nodes."""
+    taken, equal scores in the order of PairingHeap; one that is too dear is dropped, not the search. A tree
+    has a few hundred nodes, those that can't be split with a null score."""
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        known = {n: (s, c) for n, s, c in zip(rows["node"], rows["score"], rows["cost"], strict=True)}
-        budget, taken = np.float32(rows["budget"].iloc[0]), []
-        heap = [(-known[""][0], 0, "")] if "" in known and known[""][1] == known[""][1] else []
-        pushed = 1
-        while heap:
-            node = heapq.heappop(heap)[2]
+        known = {n: (s if s == s and c == c else UNSPLIT, c) for n, s, c in zip(rows["node"], rows["score"], rows["cost"], strict=True)}  # null: NaN
+        budget, taken, heap = np.float32(rows["budget"].iloc[0]), [], PairingHeap()
+        if "" in known:
+            heap.push(known[""][0], "")
+        while heap.top:
+            score, node = heap.pop()
+            if score < 0:
+                break
             cost = np.float32(1 + known[node][1])
             if cost > budget:
                 continue
             budget -= cost
             taken.append(node)
             for child in (node + "L", node + "R"):
-                if child in known and known[child][1] == known[child][1]:
-                    heapq.heappush(heap, (-known[child][0], pushed, child))
-                    pushed += 1
+                if child in known:
+                    heap.push(known[child][0], child)
         return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "variant_id": rows["variant_id"].iloc[0], "node": pd.Series(taken, dtype=object), "ordinal": range(len(taken))})
 
     rows = nodes.select(*KEYS, "score", "cost").join(jobs.select(*TREE, "budget"), TREE)

@@ -36,46 +36,58 @@ def rounded(*names: str):
     return [F.round(n, 4).alias(n) for n in names]
 
 
-# Fixed tables
+# Values of the format, for the rows of a table
+
+
+def angle_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's angle."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 512).cast("int").alias("angle"))
+    return rows.join(F.broadcast(D.angles(spark)), "angle")  # 512 rows
 
 
 def angle_table_int(spark, sf_dir):
-    return D.angles(spark).select("angle", "sn", "cs")
+    return angle_of(spark, sf_dir).select("o_orderkey", "angle", "sn", "cs")
 
 
 def angle_table_real(spark, sf_dir):
-    return D.angles(spark).select("angle", F.round("inv_sin", 12).alias("inv_sin"), F.round("minus_cot", 9).alias("minus_cot"))
+    return angle_of(spark, sf_dir).select("o_orderkey", "angle", F.round("inv_sin", 12).alias("inv_sin"), F.round("minus_cot", 9).alias("minus_cot"))
 
 
 def log2_values(spark, sf_dir):
-    return D.log2_table(spark).select("n", F.round(F.col("v").cast("double"), 5).alias("v"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * F.col("p_size") % 65 + 1).cast("int").alias("n"))
+    return rows.join(F.broadcast(D.log2_table(spark)), "n").select("p_partkey", "n", F.round(F.col("v").cast("double"), 5).alias("v"))  # 65 rows
 
 
 def color_codes(spark, sf_dir):
-    return D.color_codes(spark)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 49).cast("int").alias("code"))
+    return rows.select("c_custkey", "code", C.color_quant(F.col("code")).alias("quant"), C.palette_size(F.col("code")).alias("palette"))
 
 
 def partition_codes(spark, sf_dir):
-    codes = D.partition_codes(spark)
-    return codes.withColumn("joined", C.join_code(*(F.col(f"f{i}") for i in range(1, 5))))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 7 % 500).alias("code"))
+    parts = C.split_code(F.col("code"))
+    return rows.select("p_partkey", "code", *(x.alias(f"f{i + 1}") for i, x in enumerate(parts)), C.join_code(*parts).alias("joined"))
 
 
 def all_variants(spark, sf_dir):
-    return D.all_variants(spark)
+    """Every variant for every image of lineitem."""
+    images = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("image_id")).distinct()
+    return images.join(F.broadcast(D.all_variants(spark)))  # 31,500 rows
 
 
 def angle_bits(spark, sf_dir):
-    return spark.range(500).select(F.col("id").cast("int").alias("code"), F.posexplode(C.angle_bits(F.col("id"))).alias("level", "bits"))
+    code = F.col("p_partkey") % 500
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(C.angle_bits(code)).alias("level", "bits"))
 
 
 def level_scale(spark, sf_dir):
-    sides = F.explode(F.array(*[F.lit(n).cast("long") for n in (9, 64, 863, 1300, 2048)])).alias("side")
-    rows = spark.range(500).select(F.col("id").alias("code"), sides)
-    return rows.select("code", "side", F.posexplode(C.level_scale(F.col("side"), F.col("side"), F.col("code"))).alias("level", "scale"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 13 % 2040 + 9).alias("width"), (F.col("c_custkey") * 29 % 2040 + 9).alias("height"), (F.col("c_custkey") * 7 % 500).alias("code"))
+    return rows.select("c_custkey", F.posexplode(C.level_scale(F.col("width"), F.col("height"), F.col("code"))).alias("level", "scale"))
 
 
 def image_tax(spark, sf_dir):
-    return spark.range(9, 2049).select(F.col("id").alias("side"), C.size_bits(F.col("id")).cast("long").alias("bits"), F.round(C.image_tax(F.col("id"), F.col("id")), 6).alias("tax"))
+    width, height = F.col("p_partkey") * 31 % 2040 + 9, F.col("p_size") * 40 + 9
+    return table(spark, sf_dir, "part").select("p_partkey", C.size_bits(width).cast("long").alias("bits"), F.round(C.image_tax(width, height), 6).alias("tax"))
 
 
 # Parsing, bits, generators
@@ -95,8 +107,8 @@ def variant_parse(spark, sf_dir):
 
 
 def variant_records(spark, sf_dir):
-    packed = D.pack_variants(D.all_variants(spark))
-    return D.unpack_variants(packed.select("variant_id", "record")).select("variant_id", F.hex("record").alias("record"), "partition_code", "line_limit", "color_options")
+    packed = D.pack_variants(variant_parse(spark, sf_dir))
+    return D.unpack_variants(packed.select("p_partkey", "record")).select("p_partkey", F.hex("record").alias("record"), "partition_code", "line_limit", "color_options")
 
 
 def option_sets(spark, sf_dir):
@@ -105,7 +117,8 @@ def option_sets(spark, sf_dir):
 
 
 def single_bits(spark, sf_dir):
-    return spark.range(63).select(F.col("id").cast("int").alias("place"), C.single_bit(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("id").cast("int"))).cast("int").alias("found"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("o_custkey") % 63).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", C.single_bit(bit).cast("int").alias("found"))
 
 
 def crc64(spark, sf_dir):
@@ -189,10 +202,16 @@ def split_line(spark, sf_dir):
 
 def split_scores(spark, sf_dir):
     pixels = emb(spark, sf_dir)
-    spans, prefix = roots(pixels), R.prefix_sums(pixels)
-    whole = G.region_stats(spans, prefix, ["image_id"])
-    scored = S.left_sums(spans, S.candidates(spans, ["image_id"]), prefix, whole, ["image_id"], exact=True)
-    return scored.select("image_id", "angle_code", "line", F.col("l_c"), F.round(S.split_score(), 4).alias("score"))
+    scored = S.line_sums(roots(pixels), pixels, ["image_id"], exact=True)
+    return scored.select("image_id", "angle_code", "line", "l_c", F.round(S.split_score(), 4).alias("score"))
+
+
+def split_scores_binned(spark, sf_dir):
+    """All candidates of all angles, 63 lines each, by the rule that the encoder scores by."""
+    pixels = emb(spark, sf_dir)
+    spans = roots(pixels).withColumns({"angle_bits": F.lit(9), "line_limit": F.lit(63)})
+    scored = S.line_sums(spans, pixels, ["image_id"])
+    return scored.select("image_id", F.col("angle_code").alias("angle"), "line", "d", "num_lines", "l_c", F.round(S.split_score(), 4).alias("score"))
 
 
 def best_split(spark, sf_dir):
@@ -216,15 +235,15 @@ def costs(spark, sf_dir):
 
 
 def small_trees(spark, sf_dir):
-    """Nodes (sums, score, cost) of trees of 31 nodes, one for each hundredth order, and a budget for each."""
+    """Nodes (sums, score, cost) of trees of 31 nodes with few different scores, one for each order, and a budget for each."""
     k = F.explode(F.sequence(F.lit(1), F.lit(31))).alias("k")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("image_id"), k)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), k)
     mixed = (F.col("image_id") * 7919 + F.col("k") * F.col("k") * 104729 + F.col("k") * 31) % 1009
     sums = [(mixed * m % 5000 + F.col("k")).cast("long").alias(f"s{c}") for c, m in (("r", 3), ("g", 5), ("b", 7))]
-    inner = F.col("k") < 16
+    inner = (F.col("k") < 16) & (mixed % 11 != 0)
     cost = F.when(inner, 2 + (mixed % 24) / 4.0)
     node = F.translate(F.expr("substring(bin(k), 2)"), "01", "LR")
-    rows = rows.select("image_id", F.lit(0).alias("variant_id"), "k", node.alias("node"), *sums, (mixed % 50 + 1).alias("c"), F.when(inner, mixed * 1.0).alias("score"), cost.alias("cost"))
+    rows = rows.select("image_id", F.lit(0).alias("variant_id"), "k", node.alias("node"), *sums, (mixed % 50 + 1).alias("c"), F.when(inner, mixed % 4 + 1.0).alias("score"), cost.alias("cost"))
     return rows.withColumn("budget", 20.0 + F.col("image_id") % 40)
 
 
@@ -300,8 +319,8 @@ def render_spans(spark, sf_dir):
 
 
 def header_entries(spark, sf_dir):
-    rows = spark.range(500).select(F.col("id"), (F.col("id") + 9).alias("w"), (2048 - F.col("id")).alias("h"))
-    items = E.header_entries(F.col("w"), F.col("h"), F.col("id"), F.col("id") % 63 + 1, F.col("id") % 49)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 31 % 2040 + 9).alias("w"), (F.col("p_size") * 40 + 9).cast("long").alias("h"))
+    items = E.header_entries(F.col("w"), F.col("h"), F.col("id") % 500, F.col("id") % 63 + 1, F.col("id") % 49)
     return rows.select("id", F.posexplode(items).alias("pos", "e")).select("id", "pos", "e.value", "e.max")
 
 
@@ -338,40 +357,52 @@ def encode_images(spark, sf_dir):
     return encode.encode_images(all_images(spark, sf_dir), few_variants(spark), target_size=200)
 
 
-# Fixed value: the published stream of the cross.
-CROSS = "3299BE6EBF770080FFFFFF6E7FD230B31C06ED6FEA794D"
+def supplier_crosses(spark, sf_dir, steps: int = 256):
+    """A cross for each supplier, in two of its own colours; channels are such as `steps` steps can show."""
+    shade = lambda k, more: C.div((F.col("s_suppkey") * k + more) % steps * 255, steps - 1)
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), *(shade(k, more).alias(f"{side}{c}") for side, more, ks in (("on", 1, (7, 13, 29)), ("off", 0, (3, 5, 11))) for c, k in zip("rgb", ks, strict=True)))
+    cells = R.cross(spark).select("y", "x", (F.col("g") == 255).alias("on"))
+    pixels = rows.join(F.broadcast(cells))  # 400 rows
+    return pixels.select("image_id", "y", "x", *(F.when(F.col("on"), F.col(f"on{c}")).otherwise(F.col(f"off{c}")).alias(c) for c in "rgb"))
+
+
+def one_color(spark: SparkSession, color: int) -> DataFrame:
+    return spark.createDataFrame([(0, 215, 6, 1 << color)], "variant_id int, partition_code int, line_limit int, color_options long")
 
 
 def decode_images(spark, sf_dir):
-    return decode.decode_images(spark.range(1).select(F.col("id").alias("image_id"), F.unhex(F.lit(CROSS)).alias("data")))
+    """What the streams of the crosses say in front, and a digest of the pixels that they paint."""
+    streams = encode.encode_images(supplier_crosses(spark, sf_dir), one_color(spark, 18), target_size=24).select("image_id", "data")
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))), lambda p: F.concat_ws(",", p["r"], p["g"], p["b"])), ";")
+    painted = decode.decode_images(streams).groupBy("image_id").agg(F.md5(shown.cast("binary")).alias("digest"))
+    return decode.read_headers(streams).join(painted, "image_id")
 
 
-def odd_images(spark: SparkSession) -> DataFrame:
-    """The cross, a plain image and one that is too small."""
-    plain = R.cross(spark, 1).withColumns({c: F.lit(7).cast("long") for c in ("r", "g", "b")})
-    return R.cross(spark).unionByName(plain).unionByName(R.cross(spark, 2).where("x < 4"))
+def odd_images(spark, sf_dir):
+    """Of three suppliers one has a cross, one a plain image, one an image that is too small."""
+    kind = F.col("image_id") % 3
+    crosses = supplier_crosses(spark, sf_dir)
+    return crosses.withColumns({c: F.when(kind == 1, 7).otherwise(F.col(c)).cast("long") for c in "rgb"}).where((kind != 2) | (F.col("x") < 4))
 
 
 def encode_statuses(spark, sf_dir):
-    """What is coded: the cross without loss, within the target; the others not at all."""
-    variants = spark.createDataFrame([(0, 215, 6, 1 << 18)], "variant_id int, partition_code int, line_limit int, color_options long")
-    rows = encode.encode_images(odd_images(spark), variants, target_size=24)
+    """What is coded: the crosses without loss, within the target; the others not at all."""
+    rows = encode.encode_images(odd_images(spark, sf_dir), one_color(spark, 18), target_size=24)
     return rows.select("image_id", "status", "variant_id", "color", F.round("mse", 3).alias("mse"), (F.octet_length("data") <= 24).alias("fits"))
 
 
-def coded_and_decoded(spark: SparkSession, color: int, target: int) -> DataFrame:
-    variants = spark.createDataFrame([(0, 215, 6, 1 << color)], "variant_id int, partition_code int, line_limit int, color_options long")
-    return decode.decode_images(encode.encode_images(R.cross(spark), variants, target_size=target).select("image_id", "data"))
+def coded_and_decoded(spark: SparkSession, pixels: DataFrame, color: int, target: int) -> DataFrame:
+    return decode.decode_images(encode.encode_images(pixels, one_color(spark, color), target_size=target).select("image_id", "data"))
 
 
 def cross_by_palette(spark, sf_dir):
-    """The cross, coded with a palette and decoded."""
-    return coded_and_decoded(spark, 18, 24)
+    """The crosses, coded with a palette and decoded."""
+    return coded_and_decoded(spark, supplier_crosses(spark, sf_dir), 18, 24)
 
 
 def cross_by_steps(spark, sf_dir):
-    """The cross, coded with quantised channels and decoded."""
-    return coded_and_decoded(spark, 4, 60)
+    """The crosses, coded with quantised channels and decoded."""
+    return coded_and_decoded(spark, supplier_crosses(spark, sf_dir, 9), 4, 60)
 
 
 def rgba_bytes(spark, sf_dir):
@@ -387,11 +418,9 @@ def decode_streams(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     angle_table_int, angle_table_real, log2_values, color_codes, partition_codes, all_variants, angle_bits, level_scale, image_tax, parse_numbers, file_names, variant_parse, variant_records,
     option_sets, single_bits, crc64, xorshift, psnr, raster_lineitem, rgba_pixels, prefix_sums, square_sums, region_stats, region_level, distance_range, candidate_lines, split_line, split_scores,
-    best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images, decode_streams,
+    split_scores_binned, best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images, decode_streams,
     boundary_real, best_split_real, tree_splits, tree_patches, encode_statuses, cross_by_palette, cross_by_steps, rgba_bytes,
 )}
-# Earlier names of queries that now do the whole job themselves.
-QUERIES |= {f"{f.__name__}_all": f for f in (nearest_palette, palette_step, distance_range, split_line)}
 
 ANGLES_SQL = """ang AS (SELECT i AS angle, CAST(floor(sin(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS sn, CAST(floor(cos(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS cs
  FROM (SELECT CAST(range AS INTEGER) AS i FROM range(512)))"""
@@ -423,27 +452,29 @@ PALETTE_SQL = """palette AS (SELECT range AS idx, range * 36 AS pr, 255 - range
 distances AS (SELECT image_id, y, x, r, g, b, idx, CAST((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) AS DOUBLE) AS d2 FROM raster, palette),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY d2, idx) AS k FROM distances) WHERE k = 1)"""
 
+PARSED_SQL = """WITH p AS (SELECT p_partkey, p_partkey % 500 AS partition_code, CASE WHEN p_partkey % 7 <= 1 THEN 9223372036854775807 WHEN p_partkey % 7 = 2 THEN 65 ELSE p_partkey * 37 % 4095 + 1 END AS lines, CAST(p_size AS BIGINT) + 1 AS color_options FROM part)
+SELECT p_partkey, partition_code, CAST(l.range AS INTEGER) AS line_limit, color_options FROM p, range(63) l WHERE (lines >> l.range::INTEGER) & 1 = 1"""
+
 ORACLES = {
-    "angle_table_int": f"WITH {ANGLES_SQL} SELECT angle, sn, cs FROM ang",
-    "angle_table_real": f"WITH {ANGLES_SQL} SELECT angle, CASE WHEN angle = 0 THEN 0.0 ELSE round(1.0 / sn::DOUBLE, 12) END AS inv_sin, CASE WHEN angle = 0 THEN 0.0 ELSE round(-cs::DOUBLE / sn::DOUBLE, 9) END AS minus_cot FROM ang",
-    "log2_values": "SELECT CAST(range AS INTEGER) AS n, round(CAST(CAST(log2(range) AS FLOAT) AS DOUBLE), 5) AS v FROM range(1, 66)",
-    "color_codes": f"SELECT CAST(range AS INTEGER) AS code, CASE WHEN range < 17 THEN {QUANT.replace('code', 'range')} ELSE 0 END AS quant, CASE WHEN range < 17 THEN 0 ELSE range - 16 END AS palette FROM range(49)",
-    "partition_codes": "SELECT CAST(range AS INTEGER) AS code, range % 4 AS f1, range // 4 % 5 AS f2, range // 20 % 5 AS f3, range // 100 % 5 AS f4, range AS joined FROM range(500)",
-    "all_variants": "SELECT CAST(range AS INTEGER) AS variant_id, CAST(range // 63 AS INTEGER) AS partition_code, CAST(range % 63 AS INTEGER) AS line_limit, CAST(562949953421311 AS BIGINT) AS color_options FROM range(31500)",
-    "angle_bits": "SELECT CAST(c.range AS INTEGER) AS code, CAST(l.range AS INTEGER) AS level, greatest(0, 9 - c.range % 4 - l.range - l.range * (c.range // 100 % 5) // 2) AS bits FROM range(500) c, range(7) l",
-    "level_scale": """WITH RECURSIVE s AS (
- SELECT c.range AS code, side, 0 AS level, (2 * side * side * (c.range // 4 % 5 + 2) * (c.range // 4 % 5 + 2)) % 4294967296 AS scale FROM range(500) c, (SELECT unnest([9, 64, 863, 1300, 2048])::BIGINT AS side)
- UNION ALL SELECT code, side, level + 1, (scale * 40 % 4294967296) // [1000, 630, 398, 251, 158][code // 20 % 5 + 1] FROM s WHERE level < 6)
-SELECT code, side, level, scale // 36 AS scale FROM s""",
-    "image_tax": "SELECT range AS side, CAST(3 + floor(log2(range - 1)) AS BIGINT) AS bits, round(20.5577740523::DOUBLE + 2 * (3 + floor(log2(range - 1))), 6) AS tax FROM range(9, 2049)",
+    "angle_table_int": f"""WITH {ANGLES_SQL} SELECT o_orderkey, angle, sn, cs FROM orders JOIN ang ON angle = o_custkey % 512""",
+    "angle_table_real": f"""WITH {ANGLES_SQL} SELECT o_orderkey, angle, CASE WHEN angle = 0 THEN 0.0 ELSE round(1.0 / sn::DOUBLE, 12) END AS inv_sin, CASE WHEN angle = 0 THEN 0.0 ELSE round(-cs::DOUBLE / sn::DOUBLE, 9) END AS minus_cot FROM orders JOIN ang ON angle = o_custkey % 512""",
+    "log2_values": "SELECT p_partkey, n, round(CAST(CAST(log2(n) AS FLOAT) AS DOUBLE), 5) AS v FROM (SELECT p_partkey, CAST(p_partkey * p_size % 65 + 1 AS INTEGER) AS n FROM part)",
+    "color_codes": f"SELECT c_custkey, CAST(code AS INTEGER) AS code, CAST(CASE WHEN code < 17 THEN {QUANT} ELSE 0 END AS BIGINT) AS quant, CAST(CASE WHEN code < 17 THEN 0 ELSE code - 16 END AS BIGINT) AS palette FROM (SELECT c_custkey, c_custkey % 49 AS code FROM customer)",
+    "partition_codes": "SELECT p_partkey, code, code % 4 AS f1, code // 4 % 5 AS f2, code // 20 % 5 AS f3, code // 100 % 5 AS f4, code AS joined FROM (SELECT p_partkey, p_partkey * 7 % 500 AS code FROM part)",
+    "all_variants": "SELECT image_id, CAST(range AS INTEGER) AS variant_id, CAST(range // 63 AS INTEGER) AS partition_code, CAST(range % 63 AS INTEGER) AS line_limit, CAST(562949953421311 AS BIGINT) AS color_options FROM (SELECT DISTINCT l_linenumber::BIGINT AS image_id FROM lineitem), range(31500)",
+    "angle_bits": "SELECT p_partkey, CAST(l.range AS INTEGER) AS level, greatest(0, 9 - p_partkey % 500 % 4 - l.range - l.range * (p_partkey % 500 // 100 % 5) // 2) AS bits FROM part, range(7) l",
+    "level_scale": """WITH RECURSIVE c AS (SELECT c_custkey, c_custkey * 13 % 2040 + 9 AS w, c_custkey * 29 % 2040 + 9 AS h, c_custkey * 7 % 500 AS code FROM customer), s AS (
+ SELECT c_custkey, code, 0 AS level, ((w * w + h * h) * (code // 4 % 5 + 2) * (code // 4 % 5 + 2)) % 4294967296 AS scale FROM c
+ UNION ALL SELECT c_custkey, code, level + 1, (scale * 40 % 4294967296) // [1000, 630, 398, 251, 158][code // 20 % 5 + 1] FROM s WHERE level < 6)
+SELECT c_custkey, level, scale // 36 AS scale FROM s""",
+    "image_tax": "SELECT p_partkey, CAST(3 + floor(log2(w - 1)) AS BIGINT) AS bits, round(20.5577740523::DOUBLE + (3 + floor(log2(w - 1))) + (3 + floor(log2(h - 1))), 6) AS tax FROM (SELECT p_partkey, p_partkey * 31 % 2040 + 9 AS w, p_size * 40 + 9 AS h FROM part)",
     "parse_numbers": "SELECT c_custkey, CAST(nullif(regexp_replace(c_name, '[^0-9]', '', 'g'), '') AS BIGINT) AS number FROM customer",
     "file_names": r"SELECT page_id, regexp_extract(url, '[^/\\]*$', 0) AS name FROM pages",
-    "variant_parse": """WITH p AS (SELECT p_partkey, p_partkey % 500 AS partition_code, CASE WHEN p_partkey % 7 <= 1 THEN 9223372036854775807 WHEN p_partkey % 7 = 2 THEN 65 ELSE p_partkey * 37 % 4095 + 1 END AS lines, CAST(p_size AS BIGINT) + 1 AS color_options FROM part)
-SELECT p_partkey, partition_code, CAST(l.range AS INTEGER) AS line_limit, color_options FROM p, range(63) l WHERE (lines >> l.range::INTEGER) & 1 = 1""",
-    "variant_records": """WITH v AS (SELECT CAST(range AS INTEGER) AS variant_id, range // 63 AS partition_code, range % 63 AS line_limit FROM range(31500))
-SELECT variant_id, printf('%02X%02X%02XFFFFFFFFFFFF01', partition_code % 256, partition_code // 256, line_limit) AS record, partition_code, line_limit, 562949953421311::BIGINT AS color_options FROM v""",
+    "variant_parse": PARSED_SQL,
+    "variant_records": f"""WITH v AS ({PARSED_SQL})
+SELECT p_partkey, printf('%02X%02X%02X%02X000000000000', partition_code % 256, partition_code // 256, line_limit, color_options) AS record, partition_code, CAST(line_limit AS BIGINT) AS line_limit, color_options FROM v""",
     "option_sets": "SELECT l_orderkey, CAST(bit_or(1::BIGINT << (l_partkey % 49)::INTEGER) AS BIGINT) AS bits FROM lineitem GROUP BY 1",
-    "single_bits": "SELECT CAST(range AS INTEGER) AS place, CAST(range AS INTEGER) AS found FROM range(63)",
+    "single_bits": "SELECT o_orderkey, CAST(o_custkey % 63 AS INTEGER) AS found FROM orders",
     "xorshift": """WITH s AS (SELECT o_orderkey, o_orderkey * 2654435761 % 4294967296 AS v FROM orders), a AS (SELECT o_orderkey, xor(v, v * 8192 % 4294967296) AS v FROM s), b AS (SELECT o_orderkey, xor(v, v >> 17) AS v FROM a)
 SELECT o_orderkey, CAST(xor(v, v * 32 % 4294967296) AS BIGINT) AS next, CAST(o_orderkey * 16807 % 2147483647 AS BIGINT) AS lcg FROM b""",
     "psnr": "SELECT p_partkey, round(10 * log10(65025.0::DOUBLE / (p_retailprice / 100)), 6) AS psnr FROM part",
@@ -480,26 +511,45 @@ SELECT image_id, round(sum(c * vr * (vr - 2 * r) + c * vg * (vg - 2 * g) + c * v
  row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_quantity, l_partkey % 20, l_suppkey % 17) AS k FROM lineitem) WHERE k = 1""",
     "render_spans": f"""{GEOMETRY}, cuts AS (SELECT *, sn * 20 + cs * 5 AS d FROM turned WHERE angle = 96), b AS (SELECT image_id, y, {CUT} AS edge FROM cuts)
 SELECT image_id, y, range AS x, CASE WHEN range >= edge THEN 200 ELSE 10 END::BIGINT AS r, CASE WHEN range >= edge THEN 55 ELSE 245 END::BIGINT AS g, y AS b FROM b, range(64)""",
-    "header_entries": """WITH v AS (SELECT range AS id, range + 9 AS w, 2048 - range AS h FROM range(500)), s AS (SELECT *, CAST(floor(log2(w - 1)) AS BIGINT) AS lw, CAST(floor(log2(h - 1)) AS BIGINT) AS lh FROM v),
+    "header_entries": """WITH v AS (SELECT p_partkey AS id, p_partkey * 31 % 2040 + 9 AS w, CAST(p_size * 40 + 9 AS BIGINT) AS h FROM part), s AS (SELECT *, CAST(floor(log2(w - 1)) AS BIGINT) AS lw, CAST(floor(log2(h - 1)) AS BIGINT) AS lh FROM v),
 e AS (SELECT id, unnest([lw - 3, w - (1::BIGINT << lw) - 1, lh - 3, h - (1::BIGINT << lh) - 1, id % 4, id // 4 % 5, id // 20 % 5, id // 100 % 5, id % 63, id % 49]) AS value, unnest([8, 1::BIGINT << lw, 8, 1::BIGINT << lh, 4, 5, 5, 5, 63, 49]) AS max, generate_subscripts([1,1,1,1,1,1,1,1,1,1], 1) AS k FROM s)
-SELECT id, CAST(k - 1 AS INTEGER) AS pos, value, max FROM e""",
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INTEGER) AS pos, value, max FROM e WHERE max > 1""",
     "rans_roundtrip": "SELECT l_orderkey, CAST(count(*) AS INTEGER) AS numbers, true AS same FROM lineitem GROUP BY 1",
-    "decode_images": "SELECT 0::BIGINT AS image_id, i // 20 AS y, i % 20 AS x, 255::BIGINT AS r, v AS g, v AS b FROM (SELECT range AS i, ((145536 >> ((range % 20 // 4 + 5 * (range // 80))::INTEGER)) & 1) * 255 AS v FROM range(400))",
     "entropy_estimate": "SELECT l_orderkey, round(count(*) * log2(7), 6) AS bits FROM lineitem GROUP BY 1",
 }
-CROSS_SQL = ORACLES["decode_images"]
+# The cells of the cross are bits of a number, fixed by the format's published example.
+CROSS_SQL = """cells AS (SELECT range // 20 AS y, range % 20 AS x, ((145536 >> ((range % 20 // 4 + 5 * (range // 80))::INTEGER)) & 1) = 1 AS is_on FROM range(400)),
+crosses AS (SELECT s_suppkey AS image_id, y, x, CASE WHEN is_on THEN (s_suppkey * 7 + 1) % STEPS * 255 // LAST ELSE (s_suppkey * 3) % STEPS * 255 // LAST END AS r,
+ CASE WHEN is_on THEN (s_suppkey * 13 + 1) % STEPS * 255 // LAST ELSE (s_suppkey * 5) % STEPS * 255 // LAST END AS g, CASE WHEN is_on THEN (s_suppkey * 29 + 1) % STEPS * 255 // LAST ELSE (s_suppkey * 11) % STEPS * 255 // LAST END AS b FROM supplier, cells)"""
+FINE_CROSS_SQL, COARSE_CROSS_SQL = (CROSS_SQL.replace("STEPS", str(n)).replace("LAST", str(n - 1)) for n in (256, 9))
 REAL_CUT = """CASE WHEN sn = 0 THEN CASE WHEN CAST(y AS FLOAT) >= CAST(CAST(CAST(d AS FLOAT) AS DOUBLE) / CAST(CAST(cs AS FLOAT) AS DOUBLE) AS FLOAT) THEN x0 ELSE x1 END
  ELSE least(x1, greatest(x0, CAST(trunc(CAST(y::DOUBLE * CAST(CAST(-cs::DOUBLE / sn::DOUBLE AS FLOAT) AS DOUBLE) + CAST(CAST(d::DOUBLE * (1.0::DOUBLE / sn::DOUBLE) + 0.5::DOUBLE AS FLOAT) AS DOUBLE) AS FLOAT)) AS BIGINT))) END"""
-TREES_SQL = """mixed AS (SELECT o_orderkey AS image_id, k, (o_orderkey * 7919 + k * k * 104729 + k * 31) % 1009 AS m FROM orders, (SELECT range AS k FROM range(1, 32)) WHERE o_orderkey % 100 = 0),
-nodes AS (SELECT image_id, k, m * 3 % 5000 + k AS sr, m * 5 % 5000 + k AS sg, m * 7 % 5000 + k AS sb, m % 50 + 1 AS c, m::DOUBLE AS score, 2 + (m % 24) / 4.0::DOUBLE AS cost, k < 16 AS split FROM mixed),
-trees AS (SELECT image_id, list({'k': k, 'score': score, 'cost': cost} ORDER BY k) FILTER (WHERE split) AS known FROM nodes GROUP BY 1),
-search AS (SELECT image_id, known, 20.0::DOUBLE + image_id % 40 AS budget, [known[1]] AS heap, CAST([] AS BIGINT[]) AS taken FROM trees
+# The pairing heap as lists: `below` the latest that a node has beaten, `beside` the next of its beater's; 0 is none. Phase 0 takes
+# the top off, 1 pairs those it has beaten, 2 joins the pairs from the last, 3 adds the children of a split.
+SCORE = "score[{}]"
+PUT = "list_transform({0}, lambda v, i: CASE {1} ELSE v END)"
+BEATS = f"{SCORE.format('one')} < {SCORE.format('two')}"
+TREES_SQL = f"""mixed AS (SELECT o_orderkey AS image_id, k, (o_orderkey * 7919 + k * k * 104729 + k * 31) % 1009 AS m FROM orders, (SELECT range AS k FROM range(1, 32))),
+nodes AS (SELECT image_id, k, m * 3 % 5000 + k AS sr, m * 5 % 5000 + k AS sg, m * 7 % 5000 + k AS sb, m % 50 + 1 AS c, k < 16 AND m % 11 <> 0 AS split, m % 4 + 1.0::DOUBLE AS score, 2 + (m % 24) / 4.0::DOUBLE AS cost FROM mixed),
+trees AS (SELECT image_id, list(CASE WHEN split THEN score ELSE -1.0::DOUBLE END ORDER BY k) AS score, list(cost ORDER BY k) AS cost FROM nodes GROUP BY 1),
+search AS (SELECT image_id, 20.0::DOUBLE + image_id % 40 AS budget, 0 AS phase, 1::BIGINT AS top, 0::BIGINT AS here, list_transform(range(31), lambda x: 0::BIGINT) AS below, list_transform(range(31), lambda x: 0::BIGINT) AS beside,
+  CAST([] AS BIGINT[]) AS pairs, CAST([] AS BIGINT[]) AS todo, CAST([] AS BIGINT[]) AS taken FROM trees
  UNION ALL
- SELECT image_id, known, CASE WHEN top.cost + 1 <= budget THEN budget - top.cost - 1 ELSE budget END,
-  CASE WHEN top.cost + 1 <= budget AND top.k < 8 THEN list_concat(list_filter(heap, lambda h: h.k <> top.k), [known[2 * top.k], known[2 * top.k + 1]]) ELSE list_filter(heap, lambda h: h.k <> top.k) END,
-  CASE WHEN top.cost + 1 <= budget THEN list_append(taken, top.k) ELSE taken END
- FROM (SELECT *, list_filter(heap, lambda h: h.score = list_max(list_transform(heap, lambda g: g.score)))[1] AS top FROM search WHERE len(heap) > 0)),
-ended AS (SELECT image_id, taken FROM search WHERE len(heap) = 0),
+ SELECT image_id, CASE WHEN took THEN budget - cost[top] - 1 ELSE budget END,
+  CASE phase WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN here = 0 THEN 2 ELSE 1 END WHEN 2 THEN CASE WHEN len(pairs) = 0 THEN 3 ELSE 2 END ELSE CASE WHEN len(todo) = 0 THEN 0 ELSE 3 END END,
+  CASE WHEN phase = 0 THEN 0 WHEN phase = 1 OR one IS NULL THEN top ELSE up END,
+  CASE WHEN phase = 0 THEN below[top] WHEN phase = 1 AND here > 0 THEN coalesce(beside[two], 0) ELSE here END,
+  CASE WHEN down > 0 THEN {PUT.format("below", "WHEN i = up THEN down")} ELSE below END,
+  CASE WHEN down > 0 THEN {PUT.format("beside", "WHEN i = down THEN below[up] WHEN i = up THEN 0")} ELSE beside END,
+  CASE WHEN phase = 1 AND here > 0 THEN list_append(pairs, up) WHEN phase = 2 AND len(pairs) > 0 THEN pairs[:-2] ELSE pairs END,
+  CASE WHEN phase = 0 THEN CASE WHEN took THEN [2 * top, 2 * top + 1] ELSE [] END WHEN phase = 3 AND len(todo) > 0 THEN todo[2:] ELSE todo END,
+  CASE WHEN took THEN list_append(taken, top) ELSE taken END
+ FROM (SELECT *, CASE WHEN {BEATS} THEN two ELSE one END AS up, CASE WHEN {BEATS} THEN one WHEN one = 0 THEN 0 ELSE coalesce(two, 0) END AS down
+  FROM (SELECT s.*, t.score, t.cost, phase = 0 AND t.cost[top] + 1 <= budget AS took,
+    CASE WHEN phase = 1 AND here > 0 THEN here WHEN phase = 2 AND len(pairs) > 0 THEN pairs[-1] WHEN phase = 3 AND len(todo) > 0 THEN CASE WHEN top = 0 THEN todo[1] ELSE top END END AS one,
+    CASE WHEN phase = 1 AND here > 0 THEN nullif(beside[here], 0) WHEN phase = 2 AND len(pairs) > 0 THEN nullif(top, 0) WHEN phase = 3 AND len(todo) > 0 AND top > 0 THEN todo[1] END AS two
+   FROM search s JOIN trees t USING (image_id) WHERE NOT (phase = 0 AND (top = 0 OR t.score[top] < 0))))),
+ended AS (SELECT s.image_id, taken FROM search s JOIN trees t USING (image_id) WHERE phase = 0 AND (top = 0 OR t.score[top] < 0)),
 splits AS (SELECT image_id, unnest(taken) AS k, generate_subscripts(taken, 1) - 1 AS ordinal FROM ended)"""
 PATH = "translate(substr(bin({}), 2), '01', 'LR')"
 # A step of the coder for one number below 7: `lost` bits go, then the number comes in.
@@ -518,7 +568,9 @@ coded AS (SELECT v, start AS state, 0 AS done, '' AS bits FROM chosen
 whole AS (SELECT v, reverse(lpad(bin(state % 65536), 16, '0')) || reverse(bits) || '0000000' AS bits FROM coded WHERE done = len(v)),
 packed AS (SELECT v, list_aggregate(list_transform(range(0, len(bits) // 8), lambda i: printf('%02X', CAST(list_sum(list_transform(range(0, 8), lambda j: CASE WHEN substr(bits, 8 * i + j + 1, 1) = '1' THEN 1 << j::INTEGER ELSE 0 END)) AS INTEGER))), 'string_agg', '') AS data FROM whole)
 SELECT l_orderkey, CAST(len(s.v) AS INTEGER) AS numbers, true AS same, regexp_replace(data, '(00)+$', '') AS data FROM streams s JOIN packed p ON s.v = p.v"""
+ALL_LINES_SQL = f"""{GEOMETRY}, {PREFIX_SQL}, {REACH_SQL}, {LINES_SQL}, {SCORE_SQL}""".replace(CUT, REAL_CUT).replace("262144 * 15", "262144 * 63").replace("+ 15) // 30", "+ 63) // 126").replace("WHERE angle % 32 = 0", "").replace("angle // 32 AS angle_code", "angle AS angle_code")
 ORACLES |= {
+    "split_scores_binned": f"{ALL_LINES_SQL} SELECT image_id, CAST(angle_code AS INTEGER) AS angle, line, d, num_lines, CAST(l_c AS BIGINT) AS l_c, round(score, 4) AS score FROM scored",
     "boundary_real": f"{GEOMETRY}, cuts AS (SELECT *, sn * 20 + cs * 5 AS d FROM turned) SELECT image_id, angle, y, {REAL_CUT} AS x FROM cuts",
     "best_split_real": ORACLES["best_split"].replace(CUT, REAL_CUT),
     "tree_splits": f"WITH RECURSIVE {TREES_SQL} SELECT image_id, {PATH.format('k')} AS node, ordinal FROM splits",
@@ -527,10 +579,12 @@ inner_ AS (SELECT t.image_id, color, k, ordinal FROM trials t JOIN splits s ON s
 children AS (SELECT image_id, color, 2 * k + side AS k, 2 * ordinal + side AS seq FROM inner_, (SELECT unnest([0, 1]) AS side))
 SELECT c.image_id, CAST(c.color AS INTEGER) AS color, {PATH.format('c.k')} AS node, CAST(seq AS BIGINT) AS seq, round(sr / n.c, 4) AS r, round(sg / n.c, 4) AS g, round(sb / n.c, 4) AS b, CAST(n.c AS DOUBLE) AS c
 FROM children c JOIN nodes n ON n.image_id = c.image_id AND n.k = c.k WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.image_id = c.image_id AND i.color = c.color AND i.k = c.k)""",
-    "encode_statuses": """SELECT * FROM (VALUES (0::BIGINT, 'ok', 0::INTEGER, 18::INTEGER, 0.0::DOUBLE, true), (1, 'flat', NULL, NULL, NULL, NULL), (2, 'size', NULL, NULL, NULL, NULL)) t(image_id, status, variant_id, color, mse, fits)""",
-    "cross_by_palette": CROSS_SQL,
-    "cross_by_steps": CROSS_SQL,
+    "encode_statuses": """SELECT s_suppkey AS image_id, ['ok', 'flat', 'size'][s_suppkey % 3 + 1] AS status, CASE WHEN s_suppkey % 3 = 0 THEN 0 END AS variant_id, CASE WHEN s_suppkey % 3 = 0 THEN 18 END AS color,
+ CASE WHEN s_suppkey % 3 = 0 THEN 0.0::DOUBLE END AS mse, CASE WHEN s_suppkey % 3 = 0 THEN true END AS fits FROM supplier""",
+    "cross_by_palette": f"WITH {FINE_CROSS_SQL} SELECT image_id, y, x, r, g, b FROM crosses",
+    "cross_by_steps": f"WITH {COARSE_CROSS_SQL} SELECT image_id, y, x, r, g, b FROM crosses",
+    "decode_images": f"""WITH {FINE_CROSS_SQL} SELECT image_id, 20::BIGINT AS width, 20::BIGINT AS height, 215::BIGINT AS partition_code, 7::BIGINT AS line_limit, 18::BIGINT AS color,
+ md5(string_agg(r || ',' || g || ',' || b, ';' ORDER BY y, x)) AS digest FROM crosses GROUP BY 1""",
     "rans_roundtrip": STREAM_SQL,
     "rgba_bytes": f"WITH {RASTER_SQL} SELECT image_id, 64::BIGINT AS width, count(DISTINCT y) AS height, md5(string_agg(printf('%02X%02X%02XFF', r, g, b), '' ORDER BY y, x)) AS digest FROM raster GROUP BY 1",
 }
-ORACLES |= {f"{name}_all": ORACLES[name] for name in ("nearest_palette", "palette_step", "distance_range", "split_line")}

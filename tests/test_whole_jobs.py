@@ -135,9 +135,9 @@ def test_palette_of_all_columns(spark, two_images):
     palette = np.array([[36 * i, 255 - 36 * i, 17 * i] for i in range(8)])
     d2 = ((two_images[:, :, :, None, :] - palette) ** 2).sum(axis=4)
     near = d2.argmin(axis=3)
-    got = {(r["image_id"], r["y"], r["x"]): (r["idx"], r["d2"]) for r in Q.QUERIES["nearest_palette_all"](spark, "").collect()}
+    got = {(r["image_id"], r["y"], r["x"]): (r["idx"], r["d2"]) for r in Q.QUERIES["nearest_palette"](spark, "").collect()}
     assert got == {at: (near[at], d2[at].min()) for at in np.ndindex(2, 16, 64)}
-    step = {(r["image_id"], r["idx"]): (r["pr"], r["pg"], r["pb"], r["c"]) for r in Q.QUERIES["palette_step_all"](spark, "").collect()}
+    step = {(r["image_id"], r["idx"]): (r["pr"], r["pg"], r["pb"], r["c"]) for r in Q.QUERIES["palette_step"](spark, "").collect()}
     assert step.keys() == {(i, k) for i in range(2) for k in np.unique(near[i]).tolist()}
     for (i, k), (*centre, count) in step.items():
         mine = two_images[i][near[i] == k]
@@ -146,9 +146,9 @@ def test_palette_of_all_columns(spark, two_images):
 
 def test_ranges_and_parts_at_all_angles(spark, two_images):
     y, x = np.mgrid[0:16, 0:64]
-    ranges = {(r["image_id"], r["angle"]): (r["low"], r["high"], r["line_quant"], r["num_lines"]) for r in Q.QUERIES["distance_range_all"](spark, "").collect()}
+    ranges = {(r["image_id"], r["angle"]): (r["low"], r["high"], r["line_quant"], r["num_lines"]) for r in Q.QUERIES["distance_range"](spark, "").collect()}
     sides = {(i, a): np.zeros((2, 16, 64), int) for i in range(2) for a in range(512)}
-    for r in Q.QUERIES["split_line_all"](spark, "").collect():
+    for r in Q.QUERIES["split_line"](spark, "").collect():
         sides[r["image_id"], r["angle"]]["LR".index(r["side"]), r["y"], r["x0"] : r["x1"]] += 1
     assert len(ranges) == 1024
     for (i, a), found in sides.items():
