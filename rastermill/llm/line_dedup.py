@@ -20,6 +20,7 @@ from rastermill.llm.common import Scratch, text_digest
 # Fixed by the contract: the characters that are stripped, and the letters that are lowered.
 BLANKS = "\t\n\x0b\x0c\r "
 BATCH_ROWS = 1_000_000
+LINES_A_BUCKET, MOST_BUCKETS = 250_000, 100_000
 MARK, PLACES = "_rastermill_mark", "_rastermill_places"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,10 +54,10 @@ def line_hashes(text: Column) -> Column:
 class LineStore:
     """Runs of line hashes in the shared folder, in levels; see the module's text."""
 
-    def __init__(self, spark: SparkSession, min_documents: int, fanout: int = 2):
+    def __init__(self, spark: SparkSession, min_documents: int, fanout: int = 2, buckets: int | None = None):
         self.spark, self.min_documents, self.fanout = spark, min_documents, fanout
         self.scratch = Scratch(spark)
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.frequent: list[str] = []
 
@@ -132,7 +133,8 @@ def different(keys: Column) -> Column:
 def frequent_lines(keyed: DataFrame, min_documents: int, batches: int = 4, fanout: int = 2) -> DataFrame:
     """keyed: (batch, keys). (a, b): hashes of the line keys found in at least `min_documents` rows.
     With more batches than `fanout` later batches are anti-joined with what is frequent so far."""
-    store = LineStore(keyed.sparkSession, min_documents, fanout)
+    lines = keyed.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    store = LineStore(keyed.sparkSession, min_documents, fanout, max(1, min(MOST_BUCKETS, -(-lines // LINES_A_BUCKET))))
     ordered = keyed.withColumn("keys", F.array_sort(F.array_compact("keys")))
     for i in range(batches):
         keys = ordered.where(F.col("batch") == i).select(F.explode(different(F.col("keys"))).alias("key"))
@@ -164,8 +166,13 @@ def drop_frequent_lines(df: DataFrame, min_documents: int = 10) -> DataFrame:
     joined = df.join(marks, text_digest(F.col("text")) == F.col(MARK), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = split_lines(text)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(PLACES))
-    kept = F.when(F.col(PLACES).isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+
+    def kept_of(each: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(each) - 1), F.col(PLACES))
+        return F.array_join(F.transform(left, lambda i: F.get(each, i)), "\n")
+
+    # The lines are bound once: an expression would be split again for each line.
+    kept = F.when(F.col(PLACES).isNull(), text).otherwise(F.transform(F.array(lines), kept_of)[0])
     others = [kept.alias(c) if c.lower() == "text" else F.col(c) for c in df.columns if c.lower() not in ("n_lines", "n_dropped")]
     dropped = F.coalesce(F.size(PLACES), F.lit(0))
     return joined.select(*others, F.size(lines).cast("long").alias("n_lines"), F.when(F.col(PLACES).isNull(), 0).otherwise(dropped).cast("long").alias("n_dropped"))

@@ -20,7 +20,7 @@ BLOCK_TOKENS = 1_000_000
 LEAST_BLOCKS = 1_000
 ROWS_A_WINDOW = 20_000
 SLOTS_A_ROW = 10_000
-ROW, COPIES = "_rastermill_row", "_rastermill_copies"
+ROW, ORIGIN, COPIES = "_rastermill_row", "_rastermill_origin", "_rastermill_copies"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -103,12 +103,14 @@ def row_digest() -> Column:
 
 
 def repeat_documents(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """`df` with each row as often as the mix takes its words, rounded to whole documents.
+    """`df` with each row as often as the mix takes its words, rounded to whole documents; rows of one id and text in
+    two sources each as often as their own source says.
 
     Null and empty texts, and others without words, go. Equal rows share what their copies take; null
     doc_ids and sources are kept like others. All columns of `df` stay as they are, whatever their
     names; an empty table gives an empty table.
     """
-    mixed = mix(df, weights, cap).where("size > 0").groupBy(F.col("digest").alias(ROW)).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
-    joined = df.join(mixed, row_digest() == F.col(ROW))
+    mixed = mix(df, weights, cap).where("size > 0").groupBy(F.col("digest").alias(ROW), F.col("source").alias(ORIGIN))
+    mixed = mixed.agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
+    joined = df.join(mixed, (row_digest() == F.col(ROW)) & df["source"].eqNullSafe(F.col(ORIGIN)))
     return joined.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).select(*df.columns)

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.llm.common import slices
+from rastermill.llm.pairs import Pairs, found
 
 # Fixed values of the model's format: kinds of pieces, the sign for white space, what malformed bytes become.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE, REPLACEMENT = "▁", "�"
 BPE = 2
 SHORT_PART, HEAP_FROM, CACHED_PARTS = 64, 48, 100_000
-NEVER = np.int64(1 << 62)
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -259,43 +259,21 @@ class Model:
         return sizes
 
     def code_many(self, parts: list[str]) -> list[bytes]:
-        """code() for many parts: in each round every stretch between cuts joins its best pair, all in arrays. Long
-        parts, and those with characters that no piece has, are coded alone."""
+        """code() for many parts, in arrays. Long parts, and those with characters that no piece has, are coded alone."""
         if not parts:
             return []
         lengths = np.array(list(map(len, parts)))
         points = np.frombuffer("".join(parts).encode("utf-32-le"), np.int32).astype(np.int64)
-        symbol, place = self.symbol[points], np.arange(len(points))
         begins = np.zeros(len(points), bool)
         begins[np.cumsum(lengths) - lengths] = True
-        begins[1:] |= self.found(self.beside, points[:-1] << 21 | points[1:]) < 0
+        begins[1:] |= found(self.beside, points[:-1] << 21 | points[1:]) < 0
         live = np.repeat(lengths <= HEAP_FROM, lengths)
-        symbol, place, begins = symbol[live], place[live], begins[live]
-        pair = self.pair_at(symbol, begins, np.arange(len(symbol)))
-        done = []
-        while len(symbol):
-            starts = np.flatnonzero(begins)
-            order = np.where(pair < 0, NEVER, self.pair_rank[pair] << 32 | np.arange(len(symbol)))
-            best = np.minimum.reduceat(order, starts)
-            open_ = np.repeat(best < NEVER, np.diff(np.r_[starts, len(symbol)]))
-            done.append((place[~open_], symbol[~open_]))
-            left = best[best < NEVER] & 0xFFFFFFFF
-            symbol[left] = self.pair_makes[pair[left]]
-            open_[left + 1] = False
-            moved = (np.cumsum(open_) - 1)[left]
-            symbol, place, begins, pair = symbol[open_], place[open_], begins[open_], pair[open_]
-            near = np.zeros(len(symbol), bool)
-            near[moved] = near[moved[moved > 0] - 1] = True
-            near = np.flatnonzero(near)
-            pair[near] = self.pair_at(symbol, begins, near)
-        place, symbol = (np.concatenate(c) for c in zip(*done, strict=True)) if done else (place, symbol)
-        symbol = symbol[np.argsort(place)]
-        owner = np.searchsorted(np.cumsum(lengths), np.sort(place), side="right")
+        symbol, place = self.merges.join(self.symbol[points[live]], begins[live])
+        owner = np.repeat(np.arange(len(parts)), np.where(lengths <= HEAP_FROM, lengths, 0))[place]
         ends = np.searchsorted(owner, np.arange(len(parts)), side="right")
         alone = lengths > HEAP_FROM
         alone[owner[symbol >= len(self.names)]] = True
-        ids = symbol.astype(np.int32)
-        ids, out, begin = ids.tobytes(), [], 0
+        ids, out, begin = symbol.astype(np.int32).tobytes(), [], 0
         for part, end, slow in zip(parts, (ends * 4).tolist(), alone.tolist(), strict=True):
             out.append(self.code(part) if slow else ids[begin:end])
             begin = end
@@ -308,34 +286,18 @@ class Model:
         for name, i in self.ids.items():
             if len(name) == 1:
                 self.symbol[ord(name)] = i
+        rank = np.unique(-np.array(self.scores), return_inverse=True)[1].tolist()
         made = {}
         for name, i in self.ids.items():
             for k in range(1, len(name)):
                 a, b = (self.ids.get(x, int(self.symbol[ord(x)]) if len(x) == 1 else -1) for x in (name[:k], name[k:]))
                 if min(a, b) >= 0:
-                    made[a << 21 | b] = i
-        self.pair_keys = np.array(sorted(made), np.int64)
-        self.pair_makes = np.array([made[k] for k in self.pair_keys.tolist()], np.int64)
-        scores = np.array(self.scores)
-        self.pair_rank = np.unique(-scores, return_inverse=True)[1][self.pair_makes].astype(np.int64)
+                    made[a, b] = rank[i], i
+        self.merges = Pairs(made)
         self.beside = np.array(sorted(ord(p[0]) << 21 | ord(p[1]) for p in self.pairs), np.int64)
         self.piece_bytes = np.array([len(x.encode()) if k == NORMAL else 0 for x, k in zip(self.names, self.kinds, strict=True)], np.int32)
         self.byte_value = np.array([self.byte_of.get(i, 0) for i in range(n)])
 
-    @staticmethod
-    def found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Places in sorted keys, or -1."""
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
-
-    def pair_at(self, symbol: np.ndarray, begins: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The pair that the symbols at these places make with the next ones, or -1."""
-        after = np.minimum(at + 1, len(symbol) - 1)
-        joined = (at + 1 < len(symbol)) & ~begins[after]
-        return np.where(joined, self.found(self.pair_keys, symbol[at] << 21 | symbol[after]), -1)
-
     def encode_many(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, begins, ends) of the pieces of each text in UTF-8. Parts of up to SHORT_PART characters are kept,
         2 * CACHED_PARTS of them and those of one call at most."""
@@ -345,8 +307,8 @@ class Model:
         if len(self.young) >= CACHED_PARTS:
             self.old, self.young = self.young, {}
         known, missing = self.young, used.difference(self.young)
-        known.update((p, self.old[p]) for p in missing.intersection(self.old))
-        new = list(missing.difference(self.old))
+        known.update((p, self.old[p]) for p in missing if p in self.old)
+        new = [p for p in missing if p not in self.old]
         known.update(zip(new, self.code_many(new), strict=True))
         out = []
         for (_, places), parts in zip(normal, parted, strict=True):
