@@ -21,22 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.llm.common import Scratch, slices
-from rastermill.llm.pairs import Pairs
 
-DIMS, BITS, BUCKETS, CACHED_BYTES, SLICE = 4, 8, 4096, 48_000_000, 256
-LONGEST_KEPT, ENTRY_BYTES = 64, 130
+DIMS, BITS, BUCKETS, CACHED_WORDS, SLICE = 4, 8, 4096, 1_000_000, 256
+LONGEST_KEPT = 64
 
 
 class WordIds:
-    """Bytes of the ids of texts, and of words seen.
+    """Bytes of the ids of texts, and of each word seen.
 
     Where the tokenizer is one that lower-cases, parts a text by a pattern that drops white space and
-    merges the bytes of each part, words stand alone: short ones in Latin letters are parted here by
-    that same pattern and new parts are merged many at a time, others are encoded one by one.
-    Any other tokenizer encodes whole texts, for white space may count there.
-
-    Words and parts of up to LONGEST_KEPT characters are kept in two generations of `cached` bytes each; a
-    full one takes the place of the older.
+    merges the bytes of each part, words stand alone: those in Latin letters are parted here by
+    that same pattern and only new parts go through its merges, others are encoded one by one.
+    Any other tokenizer encodes whole texts, for white space may count there. Words and parts of up to
+    LONGEST_KEPT characters are kept, `cached` of each and those of one call at most.
     """
 
     def __init__(self, path: str, cached: int):
@@ -45,83 +42,62 @@ class WordIds:
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
+        self.parts: dict[str, bytes] = {}
+        self.long_parts: set[str] = set()
         config = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.pattern = None
-        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and not config["model"].get("ignore_merges"):
+        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             self.pattern = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-            self.read_merges(config["model"])
         # Letters for which composing, lower case and white space are the same everywhere.
         self.plain = regex.compile("[\t\n\r -~\u00a1-\u00ff]*+")
-
-    def read_merges(self, model: dict) -> None:
         # The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [x for x in range(256) if x not in printable]
-        alphabet = {x: chr(x) for x in printable} | {x: chr(256 + i) for i, x in enumerate(rest)}
-        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
-        self.first, self.last = (np.array([vocab[alphabet[x] + suffix] for x in range(256)], np.int64) for suffix in ("", end))
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merges = Pairs({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))})
-
-    def merge(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all parts, and where those of each end."""
-        lengths = np.array(list(map(len, parts)))
-        ends = np.cumsum(lengths)
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        symbol, begins = self.first[data], np.zeros(len(data), bool)
-        symbol[ends - 1] = self.last[data[ends - 1]]
-        begins[ends - lengths] = True
-        ids, place = self.merges.join(symbol, begins)
-        return ids.astype(self.dtype), np.searchsorted(place, ends)
+        self.alphabet = {x: chr(x) for x in printable} | {x: chr(256 + i) for i, x in enumerate(rest)}
+
+    def merge(self, part: str) -> bytes:
+        if not part.isascii():
+            part = "".join(map(self.alphabet.__getitem__, part.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(part)], self.dtype).tobytes()
+
+    def room(self, known: dict[str, bytes], new: int) -> None:
+        if len(known) + new > self.cached:
+            known.clear()
 
     def encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def encode_plain(self, words: list[str]) -> tuple[list[bytes], dict[str, bytes]]:
-        """The ids of words, and those of their parts that are new; a part is a word, too."""
-        low = [w.lower() for w in words]
-        parted = [(w,) if w.isalpha() else self.pattern.findall(w) for w in low]
+    def encode_plain(self, words: list[str]) -> list[bytes]:
+        parted = [[w.lower()] if w.isalpha() else self.pattern.findall(w.lower()) for w in words]
         parts = set(chain.from_iterable(parted))
-        known = {p: self.words[p] for p in parts if p in self.words}
-        known |= {p: self.older[p] for p in parts if p in self.older}
-        new = [p for p in parts if p not in known]
-        fresh: dict[str, bytes] = {}
-        if new:
-            ids, ends = self.merge([p.encode() for p in new])
-            data, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-            fresh = {p: data[a:b] for p, a, b in zip(new, [0, *ends], ends)}  # noqa: B905
-            known |= fresh
-        return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parted], fresh
+        self.room(self.parts, len(parts))
+        for part in parts.difference(self.parts):
+            self.parts[part] = self.merge(part)
+            if len(part) > LONGEST_KEPT:
+                self.long_parts.add(part)
+        return [b"".join([self.parts[x] for x in p]) for p in parted]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.pattern is None:
             return self.encode(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set(chain.from_iterable(split))
-        if self.held > self.cached:
-            self.older, self.words, self.held = self.words, {}, 0
-        missing = words.difference(self.words)
-        self.words.update((w, self.older[w]) for w in missing if w in self.older)
-        new = {w for w in missing if w not in self.older}
-        plain = [w for w in new if len(w) <= LONGEST_KEPT and "<|" not in w and self.plain.fullmatch(w)]
-        odd = list(new.difference(plain))
-        ids, parts = self.encode_plain(plain)
-        self.words.update(parts)
-        self.words.update(zip(plain, ids, strict=True))
-        self.words.update(zip(odd, self.encode(odd), strict=True))
+        self.room(self.words, len(words))
+        new = words.difference(self.words)
+        odd = {w for w in new if "<|" in w or not self.plain.fullmatch(w)}
+        for group, encode in ((list(new - odd), self.encode_plain), (list(odd), self.encode)):
+            self.words.update(zip(group, encode(group), strict=True))
         out = [b"".join(map(self.words.__getitem__, w)) for w in split]
-        for word in [w for w in new if len(w) > LONGEST_KEPT]:
-            del self.words[word]
-            missing.discard(word)
-        self.held += sum(map(len, missing)) + sum(map(len, parts)) + ENTRY_BYTES * (len(missing) + len(parts))
+        for known, fresh in ((self.words, new), (self.parts, self.long_parts)):
+            for word in [w for w in fresh if len(w) > LONGEST_KEPT]:
+                del known[word]
+        self.long_parts = set()
         return out
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str, cached: int = CACHED_BYTES) -> WordIds:
+def word_ids(path: str, cached: int = CACHED_WORDS) -> WordIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -178,11 +154,11 @@ def curve_key(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert_index(cells(out, BITS), BITS)
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, cached_bytes: int = CACHED_BYTES) -> DataFrame:
+def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, cached_words: int = CACHED_WORDS) -> DataFrame:
     """(doc_id, ids binary, curve long): ids are little-endian, of the width of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path, cached_bytes)
+        words = word_ids(tokenizer_path, cached_words)
         end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
             for part in slices(batch, 1, SLICE):
@@ -228,20 +204,20 @@ class Packer:
             self.close(1 << (self.fill.bit_length() - 1))
 
 
-def pack(df: DataFrame, tokenizer_path: str, sequence_tokens: int = 2048, end_id: int = 1, cached_bytes: int = CACHED_BYTES) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, sequence_tokens: int = 2048, end_id: int = 1, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids (binary, little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Reads `doc_id` and `text`, whatever else the table has. A null text counts as empty: its
     document is the end id alone; texts of any length are packed whole. Repeated rows are packed as
     often as they occur, ties on the curve stand in the order of hashed ids; a null doc_id stays
-    null. An empty table gives no rows. A worker keeps the ids of words of about twice
-    `cached_bytes` bytes. Only the last sequence of a range can
+    null. An empty table gives no rows. A worker keeps the ids of about `cached_words`
+    words and parts, none of them longer than LONGEST_KEPT characters. Only the last sequence of a range can
     be short, and it is cut into powers of two, so no padding is needed at all.
     """
     spark = df.sparkSession
     width = word_ids(tokenizer_path).dtype
-    tokens = Scratch(spark).write(tokenize(df, tokenizer_path, end_id, cached_bytes), "tokens")
+    tokens = Scratch(spark).write(tokenize(df, tokenizer_path, end_id, cached_words), "tokens")
     ties = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id"), F.xxhash64("ids")]
     ranged = tokens.repartitionByRange(F.col("curve"), *ties).sortWithinPartitions(F.col("curve"), *ties)
 
