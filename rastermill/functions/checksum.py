@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +100,80 @@ def text_crc64(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else f"{c:016X}" for t, c in zip(texts, found.tolist(), strict=True)], pa.string())], [key, "crc"])
 
     return rows.select(key, F.col(text).cast("binary")).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, crc string")
+
+
+# Sums of texts that follow each other. A sum is a polynomial over two elements, its lowest bit the highest power; zero bytes
+# behind a text multiply its sum.
+POLYNOMIAL, ONE = K.CRC64_POLYNOMIAL & (1 << 64) - 1, 1 << 63
+
+
+def times(a: int, b: int) -> int:
+    """The product of two polynomials, modulo that of the sum."""
+    out = 0
+    for i in range(63, -1, -1):
+        if a >> i & 1:
+            out ^= b
+        b = b >> 1 ^ (POLYNOMIAL if b & 1 else 0)
+    return out
+
+
+def zeros(count: int) -> int:
+    """What `count` zero bytes multiply a sum by."""
+    out, square = ONE, ONE >> 8
+    while count:
+        if count & 1:
+            out = times(out, square)
+        square, count = times(square, square), count >> 1
+    return out
+
+
+def combined(first: int, second: int, size: int) -> int:
+    """The sum of two texts one after the other, from theirs and the size of the second."""
+    return times(zeros(size), first) ^ second
+
+
+def ordered_crc64(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, n_texts, n_bytes, crc): the checksum of all texts of a group, one after the other in the order of a column, as
+    16 upper-case digits; texts that tie stand in their own order. Null texts count as empty, null keys are a group.
+
+    Rows are sorted in ranges of key and order, so that a large group spans tasks; each task hands on one sum for each group that it
+    met, and those are combined."""
+    names = [*keys, "part", "n_texts", "n_bytes", "sum"]
+    types = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, key, held = TaskContext.get().partitionId(), None, [0, 0, 0]
+
+        def out() -> pa.RecordBatch:
+            values = [*key, part, held[0], held[1], f"{held[2]:016X}"]
+            return pa.RecordBatch.from_arrays([pa.array([v], batch.schema.field(i).type if i < len(keys) else None) for i, v in enumerate(values)], names)
+
+        for batch in batches:
+            found = list(zip(*(c.to_pylist() for c in batch.columns[: len(keys)]), strict=True))
+            texts = [t or b"" for t in batch.column(len(keys)).to_pylist()]
+            begin = 0
+            while begin < len(found):
+                end = next((i for i in range(begin, len(found)) if found[i] != found[begin]), len(found))
+                if found[begin] != key:
+                    if key is not None:
+                        yield out()
+                    key, held = found[begin], [0, 0, 0]
+                data = b"".join(texts[begin:end])
+                sum_ = int(crc64_of(np.frombuffer(data + b"\0", np.uint8), np.zeros(1, np.int64), np.array([len(data)], np.int64))[0])
+                held = [held[0] + end - begin, held[1] + len(data), combined(held[2], sum_, len(data))]
+                begin = end
+        if key is not None:
+            yield out()
+
+    def whole(parts: pd.DataFrame) -> pd.DataFrame:
+        sum_ = 0
+        parts = parts.sort_values("part")
+        for each, size in zip(parts["sum"], parts["n_bytes"], strict=True):
+            sum_ = combined(sum_, int(each, 16), int(size))
+        return parts.iloc[:1][keys].assign(n_texts=parts["n_texts"].sum(), n_bytes=parts["n_bytes"].sum(), crc=f"{sum_:016X}")
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
+    data = F.col(text).cast("binary")
+    ranged = rows.select(*keys, data.alias("_text"), F.col(order).alias("_order")).repartitionByRange(*keys, "_order", "_text").sortWithinPartitions(*keys, "_order", "_text")
+    sums = ranged.select(*keys, "_text").mapInArrow(run, f"{schema}, part long, n_texts long, n_bytes long, sum string")
+    return sums.groupBy(*keys).applyInPandas(whole, f"{schema}, n_texts long, n_bytes long, crc string")

@@ -40,9 +40,9 @@ class Header:
         self.quant = 1 + (4 + (self.color & 3) << (self.color >> 2)) if self.color < K.FIRST_PALETTE_CODE else 0
         self.palette_size = max(0, self.color - K.FIRST_PALETTE_CODE + 1)
 
-    def angle_bits(self, spans: np.ndarray) -> int:
+    def level(self, spans: np.ndarray) -> int:
         dx, dy = spans[:, 2].max() - spans[:, 1].min(), np.ptp(spans[:, 0]) + 1
-        return self.bits[next((i for i, s in enumerate(self.scale) if dx * dx + dy * dy >= s), K.LEVELS - 1)]
+        return next((i for i, s in enumerate(self.scale) if dx * dx + dy * dy >= s), K.LEVELS - 1)
 
 
 def lines_across(spans: np.ndarray, sn: int, cs: int, limit: int, older: bool) -> tuple[int, int, int, int]:
@@ -65,20 +65,18 @@ def cut(spans: np.ndarray, sn: int, cs: int, d: int) -> tuple[np.ndarray, np.nda
     return left[left[:, 1] < left[:, 2]], right[right[:, 1] < right[:, 2]]
 
 
-def parse(data: bytes, older: bool = False) -> tuple[Header, list[tuple[tuple[int, ...], np.ndarray]] | None]:
-    """The header and, for each leaf, its colour and spans; None for a stream that names an empty region or
-    a side beyond the largest."""
+def walk(data: bytes, older: bool = False) -> tuple[Header, list[tuple] | None]:
+    """The header, and of each node in the order of the stream (name, spans, colour or None, level, angle, line); None for a
+    stream that names an empty region or a side beyond the largest."""
     read = Reader(data)
     head = Header(read, older)
     if max(head.width, head.height) > K.LARGEST_SIDE:
         return head, None
     palette = [tuple(read.number(256) for _ in range(3)) for _ in range(head.palette_size)]
     rows = np.arange(head.height)
-    queue = [np.column_stack([rows, np.zeros_like(rows), np.full_like(rows, head.width)])]
-    leaves, at = [], 0
-    while at < len(queue):
-        spans = queue[at]
-        at += 1
+    queue = [("", np.column_stack([rows, np.zeros_like(rows), np.full_like(rows, head.width)]))]
+    nodes = []
+    for name, spans in queue:
         split = read.number(2)
         if not len(spans):
             return head, None
@@ -87,16 +85,30 @@ def parse(data: bytes, older: bool = False) -> tuple[Header, list[tuple[tuple[in
                 color = palette[read.number(len(palette))]
             else:
                 color = tuple(255 * read.number(head.quant) // (head.quant - 1) for _ in range(3))
-            leaves.append((color, spans))
+            nodes.append((name, spans, color, None, None, None))
             continue
-        bits = head.angle_bits(spans)
+        level = head.level(spans)
+        bits = head.bits[level]
         angle = read.number(1 << bits) << 9 - bits
         sn, cs = int(SIN[angle]), int(COS[angle])
         low, high, quant, n = lines_across(spans, sn, cs, head.line_limit, older)
         line = read.number(n)
         d = low + (high - low - (n - 1) * quant) // 2 + quant * line if n > 1 else (high + low & K.U32) // 2
-        queue += cut(spans, sn, cs, d)
-    return head, leaves
+        nodes.append((name, spans, None, level, angle, line))
+        queue += [(name + side, part) for side, part in zip("LR", cut(spans, sn, cs, d), strict=True)]
+    return head, nodes
+
+
+def parse(data: bytes, older: bool = False) -> tuple[Header, list[tuple[tuple[int, ...], np.ndarray]] | None]:
+    """The header and, for each leaf, its colour and spans; None for a stream that can't be read."""
+    head, nodes = walk(data, older)
+    return head, None if nodes is None else [(color, spans) for _, spans, color, *_ in nodes if color is not None]
+
+
+def nodes_of(data: bytes) -> Iterator[tuple]:
+    """(name, level, angle, line, r, g, b, pixels) of each node; nothing for a stream that can't be read."""
+    for name, spans, color, level, angle, line in walk(data)[1] or []:
+        yield (name, level, angle, line, *(color or (None,) * 3), int((spans[:, 2] - spans[:, 1]).sum()))
 
 
 def decode_spans(streams: DataFrame, older: bool = False) -> DataFrame:

@@ -8,13 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from rastermill.functions import columns as C
 from rastermill.functions import constants as K
 from rastermill.operators import entropy as E
 from rastermill.operators import palette as P
 from rastermill.operators import rasters as R
-from rastermill.operators.tree import KEYS, TREE, budget_prefix, build_trees, coding_jobs, scratch, stored
+from rastermill.operators.splits import prefix_rows
+from rastermill.operators.tree import KEYS, TREE, budget_prefix, build_trees, coding_jobs, drop_folder, scratch, stored
 
 TRIAL = [*TREE, "color"]
 
@@ -49,8 +51,10 @@ def simulated_error(shown: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shown_colors(patches: DataFrame, palettes: DataFrame) -> DataFrame:
-    """Adds to each patch what is coded for it: vr, vg, vb, and idx for palettes."""
-    value = lambda x: F.floor(C.quantize(F.col(x), F.col("quant")) * 255.0 / F.greatest(F.col("quant") - 1, C.long(1)))
+    """Adds to each patch what the simulation shows for it, in single precision: vr, vg, vb, and idx for palettes."""
+    single = lambda x: F.lit(x).cast("float")
+    most = F.col("quant").cast("float") - single(1)
+    value = lambda x: F.floor((F.col(x).cast("float") * (most / single(255)) + single(0.5)).cast("int").cast("float") * (single(255) / F.greatest(most, single(1))))
     plain = patches.where("palette = 0").select("*", *(value(x).cast("double").alias(f"v{x}") for x in ("r", "g", "b")), F.lit(None).cast("int").alias("idx"))
     near = P.nearest(patches.where("palette > 0").select(*TRIAL, "node", "r", "g", "b"), palettes, TRIAL, ["node"])
     named = near.join(palettes, [*TRIAL, "idx"]).select(*TRIAL, "node", "idx", *(F.col(f"p{x}").alias(f"v{x}") for x in ("r", "g", "b")))
@@ -80,30 +84,71 @@ def stream_entries(jobs: DataFrame, best: DataFrame, nodes: DataFrame, taken: Da
     return parts.groupBy("image_id").agg(F.flatten(F.transform(ordered, lambda p: p["items"])).alias("entries"))
 
 
-def encode_images(pixels: DataFrame, variants: DataFrame, target_size: int = 200) -> DataFrame:
+class Search:
+    """The variants of one table of images, tried in rounds; what is given up is counted."""
+
+    def __init__(self, images: DataFrame, pixels: DataFrame, target_size: int):
+        self.images, self.target_size = images, target_size
+        self.at = scratch(pixels.sparkSession)
+        self.rows = stored(prefix_rows(R.prefix_sums(pixels)), f"{self.at}/rows")
+        self.round = 0
+
+    def trials(self, jobs: DataFrame) -> tuple[DataFrame, ...]:
+        """(jobs, nodes, taken, trials, palettes, shown) of some jobs, stored."""
+        at = f"{self.at}/{self.round}"
+        self.round += 1
+        jobs = stored(jobs, f"{at}/jobs")
+        nodes = build_trees(jobs, self.rows, f"{at}/nodes")
+        taken = nodes.where("ordinal IS NOT NULL").select(*KEYS, "ordinal")
+        alive = jobs.drop("color_options").join(nodes.where("node = ''").select(*TREE, F.col("options").alias("color_options")), TREE)
+        trials = stored(color_trials(alive, nodes, taken), f"{at}/trials")
+        patches = stored(gather_patches(trials, nodes, taken), f"{at}/patches")
+        palettes = stored(P.build_palettes(patches.where("palette > 0"), TRIAL), f"{at}/palettes")
+        return jobs, nodes, taken, trials, palettes, stored(shown_colors(patches, palettes), f"{at}/shown")
+
+    def best(self, variants: DataFrame, first_round: int, growth: int) -> DataFrame:
+        """(image_id, variant_id, color, sqe) of the first best trial. Later rounds grow by `growth` and know the least
+        error of those before, which ends the trees and colour codes that can't reach it."""
+        turned = stored(variants.withColumn("_turn", F.row_number().over(Window.orderBy(F.xxhash64("variant_id"), "variant_id"))), f"{self.at}/variants")
+        count, begin, size, best = turned.count(), 0, first_round, None
+        while begin < count:
+            jobs = coding_jobs(self.images, turned.where(F.col("_turn").between(begin + 1, begin + size)).drop("_turn"), self.target_size)
+            if best is not None:
+                jobs = jobs.drop("bound").join(best.select("image_id", F.col("sqe").alias("bound")), "image_id", "left")
+            found = first_best(simulated_error(self.trials(jobs)[-1], TRIAL))
+            best = stored(found if best is None else first_best(found.unionByName(best)), f"{self.at}/best-{self.round}")
+            begin, size = begin + size, size * growth
+        return best
+
+    def drop(self) -> None:
+        drop_folder(self.rows.sparkSession, self.at)
+
+
+def encode_images(pixels: DataFrame, variants: DataFrame, target_size: int = 200, first_round: int = 64, growth: int = 8) -> DataFrame:
     """(image_id, status, variant_id, color, mse, data): a row for each image of `pixels`.
 
-    `variants` (variant_id, partition_code, line_limit as an index, color_options) are all tried; a
-    variant_id that repeats is refused. `status` is ok, size (a side out of bounds) or flat (no variant splits it twice); only the
-    first has a stream, of `target_size` bytes or fewer.
+    `variants` (variant_id, partition_code, line_limit as an index, color_options) are all tried, in rounds of
+    `first_round`, then `growth` times as many; what can't reach the best error of earlier rounds is given up, which changes no
+    result. A variant_id that repeats is refused. `status` is ok, size (a side out of bounds) or flat (no variant
+    splits it twice); only the first has a stream, of `target_size` bytes or fewer.
     """
     if not variants.groupBy("variant_id").count().where("count > 1").isEmpty():
         raise ValueError("variant_id repeats")
     images = R.guarded(R.sizes(pixels))
     good = images.where("reason IS NULL")
-    at = scratch(pixels.sparkSession)
-    jobs = stored(coding_jobs(good, variants, target_size), f"{at}/jobs")
-    nodes, taken = build_trees(jobs, R.prefix_sums(pixels.join(good, "image_id", "left_semi")))
-    trials = stored(color_trials(jobs, nodes, taken), f"{at}/trials")
-    patches = stored(gather_patches(trials, nodes, taken), f"{at}/patches")
-    palettes = stored(P.build_palettes(patches.where("palette > 0"), TRIAL), f"{at}/palettes")
-    shown = stored(shown_colors(patches, palettes), f"{at}/shown")
-    best = stored(first_best(simulated_error(shown, TRIAL)), f"{at}/best")
-    streams = stream_entries(jobs, best, nodes, taken, trials, shown, palettes).select("image_id", E.encode_stream("entries").alias("data"))
+    search = Search(good, pixels.join(good, "image_id", "left_semi"), target_size)
+    best = search.best(variants, first_round, growth)
+    # The winners once more, now with their streams.
+    winner = best.select("image_id", "variant_id", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("color")).alias("color_options"))
+    jobs = coding_jobs(good, variants, target_size).drop("color_options").join(winner, TREE)
+    parts = search.trials(jobs)
     mse = (F.col("sqe") + F.col("sqe_base")) / (F.col("width") * F.col("height"))
+    streams = stream_entries(parts[0], best, *parts[1:4], shown=parts[5], palettes=parts[4]).select("image_id", E.encode_stream("entries").alias("data"))
     coded = best.join(streams, "image_id").join(R.square_sums(pixels), "image_id")
     status = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("data").isNull(), "flat").otherwise("ok")
-    return images.join(coded, "image_id", "left").select("image_id", status.alias("status"), "variant_id", "color", mse.alias("mse"), "data")
+    found = stored(images.join(coded, "image_id", "left").select("image_id", status.alias("status"), "variant_id", "color", mse.alias("mse"), "data"), f"{scratch(pixels.sparkSession)}/coded")
+    search.drop()
+    return found
 
 
 @F.pandas_udf(T.BinaryType())

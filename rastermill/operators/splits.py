@@ -113,6 +113,13 @@ class ImageScorer:
         rows = rows.sort_values("y")
         self.sums = [np.array(rows[s].tolist(), np.int64) for s in SUMS[:3]]
         self.first = int(rows["y"].iloc[0]) if len(rows) else 0
+        squares = sum(np.diff(p, axis=1) ** 2 for p in self.sums)
+        self.square_sums = np.pad(np.cumsum(squares, axis=1), ((0, 0), (1, 0)))
+
+    def squares(self, spans: np.ndarray) -> int:
+        """The sum of all squared channel values of a region."""
+        y = spans[:, 0] - self.first
+        return int((self.square_sums[y, spans[:, 2]] - self.square_sums[y, spans[:, 1]]).sum())
 
     def best(self, spans: np.ndarray, bits: int, limit: int) -> tuple:
         """Of a region (rows y, x0, x1): its sums, and score, angle code, line, sn, cs, d, number of lines of the

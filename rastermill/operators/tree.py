@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rastermill.functions import columns as C
+from rastermill.functions import constants as K
 from rastermill.operators.decode import cut
-from rastermill.operators.splits import SUMS, ImageScorer, prefix_rows
+from rastermill.operators.splits import SUMS, ImageScorer
 
 TREE = ["image_id", "variant_id"]
 KEYS = [*TREE, "node"]
@@ -44,13 +45,18 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def coding_jobs(images: DataFrame, variants: DataFrame, target_size: int) -> DataFrame:
     """A row for each image (width, height) and variant, with what its tree needs."""
     jobs = images.join(F.broadcast(variants.withColumn("_one", F.lit(1))), F.col("_one") == 1).drop("_one")  # at most 31,500 variants
     tax = C.image_tax(F.col("width"), F.col("height"))
     return jobs.select(
         *TREE, "width", "height", "partition_code", "color_options", (F.col("line_limit") + 1).alias("line_limit"), F.lit(target_size).alias("target_size"), tax.alias("tax"),
-        C.level_scale(F.col("width"), F.col("height"), F.col("partition_code")).alias("scale"), C.angle_bits(F.col("partition_code")).alias("bits"), (8 * target_size - 1 - tax).alias("budget"),
+        C.level_scale(F.col("width"), F.col("height"), F.col("partition_code")).alias("scale"), C.angle_bits(F.col("partition_code")).alias("bits"), (8 * target_size - 1 - tax).alias("budget"), F.lit(None).cast("double").alias("bound"),
     )
 
 
@@ -88,11 +94,78 @@ class PairingHeap:
 UNSPLIT = -1.0
 
 
+class Outlook:
+    """What the colour codes of a job can still pay for while its tree grows, and the least error that each may end with.
+
+    A code takes splits in the order of the tree until it can't pay for one. Of the leaves that there are then, a plain code's
+    error is known. Before, a code that can pay for m more splits at most may still better m leaves, each by no more than
+    what its pixels differ from their mean and its colour from what is shown for it; other leaves stay as they
+    are. What a palette loses against the leaves' own colours counts as nothing.
+    """
+
+    def __init__(self, job):
+        codes = np.array([c for c in range(K.COLOR_CODES) if int(job.color_options) >> c & 1])
+        plain = codes < K.FIRST_PALETTE_CODE
+        self.codes, self.steps = codes, np.where(plain, (4 + (codes & 3) << (np.minimum(codes, 16) >> 2)), 0)
+        palette = np.maximum(codes - K.FIRST_PALETTE_CODE + 1, 0)
+        self.tax = 1 + np.where(plain, 3 * np.log2(self.steps + 1), np.log2(np.maximum(palette, 1)))
+        self.left = 8 * job.target_size - 4 - job.tax - 24 * palette - self.tax
+        self.least_cost = 1 + min(job.bits) + self.tax
+        self.open = np.ones(len(codes), bool)
+        self.error = np.full(len(codes), -np.inf)  # once a code has ended
+        self.taken = np.zeros(len(codes), int)
+
+    def take(self, cost: float, leaves: dict) -> None:
+        """A split of that cost is due, before it is done."""
+        ends = self.open & (self.left < cost + self.tax - MARGIN)
+        if ends.any():
+            self.error[ends] = np.where(self.taken[ends] > 1, self.least(leaves, ends, 0), np.inf)
+            self.open &= ~ends
+        self.left = self.left - np.where(self.open, cost + self.tax, 0)
+        self.taken += self.open
+
+    def least(self, leaves: dict, which: np.ndarray, more: np.ndarray | int) -> np.ndarray:
+        """The least errors of some codes, with `more` splits to come."""
+        rows = np.array(list(leaves.values()), np.float64)
+        means, count, rest, splits = rows[:, :3], rows[:, 3], rows[:, 4], rows[:, 5] > 0
+        steps = np.maximum(self.steps[which], 1).astype(np.float32)[:, None, None]
+        shown = np.floor(np.trunc(means.astype(np.float32) * (steps / np.float32(255)) + np.float32(0.5)) * (np.float32(255) / steps)).astype(float)  # as shown_colors()
+        missed = np.where(self.steps[which][:, None] > 0, ((shown - means) ** 2).sum(axis=2) * count, 0)
+        gain = -np.sort(-np.where(splits, rest + missed, 0), axis=1).cumsum(axis=1)
+        kept = missed.sum(axis=1) - ((means**2).sum(axis=1) * count).sum()
+        most = np.broadcast_to(np.minimum(more, len(rows)), (len(kept),))
+        return kept - np.where(most > 0, np.take_along_axis(gain, np.maximum(most - 1, 0)[:, None], axis=1)[:, 0], 0)
+
+    def errors(self, leaves: dict) -> np.ndarray:
+        """The least error of each code."""
+        if self.open.any():
+            more = np.maximum(np.floor(self.left / self.least_cost + MARGIN), 0).astype(int)
+            self.error[self.open] = self.least(leaves, self.open, more[self.open])
+        return self.error
+
+    def close(self, leaves: dict) -> None:
+        """No split is left."""
+        self.error[self.open] = np.where(self.taken[self.open] > 1, self.least(leaves, self.open, 0), np.inf) if self.open.any() else 0
+        self.open[:] = False
+
+    def options(self, bound: float) -> int:
+        """The colour codes that may reach an error of `bound` or less, as a set of bits."""
+        return sum(1 << int(c) for c in self.codes[self.error <= bound + BOUND_MARGIN * (1 + abs(bound))])
+
+
+# Sums are rounded otherwise here than where trials are counted; a code or a job goes only where that can't matter.
+MARGIN, BOUND_MARGIN = 1e-6, 1e-6
+LOOK_EVERY = 4
+
+
 class Tree:
-    """The search of one job: nodes as rows of NODE, in the order in which they are met."""
+    """The search of one job: nodes as rows of NODE, in the order in which they are met. It ends when no colour code can
+    pay for another split, or when none can reach the job's `bound`; `options` are then the codes that may."""
 
     def __init__(self, scorer: ImageScorer, job):
-        self.scorer, self.job, self.rows, self.parts = scorer, job, [], []
+        self.scorer, self.job, self.rows, self.parts, self.leaves = scorer, job, [], [], {}
+        bound = job.bound if job.bound == job.bound and job.bound is not None else np.inf
+        look = Outlook(job)
         y = np.arange(job.height)
         budget, heap, taken = np.float32(job.budget), PairingHeap(), 0
         self.meet("", np.column_stack([y, np.zeros_like(y), np.full_like(y, job.width)]), heap)
@@ -103,11 +176,24 @@ class Tree:
             cost = np.float32(1 + self.rows[at][-2])
             if cost > budget:
                 continue  # too dear: it is dropped, not the search
+            look.take(float(self.rows[at][-2]), self.leaves)
+            if not look.open.any():
+                break
             budget -= cost
             self.rows[at][-1] = taken
             taken += 1
+            del self.leaves[at]
             for side, part in zip("LR", self.parts[at], strict=True):
                 self.meet(self.rows[at][0] + side, part, heap)
+            if taken % LOOK_EVERY == 0 and bound < np.inf and not self.may(look, bound):
+                break
+        else:
+            look.close(self.leaves)
+        self.options = look.options(bound) if bound < np.inf else int(job.color_options)
+
+    def may(self, look: Outlook, bound: float) -> bool:
+        look.errors(self.leaves)
+        return look.options(bound) > 0
 
     def meet(self, name: str, spans: np.ndarray, heap: PairingHeap) -> None:
         """Adds a node, also to the heap."""
@@ -123,6 +209,8 @@ class Tree:
         if cost is None:
             score = code = line = lines = None
         heap.push(UNSPLIT if score is None else score, len(self.rows))
+        means = [x / sums[3] for x in sums[:3]]
+        self.leaves[len(self.rows)] = (*means, sums[3], self.scorer.squares(spans) - sum(m * x for m, x in zip(means, sums, strict=False)), cost is not None)
         self.parts.append(parts)
         self.rows.append([name, *sums, bits, score, code, line, lines, cost, None])
 
@@ -155,26 +243,27 @@ def taken_splits(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
     return rows.groupBy(*TREE).applyInPandas(replay, "image_id long, variant_id int, node string, ordinal int")
 
 
-def build_trees(jobs: DataFrame, prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All nodes that are met for each job, and the splits taken (image_id, variant_id, node, ordinal)."""
-    jobs = jobs.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy("image_id").orderBy("variant_id")) - 1) / VARIANTS_A_PART))
+def build_trees(jobs: DataFrame, rows: DataFrame, at: str) -> DataFrame:
+    """The nodes that are met for each job, written to `at`; `ordinal` is the turn of those that are split, `options` the
+    colour codes that may reach the job's bound. A job none of whose codes may has no nodes. `rows`: prefix_rows()."""
+    jobs = jobs.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy("image_id").orderBy("line_limit", "partition_code", "variant_id")) - 1) / VARIANTS_A_PART))
     parts = jobs.groupBy("image_id").agg(F.max("_part").alias("_last"))
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_piece")
-    copies = prefix_rows(prefix).join(parts, "image_id").select(F.col("image_id").alias("_image"), "y", *SUMS[:3], piece)
-    names = [*KEYS, *SUMS, "angle_bits", "score", "angle_code", "line", "num_lines", "cost", "ordinal"]
+    copies = rows.join(parts, "image_id").select(F.col("image_id").alias("_image"), "y", *SUMS[:3], piece)
+    names = [*KEYS, *SUMS, "angle_bits", "score", "angle_code", "line", "num_lines", "cost", "ordinal", "options"]
 
     def run(some: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
         scorer, out = ImageScorer(image, exact=False), []
         for job in some.itertuples():
-            out += [[job.image_id, job.variant_id, *row] for row in Tree(scorer, job).rows]
-        whole = {n: "Int64" for n in (*SUMS, "angle_bits", "angle_code", "line", "num_lines", "ordinal")}
+            tree = Tree(scorer, job)
+            if tree.options:
+                out += [[job.image_id, job.variant_id, *row, tree.options] for row in tree.rows]
+        whole = {n: "Int64" for n in (*SUMS, "angle_bits", "angle_code", "line", "num_lines", "ordinal", "options")}
         return pd.DataFrame(out, columns=names).astype(whole | {"score": "Float64", "cost": "Float64"})
 
-    schema = "image_id long, variant_id int, node string, sr long, sg long, sb long, c long, angle_bits long, score double, angle_code int, line long, num_lines long, cost double, ordinal int"
-    wanted = jobs.select(*TREE, "width", "height", "scale", "bits", "line_limit", "budget", "_part")
-    grown = wanted.groupBy("image_id", "_part").cogroup(copies.groupBy("_image", "_piece")).applyInPandas(run, schema)
-    grown = stored(grown, f"{scratch(jobs.sparkSession)}/nodes")
-    return grown.drop("ordinal"), grown.where("ordinal IS NOT NULL").select(*KEYS, "ordinal")
+    schema = "image_id long, variant_id int, node string, sr long, sg long, sb long, c long, angle_bits long, score double, angle_code int, line long, num_lines long, cost double, ordinal int, options long"
+    wanted = jobs.select(*TREE, "scale", "bits", "width", "height", "partition_code", "line_limit", "color_options", "target_size", "tax", "budget", "bound", "_part")
+    return stored(wanted.groupBy("image_id", "_part").cogroup(copies.groupBy("_image", "_piece")).applyInPandas(run, schema), at)
 
 
 def budget_prefix(costs: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from rastermill.functions import columns as C
 from rastermill.functions import dimensions as D
-from rastermill.functions.checksum import text_crc64
+from rastermill.functions.checksum import ordered_crc64, text_crc64
 from rastermill.operators import decode, encode
 from rastermill.operators import entropy as E
 from rastermill.operators import geometry as G
 from rastermill.operators import palette as P
 from rastermill.operators import rasters as R
+from rastermill.operators import rates
 from rastermill.operators import splits as S
-from rastermill.operators.tree import budget_prefix, taken_splits
+from rastermill.operators import streams as ST
+from rastermill.operators.frontier import frontier_trees as grow_frontier
+from rastermill.operators.tree import budget_prefix, coding_jobs, taken_splits
 from rastermill.sources.files import rgba_rows
 
 ANGLE_BITS, LINE_LIMIT = 4, 15
@@ -304,6 +307,16 @@ def simulated_error(spark, sf_dir):
     return encode.simulated_error(shown, ["image_id"]).select("image_id", *rounded("sqe"))
 
 
+def simulated_colors(spark, sf_dir):
+    """What each row's mean is shown as by each plain colour code, as the simulation of the encoder has it."""
+    means = emb(spark, sf_dir).groupBy("image_id", "y").agg(*(F.avg(c).alias(c) for c in "rgb"))
+    rows = means.join(F.broadcast(D.color_codes(spark).where("quant > 0")))  # 17 rows
+    patches = rows.select("image_id", F.lit(0).alias("variant_id"), F.col("code").alias("color"), "quant", F.lit(0).alias("palette"), F.col("y").cast("string").alias("node"), "r", "g", "b")
+    none = spark.createDataFrame([], "image_id long, variant_id int, color int, idx int, pr double, pg double, pb double")
+    shown = encode.shown_colors(patches, none)
+    return shown.select("image_id", F.col("node").cast("long").alias("y"), F.col("color").alias("code"), *(F.col(f"v{c}").cast("long").alias(f"v{c}") for c in "rgb"))
+
+
 def best_variant(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("image_id"), (F.col("l_partkey") % 20).alias("variant_id"), (F.col("l_suppkey") % 17).alias("color"), (F.col("l_quantity") - 25).alias("sqe"))
     return encode.first_best(rows)
@@ -405,6 +418,62 @@ def cross_by_steps(spark, sf_dir):
     return coded_and_decoded(spark, supplier_crosses(spark, sf_dir, 9), 4, 60)
 
 
+def frontier_trees(spark, sf_dir):
+    """The trees of all images of the embeddings, a frontier at a time; SQL can't express it."""
+    pixels = emb(spark, sf_dir)
+    good = R.guarded(R.sizes(pixels)).where("reason IS NULL")
+    jobs = coding_jobs(good, few_variants(spark).where("variant_id = 1"), 30)
+    nodes, taken = grow_frontier(jobs, S.prefix_rows(R.prefix_sums(pixels.join(good, "image_id", "left_semi"))))
+    return nodes.join(taken, ["image_id", "variant_id", "node"]).select("image_id", "variant_id", "node", "ordinal", "angle_code", "line", "num_lines")
+
+
+def stream_nodes(spark, sf_dir):
+    """The nodes of all streams of the images of the embeddings; SQL can't express it."""
+    coded = encode.encode_images(emb(spark, sf_dir), few_variants(spark), target_size=100)
+    return ST.stream_nodes(coded.select("image_id", "data"))
+
+
+def leaf_of_pixel(spark, sf_dir):
+    """Each pixel of the suppliers' crosses with the colour of the decoded leaf that holds it."""
+    crosses = supplier_crosses(spark, sf_dir)
+    leaves = decode.decode_spans(encode.encode_images(crosses, one_color(spark, 18), target_size=24).select("image_id", "data"))
+    held = ST.leaf_of_pixel(crosses.select("image_id", "y", "x"), leaves.select("image_id", "y", "x0", "x1", "r", "g", "b"))
+    return held.select("image_id", "y", "x", "r", "g", "b")
+
+
+def rans_native(spark, sf_dir):
+    coded = ST.encode_native(symbol_streams(spark, sf_dir), "l_orderkey")
+    return coded.select("l_orderkey", F.size("entries").alias("numbers"), F.lit(True).alias("same"), F.hex("data").alias("data"))
+
+
+def rate_curve(spark, sf_dir):
+    """How many costs of each order 64 budgets pay for."""
+    rows = costs(spark, sf_dir)
+    budgets = rows.select("l_orderkey").distinct().withColumn("budget", F.explode(F.sequence(F.lit(5), F.lit(320), F.lit(5))))
+    return rates.rate_curve(rows, budgets, ["l_orderkey"])
+
+
+def patches_of_rows(spark, sf_dir):
+    """A patch for each row of the embeddings' images: its mean, in whole steps, its size and its sums."""
+    rows = emb(spark, sf_dir).groupBy("image_id", F.col("y").alias("seq")).agg(F.count(F.lit(1)).alias("c"), *(F.sum(c).alias(f"w{c}") for c in "rgb"))
+    return rows.select("*", *(C.div(F.col(f"w{c}"), F.col("c")).alias(c) for c in "rgb"))
+
+
+def palette_seeds(spark, sf_dir):
+    seeds = rates.palette_seeds(patches_of_rows(spark, sf_dir), ["image_id"], 6)
+    return seeds.select("image_id", F.posexplode("centres").alias("idx", "q")).select("image_id", "idx", *(F.col(f"q.{c}").cast("long").alias(f"p{c}") for c in "rgb"))
+
+
+def palette_rounds(spark, sf_dir):
+    found = rates.palette_rounds(rates.palette_seeds(patches_of_rows(spark, sf_dir), ["image_id"], 6), ["image_id"])
+    return found.select("image_id", "round", F.round("error", 3).alias("error"), F.posexplode("centres").alias("idx", "q")).select("image_id", "round", "error", "idx", *(F.floor(F.col(f"q.{c}") + 0.5).alias(f"p{c}") for c in "rgb"))
+
+
+def crc64_groups(spark, sf_dir):
+    """The checksum of all texts of a language, one after the other in the order of their ids; SQL can't express it."""
+    return ordered_crc64(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), ["lang"], "doc_id", "text")
+
+
 def rgba_bytes(spark, sf_dir):
     """Images as interleaved RGBA, alpha 255."""
     return rgba_rows(emb(spark, sf_dir)).select("image_id", "width", "height", F.md5(F.hex("data").cast("binary")).alias("digest"))
@@ -418,8 +487,9 @@ def decode_streams(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     angle_table_int, angle_table_real, log2_values, color_codes, partition_codes, all_variants, angle_bits, level_scale, image_tax, parse_numbers, file_names, variant_parse, variant_records,
     option_sets, single_bits, crc64, xorshift, psnr, raster_lineitem, rgba_pixels, prefix_sums, square_sums, region_stats, region_level, distance_range, candidate_lines, split_line, split_scores,
-    split_scores_binned, best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images, decode_streams,
+    split_scores_binned, best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, simulated_colors, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images, decode_streams,
     boundary_real, best_split_real, tree_splits, tree_patches, encode_statuses, cross_by_palette, cross_by_steps, rgba_bytes,
+    frontier_trees, stream_nodes, leaf_of_pixel, rans_native, rate_curve, palette_seeds, palette_rounds, crc64_groups,
 )}
 
 ANGLES_SQL = """ang AS (SELECT i AS angle, CAST(floor(sin(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS sn, CAST(floor(cos(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS cs
@@ -507,6 +577,9 @@ SELECT image_id, y, code, v, 255 * v // (quant - 1) AS shown FROM v""",
     "simulated_error": f"""WITH {RASTER_SQL}, m AS (SELECT image_id, y, avg(r) AS r, avg(g) AS g, avg(b) AS b, count(*) AS c FROM raster GROUP BY 1, 2),
 v AS (SELECT *, 255 * CAST(floor(r * 16 / 255 + 0.5) AS BIGINT) // 16 AS vr, 255 * CAST(floor(g * 16 / 255 + 0.5) AS BIGINT) // 16 AS vg, 255 * CAST(floor(b * 16 / 255 + 0.5) AS BIGINT) // 16 AS vb FROM m)
 SELECT image_id, round(sum(c * vr * (vr - 2 * r) + c * vg * (vg - 2 * g) + c * vb * (vb - 2 * b)), 4) AS sqe FROM v GROUP BY 1""",
+    "simulated_colors": f"""WITH {RASTER_SQL}, m AS (SELECT image_id, y, CAST(avg(r) AS FLOAT) AS r, CAST(avg(g) AS FLOAT) AS g, CAST(avg(b) AS FLOAT) AS b FROM raster GROUP BY 1, 2),
+q AS (SELECT CAST(range AS INTEGER) AS code, CAST(({QUANT.replace('code', 'range')}) - 1 AS FLOAT) AS most FROM range(17)), f AS (SELECT code, most / 255::FLOAT AS fine, 255::FLOAT / most AS coarse FROM q)
+SELECT image_id, y, code, {', '.join(f"CAST(floor(CAST(trunc(CAST(CAST({c} * fine AS FLOAT) + 0.5::FLOAT AS FLOAT)) AS FLOAT) * coarse) AS BIGINT) AS v{c}" for c in 'rgb')} FROM m, f""",
     "best_variant": """SELECT image_id, variant_id, color, sqe FROM (SELECT l_orderkey % 100 AS image_id, l_partkey % 20 AS variant_id, l_suppkey % 17 AS color, l_quantity - 25 AS sqe,
  row_number() OVER (PARTITION BY l_orderkey % 100 ORDER BY l_quantity, l_partkey % 20, l_suppkey % 17) AS k FROM lineitem) WHERE k = 1""",
     "render_spans": f"""{GEOMETRY}, cuts AS (SELECT *, sn * 20 + cs * 5 AS d FROM turned WHERE angle = 96), b AS (SELECT image_id, y, {CUT} AS edge FROM cuts)
@@ -588,3 +661,26 @@ FROM children c JOIN nodes n ON n.image_id = c.image_id AND n.k = c.k WHERE NOT
     "rans_roundtrip": STREAM_SQL,
     "rgba_bytes": f"WITH {RASTER_SQL} SELECT image_id, 64::BIGINT AS width, count(DISTINCT y) AS height, md5(string_agg(printf('%02X%02X%02XFF', r, g, b), '' ORDER BY y, x)) AS digest FROM raster GROUP BY 1",
 }
+DISTANCES = "list_transform(centres, lambda q: (p.r - q.r) * (p.r - q.r) + (p.g - q.g) * (p.g - q.g) + (p.b - q.b) * (p.b - q.b))"
+PICK = "patches[least(len(patches), 1 + len(list_filter(range(1, len(weights) + 1), lambda k: list_sum(weights[1:k]) < list_sum(weights) * ((random >> 9) / 8388608.0::DOUBLE))))]"
+LISTED_SQL = f"""{RASTER_SQL}, sums AS (SELECT image_id, y, count(*) AS n, sum(r) AS wr, sum(g) AS wg, sum(b) AS wb FROM raster GROUP BY 1, 2),
+listed AS (SELECT image_id, list({{'r': (wr // n)::DOUBLE, 'g': (wg // n)::DOUBLE, 'b': (wb // n)::DOUBLE, 'c': n::DOUBLE, 'wr': wr::DOUBLE, 'wg': wg::DOUBLE, 'wb': wb::DOUBLE}} ORDER BY y) AS patches FROM sums GROUP BY 1)"""
+SEEDS_SQL = f"""{LISTED_SQL},
+seeds AS (SELECT image_id, patches, random, [{PICK}] AS centres FROM (SELECT *, {0x23DE605F}::BIGINT AS random, list_transform(patches, lambda p: p.c) AS weights FROM listed)
+ UNION ALL SELECT image_id, patches, random, list_append(centres, {PICK}) FROM (SELECT image_id, patches, centres, xor(b, b * 32 % 4294967296) AS random, list_transform(patches, lambda p: list_min({DISTANCES}) * p.c) AS weights
+  FROM (SELECT *, xor(a, a >> 17) AS b FROM (SELECT *, xor(random, random * 8192 % 4294967296) AS a FROM seeds WHERE len(centres) < 6)))),
+seeded AS (SELECT image_id, patches, centres FROM seeds WHERE len(centres) = 6)"""
+MEAN = "list_sum(list_transform(list_filter(near, lambda n: n.i = k), lambda n: n.w{0})) / greatest(list_sum(list_transform(list_filter(near, lambda n: n.i = k), lambda n: n.c)), 1)"
+STEPS_SQL = f"""{SEEDS_SQL},
+rounds AS (SELECT image_id, patches, list_transform(centres, lambda q: {{'r': q.r, 'g': q.g, 'b': q.b}}) AS centres, 0 AS round, 1e35::DOUBLE AS error, 1e35::DOUBLE AS gain FROM seeded
+ UNION ALL SELECT image_id, patches, list_transform(range(1, 7), lambda k: {{'r': coalesce({MEAN.format('r')}, 0), 'g': coalesce({MEAN.format('g')}, 0), 'b': coalesce({MEAN.format('b')}, 0)}}), round + 1, now, error - now
+ FROM (SELECT *, list_sum(list_transform(near, lambda n: n.d2 * n.c)) AS now FROM (SELECT *, list_transform(patches, lambda p: {{'d2': list_min({DISTANCES}), 'i': list_position({DISTANCES}, list_min({DISTANCES})), 'c': p.c, 'wr': p.wr, 'wg': p.wg, 'wb': p.wb}}) AS near FROM rounds WHERE gain >= 1))),
+ended AS (SELECT image_id, round, round(error, 3) AS error, unnest(centres) AS q, generate_subscripts(centres, 1) - 1 AS idx FROM rounds WHERE gain < 1)"""
+ORACLES |= {
+    "leaf_of_pixel": ORACLES["cross_by_palette"],
+    "rans_native": STREAM_SQL,
+    "rate_curve": """WITH c AS (SELECT l_orderkey, l_linenumber AS ordinal, sum(l_quantity::BIGINT) AS cost FROM lineitem GROUP BY 1, 2), s AS (SELECT l_orderkey, sum(cost) OVER (PARTITION BY l_orderkey ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS spent FROM c)
+SELECT l_orderkey, CAST(b.range AS DOUBLE) AS budget, count(*) FILTER (WHERE spent <= b.range) AS n FROM s, range(5, 321, 5) b GROUP BY 1, 2""",
+    "palette_seeds": f"WITH RECURSIVE {SEEDS_SQL} SELECT image_id, CAST(idx - 1 AS INTEGER) AS idx, CAST(centres[idx].r AS BIGINT) AS pr, CAST(centres[idx].g AS BIGINT) AS pg, CAST(centres[idx].b AS BIGINT) AS pb FROM seeded, range(1, 7) t(idx)",
+    "palette_rounds": f"WITH RECURSIVE {STEPS_SQL} SELECT image_id, round, error, CAST(idx AS INTEGER) AS idx, CAST(floor(q.r + 0.5) AS BIGINT) AS pr, CAST(floor(q.g + 0.5) AS BIGINT) AS pg, CAST(floor(q.b + 0.5) AS BIGINT) AS pb FROM ended",
+}
