@@ -6,7 +6,7 @@ Arguments are taken in order: each file is handled as the options before it say,
 other under the same options in one job. -e codes the PNG files after it into FOLDER/NAME.rim, -d decodes the
 streams after it into FOLDER/NAME.png, -r decodes what -e has coded at once. -t is the largest size of a
 stream. -p names variants: partition code, set of line limits and set of colour codes in hexadecimal, * for
-all of a set. -j is the number of local cores where no cluster is set. Values may follow their option as an
+all of a set; `-p all` tries every variant with every colour code. -h shows this text. -j is the number of local cores where no cluster is set. Values may follow their option as an
 argument of its own.
 """
 
@@ -41,6 +41,10 @@ class UsageError(ValueError):
     pass
 
 
+class HelpWanted(Exception):
+    pass
+
+
 def parse(arguments: list[str]) -> tuple[list[tuple[Job, list[str]]], int]:
     """Runs of files with their options, and the number of local cores."""
 
@@ -60,6 +64,8 @@ def parse(arguments: list[str]) -> tuple[list[tuple[Job, list[str]]], int]:
             if not rest:
                 raise UsageError(f"{option}: a value is missing")
             value = rest.pop(0)
+        if word == "-h":
+            raise HelpWanted
         if option in ("-e", "-d") and not value:
             job = job._replace(encode=option == "-e")
         elif option == "-r" and not value:
@@ -82,6 +88,8 @@ def numbered(paths: DataFrame) -> DataFrame:
 
 
 def variants_of(spark: SparkSession, params: str) -> DataFrame:
+    if params == "all":
+        return dimensions.all_variants(spark)
     text = spark.createDataFrame([(params,)], "variants string")
     wrong = dimensions.variant_parts(text).where("_wrong IS NOT NULL").select("_part", "_wrong").first()
     if wrong:
@@ -123,6 +131,9 @@ def main(arguments: list[str] | None = None) -> int:
                 streams = numbered(spark.read.format("binaryFile").load(paths).select("path", F.col("content").alias("data")))
                 failed += run_decode(spark, streams.select("image_id", C.file_name(F.col("path")).alias("name"), "data"), job.folder)
         return int(failed > 0)
+    except HelpWanted:
+        print(__doc__)
+        return 0
     except UsageError as error:
         print(f"{error}\n{__doc__}", file=sys.stderr)
         return 1

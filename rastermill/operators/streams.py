@@ -44,75 +44,64 @@ def leaf_of_pixel(pixels: DataFrame, leaves: DataFrame) -> DataFrame:
     return dealt.join(cut, ["image_id", "y", "_bin"]).where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))).drop("_bin", "x0", "x1")
 
 
-# The coder as folds over a list of entries (value, max). A number's slots among SLOTS begin at value * SLOTS / max; the state gives up its
-# lowest bits until it lies below 2 * LEAST * width / SLOTS, and then takes the number in.
+# The coder in column expressions. A number's slots among SLOTS begin at value * SLOTS / max; the state gives up its lowest bits until it
+# lies below 2 * LEAST * width / SLOTS, and then takes the number in.
 
 
-def narrowed(entry: Column) -> tuple[Column, Column, Column]:
+def narrowed(entry: Column) -> Column:
     """(first slot, slots, ceiling of the state)."""
-    first = C.div(entry["value"] * SLOTS, entry["max"])
-    width = C.div((entry["value"] + 1) * SLOTS, entry["max"]) - first
-    return first, width, C.div(2 * LEAST * width, F.lit(SLOTS))
-
-
-def bits_lost(state: Column, ceiling: Column) -> Column:
-    """How many bits a state loses: states are below 4 * LEAST, ceilings at least 2 * LEAST / SLOTS."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(STATE_BITS + 1)), F.lit(0), lambda n, i: n + F.when(shifted(state, i) >= ceiling, 1).otherwise(0))
+    first, end = C.div(entry["value"] * SLOTS, entry["max"]), C.div((entry["value"] + 1) * SLOTS, entry["max"])
+    return F.struct(first.alias("first"), (end - first).alias("width"), C.div(2 * LEAST * (end - first), F.lit(SLOTS)).alias("ceiling"), entry["max"].alias("max"))
 
 
 def shifted(state: Column, bits: Column) -> Column:
     return F.call_function("shiftright", state, bits)
 
 
-def taken_in(state: Column, first: Column, width: Column) -> Column:
-    return C.div(state, width) * SLOTS + state % width + first
-
-
-def encode_entries(entries: Column) -> Column:
-    """The stream of a list of entries as a binary, by column expressions."""
-    # Columns of a step are bound as the only element of a list: an expression would be computed again for each use.
-    bound = lambda value, use: F.transform(F.array(value), use)[0]
-    # An empty list gives a state without numbers.
-    numbers = F.reverse(F.filter(entries, lambda e: e["max"] > 1))
-    return bound(numbers, coded)
+def bits_lost(state: Column, ceiling: Column) -> Column:
+    """How many bits a state loses until it lies below a ceiling: as many as it is longer, or one more."""
+    longer = F.length(F.bin(state)) - F.length(F.bin(ceiling))
+    return F.when(state < ceiling, 0).otherwise(longer + (shifted(state, longer) >= ceiling).cast("int"))
 
 
-def coded(numbers: Column) -> Column:
-    bound = lambda value, use: F.transform(F.array(value), use)[0]
-    room = F.aggregate(
-        numbers, F.struct(F.lit(4.3e9).alias("room"), F.lit(0).alias("n")),
-        lambda acc, e: F.when(acc["room"] < 1, acc).otherwise(F.struct((acc["room"] / e["max"]).alias("room"), (acc["n"] + 1).alias("n"))), lambda acc: acc["n"],
-    )
-    head = F.slice(numbers, F.lit(1), room)
+def zero_bits(state: Column) -> Column:
+    """The zeros at the low end of a state above 0."""
+    return F.bit_count(state.bitwiseAND(-state) - 1)
 
-    def quiet(start: Column) -> Column:
-        """How many zeros a start state gives up before its first one."""
 
-        def step(acc: Column, e: Column) -> Column:
-            first, width, ceiling = narrowed(e)
+def taken_in(state: Column, number: Column) -> Column:
+    return C.div(state, number["width"]) * SLOTS + state % number["width"] + number["first"]
 
-            def lose(lost: Column) -> Column:
-                zero = acc["state"] % F.call_function("shiftleft", C.long(1), lost) == 0
-                clear = F.aggregate(F.sequence(F.lit(1), F.lit(STATE_BITS + 2)), F.lit(0), lambda n, i: n + F.when(acc["state"] % F.call_function("shiftleft", C.long(1), i) == 0, 1).otherwise(0))
-                more = F.when(acc["silent"], F.least(lost, clear)).otherwise(0)
-                return F.struct(taken_in(shifted(acc["state"], lost), first, width).alias("state"), (acc["zeros"] + more).alias("zeros"), (acc["silent"] & zero).alias("silent"))
 
-            return bound(bits_lost(acc["state"], ceiling), lose)
+def quietest_starts(once: DataFrame) -> DataFrame:
+    """once (_list, numbers, head) -> (_list, start): of the start states that are tried, the first that gives up most zeros before
+    its first one. Each trial is a row, each number of the head a step of its columns."""
+    steps = once.agg(F.max("head")).first()[0] or 0  # 32 at most, for the room of a head is 4.3e9
+    start = F.explode(F.sequence(C.long(LEAST), C.long(2 * LEAST + 27), C.long(32))).alias("start")
+    rows = once.select("_list", "numbers", "head", start).withColumns({"state": F.col("start"), "zeros": F.lit(0), "silent": F.lit(True)})
+    for k in range(steps):
+        number, live = F.get("numbers", F.lit(k)), F.col("head") > k
+        rows = rows.withColumns({"lost": F.when(live, bits_lost(F.col("state"), number["ceiling"])).otherwise(0), "clear": zero_bits(F.col("state"))})
+        rows = rows.select(
+            "_list", "numbers", "head", "start", F.when(live, taken_in(shifted(F.col("state"), F.col("lost")), number)).otherwise(F.col("state")).alias("state"),
+            (F.col("zeros") + F.when(F.col("silent"), F.least("lost", "clear")).otherwise(0)).alias("zeros"), (F.col("silent") & (F.col("clear") >= F.col("lost"))).alias("silent"),
+        )
+    best = rows.groupBy("_list").agg(F.max(F.struct("zeros", (-F.col("start")).alias("start"))).alias("best"))
+    return best.select("_list", (-F.col("best.start")).alias("start"))
 
-        return F.aggregate(head, F.struct(start.alias("state"), F.lit(0).alias("zeros"), F.lit(True).alias("silent")), step, lambda acc: acc["zeros"])
 
-    starts = F.sequence(C.long(LEAST), C.long(2 * LEAST + 27), C.long(32))
-    best = F.array_max(F.transform(starts, lambda s: F.struct(quiet(s).alias("zeros"), (-s).alias("start"))))
-
-    def put(acc: Column, e: Column) -> Column:
-        first, width, ceiling = narrowed(e)
+def coded(numbers: Column, start: Column) -> Column:
+    """The stream of numbers from the last to the first, as a binary: a fold of the state and of what it has given up."""
+    # Values that are used twice are bound as the only element of a list: an expression would be computed again for each use.
+    bound = lambda value, use: F.transform(F.array(value), use)[0]
 
+    def put(acc: Column, number: Column) -> Column:
         def lose(lost: Column) -> Column:
             low = acc["state"] % F.call_function("shiftleft", C.long(1), lost)
             gone = F.when(lost > 0, F.lpad(F.bin(low), lost, F.lit("0"))).otherwise("")  # the highest first, as it stands in the stream
-            return F.struct(taken_in(shifted(acc["state"], lost), first, width).alias("state"), F.concat(gone, acc["bits"]).alias("bits"))
+            return F.struct(taken_in(shifted(acc["state"], lost), number).alias("state"), F.concat(gone, acc["bits"]).alias("bits"))
 
-        return bound(bits_lost(acc["state"], ceiling), lose)
+        return bound(bits_lost(acc["state"], number["ceiling"]), lose)
 
     def packed(done: Column) -> Column:
         front = F.reverse(F.lpad(F.bin(done["state"] % LEAST), STATE_BITS, "0"))
@@ -122,11 +111,15 @@ def coded(numbers: Column) -> Column:
         digits = F.transform(F.sequence(F.lit(1), F.length(whole), F.lit(8)), byte)
         return F.when(F.length(whole) == 0, F.lit("").cast("binary")).otherwise(F.unhex(F.array_join(digits, "")))
 
-    start = F.struct((-best["start"]).alias("state"), F.lit("").alias("bits"))
-    return bound(start, lambda s: bound(F.aggregate(numbers, s, put), packed))
+    return bound(F.aggregate(numbers, F.struct(start.alias("state"), F.lit("").alias("bits")), put), packed)
 
 
 def encode_native(streams: DataFrame, key: str) -> DataFrame:
-    """(key, data) of streams (key, entries): equal lists of entries, of which short ones have many, are coded once."""
-    once = streams.select("entries").distinct().withColumn("data", encode_entries(F.col("entries")))
-    return streams.join(once, "entries").select(key, "entries", "data")
+    """(key, entries, data) of streams (key, entries): the coder of `entropy` without Python. Equal lists of entries, of which short
+    ones have many, are coded once; an empty list has an empty stream."""
+    named = streams.select(key, "entries", F.md5(F.to_json("entries").cast("binary")).alias("_list"))
+    numbers = F.transform(F.reverse(F.filter("entries", lambda e: e["max"] > 1)), narrowed)
+    ending = F.aggregate("numbers", F.struct(F.lit(4.3e9).alias("room"), F.lit(0).alias("n")), lambda acc, e: F.when(acc["room"] < 1, acc).otherwise(F.struct((acc["room"] / e["max"]).alias("room"), (acc["n"] + 1).alias("n"))), lambda acc: acc["n"])
+    once = named.groupBy("_list").agg(F.first("entries").alias("entries")).select("_list", numbers.alias("numbers")).withColumn("head", ending)
+    done = once.join(quietest_starts(once), "_list").select("_list", coded(F.col("numbers"), F.col("start")).alias("data"))
+    return named.join(done, "_list").select(key, "entries", "data")

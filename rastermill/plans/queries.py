@@ -441,11 +441,6 @@ def leaf_of_pixel(spark, sf_dir):
     return held.select("image_id", "y", "x", "r", "g", "b")
 
 
-def rans_native(spark, sf_dir):
-    coded = ST.encode_native(symbol_streams(spark, sf_dir), "l_orderkey")
-    return coded.select("l_orderkey", F.size("entries").alias("numbers"), F.lit(True).alias("same"), F.hex("data").alias("data"))
-
-
 def rate_curve(spark, sf_dir):
     """How many costs of each order 64 budgets pay for."""
     rows = costs(spark, sf_dir)
@@ -489,7 +484,7 @@ QUERIES = {f.__name__: f for f in (
     option_sets, single_bits, crc64, xorshift, psnr, raster_lineitem, rgba_pixels, prefix_sums, square_sums, region_stats, region_level, distance_range, candidate_lines, split_line, split_scores,
     split_scores_binned, best_split, budget_count, quantized_colors, nearest_palette, palette_step, simulated_error, simulated_colors, best_variant, render_spans, header_entries, rans_roundtrip, entropy_estimate, encode_images, decode_images, decode_streams,
     boundary_real, best_split_real, tree_splits, tree_patches, encode_statuses, cross_by_palette, cross_by_steps, rgba_bytes,
-    frontier_trees, stream_nodes, leaf_of_pixel, rans_native, rate_curve, palette_seeds, palette_rounds, crc64_groups,
+    frontier_trees, stream_nodes, leaf_of_pixel, rate_curve, palette_seeds, palette_rounds, crc64_groups,
 )}
 
 ANGLES_SQL = """ang AS (SELECT i AS angle, CAST(floor(sin(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS sn, CAST(floor(cos(i * pi() / 512) * 262144 + 0.5) AS BIGINT) AS cs
@@ -678,7 +673,6 @@ rounds AS (SELECT image_id, patches, list_transform(centres, lambda q: {{'r': q.
 ended AS (SELECT image_id, round, round(error, 3) AS error, unnest(centres) AS q, generate_subscripts(centres, 1) - 1 AS idx FROM rounds WHERE gain < 1)"""
 ORACLES |= {
     "leaf_of_pixel": ORACLES["cross_by_palette"],
-    "rans_native": STREAM_SQL,
     "rate_curve": """WITH c AS (SELECT l_orderkey, l_linenumber AS ordinal, sum(l_quantity::BIGINT) AS cost FROM lineitem GROUP BY 1, 2), s AS (SELECT l_orderkey, sum(cost) OVER (PARTITION BY l_orderkey ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS spent FROM c)
 SELECT l_orderkey, CAST(b.range AS DOUBLE) AS budget, count(*) FILTER (WHERE spent <= b.range) AS n FROM s, range(5, 321, 5) b GROUP BY 1, 2""",
     "palette_seeds": f"WITH RECURSIVE {SEEDS_SQL} SELECT image_id, CAST(idx - 1 AS INTEGER) AS idx, CAST(centres[idx].r AS BIGINT) AS pr, CAST(centres[idx].g AS BIGINT) AS pg, CAST(centres[idx].b AS BIGINT) AS pb FROM seeded, range(1, 7) t(idx)",

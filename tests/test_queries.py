@@ -18,7 +18,7 @@ def text(value):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, name):
     db = duckdb.connect()
-    for t in ("customer", "part", "orders", "lineitem", "documents", "embeddings", "pages"):
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "documents", "embeddings", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rows = QUERIES[name](spark, SF)
     result = db.sql(ORACLES[name])
