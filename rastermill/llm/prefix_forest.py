@@ -8,6 +8,10 @@ Where rows lie so dense that pages further off still share a longer prefix than
 from its own place through these too, in all trees alike. Rows in the arrays carry their vector
 in two bytes a component, which ranks a page's rows; the first of these get their exact distance
 from the vectors themselves.
+
+How many strings a query tries and how long pages are follows the table: for a sample of queries the exact
+nearest rows are sought among all rows, their places in the arrays are counted, and the least
+setting is taken that would have read TARGET of them.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ from rastermill.llm.shingles import U, scramble
 from rastermill.llm.vectors import by_dimension, finite, first_copies, first_of_each, one_each
 
 TREES, PROBES, PAGE, FIT_ROWS = 12, 36, 64, 2000
+TARGET, CHECK_QUERIES = 0.95, 64
+LENGTHS = (16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 12288, 16384)
+SETTINGS = [(4, 16), (8, 16), (16, 16)] + [(PROBES, length) for length in LENGTHS]  # strings tried, rows a page
 SYMBOLS, AXES, RIVALS, KEPT, TIE_BITS = 6, 64, 8, 4, 20
 ROW, OWN, PROBE = 0, 1, 2
-TASK_ROWS, BUFFER_ROWS, HELD_ROWS = 200_000, 1 << 16, 400_000
+TASK_ROWS, BUFFER_ROWS, HELD_ROWS, CELLS = 200_000, 1 << 16, 400_000, 1 << 22
 
 
 def usable_vectors(df: DataFrame) -> DataFrame:
@@ -108,12 +115,22 @@ def decoded(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return head[:, 0], np.ascontiguousarray(raw[:, 8:]).view("<i2").astype(np.float32) * head[:, 1:2]
 
 
+def centred(x: np.ndarray, middles: dict[int, np.ndarray]) -> np.ndarray:
+    """Lengths are cut so that no square overflows; that costs recall there, never a wrong distance."""
+    return np.clip(x - middles.get(x.shape[1], 0.0), -1e15, 1e15).astype(np.float32)
+
+
+def varied_symbols(rows: int, page: int, dim: int) -> int:
+    """So many first symbols tell about as many strings apart as there are pages."""
+    return min(SYMBOLS, max(1, math.ceil(math.log(max(2, rows / page), 2 * min(dim, AXES)))))
+
+
 PLANT = "dim int, tree int, string long, id long, kind int, data binary"
 
 
-def planted(rows: DataFrame, middles: dict[int, np.ndarray], trees: int, probes: dict[int, int] | None) -> DataFrame:
-    """PLANT: a row for each vector (vec_id, vector) and tree; with `probes` (symbols to vary, by dimension)
-    a row for each string that a query tries."""
+def planted(rows: DataFrame, middles: dict[int, np.ndarray], trees: int, probes: dict[int, tuple[int, int]] | None) -> DataFrame:
+    """PLANT: a row for each vector (vec_id, vector) and tree; with `probes` (strings and symbols to vary, by
+    dimension) a row for each string that a query tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,12 +138,11 @@ def planted(rows: DataFrame, middles: dict[int, np.ndarray], trees: int, probes:
                 dim = x.shape[1]
                 if not dim:
                     continue
-                # Lengths are cut so that no square overflows; that costs recall there, never a wrong distance.
-                x = np.clip(x - middles.get(dim, 0.0), -1e15, 1e15).astype(np.float32)
+                x = centred(x, middles)
                 ids, data = batch.column(0).take(pa.array(at)), pa.array(coded(x), pa.binary())
                 for tree, rotation in enumerate(rotations(dim, trees)):
                     ties = tie_order(ids.to_numpy(), tree)
-                    found = strings(x, rotation, ties)[:, None] if probes is None else probe_strings(x, rotation, ties, PROBES, probes.get(dim, 1))
+                    found = strings(x, rotation, ties)[:, None] if probes is None else probe_strings(x, rotation, ties, *probes[dim])
                     n = found.size
                     kind = np.zeros(found.shape, np.int32) if probes is None else np.broadcast_to(np.where(np.arange(found.shape[1]) == 0, OWN, PROBE), found.shape).astype(np.int32)
                     each = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
@@ -135,17 +151,113 @@ def planted(rows: DataFrame, middles: dict[int, np.ndarray], trees: int, probes:
     return rows.select("vec_id", "vector").mapInArrow(run, PLANT)
 
 
-def pages_read(place: np.ndarray, own: np.ndarray, ask: np.ndarray, row: np.ndarray, pages: int) -> tuple[np.ndarray, np.ndarray]:
+def exact_sample(rows: DataFrame, sample: list[tuple[int, list]], k: int) -> DataFrame:
+    """(query_id, vec_id): the `k` nearest other rows of each of the CHECK_QUERIES vectors in `sample`, among all rows."""
+    asks = {}
+    for vec_id, vector in sample:
+        asks.setdefault(len(vector), []).append((vec_id, vector))
+    matrices = {d: (np.array([i for i, _ in v], np.int64), np.array([x for _, x in v], np.float64)) for d, v in asks.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            for at, x in by_dimension(batch, 1):
+                if x.shape[1] not in matrices:
+                    continue
+                who, q = matrices[x.shape[1]]
+                away = np.stack([np.sqrt(((x - one) ** 2).sum(axis=1)) for one in q])
+                away[who[:, None] == names[at][None, :]] = np.inf
+                first = np.argpartition(away, min(k, len(at)) - 1, axis=1)[:, :k]
+                found = np.repeat(who, first.shape[1]), names[at][first].ravel(), np.take_along_axis(away, first, axis=1).ravel()
+                best = first_of_each(*(np.concatenate(c) for c in zip(best, found, strict=True)), k, 1)
+        seen = np.isfinite(best[2])
+        yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in best], ["query_id", "vec_id", "score"])
+
+    found = rows.select("vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "vec_id")
+
+
+def places(rows: DataFrame, middles: dict[int, np.ndarray], marks: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
+    """For each (dimension, tree) and each of its sorted strings in `marks`, how many rows of that array stand before it."""
+    trees = 1 + max((tree for _, tree in marks), default=-1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {key: np.zeros(len(m) + 1, np.int64) for key, m in marks.items()}
+        for batch in batches:
+            for at, x in by_dimension(batch, 1):
+                dim = x.shape[1]
+                if (dim, 0) not in marks:
+                    continue
+                x, ids = centred(x, middles), batch.column(0).to_numpy()[at]
+                for tree, rotation in enumerate(rotations(dim, trees)):
+                    own = strings(x, rotation, tie_order(ids, tree))
+                    total[dim, tree] += np.bincount(np.searchsorted(marks[dim, tree], own, side="right"), minlength=len(total[dim, tree]))
+        for (dim, tree), counts in total.items():
+            used = np.flatnonzero(counts[:-1])
+            n = len(used)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, tree, np.int32)), pa.array(used, pa.int64()), pa.array(counts[used])], ["dim", "tree", "mark", "n"])
+
+    out = {key: np.zeros(len(m), np.int64) for key, m in marks.items()}
+    counted = rows.select("vec_id", "vector").mapInArrow(run, "dim int, tree int, mark long, n long")
+    for r in counted.groupBy("dim", "tree", "mark").agg(F.sum("n").alias("n")).collect():  # at most a row a mark
+        out[r["dim"], r["tree"]][r["mark"]] = r["n"]
+    return {key: np.cumsum(n) for key, n in out.items()}
+
+
+def settings(rows: DataFrame, leaders: DataFrame, counts: dict[int, int], middles: dict[int, np.ndarray], trees: int, k: int) -> dict[int, tuple[int, int]]:
+    """(strings, rows a page) for each dimension: the first of SETTINGS, which grow, that reads TARGET of the `k`
+    nearest rows of CHECK_QUERIES queries (those with the least hashed ids), or the last of them.
+
+    What comes to the driver is CHECK_QUERIES queries and k rows for each, and the places of their strings,
+    for each dimension."""
+    place = F.row_number().over(Window.partitionBy(F.size("vector")).orderBy(F.xxhash64("vec_id"), "vec_id"))
+    sample = [(r["vec_id"], r["vector"]) for r in leaders.withColumn("place", place).where(F.col("place") <= CHECK_QUERIES).collect()]
+    truth = exact_sample(rows, sample, k).collect()
+    near = {r["vec_id"]: r["vector"] for r in rows.where(F.col("vec_id").isin(sorted({r["vec_id"] for r in truth}))).collect()} if truth else {}
+
+    asked, sought, marks, chosen = {}, {}, {}, {}
+    for dim in {len(v) for _, v in sample}:
+        ids = np.array([i for i, v in sample if len(v) == dim])
+        where = {i: n for n, i in enumerate(ids.tolist())}
+        pairs = [(where[r["query_id"]], r["vec_id"]) for r in truth if r["query_id"] in where]
+        if not pairs:
+            continue
+        q = centred(np.array([v for _, v in sample if len(v) == dim], float), middles)
+        x = centred(np.array([near[i] for _, i in pairs], float), middles)
+        for tree, rotation in enumerate(rotations(dim, trees)):
+            ties = tie_order(ids, tree)
+            asked[dim, tree] = {v: probe_strings(q, rotation, ties, PROBES, v) for v in {varied_symbols(counts[dim], page, dim) for _, page in SETTINGS}}
+            sought[dim, tree] = strings(x, rotation, tie_order(np.array([i for _, i in pairs]), tree))
+            marks[dim, tree] = np.unique(np.concatenate([sought[dim, tree], *(a.ravel() for a in asked[dim, tree].values())]))
+        chosen[dim] = np.array([who for who, _ in pairs])
+    before = places(rows, middles, marks)
+
+    def share(dim: int, probes: int, page: int) -> float:
+        """Of the rows sought, those in a page that is read."""
+        hit = np.zeros(len(chosen[dim]), bool)
+        last = max(1, counts[dim] // page) - 1
+        for tree in range(trees):
+            at = lambda s: np.minimum(before[dim, tree][np.searchsorted(marks[dim, tree], s)] // page, last)  # noqa: B023, E731
+            tried = at(asked[dim, tree][varied_symbols(counts[dim], page, dim)][:, :probes])
+            hit |= (tried[chosen[dim]] == at(sought[dim, tree])[:, None]).any(axis=1)
+        return hit.mean()
+
+    return {dim: next((s for s in SETTINGS if dim in chosen and share(dim, *s) >= TARGET), SETTINGS[-1] if dim in chosen else (PROBES, PAGE)) for dim in counts}
+
+
+def pages_read(place: np.ndarray, own: np.ndarray, ask: np.ndarray, row: np.ndarray, pages: int, length: int = PAGE) -> tuple[np.ndarray, np.ndarray]:
     """(query, page) pairs: of each query the page at its place among the rows; at its own string also up to
     PROBES pages further, half of them on each side, while they share its prefix (ask and row: prefixes)."""
-    page = np.minimum(place // PAGE, pages - 1)
+    page = np.minimum(place // length, pages - 1)
     who, which = [np.arange(len(place))], [page]
     for step in (1, -1):
         live = np.flatnonzero(own)
         for away in range(1, PROBES // 2 + 1):
             at = page[live] + step * away
             inside = (at >= 0) & (at < pages)
-            edge = np.clip(at * PAGE if step > 0 else at * PAGE + PAGE - 1, 0, len(row) - 1)
+            edge = np.clip(at * length if step > 0 else at * length + length - 1, 0, len(row) - 1)
             live = live[inside & (row[edge] == ask[live])]
             if not len(live):
                 break
@@ -154,31 +266,33 @@ def pages_read(place: np.ndarray, own: np.ndarray, ask: np.ndarray, row: np.ndar
     return np.concatenate(who), np.concatenate(which)
 
 
-def read_pages(string: np.ndarray, ids: np.ndarray, kind: np.ndarray, data: list[bytes], dim: int, usual: int, most: int) -> tuple[np.ndarray, ...]:
+def read_pages(string: np.ndarray, ids: np.ndarray, kind: np.ndarray, data: list[bytes], dim: int, usual: int, most: int, length: int) -> tuple[np.ndarray, ...]:
     """Of a stretch of one tree's array, queries among rows, for each query and page the `most` nearest rows by
     their codes: (query, row, squared distance). Prefixes longer than `usual` symbols count as dense."""
     rows, asks = np.flatnonzero(kind == ROW), np.flatnonzero(kind != ROW)
     if not len(rows) or not len(asks):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    length, x = decoded([data[i] for i in rows])
-    own_length, q = decoded([data[i] for i in asks])
-    pages = max(1, len(rows) // PAGE)  # the last is the longer for what is left
+    square, x = decoded([data[i] for i in rows])
+    own_square, q = decoded([data[i] for i in asks])
+    pages = max(1, len(rows) // length)  # the last is the longer for what is left
     prefix = string >> (TIE_BITS + max(0, SYMBOLS - usual - 1) * symbol_bits(dim))
-    who, page = pages_read(np.searchsorted(rows, asks), kind[asks] == OWN, prefix[asks], prefix[rows], pages)
+    who, page = pages_read(np.searchsorted(rows, asks), kind[asks] == OWN, prefix[asks], prefix[rows], pages, length)
     _, fresh = np.unique(np.column_stack([page, ids[asks[who]]]), axis=0, return_index=True)  # in the order of pages
     who, page = who[fresh], page[fresh]
     borders = np.flatnonzero(np.r_[True, np.diff(page) > 0, True])
     out = []
     for a, b in zip(borders[:-1], borders[1:], strict=True):
-        mine, at = who[a:b], page[a]
-        here = slice(at * PAGE, len(rows) if at == pages - 1 else (at + 1) * PAGE)
-        d2 = own_length[mine][:, None] + length[here][None, :] - 2 * q[mine] @ x[here].T
-        first = np.argpartition(d2, min(most, d2.shape[1]) - 1, axis=1)[:, :most]
-        out.append((np.repeat(ids[asks[mine]], first.shape[1]), ids[rows[here]][first].ravel(), np.take_along_axis(d2, first, axis=1).ravel()))
+        at = page[a]
+        here = slice(at * length, len(rows) if at == pages - 1 else (at + 1) * length)
+        step = max(1, CELLS // (here.stop - here.start))
+        for mine in (who[i : min(i + step, b)] for i in range(a, b, step)):
+            d2 = own_square[mine][:, None] + square[here][None, :] - 2 * q[mine] @ x[here].T
+            first = np.argpartition(d2, min(most, d2.shape[1]) - 1, axis=1)[:, :most]
+            out.append((np.repeat(ids[asks[mine]], first.shape[1]), ids[rows[here]][first].ravel(), np.take_along_axis(d2, first, axis=1).ravel()))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def search_arrays(plants: DataFrame, usual: dict[int, int], most: int) -> DataFrame:
+def search_arrays(plants: DataFrame, usual: dict[int, int], lengths: dict[int, int], most: int) -> DataFrame:
     """plants: PLANT, sorted -> (query_id, vec_id, about): for each task and query the `most` nearest rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +305,7 @@ def search_arrays(plants: DataFrame, usual: dict[int, int], most: int) -> DataFr
             key, columns, data = (0, 0), [], []
 
             def read() -> tuple[np.ndarray, ...]:
-                return read_pages(*(np.concatenate(c) for c in zip(*columns, strict=True)), data, key[0], usual.get(key[0], 1), most)
+                return read_pages(*(np.concatenate(c) for c in zip(*columns, strict=True)), data, key[0], usual.get(key[0], 1), most, lengths.get(key[0], PAGE))
 
             for batch in batches:
                 dims, trees, *numbers = (batch.column(i).to_numpy() for i in range(5))
@@ -232,8 +346,8 @@ def nearest(vectors: DataFrame, query_where: str, k: int = 10, trees: int = TREE
     """(query_id, rank, vec_id, score double): for each row of `vectors` (vec_id, vector) that satisfies
     `query_where` the `k` nearest other rows found, by Euclidean distance, ties to the smaller vec_id.
 
-    A query reads at most 2 * trees * PROBES pages of PAGE rows (twice as long at an array's end), however
-    many rows there are. Hashes are centred on the mean of FIT_ROWS rows (those with the least hashed
+    A query reads at most 2 * trees * PROBES pages (twice as long at an array's end), whose length follows the
+    recall of CHECK_QUERIES queries, to 16,384 rows. Hashes are centred on the mean of FIT_ROWS rows (those with the least hashed
     ids); all rows are indexed. Rows without vec_id and vectors without components take no part, of
     rows that share a vec_id the least vector counts, only vectors of the same dimension are compared;
     equal vectors are searched once for all of them. Other columns are not read, an empty table gives
@@ -245,15 +359,19 @@ def nearest(vectors: DataFrame, query_where: str, k: int = 10, trees: int = TREE
     counts = {r["dim"]: r["n"] for r in rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = [r["vector"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()]  # FIT_ROWS rows
     middles = {d: np.clip(np.array([v for v in sample if len(v) == d], float), -1e15, 1e15).mean(axis=0) for d in {len(v) for v in sample}}
-    varied = {d: min(SYMBOLS, max(1, math.ceil(math.log(max(2, n / PAGE), 2 * min(d, AXES))))) for d, n in counts.items()}
 
     asked = rows.where(query_where)
     asked = scratch.write(asked.withColumn("leader", F.min("vec_id").over(Window.partitionBy("vector"))), "asked")
     leaders = asked.where("vec_id = leader").select("vec_id", "vector")
-    plants = planted(first_copies(rows, k + 1), middles, trees, None).unionByName(planted(leaders, middles, trees, varied))
+    index = scratch.write(first_copies(rows, k + 1), "index")
+    chosen = settings(index, leaders, counts, middles, trees, k)
+    varied = {d: varied_symbols(n, chosen[d][1], d) for d, n in counts.items()}
+    lengths = {d: page for d, (_, page) in chosen.items()}
+    probes = {d: (tried, varied[d]) for d, (tried, _) in chosen.items()}
+    plants = planted(index, middles, trees, None).unionByName(planted(leaders, middles, trees, probes))
     order = ["dim", "tree", "string", "kind", "id"]
     tasks = max(1, sum(counts.values()) * trees // TASK_ROWS)
-    found = search_arrays(plants.repartitionByRange(tasks, *order).sortWithinPartitions(*order), varied, 2 * (k + 1))
+    found = search_arrays(plants.repartitionByRange(tasks, *order).sortWithinPartitions(*order), varied, lengths, 2 * (k + 1))
     about = found.groupBy("query_id", "vec_id").agg(F.min("about").alias("about"))
     by_query = Window.partitionBy("query_id")
     near = about.withColumn("place", F.row_number().over(by_query.orderBy("about", "vec_id"))).where(F.col("place") <= KEPT * (k + 1)).select("query_id", "vec_id")

@@ -57,6 +57,37 @@ def test_neighbour_recall_larger(spark):
     recall(prefix_forest.nearest(prefix_forest.usable_vectors(rows), "vec_id % 100 = 0").collect(), np.arange(6000), data.astype(np.float64))
 
 
+def test_pages_follow_the_measured_recall(spark, monkeypatch):
+    """Directions without structure: recall holds, and what is read stays a part of the rows."""
+    rng = np.random.default_rng(12)
+    data = rng.normal(size=(20_000, 32)).astype(np.float32)
+    rows = prefix_forest.usable_vectors(vectors(spark, [(i, v.tolist()) for i, v in enumerate(data)]))
+    search, settings, seen = prefix_forest.search_arrays, prefix_forest.settings, []
+
+    def read(plants, usual, lengths, most):
+        seen.append(search(plants, usual, lengths, 1 << 20).select("query_id", "vec_id").distinct().count())
+        return search(plants, usual, lengths, most)
+
+    def chosen(*args):
+        seen.append(settings(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(prefix_forest, "search_arrays", read)
+    monkeypatch.setattr(prefix_forest, "settings", chosen)
+    recall(prefix_forest.nearest(rows, "vec_id % 100 = 0").collect(), np.arange(20_000), data.astype(np.float64))
+    assert seen[0][32] in prefix_forest.SETTINGS[3:-1] and seen[1] < 0.5 * 200 * 20_000
+
+
+def test_places_are_counted_over_all_rows(spark):
+    rng = np.random.default_rng(13)
+    data = rng.normal(size=(700, 8)).astype(np.float32)
+    rows = vectors(spark, [(i, v.tolist()) for i, v in enumerate(data)]).select("vec_id", prefix_forest.F.col("embedding").alias("vector"))
+    own = [np.sort(prefix_forest.strings(data, r, prefix_forest.tie_order(np.arange(700), t))) for t, r in enumerate(prefix_forest.rotations(8, 2))]
+    marks = {(8, t): np.unique(s[::7]) for t, s in enumerate(own)}
+    got = prefix_forest.places(rows.repartition(3), {}, marks)
+    assert all((got[8, t] == np.searchsorted(s, marks[8, t])).all() for t, s in enumerate(own))
+
+
 def recall(got, ids, data):
     hit = total = 0
     for q in np.flatnonzero(ids % 100 == 0):
