@@ -12,10 +12,16 @@ from rastermill.functions.constants import U32, XORSHIFT_SEED
 
 def nearest(patches: DataFrame, palette: DataFrame, keys: list[str], patch: list[str]) -> DataFrame:
     """patches (keys, patch, r, g, b) and palette (keys, idx, pr, pg, pb; 32 rows a key at most) ->
-    (keys, patch, idx, d2): the nearest colour, of equals the first."""
-    d2 = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in ("r", "g", "b")), F.lit(0.0))
-    best = F.min(F.struct(d2.alias("d2"), F.col("idx").alias("idx")))
-    return patches.join(palette, keys).groupBy(*keys, *patch).agg(best.alias("best")).select(*keys, *patch, "best.idx", "best.d2")
+    (keys, patch, idx, d2): the nearest colour, of equals the first. A palette is one array, so patches meet it
+    by their key and are chosen for row by row, without a grouping of their own."""
+    colours = palette.groupBy(*keys).agg(F.collect_list(F.struct("idx", "pr", "pg", "pb")).alias("_colours"))
+
+    def away(p):
+        d2 = sum(((F.col(c) - p[f"p{c}"]) * (F.col(c) - p[f"p{c}"]) for c in ("r", "g", "b")), F.lit(0.0))
+        return F.struct(d2.alias("d2"), p["idx"].alias("idx"))
+
+    best = F.array_min(F.transform("_colours", away)).alias("best")
+    return patches.join(colours, keys).select(*keys, *patch, best).select(*keys, *patch, "best.idx", "best.d2")
 
 
 def accumulate(assigned: DataFrame, keys: list[str]) -> DataFrame:

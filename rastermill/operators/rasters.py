@@ -24,11 +24,12 @@ def from_embeddings(embeddings: DataFrame, rows: int = 16) -> DataFrame:
 
 def from_lineitem(lineitem: DataFrame, side: int = 32) -> DataFrame:
     """Pixels of one image for each line number, cells without a row are 0."""
-    spark = lineitem.sparkSession
     cells = lineitem.groupBy(F.col("l_linenumber").cast("long").alias("image_id"), (F.col("l_orderkey") % side).alias("y"), (F.col("l_partkey") % side).alias("x")).agg(
         (F.sum(F.col("l_quantity").cast("long")) % 256).alias("r"), (F.count(F.lit(1)) * 16 % 256).alias("g"), (F.sum("l_suppkey") % 256).alias("b")
     )
-    grid = spark.range(7 * side * side).select((C.div(F.col("id"), side * side) + 1).alias("image_id"), (C.div(F.col("id"), side) % side).alias("y"), (F.col("id") % side).alias("x"))
+    numbers = lineitem.select(F.col("l_linenumber").cast("long").alias("image_id")).where("image_id IS NOT NULL").distinct()
+    each = numbers.select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side * side - 1).cast("long"))).alias("id"))
+    grid = each.select("image_id", C.div(F.col("id"), side).alias("y"), (F.col("id") % side).alias("x"))
     return grid.join(cells, ["image_id", "y", "x"], "left").na.fill(0, list(CHANNELS))
 
 
