@@ -53,13 +53,13 @@ class Scratch:
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of at most `rows` rows and about SLICE_BYTES bytes of text; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows and about `size` bytes of text; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
-        until = int(np.searchsorted(ends, ends[at] - sizes[at] + SLICE_BYTES, side="right"))
+        until = int(np.searchsorted(ends, ends[at] - sizes[at] + size, side="right"))
         until = min(max(at + 1, until), at + rows)
         yield batch.slice(at, until - at)
         at = until

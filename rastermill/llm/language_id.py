@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.common import slices
+from rastermill.llm.common import SLICE_BYTES, slices
 
-FEATURES, SLICE, STEPS, PENALTY, SMOOTHING, MOST_LANGUAGES = 1 << 16, 64, 12, 3.0, 0.05, 256
+FEATURES, SLICE, STEPS, PENALTY, SMOOTHING, TABLE_CELLS = 1 << 16, 64, 12, 3.0, 0.05, 1 << 24
 
 
 @lru_cache(maxsize=1)
@@ -72,17 +72,19 @@ def gram_counts(df: DataFrame) -> DataFrame:
 def learn(df: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages of (text, lang), sorted, and the log-likelihood of each gram in each.
 
-    What comes to the driver is FEATURES numbers a language, however many rows there are; more than
-    MOST_LANGUAGES languages are refused, for the table is sent to every task.
+    What comes to the driver is at most FEATURES numbers a language, one language at a time, and what goes
+    to the tasks is a table of at most TABLE_CELLS numbers however many languages there are: beyond 256 of
+    them, trigrams share features (half as many for twice the languages).
     """
-    found = gram_counts(df.where(F.col("lang").isNotNull()))
-    if df.where(F.col("lang").isNotNull()).select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = found.toPandas()
-    langs = sorted(counts["lang"].unique())
-    table = np.full((FEATURES, len(langs)), SMOOTHING)
-    if langs:
-        np.add.at(table, (counts["gram"].to_numpy(), np.searchsorted(langs, counts["lang"].to_numpy())), counts["n"].to_numpy())
+    known = gram_counts(df.where(F.col("lang").isNotNull()))
+    columns, size = {}, FEATURES
+    for r in known.groupBy("lang").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("counts")).toLocalIterator():
+        columns[r["lang"]] = np.bincount(np.array(r["grams"]) % size, weights=r["counts"], minlength=size)
+        while size > 1 and size * len(columns) > TABLE_CELLS:
+            size //= 2
+            columns = {lang: c[:size] + c[size:] for lang, c in columns.items()}
+    langs = sorted(columns)
+    table = np.array([columns[lang] for lang in langs]).reshape(len(langs), size).T + SMOOTHING
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
@@ -114,7 +116,7 @@ def languages(words: Words, docs: int, table: np.ndarray) -> tuple[np.ndarray, n
     best, score, shares = np.full(docs, -1), np.zeros(docs), np.zeros((docs, n), np.float32)
     if not len(words.starts) or not n:
         return best, score, shares
-    ll = np.add.reduceat(table[words.grams], words.starts, axis=0)
+    ll = np.add.reduceat(table[words.grams % len(table)], words.starts, axis=0)
     doc = words.text_of
     count = np.bincount(doc, minlength=docs)
     has = np.flatnonzero(count)
@@ -144,23 +146,28 @@ def languages(words: Words, docs: int, table: np.ndarray) -> tuple[np.ndarray, n
     return best, score, shares
 
 
+def slice_bytes(languages: int) -> int:
+    """Words by languages stay about as many whatever the number of languages."""
+    return SLICE_BYTES * 16 // max(16, languages)
+
+
 def identify(df: DataFrame, training: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score, languages, shares) for each row of `df` (doc_id, text).
 
     `training` has text and lang; rows without lang are ignored. `lang_pred` is the language with
     the largest share in the chosen set, `score` its share when all languages compete. Null and
     empty texts and texts without a letter are `und`, score 0; so are all if nothing was
-    learned. Of languages that tie the first by name is chosen. Texts of any length are read whole.
+    learned. Any number of languages is learnt (see learn()). Of languages that tie the first by name is chosen. Texts of any length are read whole.
     Null doc_ids stay, repeated rows are scored each, an empty table gives no rows; other columns
     are not read.
     """
     langs, table = learn(training)
-    model = df.sparkSession.sparkContext.broadcast((langs, table))  # FEATURES x languages
+    model = df.sparkSession.sparkContext.broadcast((langs, table))  # at most TABLE_CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, likelihoods = model.value
         for batch in batches:
-            for part in slices(batch, 1, SLICE):
+            for part in slices(batch, 1, SLICE, slice_bytes(len(names))):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 best, score, shares = languages(Words(texts), len(texts), likelihoods)
                 sets = [np.flatnonzero(s > 0) for s in shares]
@@ -191,12 +198,12 @@ def filter_identified(df: DataFrame, training: DataFrame, least_share: float) ->
     gives an empty table.
     """
     langs, table = learn(training)
-    model = df.sparkSession.sparkContext.broadcast(table)  # FEATURES x languages
+    model = df.sparkSession.sparkContext.broadcast(table)  # at most TABLE_CELLS numbers
     text_at = df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_at, SLICE):
+            for part in slices(batch, text_at, SLICE, slice_bytes(len(langs))):
                 texts = [t or "" for t in part.column(text_at).to_pylist()]
                 best, _, shares = languages(Words(texts), len(texts), model.value)
                 yield part.filter(pa.array((best >= 0) & (shares.max(axis=1, initial=0) >= least_share)))

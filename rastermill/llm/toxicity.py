@@ -21,14 +21,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastermill.llm.common import Scratch
+from rastermill.llm.common import Scratch, slices
 
 WORDS, LEVEL, LEAST_MATCH = 5, 3, 5
 SAMPLE_ROWS, CALIBRATION_SHARE = 6_000, 4
 BASE_BYTES, DICTIONARY_BYTES, SEGMENT, GRAM, ROUNDS = 1_000_000, (8_192, 16_384, 32_768), 32, 8, 2
 WORST, TRAINING_WINDOWS, LEAST_GAIN = 0.2, 50_000, 2
 GAINS = (1, 2, 3, 4, 6)
-SLICE_CHARS, PART_WINDOWS = 1 << 20, 100_000
+PART_WINDOWS = 100_000
 TOKEN = re.compile(r"\w+")
 
 
@@ -68,15 +68,16 @@ def sample_ids(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def window_table(rows: DataFrame) -> DataFrame:
-    """(toxic, window, key): the different windows of each row's text; `key` deals them out evenly."""
+    """(toxic, window): the different windows of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        parts = (part for batch in batches for part in slices(batch, 0))
+        for part in parts:
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found = list(dict.fromkeys(windows(text or "")))
                 for at in range(0, len(found), PART_WINDOWS):
-                    part = found[at : at + PART_WINDOWS]
-                    yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(part), pa.int32()), pa.array(part, pa.binary())], ["toxic", "window"])
+                    some = found[at : at + PART_WINDOWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(some), pa.int32()), pa.array(some, pa.binary())], ["toxic", "window"])
 
     return rows.select("text", "toxic").mapInArrow(run, "toxic int, window binary")
 
@@ -148,7 +149,8 @@ def feature_rows(toxic: bytes, ordinary: bytes, use):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(toxic, ordinary)
         for batch in batches:
-            yield use(batch, np.array([distances.features(t or "") for t in batch.column(1).to_pylist()]))
+            for part in slices(batch, 1):
+                yield use(part, np.array([distances.features(t or "") for t in part.column(1).to_pylist()]))
 
     return run
 

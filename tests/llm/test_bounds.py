@@ -2,7 +2,10 @@
 
 import time
 
-from rastermill.llm import mixing, packing
+import numpy as np
+import pyarrow as pa
+
+from rastermill.llm import language_id, mixing, packing, toxicity
 from rastermill.llm.line_dedup import drop_frequent_lines
 from rastermill.llm.queries import default_tokenizer
 
@@ -45,3 +48,24 @@ def test_one_text_in_two_sources(spark):
     counts = {(r["doc_id"], r["source"]): r["count"] for r in mixing.repeat_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("doc_id", "source").count().collect()}
     taken = {r["source"]: round(r["taken"] / r["size"]) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 1").collect()}
     assert counts.get((1, "y"), 0) == taken["y"] == 3 and counts.get((1, "x"), 0) == taken["x"]
+
+
+def test_more_than_256_languages(spark):
+    rng = np.random.default_rng(2)
+    letters = [rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5, replace=False) for _ in range(300)]
+    text = lambda i: " ".join("".join(rng.choice(letters[i], 6)) for _ in range(60))
+    training = spark.createDataFrame([(text(i), f"l{i:03}") for i in range(300) for _ in range(3)], "text string, lang string")
+    langs, table = language_id.learn(training)
+    assert len(langs) == 300 and table.shape == (language_id.FEATURES // 2, 300)
+    rows = spark.createDataFrame([(i, text(i)) for i in range(0, 300, 30)], "doc_id long, text string")
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in language_id.identify(rows, training).collect())
+
+
+def test_toxicity_slices_keep_rows_and_order():
+    texts = ["a b c " * 60_000, None, "", "x y z " * 200_000] + [f"word {i} here" for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    use = lambda part, x: (part.column(0).to_pylist(), x)
+    found = list(toxicity.feature_rows(b"toxic words here", b"plain words here", use)([batch]))
+    whole = toxicity.Distances(b"toxic words here", b"plain words here")
+    assert len(found) > 3 and sum((ids for ids, _ in found), []) == list(range(len(texts)))
+    assert (np.concatenate([x for _, x in found]) == np.array([whole.features(t or "") for t in texts])).all()
