@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,74 +27,187 @@ DIMS, BITS, BUCKETS, CACHED_WORDS, SLICE = 4, 8, 4096, 1_000_000, 256
 LONGEST_KEPT = 64
 
 
+OTHER, LETTER, NUMBER, SPACE, ODD = range(5)
+
+
+def stretches(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values of all stretches, one after another."""
+    before = np.cumsum(counts) - counts
+    return values[np.repeat(starts - before, counts) + np.arange(counts.sum())]
+
+
+def raw(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of large strings without nulls."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+class Kept:
+    """The ids of strings in one array; `places` has the numbers of those of up to LONGEST_KEPT characters,
+    `cached` and those of one call at most. Longer ones have a number until others are added."""
+
+    def __init__(self, cached: int, dtype: np.dtype):
+        self.cached, self.places = cached, {}
+        self.ids, self.ends = np.empty(0, dtype), np.zeros(1, np.int64)
+
+    def numbers(self, strings: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of each of these strings, which are all different; new ones are encoded."""
+        if len(self.places) + len(strings) > self.cached:
+            self.places.clear()
+        names = listed(strings)
+        found = np.fromiter(map(self.places.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            long = pc.utf8_length(strings.take(pa.array(new))).to_numpy() > LONGEST_KEPT
+            new = new[np.argsort(long, kind="stable")]
+            first, short = len(self.places), len(new) - int(long.sum())
+            self.write(first, *encode(strings.take(pa.array(new))))
+            found[new] = np.arange(first, first + len(new))
+            self.places.update(zip(map(names.__getitem__, new[:short].tolist()), range(first, first + short), strict=True))
+        return found
+
+    def write(self, first: int, ids: np.ndarray, counts: np.ndarray) -> None:
+        """These ids become those of the numbers from `first` on; room that a long string took is given back."""
+        at, n = int(self.ends[first]), first + len(counts)
+        if not at + len(ids) <= len(self.ids) <= 4 * (at + len(ids)) + (1 << 20):
+            self.ids = np.concatenate([self.ids[:at], np.empty(max(at // 4, len(ids)), self.ids.dtype)])
+        if n >= len(self.ends):
+            self.ends = np.concatenate([self.ends[: first + 1], np.empty(max(first // 4, len(counts)), np.int64)])
+        self.ids[at : at + len(ids)] = ids
+        self.ends[first + 1 : n + 1] = at + np.cumsum(counts)
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers one after another, and how many each has."""
+        starts = self.ends[numbers]
+        counts = self.ends[numbers + 1] - starts
+        return stretches(self.ids, starts, counts), counts
+
+
 class WordIds:
-    """Bytes of the ids of texts, and of each word seen.
+    """Ids of texts, and of each word seen.
 
     Where the tokenizer is one that lower-cases, parts a text by a pattern that drops white space and
-    merges the bytes of each part, words stand alone: those in Latin letters are parted here by
-    that same pattern and only new parts go through its merges, others are encoded one by one.
-    Any other tokenizer encodes whole texts, for white space may count there. Words and parts of up to
-    LONGEST_KEPT characters are kept, `cached` of each and those of one call at most.
+    merges the bytes of each part, words stand alone: new ones in Latin letters are parted here at the places
+    where that pattern parts them, all at once, and only new parts go through its merges; others are encoded one by one.
+    Any other tokenizer encodes whole texts, for white space may count there.
     """
 
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str, cached: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.long_parts: set[str] = set()
+        self.kept_words, self.kept_parts = Kept(cached, self.dtype), Kept(cached, self.dtype)
         config = json.loads(self.tokenizer.to_str())
-        steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.pattern = None
-        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
-            self.pattern = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        # Letters for which composing, lower case and white space are the same everywhere.
-        self.plain = regex.compile("[\t\n\r -~\u00a1-\u00ff]*+")
+        normal, pre = (config["normalizer"] or {}).get("normalizers", []), (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+        steps = [x["type"] for x in normal], [x["type"] for x in pre]
+        self.by_words = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and pre[0]["pattern"].get("Regex") == self.PATTERN
+        # Characters for which composing, lower case and white space are the same everywhere have a kind, all others are odd:
+        # by their only byte, or by both bytes, of which the first is C2 or C3.
+        kinds = [ODD] * 256
+        for code in (*b"\t\n\r", *range(32, 127), *range(161, 256)):
+            category = unicodedata.category(chr(code))
+            kinds[code] = SPACE if chr(code).isspace() else {"L": LETTER, "N": NUMBER}.get(category[0], OTHER)
+        lower = [ord(chr(code).lower()) for code in range(256)]
+        self.kinds = np.array([*kinds[:128], *[OTHER] * 64, *[ODD] * 2, *[OTHER] * 2, *[ODD] * 60], np.uint8)
+        self.lower = np.array([*lower[:128], *range(128, 256)], np.uint8)
+        self.latin_kinds, self.latin_lower = np.array(kinds[128:], np.uint8), np.array([x & 63 | 128 for x in lower[128:]], np.uint8)
         # The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [x for x in range(256) if x not in printable]
         self.alphabet = {x: chr(x) for x in printable} | {x: chr(256 + i) for i, x in enumerate(rest)}
 
-    def merge(self, part: str) -> bytes:
-        if not part.isascii():
-            part = "".join(map(self.alphabet.__getitem__, part.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(part)], self.dtype).tobytes()
-
-    def room(self, known: dict[str, bytes], new: int) -> None:
-        if len(known) + new > self.cached:
-            known.clear()
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def encode_plain(self, words: list[str]) -> list[bytes]:
-        parted = [[w.lower()] if w.isalpha() else self.pattern.findall(w.lower()) for w in words]
-        parts = set(chain.from_iterable(parted))
-        self.room(self.parts, len(parts))
-        for part in parts.difference(self.parts):
-            self.parts[part] = self.merge(part)
-            if len(part) > LONGEST_KEPT:
-                self.long_parts.add(part)
-        return [b"".join([self.parts[x] for x in p]) for p in parted]
+    @property
+    def words(self) -> dict[str, int]:
+        return self.kept_words.places
+
+    @property
+    def parts(self) -> dict[str, int]:
+        return self.kept_parts.places
+
+    def flat(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def merge(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        tokenize = self.tokenizer.model.tokenize
+        spelt = [p if p.isascii() else "".join(map(self.alphabet.__getitem__, p.encode())) for p in listed(parts)]
+        return self.flat([[t.id for t in tokenize(p)] for p in spelt])
+
+    def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.flat([e.ids for e in self.tokenizer.encode_batch(listed(strings), add_special_tokens=False)])
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = raw(words)
+        kinds = self.kinds[data]
+        latin = np.flatnonzero((data == 0xC2) | (data == 0xC3))
+        code = (data[latin] - 0xC2) * 64 + (data[latin + 1] - 128)
+        kinds[latin] = kinds[latin + 1] = self.latin_kinds[code]
+        bad = np.flatnonzero(kinds == ODD)
+        mark = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        odd = np.zeros(len(words), bool)
+        odd[np.searchsorted(offsets, np.concatenate([bad, mark]), side="right") - 1] = True
+        if not odd.any():
+            low = self.lower[data]
+            low[latin + 1] = self.latin_lower[code]
+            return self.encode_plain(low, kinds, offsets)
+        groups, order = [], []
+        for chosen, encode in ((~odd, self.encode_words), (odd, self.encode)):
+            order.append(np.flatnonzero(chosen))
+            if len(order[-1]):
+                groups.append(encode(words.filter(pa.array(chosen))))
+        ids, counts = (np.concatenate(x) for x in zip(*groups, strict=True))
+        back = np.argsort(np.concatenate(order))
+        return stretches(ids, (np.cumsum(counts) - counts)[back], counts[back]), counts[back]
+
+    def encode_plain(self, low: np.ndarray, kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words whose lower-case bytes these are: parts begin where the kind changes, at each number and at each word."""
+        size, n_words = len(low), len(offsets) - 1
+        begins, word = np.ones(size + 3, bool), np.zeros(size + 3, bool)
+        word[offsets] = word[size:] = True
+        begins[1:size] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == NUMBER)
+        begins[:size] &= (low & 0xC0) != 0x80
+        begins |= word
+        # An apostrophe that begins a part takes s, t, m, d, re, ve or ll of its own word along.
+        padded = np.concatenate([low, np.zeros(2, np.uint8)])
+        mark = np.flatnonzero((low == ord("'")) & begins[:size] & ~word[1 : size + 1])
+        one, two = padded[mark + 1], padded[mark + 2]
+        short = np.isin(one, list(b"stmd"))
+        pairs = [(one == a) & (two == b) for a, b in (b"re", b"ve", b"ll")]
+        long = ~short & np.logical_or.reduce(pairs) & ~word[mark + 2]
+        begins[mark[short | long] + 1] = False
+        begins[mark[short] + 2] = begins[mark[long] + 3] = True
+        starts = np.flatnonzero(begins[:size])
+        bounds = np.append(starts, size)
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(low))
+        stays = kinds[starts] != SPACE
+        parts = pieces.filter(pa.array(stays)).dictionary_encode()
+        numbers = self.kept_parts.numbers(parts.dictionary, self.merge)[parts.indices.to_numpy()]
+        ids, counts = self.kept_parts.joined(numbers)
+        of = np.searchsorted(offsets, starts[stays], side="right") - 1
+        return ids, np.bincount(of, weights=counts, minlength=n_words).astype(np.int64)
+
+    def joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_words:
+            return self.encode(texts)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        numbers = self.kept_words.numbers(words.dictionary, self.encode_words)[words.indices.to_numpy()]
+        ids, counts = self.kept_words.joined(numbers)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(pc.list_value_length(split).to_numpy())]
+        return ids, np.diff(ends, prepend=0)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if self.pattern is None:
-            return self.encode(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set(chain.from_iterable(split))
-        self.room(self.words, len(words))
-        new = words.difference(self.words)
-        odd = {w for w in new if "<|" in w or not self.plain.fullmatch(w)}
-        for group, encode in ((list(new - odd), self.encode_plain), (list(odd), self.encode)):
-            self.words.update(zip(group, encode(group), strict=True))
-        out = [b"".join(map(self.words.__getitem__, w)) for w in split]
-        for known, fresh in ((self.words, new), (self.parts, self.long_parts)):
-            for word in [w for w in fresh if len(w) > LONGEST_KEPT]:
-                del known[word]
-        self.long_parts = set()
-        return out
+        ids, counts = self.joined(pa.array(texts, pa.large_string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts))[:-1]]
 
 
 @lru_cache(maxsize=2)
@@ -159,12 +273,15 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int, cached_words: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path, cached_words)
-        end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
             for part in slices(batch, 1, SLICE):
-                ids = [x + end for x in words.ids([t or "" for t in part.column(1).to_pylist()])]
-                curve = curve_key([np.frombuffer(x, words.dtype) for x in ids])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(curve, pa.int64())], ["doc_id", "ids", "curve"])
+                found, counts = words.joined(part.column(1))
+                ids = np.insert(found, np.cumsum(counts), words.dtype.type(end_id))
+                ends = np.concatenate([[0], np.cumsum(counts + 1)])
+                curve = curve_key(np.split(ids, ends[1:-1]))
+                coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends * ids.itemsize), pa.py_buffer(ids)])
+                pa.default_memory_pool().release_unused()
+                yield pa.RecordBatch.from_arrays([part.column(0), coded.cast(pa.binary()), pa.array(curve, pa.int64())], ["doc_id", "ids", "curve"])
 
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, curve long")
 
