@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastermill.functions.constants import U32, XORSHIFT_SEED
+from rastermill.operators.deal import dealt
 
 
 def nearest(patches: DataFrame, palette: DataFrame, keys: list[str], patch: list[str]) -> DataFrame:
@@ -44,12 +47,13 @@ def choose_centres(colors: np.ndarray, weights: np.ndarray, sums: np.ndarray, si
         return ((colors[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
 
     centres = colors[[draw(weights)]]
+    near = distances(centres)[:, 0]
     while len(centres) < size:
-        chances = distances(centres).min(axis=1) * weights
         state ^= state << 13 & U32
         state ^= state >> 17
         state ^= state << 5 & U32
-        centres = np.vstack([centres, colors[draw(chances)]])
+        centres = np.vstack([centres, colors[draw(near * weights)]])
+        near = np.minimum(near, distances(centres[-1:])[:, 0])
     last = np.inf
     while True:
         d2 = distances(centres)
@@ -64,15 +68,24 @@ def choose_centres(colors: np.ndarray, weights: np.ndarray, sums: np.ndarray, si
 
 
 def build_palettes(patches: DataFrame, keys: list[str]) -> DataFrame:
-    """patches (keys, palette, seq, r, g, b, c, wr, wg, wb), a few hundred a key -> (keys, idx, pr, pg, pb)."""
+    """patches (keys, palette, seq, r, g, b, c, wr, wg, wb), a few hundred a key -> (keys, idx, pr, pg, pb). All patches of a key
+    are a row, and a task takes many."""
     types = dict(patches.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        size = int(rows["palette"].iloc[0])
-        found = choose_centres(rows[["r", "g", "b"]].to_numpy(np.float32), rows["c"].to_numpy(np.float32), rows[["wr", "wg", "wb"]].to_numpy(np.float32), size)
-        out = pd.DataFrame({k: [rows[k].iloc[0]] * size for k in keys})
-        return out.assign(idx=range(size), pr=found[:, 0].astype(float), pg=found[:, 1].astype(float), pb=found[:, 2].astype(float))
-
+    values = ("r", "g", "b", "c", "wr", "wg", "wb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("patches")
+            ends, rows = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]), lists.flatten()
+            r, g, b, c, *sums = (rows.field(v).to_numpy(zero_copy_only=False).astype(np.float32) for v in values)
+            colors, sums = np.column_stack([r, g, b]), np.column_stack(sums)
+            sizes = batch.column("palette").to_numpy(zero_copy_only=False).astype(int)
+            found = [choose_centres(colors[i:k], c[i:k], sums[i:k], int(size)) for i, k, size in zip(ends, ends[1:], sizes, strict=False)]
+            of = pa.array(np.repeat(np.arange(len(batch)), sizes))
+            idx = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in keys), pa.array(idx), *(pa.array(x.astype(np.float64)) for x in np.concatenate(found).T)], names=[*keys, "idx", "pr", "pg", "pb"])
+
+    listed = F.array_sort(F.collect_list(F.struct("seq", *values)))
+    rows = dealt(patches, *keys).groupBy(*keys).agg(F.first("palette").alias("palette"), listed.alias("patches"))
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", idx int, pr double, pg double, pb double"
-    return patches.groupBy(*keys).applyInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -21,12 +21,14 @@ from pyspark.sql.window import Window
 
 from rastermill.functions import columns as C
 from rastermill.functions import constants as K
+from rastermill.operators.deal import dealt, tasks
 from rastermill.operators.decode import cut
 from rastermill.operators.splits import SUMS, ImageScorer
 
 TREE = ["image_id", "variant_id"]
 KEYS = [*TREE, "node"]
 VARIANTS_A_PART = 64
+LOT_WORK = 1 << 15
 TREES_A_TURN = 1_000
 
 
@@ -267,25 +269,33 @@ def taken_splits(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def build_trees(jobs: DataFrame, rows: DataFrame, at: str) -> DataFrame:
     """The nodes that are met for each job, written to `at`; `ordinal` is the turn of those that are split, `options` the
-    colour codes that may reach the job's bound. A job none of whose codes may has no nodes. `rows`: prefix_rows()."""
+    colour codes that may reach the job's bound. A job none of whose codes may has no nodes. `rows`: prefix_rows().
+
+    Parts of small images share a lot: a group of LOT_WORK pixels, each counted once a job, or of less where there are fewer lots
+    than tasks; larger parts are lots of their own. A lot gets the rows of each of its parts' images once."""
     jobs = jobs.withColumn("_part", F.floor((F.row_number().over(Window.partitionBy("image_id").orderBy("line_limit", "partition_code", "variant_id")) - 1) / VARIANTS_A_PART))
-    parts = jobs.groupBy("image_id").agg(F.max("_part").alias("_last"))
-    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_piece")
-    copies = rows.join(parts, "image_id").select(F.col("image_id").alias("_image"), "y", *SUMS[:3], piece)
+    parts = jobs.groupBy("image_id", "_part").agg(F.sum(F.col("width") * F.col("height")).alias("_work"))
+    count, work = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.least("_work", F.lit(LOT_WORK))), F.lit(0))).first()
+    own = F.xxhash64("image_id", "_part")
+    lots = max(1, -(-work // LOT_WORK), min(count, 8 * tasks(jobs.sparkSession)))
+    parts = parts.select("image_id", "_part", F.when(F.col("_work") > LOT_WORK, own).otherwise(F.pmod(own, F.lit(lots))).alias("_lot"))
+    copies = rows.join(parts, "image_id").select(F.col("image_id").alias("_image"), F.col("_part").alias("_piece"), F.col("_lot").alias("_group"), "y", *SUMS[:3])
     names = [*KEYS, *SUMS, "angle_bits", "score", "angle_code", "line", "num_lines", "cost", "ordinal", "options"]
 
     def run(some: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
-        scorer, out = ImageScorer(image, exact=False), []
-        for job in some.itertuples():
-            tree = Tree(scorer, job)
-            if tree.options:
-                out += [[job.image_id, job.variant_id, *row, tree.options] for row in tree.rows]
+        images, out = dict(iter(image.groupby(["_image", "_piece"], sort=False))), []
+        for key, each in some.groupby(["image_id", "_part"], sort=False):
+            scorer = ImageScorer(images.pop(key), exact=False)
+            for job in each.itertuples():
+                tree = Tree(scorer, job)
+                if tree.options:
+                    out += [[job.image_id, job.variant_id, *row, tree.options] for row in tree.rows]
         whole = {n: "Int64" for n in (*SUMS, "angle_bits", "angle_code", "line", "num_lines", "ordinal", "options")}
         return pd.DataFrame(out, columns=names).astype(whole | {"score": "Float64", "cost": "Float64"})
 
     schema = "image_id long, variant_id int, node string, sr long, sg long, sb long, c long, angle_bits long, score double, angle_code int, line long, num_lines long, cost double, ordinal int, options long"
-    wanted = jobs.select(*TREE, "scale", "bits", "width", "height", "partition_code", "line_limit", "color_options", "target_size", "tax", "budget", "bound", "_part")
-    return stored(wanted.groupBy("image_id", "_part").cogroup(copies.groupBy("_image", "_piece")).applyInPandas(run, schema), at)
+    wanted = jobs.join(parts, ["image_id", "_part"]).select(*TREE, "scale", "bits", "width", "height", "partition_code", "line_limit", "color_options", "target_size", "tax", "budget", "bound", "_part", "_lot")
+    return stored(dealt(wanted, "_lot").groupBy("_lot").cogroup(dealt(copies, "_group").groupBy("_group")).applyInPandas(run, schema), at)
 
 
 def budget_prefix(costs: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,8 +5,14 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from rastermill.operators import decode as D
+from rastermill.operators import encode
+from rastermill.operators import palette as P
+from rastermill.operators import rasters as R
+from rastermill.operators import splits as S
 from rastermill.operators import tree as T
 from rastermill.plans import queries as Q
+from tests.test_whole_jobs import made_streams
 
 
 def plan_of(df):
@@ -62,3 +68,71 @@ def test_patches_search_the_trees_once(spark, tmp_path):
                     want[image, color, name] = (2 * at + side, *(row[f"s{c}"] / row["c"] for c in "rgb"), row["c"])
     got = {tuple(r[:3]): tuple(r[3:]) for r in found.collect()}
     assert got.keys() == want.keys() and len(want) > 100 and all(np.allclose(got[k], want[k], rtol=0, atol=6e-5) for k in want)
+
+
+VARIANT = "variant_id int, partition_code int, line_limit int, color_options long"
+
+
+def some_images(spark, count=5):
+    """Images of a few flat parts, the last one larger than the others."""
+    rows = []
+    for i in range(count):
+        side = 40 if i == count - 1 else 10 + i
+        rows += [(i, y, x, 40 * ((x + i * y) % 7 < 4), 90 * (y > 4 + i), 10 * i + 60 * (x > 5)) for y in range(side) for x in range(side + 2)]
+    return spark.createDataFrame(rows, "image_id long, y long, x long, r long, g long, b long").coalesce(1)
+
+
+def test_images_share_lots(spark, monkeypatch, tmp_path):
+    """The same trees from lots of one part, of some, and of nearly all, each in several tasks."""
+    pixels = some_images(spark)
+    jobs = T.coding_jobs(R.guarded(R.sizes(pixels)), spark.createDataFrame([(i, 215 - i, 6 + i, 1 << 18 | 7) for i in range(3)], VARIANT), 40).cache()
+    rows = S.prefix_rows(R.prefix_sums(pixels)).cache()
+    monkeypatch.setattr(T, "VARIANTS_A_PART", 2)
+    found, groups = [], []
+    for work in (1, 2000, 1 << 30):
+        monkeypatch.setattr(T, "LOT_WORK", work)
+        monkeypatch.setattr(T, "tasks", lambda spark, n=1 if work > 2000 else 4: n)
+        nodes = T.build_trees(jobs, rows, str(tmp_path / f"{work}"))
+        groups.append(nodes.select(F.input_file_name()).distinct().count())
+        found.append(sorted(map(str, nodes.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    assert groups[0] > 2  # a few kilobytes, but not one task
+
+
+def test_one_round_is_coded_from_its_trials(spark, monkeypatch):
+    pixels, calls, trials = some_images(spark, 3), [], encode.Search.trials
+    variants = spark.createDataFrame([(0, 215, 6, 1 << 18 | 16), (1, 120, 9, 1 << 4)], VARIANT)
+    monkeypatch.setattr(encode.Search, "trials", lambda self, jobs: calls.append(1) or trials(self, jobs))
+    once = encode.encode_images(pixels, variants, 60).collect()
+    assert len(calls) == 1
+    twice = encode.encode_images(pixels, variants, 60, first_round=1).collect()
+    assert len(calls) == 4 and sorted(map(str, once)) == sorted(map(str, twice)) and all(r["status"] == "ok" for r in once)
+
+
+def test_streams_are_dealt_out(spark):
+    made = made_streams()
+    rows = spark.createDataFrame([(None if i == 7 else i, bytearray(made[i % 5][0]) if i != 3 else None) for i in range(40)], "image_id long, data binary").coalesce(1)
+    for found in (D.decode_images(rows), D.read_headers(rows)):
+        assert found.rdd.getNumPartitions() >= 16
+    spans = D.decode_spans(rows).collect()
+    count = {}
+    for r in spans:
+        count[r["image_id"]] = count.get(r["image_id"], 0) + r["x1"] - r["x0"]
+    assert count == {None if i == 7 else i: len(made[i % 5][1]) for i in range(40) if i != 3}
+    assert {r["leaf"] for r in spans if r["image_id"] == 0} == set(range(sum(c is not None for _, _, c, *_ in D.walk(made[0][0])[1])))
+
+
+def test_many_palettes_a_task(spark):
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for key in range(30):
+        n, size = int(rng.integers(1, 40)), int(rng.integers(1, 9))
+        colors, counts = rng.integers(0, 256, (n, 3)), rng.integers(1, 60, n)
+        rows += [(key, size, i, *map(float, colors[i]), float(counts[i]), *(float(c * counts[i]) for c in colors[i])) for i in range(n)]
+        want[key] = P.choose_centres(colors.astype(np.float32), counts.astype(np.float32), (colors * counts[:, None]).astype(np.float32), size).tolist()
+    patches = spark.createDataFrame(random.Random(2).sample(rows, len(rows)), "id long, palette int, seq int, r double, g double, b double, c double, wr double, wg double, wb double")
+    found = P.build_palettes(patches, ["id"])
+    assert "FlatMapGroups" not in plan_of(found)
+    got = {}
+    for r in found.orderBy("id", "idx").collect():
+        got.setdefault(r["id"], []).append([r["pr"], r["pg"], r["pb"]])
+    assert got == want
