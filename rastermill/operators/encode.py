@@ -15,6 +15,7 @@ from rastermill.functions import constants as K
 from rastermill.operators import entropy as E
 from rastermill.operators import palette as P
 from rastermill.operators import rasters as R
+from rastermill.operators.deal import dealt
 from rastermill.operators.splits import prefix_rows
 from rastermill.operators.tree import KEYS, TREE, budget_prefix, build_trees, coding_jobs, drop_folder, scratch, stored
 
@@ -80,7 +81,7 @@ def stream_entries(jobs: DataFrame, best: DataFrame, nodes: DataFrame, taken: Da
     leaf = shown.join(best.select(*TRIAL), TRIAL)
     plain = E.entries(E.entry(F.lit(0), F.lit(2)), *(E.entry(C.quantize(F.col(x), F.col("quant")), F.col("quant")) for x in ("r", "g", "b")))
     leaf = leaf.select(*TRIAL, F.when(F.col("palette") == 0, plain).otherwise(E.entries(E.entry(F.lit(0), F.lit(2)), E.entry(F.col("idx"), F.col("palette")))).alias("items"), F.length("node").alias("depth"), "node")
-    parts = header.unionByName(colors).unionByName(inner).unionByName(leaf)
+    parts = dealt(header.unionByName(colors).unionByName(inner).unionByName(leaf), "image_id")
     ordered = F.array_sort(F.collect_list(F.struct("depth", "node", "items")))
     return parts.groupBy("image_id").agg(F.flatten(F.transform(ordered, lambda p: p["items"])).alias("entries"))
 
@@ -107,19 +108,20 @@ class Search:
         palettes = stored(P.build_palettes(patches.where("palette > 0"), TRIAL), f"{at}/palettes")
         return jobs, nodes, taken, trials, palettes, stored(shown_colors(patches, palettes), f"{at}/shown")
 
-    def best(self, variants: DataFrame, first_round: int, growth: int) -> DataFrame:
-        """(image_id, variant_id, color, sqe) of the first best trial. Later rounds grow by `growth` and know the least
-        error of those before, which ends the trees and colour codes that can't reach it."""
+    def best(self, variants: DataFrame, first_round: int, growth: int) -> tuple[DataFrame, tuple[DataFrame, ...] | None]:
+        """(image_id, variant_id, color, sqe) of the first best trial, and all trials where they fit one round. Later rounds grow by
+        `growth` and know the least error of those before, which ends the trees and colour codes that can't reach it."""
         turned = stored(variants.withColumn("_turn", F.row_number().over(Window.orderBy(F.xxhash64("variant_id"), "variant_id"))), f"{self.at}/variants")
-        count, begin, size, best = turned.count(), 0, first_round, None
+        count, begin, size, best, parts = turned.count(), 0, first_round, None, None
         while begin < count:
             jobs = coding_jobs(self.images, turned.where(F.col("_turn").between(begin + 1, begin + size)).drop("_turn"), self.target_size)
             if best is not None:
                 jobs = jobs.drop("bound").join(best.select("image_id", F.col("sqe").alias("bound")), "image_id", "left")
-            found = first_best(simulated_error(self.trials(jobs)[-1], TRIAL))
+            parts = self.trials(jobs)
+            found = first_best(simulated_error(parts[-1], TRIAL))
             best = stored(found if best is None else first_best(found.unionByName(best)), f"{self.at}/best-{self.round}")
             begin, size = begin + size, size * growth
-        return best
+        return best, parts if self.round == 1 else None
 
     def drop(self) -> None:
         drop_folder(self.rows.sparkSession, self.at)
@@ -138,11 +140,10 @@ def encode_images(pixels: DataFrame, variants: DataFrame, target_size: int = 200
     images = R.guarded(R.sizes(pixels))
     good = images.where("reason IS NULL")
     search = Search(good, pixels.join(good, "image_id", "left_semi"), target_size)
-    best = search.best(variants, first_round, growth)
-    # The winners once more, now with their streams.
-    winner = best.select("image_id", "variant_id", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("color")).alias("color_options"))
-    jobs = coding_jobs(good, variants, target_size).drop("color_options").join(winner, TREE)
-    parts = search.trials(jobs)
+    best, parts = search.best(variants, first_round, growth)
+    if parts is None:  # the winners of several rounds once more
+        winner = best.select("image_id", "variant_id", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("color")).alias("color_options"))
+        parts = search.trials(coding_jobs(good, variants, target_size).drop("color_options").join(winner, TREE))
     mse = (F.col("sqe") + F.col("sqe_base")) / (F.col("width") * F.col("height"))
     streams = stream_entries(parts[0], best, *parts[1:4], shown=parts[5], palettes=parts[4]).select("image_id", E.encode_stream("entries").alias("data"))
     coded = best.join(streams, "image_id").join(R.square_sums(pixels), "image_id")
