@@ -5,20 +5,26 @@ sums meet, by arrays within a task (best_splits), or as rows from a count of the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
 from rastermill.functions import columns as C
 from rastermill.functions import constants as K
 from rastermill.functions.dimensions import COS, SIN, angles
 from rastermill.operators import geometry as G
+from rastermill.operators.deal import dealt, in_lots, tasks
 
 SUMS = ("sr", "sg", "sb", "c")
 BEST = ("score", "angle_code", "line", "sn", "cs", "d", "num_lines")
-PART_SPANS, KNOWN_REGIONS, CANDIDATES = 50_000, 2_000, 1 << 21
+PART_SPANS, KNOWN_REGIONS, CANDIDATES = 50_000, 2_000, 1 << 16
+LOT_SPANS, LOT_REGIONS = 2_000, 8
 
 
 def split_score() -> Column:
@@ -115,6 +121,18 @@ class ImageScorer:
         self.first = int(rows["y"].iloc[0]) if len(rows) else 0
         squares = sum(np.diff(p, axis=1) ** 2 for p in self.sums)
         self.square_sums = np.pad(np.cumsum(squares, axis=1), ((0, 0), (1, 0)))
+        # Sums, and pixels, that fit one number of 64 bits for any region are added up as one: (prefix sums, [(channel, lowest bit, mask)]).
+        self.packs, room = [], 0
+        planes = [*self.sums, np.broadcast_to(np.arange(self.sums[0].shape[1]), self.sums[0].shape)]
+        for k, plane in enumerate(planes):
+            bits = int(plane[:, -1].sum()).bit_length()
+            if bits > room:
+                self.packs.append((np.zeros_like(plane), []))
+                room = 64
+            packed, parts = self.packs[-1]
+            packed += plane << 64 - room
+            parts.append((k, 64 - room, (1 << bits) - 1))
+            room -= bits
 
     def squares(self, spans: np.ndarray) -> int:
         """The sum of all squared channel values of a region."""
@@ -133,56 +151,91 @@ class ImageScorer:
         return self.known[key]
 
     def search(self, spans: np.ndarray, bits: int, limit: int) -> tuple:
-        y, x0, x1 = spans.T
-        planes = [s[y - self.first] for s in self.sums]
-        each = np.arange(len(y))
-        ends = [int(p[each, x1].sum()) for p in planes] + [int(x1.sum())]
-        whole = [e - int(p[each, x0].sum()) for e, p in zip(ends, planes, strict=False)] + [int((x1 - x0).sum())]
+        whole, turns = self.tried(spans, bits, limit)
         best: tuple = (0.5, None)
-        step = max(1, CANDIDATES // (limit * len(y)))
-        for begin in range(0, 1 << bits, step):
-            codes = np.arange(begin, min(1 << bits, begin + step))
-            sn, cs = SIN[codes << 9 - bits], COS[codes << 9 - bits]
-            low, high = (cs[:, None] * y + sn[:, None] * x0).min(axis=1), (cs[:, None] * y + sn[:, None] * (x1 - 1)).max(axis=1)
-            delta = high - low
-            quant = np.where(delta > K.SCALE * limit, (2 * delta + limit) // (2 * limit), K.SCALE)
-            lines = np.maximum(1, delta // quant)
-            slack = delta - (lines - 1) * quant
-            line = np.arange(int(lines.max()))
-            several = (low + np.sign(slack) * (np.abs(slack) // 2))[:, None] + quant[:, None] * line
-            d = np.where(lines[:, None] > 1, several, ((high + low) % (1 << 32) // 2)[:, None])
-            at = edges(y, x0, x1, sn[:, None, None], cs[:, None, None], d[:, :, None], self.exact)
-            flat = at + each * planes[0].shape[1]
-            left = [e - p.ravel()[flat].sum(axis=2) for p, e in zip(planes, ends, strict=False)] + [ends[3] - at.sum(axis=2)]
-            valid = (line < lines[:, None]) & (left[3] > 0) & (left[3] < whole[3])
-            if not valid.any():
-                continue
-            count = np.where(valid, left[3], 1)
-            other = np.where(valid, whole[3] - left[3], 1)
-            total = np.zeros(count.shape)
-            for part, sum_ in zip(left[:3], whole[:3], strict=True):
-                mean = sum_ / whole[3]
-                near, far = part / count - mean, (sum_ - part) / other - mean
-                total = total + near * near * count + far * far * other
-            total = np.where(valid, total, -1.0)
-            a, n = np.unravel_index(int(total.argmax()), total.shape)
-            score = float(total[a, n])
-            if score > best[0] or best[1] is None and score >= 0.5:
-                best = (score, (int(codes[a]), int(n), int(sn[a]), int(cs[a]), int(d[a, n]), int(lines[a])))
+        for code, line, sn, cs, d, lines, _, total in turns:
+            if len(total):
+                n = int(total.argmax())
+                score = float(total[n])
+                if score > best[0] or best[1] is None and score >= 0.5:
+                    best = (score, tuple(int(v[n]) for v in (code, line, sn, cs, d, lines)))
         return (*whole, best[0], *best[1]) if best[1] else (*whole, *[None] * 7)
 
+    def tried(self, spans: np.ndarray, bits: int, limit: int) -> tuple[list[int], Iterator[tuple]]:
+        """The sums of a region, and all lines that leave pixels on both sides, by angle, then line: arrays of code, line, sn, cs, d,
+        number of lines, left pixels and score, some angles at a time."""
+        y, x0, x1 = spans.T
+        at, each = y - self.first, np.arange(len(y))
+        packs = [(p[at] - p[at, x0][:, None], parts) for p, parts in self.packs]
+        whole = [0] * 4
+        for packed, parts in packs:
+            sums = int(packed[each, x1].sum())
+            for k, shift, mask in parts:
+                whole[k] = sums >> shift & mask
+        codes, sn, cs = turned(bits)
+        near = cs[:, None] * y
+        low, high = (near + sn[:, None] * x0).min(axis=1), (near + sn[:, None] * (x1 - 1)).max(axis=1)
+        delta = high - low
+        quant = np.where(delta > K.SCALE * limit, (2 * delta + limit) // (2 * limit), K.SCALE)
+        lines = np.maximum(1, delta // quant)
+        slack = delta - (lines - 1) * quant
+        first = np.where(lines > 1, low + np.sign(slack) * (np.abs(slack) // 2), (high + low) % (1 << 32) // 2)
+        return whole, self.turns(y, x0, x1, whole, packs, codes, sn, cs, first, quant, lines)
+
+    def turns(self, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, whole: list[int], packs: list, codes: np.ndarray, sn: np.ndarray, cs: np.ndarray, first: np.ndarray, quant: np.ndarray, lines: np.ndarray) -> Iterator[tuple]:
+        ends, begin = np.cumsum(lines), 0
+        before = ends - lines
+        rows, left, right = (v[:, None] for v in (y, x0, x1))
+        starts = (np.arange(len(y)) * packs[0][0].shape[1])[:, None]
+        means = np.array([s / whole[3] for s in whole[:3]])[:, None]
+        while begin < len(codes):
+            end = max(begin + 1, int(np.searchsorted(ends, before[begin] + CANDIDATES // len(y), side="right")))
+            of = np.repeat(np.arange(begin, end), lines[begin:end])
+            line = np.arange(before[begin], ends[end - 1]) - before[of]
+            s, c = sn[of], cs[of]
+            d = first[of] + quant[of] * line
+            flat = edges(rows, left, right, s, c, d, self.exact) + starts
+            sides = np.empty((4, len(of)), np.int64)
+            for packed, parts in packs:
+                sums = packed.ravel()[flat].sum(axis=0)
+                for k, shift, mask in parts:
+                    sides[k] = whole[k] - (sums >> shift & mask)
+            valid = np.flatnonzero((sides[3] > 0) & (sides[3] < whole[3]))
+            sides = sides[:, valid]
+            part, count = sides[:3], sides[3]
+            other = whole[3] - count
+            near, far = part / count - means, (np.array(whole[:3])[:, None] - part) / other - means
+            near, far = near * near * count, far * far * other
+            total = near[0] + far[0] + near[1] + far[1] + near[2] + far[2]
+            of = of[valid]
+            yield codes[of], line[valid], s[valid], c[valid], d[valid], lines[of], count, total
+            begin = end
+
+
+@cache
+def turned(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The angles of `bits` bits: codes, sn, cs."""
+    codes = np.arange(1 << bits)
+    return codes, SIN[codes << 9 - bits], COS[codes << 9 - bits]
+
 
 def edges(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, sn: np.ndarray, cs: np.ndarray, d: np.ndarray, exact: bool) -> np.ndarray:
-    """geometry.boundary() for arrays."""
-    some = np.where(sn == 0, 1, sn)
+    """geometry.boundary() for arrays; lines by sn, cs and d, or also rows against lines."""
+    flat = sn == 0
+    level = None
+    if flat.any():
+        level = y * cs >= d if exact else y >= d.astype(np.float32) / np.where(flat, cs, 1).astype(np.float32)
+        if flat.all():
+            return np.where(level, x0, x1)
+    some = np.where(flat, 1, sn)
     if exact:
         top = 2 * d + sn - 2 * y * cs
-        cut, level = np.sign(top) * (np.abs(top) // (2 * some)), y * cs >= d
+        cut = np.sign(top) * (np.abs(top) // (2 * some))
     else:
         slope, shift = (-cs / some).astype(np.float32), (d * (1.0 / some) + 0.5).astype(np.float32)
         cut = (y.astype(np.float64) * slope + shift).astype(np.float32).astype(np.int64)
-        level = y >= d.astype(np.float32) / np.where(sn == 0, cs, 1).astype(np.float32)
-    return np.where(sn == 0, np.where(level, x0, x1), np.minimum(x1, np.maximum(x0, cut)))
+    cut = np.minimum(x1, np.maximum(x0, cut))
+    return cut if level is None else np.where(flat, np.where(level, x0, x1), cut)
 
 
 def best_splits(spans: DataFrame, prefix: DataFrame, keys: list[str], exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -193,26 +246,70 @@ def best_splits(spans: DataFrame, prefix: DataFrame, keys: list[str], exact: boo
     return both.select(*keys, *SUMS), both.where("score IS NOT NULL").drop(*SUMS)
 
 
-def scored_regions(spans: DataFrame, rows: DataFrame, keys: list[str], exact: bool = False) -> DataFrame:
+def scored_regions(spans: DataFrame, rows: DataFrame, keys: list[str], exact: bool = False, lots: bool = False) -> DataFrame:
     """(keys, sums, score, angle_code, line, sn, cs, d, num_lines): best_splits() in one table, from the result of
     prefix_rows(). An image's regions are dealt into parts of about PART_SPANS spans, each of which gets
-    the image's rows; candidates never leave the task."""
-    own = [c for c in keys if c != "image_id"]
-    region = F.xxhash64(*own) if own else F.lit(0).cast("long")
-    parts = spans.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / PART_SPANS).alias("_parts"))
-    dealt = spans.join(parts, "image_id").withColumn("_part", F.pmod(region, "_parts")).select(*keys, "y", "x0", "x1", "angle_bits", "line_limit", "_part")
-    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_piece")
-    copies = rows.join(parts, "image_id").select(F.col("image_id").alias("_image"), "y", *SUMS[:3], piece)
+    the image's rows; candidates never leave the task. With `lots` small images share a group of about LOT_SPANS spans, for
+    which spans are counted first."""
     types = dict(spans.dtypes)
     names = [*keys, *SUMS, *BEST]
 
     def run(regions: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
-        scorer, out = ImageScorer(image, exact), []
-        for key, each in regions.groupby(keys, sort=False) if len(regions) else []:
-            each = each.sort_values(["y", "x0"])
-            out.append((*key, *scorer.best(each[["y", "x0", "x1"]].to_numpy(np.int64), int(each["angle_bits"].iloc[0]), int(each["line_limit"].iloc[0]))))
+        out = [(*key, *scorer.best(each, bits, limit)) for key, scorer, each, bits, limit in met_regions(regions, image, keys, exact)]
         found = pd.DataFrame(out, columns=names)
         return found.astype({n: "Int64" for n in (*SUMS, *BEST[1:])} | {"score": "Float64"})
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", sr long, sg long, sb long, c long, score double, angle_code int, line long, sn long, cs long, d long, num_lines long"
-    return dealt.groupBy("image_id", "_part").cogroup(copies.groupBy("_image", "_piece")).applyInPandas(run, schema)
+    own = [c for c in keys if c != "image_id"]
+    region = F.xxhash64(*own) if own else F.lit(0).cast("long")
+    parts = spans.groupBy("image_id").agg(F.ceil(F.count(F.lit(1)) / PART_SPANS).alias("_parts"))
+    given = spans.join(parts, "image_id").withColumn("_part", F.pmod(region, "_parts")).select(*keys, "y", "x0", "x1", "angle_bits", "line_limit", "_part")
+    if lots:
+        return in_groups(given, rows, LOT_SPANS, [*own, "y", "x0"]).applyInPandas(run, schema)
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_piece")
+    copies = rows.join(parts, "image_id").select(F.col("image_id").alias("_image"), "y", *SUMS[:3], piece)
+    return given.groupBy("image_id", "_part").cogroup(copies.groupBy("_image", "_piece")).applyInPandas(run, schema)
+
+
+def in_groups(given: DataFrame, rows: DataFrame, most: int, counted: list[str]) -> PandasCogroupedOps:
+    """Regions with their `_part` beside their images' rows, a group for each lot of `most` of what `counted` tells apart
+    (see in_lots)."""
+    at = ["image_id", "_part"]
+    work = given.groupBy(*at).agg((F.count_distinct(*counted) if counted else F.lit(1)).alias("_work"))
+    lots = in_lots(work, at, most, tasks(given.sparkSession))
+    copies = rows.join(lots, "image_id").select(F.col("image_id").alias("_image"), F.col("_part").alias("_piece"), F.col("_lot").alias("_group"), "y", *SUMS[:3])
+    return dealt(given.join(lots, at), "_lot").groupBy("_lot").cogroup(dealt(copies, "_group").groupBy("_group"))
+
+
+def met_regions(regions: pd.DataFrame, image: pd.DataFrame, keys: list[str], exact: bool) -> Iterator[tuple]:
+    """(key, scorer, spans, angle bits, line limit) of each region of a group."""
+    if not len(regions):
+        return
+    images = dict(iter(image.groupby(["_image", "_piece"], sort=False)))
+    for at, some in regions.groupby(["image_id", "_part"], sort=False):
+        scorer = ImageScorer(images.pop(at), exact)
+        for key, each in some.groupby(keys, sort=False):
+            each = each.sort_values(["y", "x0"])
+            yield key, scorer, each[["y", "x0", "x1"]].to_numpy(np.int64), int(each["angle_bits"].iloc[0]), int(each["line_limit"].iloc[0])
+
+
+def line_scores(spans: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, angle_code, line, d, num_lines, l_c, score): every candidate line of each region that has pixels on both sides, as
+    line_sums() has them, by the rule of single precision. From the result of prefix_rows(): all lines of a region are scored by arrays,
+    and only these are rows. A group has about LOT_REGIONS regions, of 512 angles by their lines each."""
+    types = dict(spans.dtypes)
+
+    def run(regions: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"angle_code": np.zeros(0, np.int32)})]
+        for key, scorer, each, bits, limit in met_regions(regions, image, keys, False):
+            for code, line, _, _, d, lines, count, score in scorer.tried(each, bits, limit)[1]:
+                found.append(pd.DataFrame({"angle_code": code, "line": line, "d": d, "num_lines": lines, "l_c": count, "score": score}).assign(**dict(zip(keys, key, strict=True))))
+        return pd.concat(found, ignore_index=True).reindex(columns=names)
+
+    names = [*keys, "angle_code", "line", "d", "num_lines", "l_c", "score"]
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", angle_code int, line long, d long, num_lines long, l_c long, score double"
+    own = [c for c in keys if c != "image_id"]
+    region = F.xxhash64(*own) if own else F.lit(0).cast("long")
+    parts = spans.groupBy("image_id").agg(F.ceil((F.count_distinct(*own) if own else F.lit(1)) / LOT_REGIONS).alias("_parts"))
+    given = spans.join(parts, "image_id").withColumn("_part", F.pmod(region, "_parts")).select(*keys, "y", "x0", "x1", "angle_bits", "line_limit", "_part")
+    return in_groups(given, rows, LOT_REGIONS, own).applyInPandas(run, schema)

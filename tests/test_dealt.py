@@ -136,3 +136,31 @@ def test_many_palettes_a_task(spark):
     for r in found.orderBy("id", "idx").collect():
         got.setdefault(r["id"], []).append([r["pr"], r["pg"], r["pb"]])
     assert got == want
+
+
+def test_line_scores_are_line_sums(spark, monkeypatch):
+    """Regions of several spans, in images whose sums fit one number or need two; one region a group, or many."""
+    rng = np.random.default_rng(5)
+    shades = [rng.integers(0, 256, (12, 15, 3)), 255 - rng.integers(0, 3, (70, 90, 3))]
+    pixels = spark.createDataFrame([(i, y, x, *map(int, s[y, x])) for i, s in enumerate(shades) for y in range(len(s)) for x in range(s.shape[1])], "image_id long, y long, x long, r long, g long, b long")
+    regions = {(0, "a"): [(0, 2, 9), (1, 0, 15), (4, 3, 4)], (0, "b"): [(y, 3, 12) for y in range(5, 12)], (0, "one"): [(3, 3, 4)], (1, "a"): [(y, y, 90) for y in range(70)], (1, "b"): [(0, 0, 90)]}
+    spans = spark.createDataFrame([(i, n, y, a, b, 5, 21) for (i, n), rows in regions.items() for y, a, b in rows], "image_id long, node string, y long, x0 long, x1 long, angle_bits int, line_limit int")
+    rows = S.prefix_rows(R.prefix_sums(pixels)).cache()
+    assert {len(S.ImageScorer(image, False).packs) for _, image in rows.toPandas().groupby("image_id")} == {1, 2}
+    names = ["image_id", "node", "angle_code", "line", "d", "num_lines", "l_c", "score"]
+    want = sorted(map(tuple, S.line_sums(spans, pixels, ["image_id", "node"]).withColumn("score", S.split_score()).select(names).collect()))
+    for most in (1, 8):
+        monkeypatch.setattr(S, "LOT_REGIONS", most)
+        found = S.line_scores(spans, rows, ["image_id", "node"])
+        assert sorted(map(tuple, found.select(names).collect())) == want and len(want) > 500
+    assert found.rdd.getNumPartitions() >= 16
+    whole, best = S.best_splits(spans, R.prefix_sums(pixels), ["image_id", "node"])
+    keys = ["image_id", "node", *S.SUMS, *S.BEST]
+    dealt = S.scored_regions(spans, rows, ["image_id", "node"], lots=True)
+    assert dealt.rdd.getNumPartitions() >= 16
+    assert sorted(map(str, dealt.select(keys).collect())) == sorted(map(str, whole.join(best, ["image_id", "node"], "left").select(keys).collect()))
+
+
+def test_all_lines_aren_t_exploded_pixels(spark):
+    found = Q.split_scores_binned(spark, "/root/testdata/sf0.001")
+    assert "FlatMapCoGroups" in plan_of(found) and "Generate" not in plan_of(found)
