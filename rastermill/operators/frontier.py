@@ -39,21 +39,21 @@ def frontier_trees(jobs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFra
     turn = 0
     while True:
         spans = stored(with_bits(spans, jobs), f"{at}/spans-{turn}")
-        scored = stored(S.scored_regions(spans, rows, KEYS), f"{at}/scored-{turn}")
+        scored = stored(S.scored_regions(spans, rows, KEYS, lots=True), f"{at}/scored-{turn}")
         cuts = spans.join(scored.where("score IS NOT NULL").select(*KEYS, "sn", "cs", "d"), KEYS)
         pieces = stored(G.split_spans(cuts.select(*KEYS, "y", "x0", "x1", "sn", "cs", "d")).select(*KEYS, "side", "y", "x0", "x1"), f"{at}/pieces-{turn}")
         whole = pieces.groupBy(*KEYS).agg((F.count_distinct("side") == 2).alias("whole")).where("whole")  # both sides have pixels
         met = scored.join(spans.select(*KEYS, "angle_bits").distinct(), KEYS).join(whole, KEYS, "left")
         split = lambda c: F.when(F.col("whole"), F.col(c)).alias(c)
         cost = F.when(F.col("whole"), 1 + F.col("angle_bits") + F.log2(F.col("num_lines").cast("double"))).alias("cost")
-        met = stored(met.select(*KEYS, *S.SUMS, "angle_bits", *map(split, ("score", "angle_code", "line", "num_lines")), cost), f"{at}/nodes-{turn}")
-        nodes = met if nodes is None else nodes.unionByName(met)
+        met = met.select(*KEYS, *S.SUMS, "angle_bits", *map(split, ("score", "angle_code", "line", "num_lines")), cost)
+        nodes = stored(met if nodes is None else nodes.unionByName(met), f"{at}/nodes-{turn}")  # all so far, for plans to stay short
         below = pieces.join(whole.drop("whole"), KEYS).select(*TREE, F.concat("node", "side").alias("node"), "y", "x0", "x1")
-        parts = below if parts is None else parts.unionByName(below)
+        parts = stored(below if parts is None else parts.unionByName(below), f"{at}/parts-{turn}")
         taken = stored(taken_splits(nodes, jobs), f"{at}/taken-{turn}")
-        needed = taken.select(*TREE, halves(F.col("node")).alias("node")).join(nodes.select(*KEYS), KEYS, "left_anti")
+        needed = stored(taken.select(*TREE, halves(F.col("node")).alias("node")).join(nodes.select(*KEYS), KEYS, "left_anti"), f"{at}/needed-{turn}")
         if needed.isEmpty():
             used = taken.select(*TREE, halves(F.col("node")).alias("node")).unionByName(jobs.select(*TREE, F.lit("").alias("node")))
             return nodes.join(used, KEYS, "left_semi").select(*NODE), taken
-        spans = parts.join(needed, KEYS, "left_semi")
+        spans, parts = parts.join(needed, KEYS, "left_semi"), parts.join(needed, KEYS, "left_anti")
         turn += 1
